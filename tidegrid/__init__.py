@@ -5,6 +5,13 @@ columns, so one job serves one series or many thousands, and no operator puts a
 series into one task: see ``tidegrid.functions.segments``.
 """
 
-from tidegrid.params import StudyParams
+import sys
+
+from pyspark import cloudpickle
+
+# Kernels travel to the tasks by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from tidegrid.params import StudyParams  # noqa: E402
 
 __all__ = ["StudyParams"]

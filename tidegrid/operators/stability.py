@@ -111,7 +111,7 @@ def _allocate(seed: int):
         sizes = pdf["_size"].to_numpy(dtype="float64")
         n, perms = int(pdf["n_complete"].iloc[0]), int(pdf["_perms"].iloc[0])
         counts = rng.multinomial(n, sizes / sizes.sum(), size=perms)
-        out = pdf[[*CELL, "_block", "_seg"]].copy()
+        out = pdf[[*CELL, "n_complete", "obs_mean", "_block", "_seg"]].copy()
         out["_counts"] = [counts[:, i].tolist() for i in range(len(pdf))]
         return out
 
@@ -141,9 +141,9 @@ def _draw(seed: int):
         return sums
 
     def run(key: tuple, universe: pd.DataFrame, plans: pd.DataFrame) -> pd.DataFrame:
-        names = [*CELL, "_perm", "_sum"]
+        names = [*CELL, "n_complete", "obs_mean", "_perm", "_sum"]
         if universe.empty or plans.empty:
-            return pd.DataFrame({n: [] for n in names}).astype({"_perm": "int64", "_sum": "float64"})
+            return pd.DataFrame(columns=names)
         values = universe.sort_values("bar_idx")["forward_return_pct"].to_numpy()
         parts = []
         for row in plans.itertuples(index=False):
@@ -152,6 +152,7 @@ def _draw(seed: int):
             rng = np.random.default_rng(_entropy(seed, *cell, block, int(row.seg), 1))
             sums = one(values, np.asarray(row.counts, dtype="int64"), rng)
             part = pd.DataFrame({"_perm": block * _PERM_BLOCK + np.arange(len(sums)), "_sum": sums})
+            part = part.assign(n_complete=row.n_complete, obs_mean=row.obs_mean)
             parts.append(part.assign(**dict(zip(CELL, cell, strict=True))))
         return pd.concat(parts)[names]
 
@@ -195,28 +196,24 @@ def permutation_test(
     blocks = F.sequence(F.lit(0), F.lit((p.perms - 1) // _PERM_BLOCK))
     planned = (
         base.filter("_enough")
-        .select(*CELL, "n_complete", F.explode(blocks).alias("_block"))
+        .select(*CELL, "n_complete", "obs_mean", F.explode(blocks).alias("_block"))
         .withColumn("_perms", F.least(F.lit(_PERM_BLOCK), F.lit(p.perms) - F.col("_block") * F.lit(_PERM_BLOCK)))
         .join(sizes, horizon_key)
     )
-    key_schema = ", ".join(f"{c} string" for c in CELL)
+    key_schema = ", ".join(f"{c} string" for c in CELL) + ", n_complete long, obs_mean double"
     allocated = (
         planned.groupBy(*CELL, "_block")
         .applyInPandas(_allocate(p.seed), f"{key_schema}, _block long, _seg long, _counts array<long>")
-        .select(*CELL, F.col("_block").alias("block"), F.col("_seg").alias("seg"), F.col("_counts").alias("counts"))
+        .select(*CELL, "n_complete", "obs_mean", F.col("_block").alias("block"), F.col("_seg").alias("seg"), F.col("_counts").alias("counts"))
     )
     drawn = (
         values.groupBy(*horizon_key, "_seg")
         .cogroup(allocated.withColumn("_seg", F.col("seg")).groupBy(*horizon_key, "_seg"))
         .applyInPandas(_draw(p.seed), f"{key_schema}, _perm long, _sum double")
     )
-    means = drawn.groupBy(*CELL, "_perm").agg(F.sum("_sum").alias("_sum"))
-    known = base.select(*CELL, "n_complete", "obs_mean")
-    extreme = (
-        means.join(known, [*CELL])
-        .groupBy(*CELL)
-        .agg(F.count_if(F.abs(F.col("_sum") / F.col("n_complete")) >= F.abs("obs_mean")).alias("_extreme"))
-    )
+    means = drawn.groupBy(*CELL, "_perm", "n_complete", "obs_mean").agg(F.sum("_sum").alias("_sum"))
+    beyond = F.abs(F.col("_sum") / F.col("n_complete")) >= F.abs("obs_mean")
+    extreme = means.groupBy(*CELL).agg(F.count_if(beyond).alias("_extreme"))
     p_value = (F.col("_extreme") + 1) / F.lit(float(p.perms + 1))
     return (
         base.join(extreme, [*CELL], "left")

@@ -30,7 +30,6 @@ from tidegrid.params import (
     DAY_MS,
     EVENT_TYPES,
     FUNDING_INTERVAL_MS,
-    HORIZONS,
     HOUR_MS,
     MINUTE_MS,
     SERIES_KEYS,
@@ -39,6 +38,7 @@ from tidegrid.params import (
     StudyParams,
 )
 from tidegrid.plans.event_study import Study, lag_study, run_study
+from tidegrid.session import cut_lineage
 from tidegrid.sources import ticks as tk
 from tidegrid.sources.tables import clip_window, funding_export
 from tidegrid.streaming import streams as st
@@ -59,13 +59,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+SUMS = ("volume_base", "volume_quote", "taker_buy_base", "taker_buy_quote")
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles, without negative zero; widen integers."""
 
     def one(name: str, kind: str) -> Column:
         c = F.col(name)
         if kind in ("double", "float"):
-            return (F.round(c, digits) + F.lit(0.0)).alias(name)
+            return (F.round(c, 4 if name in SUMS else digits) + F.lit(0.0)).alias(name)
         if kind in ("byte", "short", "integer"):
             return c.cast("long").alias(name)
         return c
@@ -94,7 +97,7 @@ def joined(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> Data
 
 
 def study(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> Study:
-    return run_study(joined(spark, sf, tfs), StudyParams())
+    return run_study(joined(spark, sf, tfs), StudyParams()).stored()
 
 
 def minutes(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,17 +173,17 @@ def trade_table(spark: SparkSession, sf: str) -> DataFrame:
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars of two timeframes from the events, in one pass."""
     _, b = market(spark, sf, ("1h", "5m"))
-    return tidy(b.drop("mean_px"), 4)
+    return tidy(b.drop("mean_px"))
 
 
 @query
 def funding_settlements(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(tk.funding_from_ticks(tk.read_ticks(spark, sf)), 9)
+    return tidy(tk.funding_from_ticks(tk.read_ticks(spark, sf)), 12)
 
 
 @query
 def open_interest_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(tk.oi_from_ticks(tk.read_ticks(spark, sf)))
+    return tidy(tk.oi_from_ticks(tk.read_ticks(spark, sf)), 8)
 
 
 @query
@@ -201,7 +204,7 @@ def series_inventory(spark: SparkSession, sf: str) -> DataFrame:
 def funding_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
     f = tk.funding_from_ticks(tk.read_ticks(spark, sf))
     out = funding_export(f, ["ts_settle_ms"])
-    return tidy(out.withColumn("funding_rate", F.col("funding_rate").cast("double")), 9)
+    return tidy(out.withColumn("funding_rate", F.col("funding_rate").cast("double")), 12)
 
 
 @query
@@ -271,7 +274,8 @@ def trade_fees(spark: SparkSession, sf: str) -> DataFrame:
             trades.leg_fee(price, F.col("l_quantity"), p.taker_fee_side).alias("taker_fee"),
             trades.leg_fee(price, F.col("l_quantity"), p.maker_fee_side).alias("maker_fee"),
             trades.leg_slippage(price).alias("slippage"),
-        )
+        ),
+        12,
     )
 
 
@@ -306,7 +310,7 @@ def asof_funding(spark: SparkSession, sf: str) -> DataFrame:
     # Every third settlement is missing, so some rates are too old.
     f = tk.funding_from_ticks(ticks).filter((F.col("ts_settle_ms") / F.lit(FUNDING_INTERVAL_MS)).cast("long") % 3 != 0)
     out = joins.asof_funding(b.select(*SERIES_KEYS, "ts_open_ms"), f)
-    return tidy(out, 9)
+    return tidy(out, 12)
 
 
 @query
@@ -323,7 +327,7 @@ def asof_crowding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bars_joined(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(joined(spark, sf).drop("mean_px"), 4)
+    return tidy(joined(spark, sf).drop("mean_px"), 8)
 
 
 @query
@@ -359,7 +363,7 @@ def latest_regime(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def detected_events(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(study(spark, sf).events)
+    return tidy(study(spark, sf).events, 8)
 
 
 @query
@@ -367,7 +371,7 @@ def detected_events_5m(spark: SparkSession, sf: str) -> DataFrame:
     """Events on five-minute bars that need no wide frame."""
     narrow = ["EV_FUND_FLIP", "EV_OI_FLUSH", "EV_FUNDING_WINDOW_PRE", "EV_PREMIUM_SPIKE", "EV_PREMIUM_COMPRESSION"]
     found = study(spark, sf, ("5m",)).events.filter(F.col("event_type").isin(*narrow))
-    return tidy(found.drop("context_regime"))
+    return tidy(found.drop("context_regime"), 8)
 
 
 @query
@@ -423,7 +427,7 @@ def permutation_setup(spark: SparkSession, sf: str) -> DataFrame:
 
 def _permutation(spark: SparkSession, sf: str) -> DataFrame:
     _, b = market(spark, sf)
-    cells = stability.walk_forward(study(spark, sf).outcomes, STABILITY)
+    cells = cut_lineage(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
     return stability.permutation_test(cells, outcomes.forward_universe(b), STABILITY)
 
 
@@ -441,20 +445,20 @@ def _fixed_p(wf: DataFrame) -> DataFrame:
 
 @query
 def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
-    wf = stability.walk_forward(study(spark, sf).outcomes, STABILITY)
+    wf = cut_lineage(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
     return stability.stable_counts(wf, _fixed_p(wf))
 
 
 @query
 def research_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    wf = stability.walk_forward(study(spark, sf).outcomes, STABILITY)
+    wf = cut_lineage(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
     found = selection.research_candidates(wf, _fixed_p(wf), SELECTION)
     return tidy(selection.ranked_candidates(found))
 
 
 @query
 def cross_symbol_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    wf = stability.walk_forward(study(spark, sf).outcomes, STABILITY)
+    wf = cut_lineage(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
     return tidy(selection.cross_symbol(selection.research_candidates(wf, _fixed_p(wf), SELECTION), *PAIR))
 
 
@@ -714,7 +718,7 @@ def _premium(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def funding_premium_signal(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(_premium(spark, sf), 9)
+    return tidy(_premium(spark, sf), 12)
 
 
 @query
@@ -762,7 +766,7 @@ def daily_trade_summary(spark: SparkSession, sf: str) -> DataFrame:
     t = tick_trades(spark, sf)
     per_trade = t.select("strategy_id", "date", F.col("pre_fee_pct").alias("pre_fee"), F.col("post_fee_pct").alias("post_fee"))
     equity = t.select("strategy_id", "date", F.col("trade_seq").alias("seq"), (F.col("value") + 100.0).alias("equity"))
-    return tidy(trades.daily_summary(per_trade, equity))
+    return tidy(trades.daily_summary(per_trade, equity), 9)
 
 
 @query
@@ -855,7 +859,7 @@ def _run_leaves(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_suppkey") % 2).alias("source_rank"),
         label.alias("path"),
         F.concat(F.lit("$"), F.floor(F.col("l_quantity") * 10).cast("string")).alias("value"),
-        F.col("l_linenumber").cast("long").alias("pos"),
+        (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**5 + F.floor(F.col("l_quantity") * 10)).alias("pos"),
     )
 
 

@@ -26,6 +26,7 @@ from tidegrid.operators.leaderboard import build_leaderboard
 from tidegrid.operators.outcomes import look_ahead, outcome_columns, outcome_rows
 from tidegrid.operators.regimes import REGIME_COLUMNS, regime_columns, vol_rank_spec
 from tidegrid.params import SERIES_KEYS, StudyParams
+from tidegrid.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,10 @@ class Study:
 
     bars: DataFrame
 
+    def stored(self) -> "Study":
+        """Write the bars once; the views are then narrow scans of that table."""
+        return Study(cut_lineage(self.bars))
+
     @property
     def features(self) -> DataFrame:
         return self.bars.select(*FEATURE_COLUMNS)
@@ -57,7 +62,7 @@ class Study:
 
 
 def run_study(bars_joined: DataFrame, p: StudyParams = StudyParams()) -> Study:
-    """Write ``.bars`` to a table when several views are wanted; each view is a narrow scan."""
+    """Call ``.stored()`` on the result when several views are wanted."""
     timeframes = tuple(p.horizons)
     bars = ensure_index(bars_joined, SERIES_KEYS, p.segments.rows)
     if p.features.pad_open_interest:
@@ -78,6 +83,8 @@ def run_study(bars_joined: DataFrame, p: StudyParams = StudyParams()) -> Study:
     seg = seg.with_columns({"ema_fast_minus_slow_pct": ema_spread()})
     seg = event_columns(regime_columns(seg, p.regimes), p.events)
     seg = outcome_columns(seg, p.horizons)
+    # Only bars with an event keep their outcomes.
+    seg = seg.with_columns({"_outcomes": F.when(F.size("_events") > 0, F.col("_outcomes"))})
     keep = dict.fromkeys([*FEATURE_COLUMNS, *REGIME_COLUMNS, "high", "low", "bar_idx", "_events", "_outcomes"])
     return Study(seg.owned().select(*keep))
 

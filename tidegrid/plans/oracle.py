@@ -17,9 +17,11 @@ def rs(names: str, digits: int = 6) -> str:
     return ", ".join(r(n, digits=digits) for n in names.split())
 
 
+_SUMS = "volume_base volume_quote taker_buy_base taker_buy_quote"
+
 # ---- common tables ----------------------------------------------------------------------------
 
-TICK = """tick as (select event_type as symbol, event_id, epoch_ms(ts) as ts_ms, 1000.0 + value as px, value,
+TICK = """tick as (select event_type as symbol, event_id, epoch_us(ts) // 1000 as ts_ms, 1000.0 + value as px, value,
   cast(json_extract(props, '$.k') as int) as k from events)"""
 
 MINUTE = f"""{TICK}, m as (select 'sim' as exchange, symbol, '1m' as timeframe, ts_ms // 60000 * 60000 as ts_open_ms, event_id, k, value
@@ -238,15 +240,15 @@ def add(name: str, ctes: str, select: str) -> None:
 # ---- scans ------------------------------------------------------------------------------------------
 
 add("bars", bars("1h", "5m"), "select exchange, symbol, timeframe, ts_open_ms, ts_close_ms, trades, "
-    + rs("open high low close volume_base volume_quote taker_buy_base taker_buy_quote", 4) + " from b")
-add("funding_settlements", f"{TICK}, {FUNDING}", f"select exchange, symbol, ts_settle_ms, {r('funding_rate', digits=9)}, funding_interval_ms from f")
+    + rs("open high low close") + ", " + rs(_SUMS, 4) + " from b")
+add("funding_settlements", f"{TICK}, {FUNDING}", f"select exchange, symbol, ts_settle_ms, {r('funding_rate', digits=12)}, funding_interval_ms from f")
 add("open_interest_metrics", f"{TICK}, {OI}", "select exchange, symbol, ts_ms, "
-    + rs("oi_base oi_value_quote long_short_account_ratio top_trader_position_ratio taker_long_short_vol_ratio") + " from oi")
+    + rs("oi_base oi_value_quote long_short_account_ratio top_trader_position_ratio taker_long_short_vol_ratio", 8) + " from oi")
 add("mark_index_closes", bars("1h"), f"select exchange, symbol, timeframe, ts_open_ms, {r('close', 'mark_close')}, {r('mean_px', 'index_close')} from b")
 add("series_inventory", f"{bars('1h', '5m')}, {OI}", """select 'bars' as kind, exchange, symbol, timeframe, count(*) as rows, min(ts_open_ms) as first_ts_ms,
   max(ts_open_ms) as last_ts_ms from b group by all union all select 'oi', exchange, symbol, '5m', count(*), min(ts_ms), max(ts_ms) from oi group by all""")
 add("funding_csv_rows", f"{TICK}, {FUNDING}", f"""select strftime(make_timestamp(ts_settle_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as timestamp_utc, symbol,
-  {r('funding_rate', digits=9)} from f""")
+  {r('funding_rate', digits=12)} from f""")
 add("json_leaves", "x as (select 1)", "select event_id, 'k' as path, json_extract_string(props, '$.k') as value from events")
 add("label_lines", f"""l as (select doc_id, u.line, u.pos - 1 as pos from (select doc_id, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) as a
   from documents) d, unnest(d.a) with ordinality as u(line, pos)), t as (select doc_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as line from l)""",
@@ -267,8 +269,8 @@ add("window_clip", MINUTE, f"""select symbol, {_MONTH} as month_ms, count(*) as
   any_value(least({_NEXT}, {CLIP[1]}) - 1) as last_ms, any_value(strftime(make_timestamp({_MONTH} * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')) as month_utc
   from m where ts_open_ms between {CLIP[0]} and {CLIP[1]} group by symbol, {_MONTH}""")
 _PRICE = "l_extendedprice / nullif(l_quantity, 0)"
-add("trade_fees", "x as (select 1)", f"""select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, {r(f'0.0004 * abs(l_quantity) * ({_PRICE})', 'taker_fee')},
-  {r(f'0.0002 * abs(l_quantity) * ({_PRICE})', 'maker_fee')}, {r(f'0.0005 * ({_PRICE})', 'slippage')} from lineitem""")
+add("trade_fees", "x as (select 1)", f"""select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, {r(f'0.0004 * abs(l_quantity) * ({_PRICE})', 'taker_fee', 12)},
+  {r(f'0.0002 * abs(l_quantity) * ({_PRICE})', 'maker_fee', 12)}, {r(f'0.0005 * ({_PRICE})', 'slippage', 12)} from lineitem""")
 add("scalar_functions", TICK, """select event_id, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as iso, ts_ms as back_ms,
   cast(case when k % 5 = 0 then 1 else greatest(1, k) end as bigint) as horizon_bars, upper(symbol) as short_name,
   substr(sha1(symbol || '|1h|EV_' || upper(symbol) || '|' || ts_ms), 1, 16) as hash_id from tick""")
@@ -276,8 +278,8 @@ add("scalar_functions", TICK, """select event_id, strftime(make_timestamp(ts_ms
 # ---- joins --------------------------------------------------------------------------------------------------
 
 add("asof_funding", f"{bars('1h', '5m')}, {FUNDING}, f3 as (select * from f where (ts_settle_ms // 28800000) % 3 <> 0)", f"""select b.exchange, b.symbol,
-  b.timeframe, b.ts_open_ms, {r('case when b.ts_open_ms - ts_settle_ms <= funding_interval_ms then funding_rate end', 'funding_rate_ffill', 9)},
-  {r('(ts_settle_ms + funding_interval_ms - b.ts_open_ms) / 60000.0', 'funding_minutes_to_next', 9)}
+  b.timeframe, b.ts_open_ms, {r('case when b.ts_open_ms - ts_settle_ms <= funding_interval_ms then funding_rate end', 'funding_rate_ffill', 12)},
+  {r('(ts_settle_ms + funding_interval_ms - b.ts_open_ms) / 60000.0', 'funding_minutes_to_next', 12)}
   from b asof left join f3 on b.symbol = f3.symbol and b.ts_open_ms >= f3.ts_settle_ms""")
 
 
@@ -291,8 +293,8 @@ add("asof_open_interest", f"{bars('1h', '5m')}, {OI}",
 add("asof_crowding", f"{bars('1h')}, {OI}", f"""select b.exchange, b.symbol, b.timeframe, b.ts_open_ms, {_fresh('long_short_account_ratio', 3600000)},
   {_fresh('top_trader_position_ratio', 3600000)}, {_fresh('taker_long_short_vol_ratio', 3600000)} {_ASOF_OI}""")
 add("bars_joined", joined("1h"), "select exchange, symbol, timeframe, ts_open_ms, ts_close_ms, trades, "
-    + rs("open high low close volume_base volume_quote taker_buy_base taker_buy_quote mark_close index_close funding_rate_ffill funding_minutes_to_next "
-         "oi_base oi_value_quote long_short_account_ratio top_trader_position_ratio taker_long_short_vol_ratio", 4) + " from j")
+    + rs(_SUMS, 4) + ", " + rs("open high low close mark_close index_close funding_rate_ffill funding_minutes_to_next "
+         "oi_base oi_value_quote long_short_account_ratio top_trader_position_ratio taker_long_short_vol_ratio", 8) + " from j")
 add("known_gap_mask", bars("1h"), """select exchange, symbol, timeframe, ts_open_ms, exists (select 1 from tick t where t.k = 7 and t.symbol = b.symbol
   and t.ts_ms >= b.ts_open_ms and t.ts_ms < b.ts_open_ms + 3600000) as known_gap from b""")
 
@@ -309,8 +311,8 @@ _REGIMES = "trend_regime, vol_regime, funding_regime, basis_regime, crowding_reg
 add("regime_labels", regs("1h"), f"select ts_open_ms, ts_close_ms, exchange, symbol, timeframe, {_REGIMES}, {r('confidence')} from g")
 add("latest_regime", regs("1h"), f"""select exchange, symbol, timeframe, ts_open_ms, composite_label, {r('confidence')} from g
   qualify row_number() over (partition by symbol order by ts_open_ms desc) = 1""")
-add("detected_events", E1H, f"select event_id, ts_open_ms, event_type, {r('event_strength')}, context_regime, exchange, symbol, timeframe from e")
-add("detected_events_5m", evs("5m"), f"""select event_id, ts_open_ms, event_type, {r('event_strength')}, exchange, symbol, timeframe from e where event_type in
+add("detected_events", E1H, f"select event_id, ts_open_ms, event_type, {r('event_strength', digits=8)}, context_regime, exchange, symbol, timeframe from e")
+add("detected_events_5m", evs("5m"), f"""select event_id, ts_open_ms, event_type, {r('event_strength', digits=8)}, exchange, symbol, timeframe from e where event_type in
   ('EV_FUND_FLIP', 'EV_OI_FLUSH', 'EV_FUNDING_WINDOW_PRE', 'EV_PREMIUM_SPIKE', 'EV_PREMIUM_COMPRESSION')""")
 add("event_counts", E1H, "select exchange, symbol, timeframe, " + ", ".join(f"count(*) filter (event_type = '{t}') as {t}" for t in EVENT_TYPES)
     + " from e group by all")
@@ -472,8 +474,8 @@ add("dataset_tiers", """pb as (select source, lang, bool_or(doc_id % 3 = 0) as a
     """select source as dataset_id, case when count(distinct lang) filter (lang in ('en', 'de') and ok and ((a24 and (al or rl) and (a21 or source = 'funding_rate_history'))
   or (r21 and r24 and rl))) = 2 then 'TIER 1' else 'UNKNOWN' end as tier from pb group by source""")
 _NAMES = "['open_interest_statistics', 'taker_buy_sell_volume', 'basis', 'um_agg_trades', 'um_trades', 'um_klines_1m']"
-add("history_classes", f"""h as (select user_id, {_NAMES}[user_id % 6 + 1] as dataset_id, count(*) filter (epoch_ms(ts) >= 1706000000000) as rn,
-  count(*) filter (epoch_ms(ts) < 1704500000000) as od, bool_or(epoch_ms(ts) < 1704300000000) as ar from events group by user_id),
+add("history_classes", f"""h as (select user_id, {_NAMES}[user_id % 6 + 1] as dataset_id, count(*) filter (epoch_us(ts) // 1000 >= 1706000000000) as rn,
+  count(*) filter (epoch_us(ts) // 1000 < 1704500000000) as od, bool_or(epoch_us(ts) // 1000 < 1704300000000) as ar from events group by user_id),
   c as (select *, case when user_id % 6 < 3 then case when od > 0 then 1 when rn > 0 then 2 else 0 end when user_id % 6 < 5 then 0
     when (od > 0 or ar) and rn > 0 then 1 else 0 end as v from h)""",
     """select dataset_id, user_id, case v when 1 then 'YES' when 2 then 'NO' else 'UNKNOWN' end as approved, case v when 1 then 'TIER 1' when 2 then 'TIER 2' else 'UNKNOWN' end as tier from c""")
@@ -514,7 +516,7 @@ _PREM = f"""{bars('1h')}, {FUNDING}, {_four('close / mean_px - 1')}, ps as (sele
   pq as (select *, case when known_gap then 'known_gap' when not complete then 'incomplete_premium' when funding_rate is null then 'missing_funding' end as rs from ps),
   pd as materialized (select *, case when rs is not null then 0 when funding_rate >= 1e-4 and premium_delta <= -5e-3 then -1
     when funding_rate <= -1e-4 and premium_delta >= 5e-3 then 1 else 0 end as d from pq)"""
-add("funding_premium_signal", _PREM, f"""select exchange, symbol, bar_end_ms, {rs('premium_delta funding_rate', 9)}, known_gap, cast(d as bigint) as direction,
+add("funding_premium_signal", _PREM, f"""select exchange, symbol, bar_end_ms, {rs('premium_delta funding_rate', 12)}, known_gap, cast(d as bigint) as direction,
   case when rs is not null then rs when d = 0 then 'no_condition' end as skip_reason from pd""")
 add("signal_funnel", _PREM, """select exchange, symbol, cast(make_timestamp(bar_end_ms * 1000) as date) as date, count(*) as rows_checked, count(*) filter (d > 0) as long_signals,
   count(*) filter (d < 0) as short_signals, cast(0 as bigint) as missing_premium, count(*) filter (rs = 'known_gap') as known_gap, count(*) filter (rs = 'incomplete_premium') as incomplete_premium,
@@ -549,8 +551,8 @@ _TT = f"""{TICK}, tt as materialized (select symbol as strategy_id, event_id as
   (value - 45) / 50 - 0.08 as post, value, k, ts_ms >= 1705276800000 as oos from tick)"""
 _DAYW = "over (partition by strategy_id, date order by trade_seq)"
 add("daily_trade_summary", f"""{_TT}, dd as (select *, ({'max(value + 100) ' + _DAYW}) as pk from tt)""", f"""select strategy_id, date, count(*) as trades,
-  {r('avg(case when post > 0 then 1.0 else 0.0 end)', 'win_rate')}, {r('avg(pre)', 'avg_pre_fee')}, {r('avg(post)', 'avg_post_fee')},
-  {r('max((pk - (value + 100)) / pk)', 'intraday_max_dd')} from dd group by strategy_id, date""")
+  {r('avg(case when post > 0 then 1.0 else 0.0 end)', 'win_rate', 9)}, {r('avg(pre)', 'avg_pre_fee', 9)}, {r('avg(post)', 'avg_post_fee', 9)},
+  {r('max((pk - (value + 100)) / pk)', 'intraday_max_dd', 9)} from dd group by strategy_id, date""")
 add("running_drawdown", f"""{bars('1h')}, pk as (select exchange, symbol, ts_open_ms, close as equity, max(close) {_W} as peak from b),
   pd as (select *, (peak - equity) / peak as drawdown from pk)""", f"""select exchange, symbol, ts_open_ms, {rs('equity peak drawdown')}, max(case when drawdown >= 0.08 then 1 else 0 end)
   over (partition by symbol order by ts_open_ms) = 1 as tripped from pd""")
@@ -588,7 +590,8 @@ add("run_evidence", f"""fn as (select cast(conv_id as varchar) as run_id, {_list
   case when a then 'OK' when b then 'LOW_CONFIDENCE' else 'NO_EVIDENCE' end as evidence_confidence from fa""")
 _ALIAS = ", ".join(f"('{m}', '{a}', {i})" for m, names in METRIC_ALIASES.items() for i, a in enumerate(names))
 _LEAVES = f"""lv as (select cast(l_orderkey as varchar) as run_id, l_suppkey % 2 as sr, ['statistics.sharpe ratio', 'total trades', 'drawdown', 'stats.win rate', 'netprofit', 'other'][l_partkey % 6 + 1] as path,
-  '$' || cast(floor(l_quantity * 10) as bigint) as value, l_linenumber as pos from lineitem), al as (select * from (values {_ALIAS}) t(metric, alias, ar)),
+  '$' || cast(floor(l_quantity * 10) as bigint) as value,
+  l_linenumber * 1000000000000 + l_partkey * 100000 + cast(floor(l_quantity * 10) as bigint) as pos from lineitem), al as (select * from (values {_ALIAS}) t(metric, alias, ar)),
   me as materialized (select run_id, metric, arg_min(value, (sr, ar, pos)) as value from lv join al on contains(path, alias) group by run_id, metric)"""
 add("run_metrics", _LEAVES, "select * from me")
 add("run_reports", f"""{_LEAVES}, fa as (select cast(l_orderkey as varchar) as run_id, list_sort(list(distinct {_list(_ALL)}[l_partkey % 8 + 1])) as p,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,20 +34,27 @@ def local_session(name: str = "tidegrid", cores: str = "*", memory: str = "8g")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; it must be shared
-    storage, so that losing an executor loses nothing.  Only where it is unset and the
-    session runs on one machine is a temporary folder used.
+    It must be shared storage, so that losing an executor loses nothing.  Only where it is
+    unset and the session runs on one machine is a temporary folder used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if folder is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset; name a shared folder")
-        folder = tempfile.mkdtemp(prefix="tidegrid-checkpoint-")
-    if folder is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset; name a shared folder")
+    return tempfile.mkdtemp(prefix="tidegrid-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    A stage that several later ones read is computed once; they read only the columns they
+    need, and a lost executor costs no recomputation of what came before.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidegrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,8 +6,6 @@ State is keyed by instrument or finer; every state has an end (watermark or time
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -27,6 +25,7 @@ from pyspark.sql.types import (
 )
 
 from tidegrid.params import DAY_MS
+from tidegrid.session import shared_folder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _TWO_DAYS_MS = 2 * DAY_MS
@@ -302,12 +301,7 @@ def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append")
 
     Table and progress go to the shared checkpoint folder of the session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset; name a shared folder")
-        root = tempfile.mkdtemp(prefix="tidegrid-stream-")
-    place = os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode(mode)
         .format("parquet")

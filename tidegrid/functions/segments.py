@@ -80,6 +80,12 @@ class Segments:
     def frame(self, first: int, last: int):
         return self.window().rowsBetween(first, last)
 
+    def over(self, first: int | None = None, last: int = 0) -> str:
+        """The window, or a frame of it, as SQL text."""
+        side = lambda n: "CURRENT ROW" if n == 0 else f"{abs(n)} {'FOLLOWING' if n > 0 else 'PRECEDING'}"
+        frame = "" if first is None else f" ROWS BETWEEN {side(first)} AND {side(last)}"
+        return f"OVER (PARTITION BY {', '.join([*self.keys, _SEG])} ORDER BY {self.order}{frame})"
+
     def having(self, df: DataFrame) -> "Segments":
         return replace(self, df=df)
 

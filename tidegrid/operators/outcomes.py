@@ -31,24 +31,30 @@ def look_ahead(horizons: dict[str, tuple[int, ...]] = HORIZONS) -> int:
 
 
 def _one_horizon(seg: Segments, h: int) -> Column:
-    w, ahead = seg.window(), seg.frame(2, 1 + h)
-    entry = F.lead("close", 1).over(w)
-    usable = entry.isNotNull() & (entry != 0) & ~F.isnan(entry) & (F.abs(entry) != float("inf"))
-    here = F.col(seg.idx)
-    # The first of equal extremes wins, hence the position as second sort key.  A missing
-    # price must not take part: a struct holding a null would sort below all others.
-    top = F.max(F.when(F.col("high").isNotNull(), F.struct(F.col("high").alias("v"), (-here).alias("at")))).over(ahead)
-    bottom = F.min(F.when(F.col("low").isNotNull(), F.struct(F.col("low").alias("v"), here.alias("at")))).over(ahead)
-    pct = lambda price: (price - entry) / entry * F.lit(100.0)
-    value = lambda c: F.when(usable, c)
-    return F.struct(
-        F.lit(f"h+{h}").alias("horizon"),
-        value(pct(F.lead("close", 1 + h).over(w))).alias("forward_return_pct"),
-        value(pct(top["v"])).alias("mfe_pct"),
-        value(pct(bottom["v"])).alias("mae_pct"),
-        value(-top["at"] - here - 1).alias("time_to_mfe_bars"),
-        value(bottom["at"] - here - 1).alias("time_to_mae_bars"),
-        F.when(usable, F.count(F.lit(1)).over(ahead)).otherwise(F.lit(0).cast("long")).alias("max_holding_bars_used"),
+    """Struct of the outcomes of one horizon.
+
+    The first of equal extremes wins, hence the position as second sort key.  A missing price
+    must not take part: a struct holding a null would sort below all others.
+    """
+    ahead = seg.over(2, 1 + h)
+    entry = f"lead(close, 1) {seg.over()}"
+    usable = f"({entry} IS NOT NULL AND {entry} <> 0 AND NOT isnan({entry}) AND abs({entry}) <> double('inf'))"
+    idx = seg.idx
+    top = f"max(CASE WHEN high IS NOT NULL THEN named_struct('v', high, 'at', -{idx}) END) {ahead}"
+    bottom = f"min(CASE WHEN low IS NOT NULL THEN named_struct('v', low, 'at', {idx}) END) {ahead}"
+
+    def pct(price: str) -> str:
+        return f"CASE WHEN {usable} THEN (({price}) - {entry}) / {entry} * 100D END"
+
+    return F.expr(
+        f"""named_struct(
+        'horizon', 'h+{h}',
+        'forward_return_pct', {pct(f'lead(close, {1 + h}) {seg.over()}')},
+        'mfe_pct', {pct(f'({top}).v')},
+        'mae_pct', {pct(f'({bottom}).v')},
+        'time_to_mfe_bars', CASE WHEN {usable} THEN -({top}).at - {idx} - 1 END,
+        'time_to_mae_bars', CASE WHEN {usable} THEN ({bottom}).at - {idx} - 1 END,
+        'max_holding_bars_used', CASE WHEN {usable} THEN count(1) {ahead} ELSE 0L END)"""
     )
 
 

@@ -93,7 +93,7 @@ def stable_counts(wf: DataFrame, pm: DataFrame) -> DataFrame:
 
 # ---- bootstrap against random bars --------------------------------------------------------
 
-_PERM_BLOCK = 50
+_PERM_BLOCK = 250
 _DRAW_LIMIT = 2_000_000
 
 

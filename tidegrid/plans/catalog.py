@@ -37,7 +37,7 @@ from tidegrid.params import (
     StabilityParams,
     StudyParams,
 )
-from tidegrid.plans.event_study import Study, lag_study, run_study
+from tidegrid.plans.event_study import Study, run_study, shock_outcomes
 from tidegrid.session import cut_lineage
 from tidegrid.sources import ticks as tk
 from tidegrid.sources.tables import clip_window, funding_export
@@ -79,14 +79,18 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 # ---- inputs ---------------------------------------------------------------------------------
 
 
-def market(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)):
+def market(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",), stored: bool = False):
+    """Ticks and bars.  ``stored`` writes the bars with their positions as a table first, as
+    a pipeline would: the joins and frames after it read them several times."""
     ticks = tk.read_ticks(spark, sf)
     bars = tk.bars_from_ticks(ticks, tfs)
+    if stored:
+        bars = cut_lineage(ensure_index(bars, SERIES_KEYS, StudyParams().segments.rows))
     return ticks, bars
 
 
 def joined(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> DataFrame:
-    ticks, bars = market(spark, sf, tfs)
+    ticks, bars = market(spark, sf, tfs, stored=True)
     return joins.join_state(
         bars,
         tk.funding_from_ticks(ticks),
@@ -97,7 +101,13 @@ def joined(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> Data
 
 
 def study(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> Study:
-    return run_study(joined(spark, sf, tfs), StudyParams()).stored()
+    """Bars, joined bars and outcomes are tables of a pipeline; each is written once."""
+    return run_study(cut_lineage(joined(spark, sf, tfs)), StudyParams())
+
+
+def stored_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes as a table: cells are formed in several passes over them."""
+    return cut_lineage(study(spark, sf).strong_outcomes)
 
 
 def minutes(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +166,7 @@ def limit_orders(bars: DataFrame) -> DataFrame:
 
 
 def breakout_signals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    _, bars = market(spark, sf)
+    _, bars = market(spark, sf, stored=True)
     found = sg.compression_breakout_signal(bars, 12, 9.85)
     return found.withColumn("strategy_id", F.lit("breakout")), bars
 
@@ -327,7 +337,7 @@ def asof_crowding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bars_joined(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(joined(spark, sf).drop("mean_px"), 8)
+    return tidy(joined(spark, sf).drop("mean_px", "bar_idx"), 8)
 
 
 @query
@@ -343,7 +353,7 @@ def known_gap_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(ft.build_features(joined(spark, sf), timeframes=("1h",)))
+    return tidy(ft.build_features(cut_lineage(joined(spark, sf)), timeframes=("1h",)))
 
 
 @query
@@ -353,7 +363,7 @@ def feature_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def regime_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(regimes.build_regimes(ft.build_features(joined(spark, sf), timeframes=("1h",))))
+    return tidy(regimes.build_regimes(ft.build_features(cut_lineage(joined(spark, sf)), timeframes=("1h",))))
 
 
 @query
@@ -386,19 +396,19 @@ def event_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def event_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(canonical_order(study(spark, sf).leaderboard))
+    return tidy(canonical_order(build_leaderboard(stored_outcomes(spark, sf))))
 
 
 @query
 def shock_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: bars to z-score to first cross to outcomes to cells."""
-    _, b = market(spark, sf)
-    return tidy(lag_study(b))
+    _, b = market(spark, sf, stored=True)
+    return tidy(build_leaderboard(cut_lineage(shock_outcomes(b))))
 
 
 @query
 def forward_returns(spark: SparkSession, sf: str) -> DataFrame:
-    _, b = market(spark, sf)
+    _, b = market(spark, sf, stored=True)
     return tidy(outcomes.forward_universe(b).drop("bar_idx"))
 
 
@@ -407,7 +417,7 @@ def forward_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
+    return tidy(stability.walk_forward(stored_outcomes(spark, sf), STABILITY))
 
 
 @query
@@ -426,8 +436,8 @@ def permutation_setup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _permutation(spark: SparkSession, sf: str) -> DataFrame:
-    _, b = market(spark, sf)
-    cells = cut_lineage(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
+    _, b = market(spark, sf, stored=True)
+    cells = cut_lineage(stability.walk_forward(stored_outcomes(spark, sf), STABILITY))
     return stability.permutation_test(cells, outcomes.forward_universe(b), STABILITY)
 
 
@@ -445,53 +455,53 @@ def _fixed_p(wf: DataFrame) -> DataFrame:
 
 @query
 def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
-    wf = cut_lineage(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
+    wf = cut_lineage(stability.walk_forward(stored_outcomes(spark, sf), STABILITY))
     return stability.stable_counts(wf, _fixed_p(wf))
 
 
 @query
 def research_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    wf = cut_lineage(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
+    wf = cut_lineage(stability.walk_forward(stored_outcomes(spark, sf), STABILITY))
     found = selection.research_candidates(wf, _fixed_p(wf), SELECTION)
     return tidy(selection.ranked_candidates(found))
 
 
 @query
 def cross_symbol_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    wf = cut_lineage(stability.walk_forward(study(spark, sf).outcomes, STABILITY))
+    wf = cut_lineage(stability.walk_forward(stored_outcomes(spark, sf), STABILITY))
     return tidy(selection.cross_symbol(selection.research_candidates(wf, _fixed_p(wf), SELECTION), *PAIR))
 
 
 @query
 def pareto_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(selection.pareto(study(spark, sf).leaderboard, *PAIR, SELECTION))
+    return tidy(selection.pareto(build_leaderboard(stored_outcomes(spark, sf)), *PAIR, SELECTION))
 
 
 @query
 def pareto_decision(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.pareto_decision(selection.pareto(study(spark, sf).leaderboard, *PAIR, SELECTION))
+    return selection.pareto_decision(selection.pareto(build_leaderboard(stored_outcomes(spark, sf)), *PAIR, SELECTION))
 
 
 @query
 def top_cells_by_net(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(selection.top_by_net(study(spark, sf).leaderboard, 30, SELECTION))
+    return tidy(selection.top_by_net(build_leaderboard(stored_outcomes(spark, sf)), 30, SELECTION))
 
 
 @query
 def top_cells_by_sharpe(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(selection.top_by_sharpe(study(spark, sf).leaderboard, 12, SELECTION))
+    return tidy(selection.top_by_sharpe(build_leaderboard(stored_outcomes(spark, sf)), 12, SELECTION))
 
 
 @query
 def top_cells_by_maker_net(spark: SparkSession, sf: str) -> DataFrame:
-    wf = stability.walk_forward(study(spark, sf).outcomes, STABILITY)
+    wf = stability.walk_forward(stored_outcomes(spark, sf), STABILITY)
     cols = [*SERIES_KEYS, "event_type", "horizon", "n_complete", "full_net", "full_net_maker", "verdict"]
     return tidy(selection.top_by_maker_net(wf, 20, SELECTION).select(*cols))
 
 
 @query
 def top_cells_by_p_value(spark: SparkSession, sf: str) -> DataFrame:
-    wf = stability.walk_forward(study(spark, sf).outcomes, STABILITY)
+    wf = stability.walk_forward(stored_outcomes(spark, sf), STABILITY)
     return tidy(selection.top_by_p_value(_fixed_p(wf), 20, SELECTION))
 
 
@@ -735,7 +745,7 @@ def signal_funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def maker_fills(spark: SparkSession, sf: str) -> DataFrame:
-    _, b = market(spark, sf)
+    _, b = market(spark, sf, stored=True)
     seg = cut(ensure_index(limit_orders(b), SERIES_KEYS, 32_768), SERIES_KEYS, "ts_open_ms", 32_768, after=1)
     out = seg.with_columns({"action": trades.maker_fill(seg)}).owned()
     return tidy(out.select(*SERIES_KEYS, "ts_open_ms", "side", "limit_price", "action"))

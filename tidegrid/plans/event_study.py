@@ -56,9 +56,14 @@ class Study:
         return outcome_rows(event_rows(self.bars, F.col("composite_label"), ("_outcomes",)))
 
     @property
-    def leaderboard(self) -> DataFrame:
+    def strong_outcomes(self) -> DataFrame:
+        """Outcomes with the strength of their event, all that cells are made of."""
         rows = event_rows(self.bars, F.col("composite_label"), ("_outcomes",))
-        return build_leaderboard(outcome_rows(rows, ("event_strength",)))
+        return outcome_rows(rows, ("event_strength",))
+
+    @property
+    def leaderboard(self) -> DataFrame:
+        return build_leaderboard(cut_lineage(self.strong_outcomes))
 
 
 def run_study(bars_joined: DataFrame, p: StudyParams = StudyParams()) -> Study:
@@ -89,8 +94,8 @@ def run_study(bars_joined: DataFrame, p: StudyParams = StudyParams()) -> Study:
     return Study(seg.owned().select(*keep))
 
 
-def lag_study(bars: DataFrame, p: StudyParams = StudyParams(), z_rows: int = 24, z_min: float = 2.0) -> DataFrame:
-    """The smallest complete study: z-score of one-bar returns, first cross, outcomes, cells.
+def shock_outcomes(bars: DataFrame, p: StudyParams = StudyParams(), z_rows: int = 24, z_min: float = 2.0) -> DataFrame:
+    """The smallest study: z-score of one-bar returns, first cross, outcomes with strength.
 
     Built-in functions only; one event type, ``EV_RETURN_SHOCK``.
     """
@@ -119,4 +124,4 @@ def lag_study(bars: DataFrame, p: StudyParams = StudyParams(), z_rows: int = 24,
         .withColumns({"event_type": F.lit("EV_RETURN_SHOCK"), "event_strength": F.abs("_z")})
     )
     fired = fired.withColumn("event_id", event_id("symbol", "timeframe", F.col("event_type"), "ts_open_ms"))
-    return build_leaderboard(outcome_rows(fired, ("event_strength",)))
+    return outcome_rows(fired, ("event_strength",))

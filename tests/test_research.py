@@ -185,7 +185,9 @@ def test_fees(spark):
 
 
 @pytest.mark.parametrize("block", [3, 1000])
-def test_path_summary(spark, block):
+@pytest.mark.parametrize("group", [2, 4096])
+def test_path_summary(spark, block, group, monkeypatch):
+    monkeypatch.setattr(trades, "_GROUP", group)
     rng = np.random.default_rng(9)
     r = rng.normal(0, 5, 40)
     df = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(r)], "strategy_id string, i long, r double").repartition(3)

@@ -84,9 +84,9 @@ def test_match_waits_for_partner(spark, tmp_path):
 
 def test_repeats_are_dropped(spark, tmp_path):
     schema = "exchange string, symbol string, ts_settle_ms long"
-    parts = [spark.createDataFrame([("x", "A", h * HOUR_MS) for h in hours], schema) for hours in ((0, 8, 8), (8, 16))]
+    parts = [spark.createDataFrame([("x", "A", h * HOUR_MS) for h in hours], schema) for hours in ((96, 104, 104), (104, 112))]
     got = st.run_available(spark, st.stream_drop_repeats(feed(spark, str(tmp_path / "in"), parts)))
-    assert sorted(r.ts_settle_ms // HOUR_MS for r in got.collect()) == [0, 8, 16]
+    assert sorted(r.ts_settle_ms // HOUR_MS for r in got.collect()) == [96, 104, 112]
 
 
 def test_daily_summary(spark, tmp_path):

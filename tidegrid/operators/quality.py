@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import bars_per
-from tidegrid.functions.segments import cut, with_row_index
+from tidegrid.functions.segments import cut, running, with_row_index
 from tidegrid.params import DAY_MS, FUNDING_INTERVAL_MS, MINUTE_MS, SERIES_KEYS, SegmentParams
 
 INSTRUMENT = ("exchange", "symbol")
@@ -24,17 +24,17 @@ def rank_mismatches(
 ) -> DataFrame:
     """Per series: rows whose stored position differs in time from the sorted position.
 
-    Both orders are numbered bucket by bucket and compared position by position.
+    Sorted, the copies of a time fill one stretch of positions, so a row is in place when its
+    stored position lies in the stretch of its time.  Copies collapse to a count before the
+    shuffle; nothing is sorted but the distinct times of a bucket.
     """
     keys = list(keys)
     stored = with_row_index(df.select(*keys, ts, *physical), keys, list(physical), physical_bucket, out="_at")
-    in_order = with_row_index(df.select(*keys, ts), keys, [ts], sorted_bucket, out="_at")
-    left = stored.select(*keys, "_at", F.col(ts).alias("_stored"))
-    right = in_order.select(*keys, "_at", F.col(ts).alias("_sorted"))
+    copies = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_copies"))
+    ends = running(copies, keys, ts, sorted_bucket, {"_end": ("sum", F.col("_copies"))})
+    placed = (F.col("_at") >= F.col("_end") - F.col("_copies")) & (F.col("_at") < F.col("_end"))
     return (
-        left.join(right, [*keys, "_at"])
-        .groupBy(*keys)
-        .agg(F.count_if(F.col("_stored") != F.col("_sorted")).alias("out_of_order_rows"))
+        stored.join(ends, [*keys, ts]).groupBy(*keys).agg(F.count_if(~placed).alias("out_of_order_rows"))
     )
 
 

@@ -101,6 +101,9 @@ def latched_stop(
 # ---- compounding paths --------------------------------------------------------------------------
 
 
+_GROUP = 4096
+
+
 def block_of_path(returns: Column) -> Column:
     """Summary of a stretch of percent returns, relative to its start.
 
@@ -129,6 +132,22 @@ def block_of_path(returns: Column) -> Column:
     return F.aggregate(returns, zero, step)
 
 
+def merge_blocks(blocks: Column) -> Column:
+    """Fold summaries of neighbouring stretches, in order, to the summary of all of them."""
+    first, rest = F.element_at(blocks, 1), F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
+
+    def step(a: Column, b: Column) -> Column:
+        fall = F.when(a["high"] > 0, 1.0 - a["growth"] * b["low"] / a["high"]).otherwise(F.lit(0.0))
+        return F.struct(
+            (a["growth"] * b["growth"]).alias("growth"),
+            F.least(a["low"], a["growth"] * b["low"]).alias("low"),
+            F.greatest(a["high"], a["growth"] * b["high"]).alias("high"),
+            F.greatest(a["drop"], b["drop"], fall).alias("drop"),
+        )
+
+    return F.aggregate(rest, first, step)
+
+
 def join_blocks(blocks: Column, start: float) -> Column:
     """Fold block summaries in order to (final equity, deepest drawdown in percent).
 
@@ -165,18 +184,20 @@ def path_summary(
 ) -> DataFrame:
     """Final equity and deepest drawdown of compounding paths, one row per ``keys``.
 
-    ``block`` cuts a path into stretches in ``order``; stretches are folded on their own, and
-    only one summary per stretch meets the others.
+    ``block`` numbers the stretches of a path in ``order``.  Stretches are folded on their
+    own, then groups of stretches, then the groups: no task holds more than one stretch, one
+    group, or one summary per group.
     """
     keys = list(keys)
     stretch = rows.groupBy(*keys, block.alias("_block")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("r")))).alias("_rows")
     )
     blocks = stretch.select(*keys, "_block", block_of_path(F.transform("_rows", lambda x: x["r"])).alias("_sum"))
-    whole = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_sum"))).alias("_all"))
-    return whole.select(
-        *keys, join_blocks(F.transform("_all", lambda x: x["_sum"]), start).alias("_path")
-    ).select(*keys, "_path.*")
+    group = F.floor(F.col("_block") / F.lit(_GROUP))
+    ordered = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "_sum"))), lambda x: x["_sum"])
+    groups = blocks.groupBy(*keys, group.alias("_group")).agg(merge_blocks(ordered("_block")).alias("_sum"))
+    whole = groups.groupBy(*keys).agg(ordered("_group").alias("_all"))
+    return whole.select(*keys, join_blocks(F.col("_all"), start).alias("_path")).select(*keys, "_path.*")
 
 
 # ---- reports on trades ------------------------------------------------------------------------------

@@ -225,9 +225,10 @@ def json_leaves(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def label_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """``Label: value`` lines of whole documents."""
+    """``Label: value`` lines of whole documents, whose sentence ends are turned to colons."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    return runs.parse_run_text(d.select("doc_id", "text"), ("doc_id",)).withColumn("pos", F.col("pos").cast("long"))
+    d = d.select("doc_id", F.replace("text", F.lit(". "), F.lit(": ")).alias("text"))
+    return runs.parse_run_text(d, ("doc_id",)).withColumn("pos", F.col("pos").cast("long"))
 
 
 # ---- dedup, projections, filters ---------------------------------------------------------------------

@@ -250,7 +250,7 @@ add("series_inventory", f"{bars('1h', '5m')}, {OI}", """select 'bars' as kind, e
 add("funding_csv_rows", f"{TICK}, {FUNDING}", f"""select strftime(make_timestamp(ts_settle_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as timestamp_utc, symbol,
   {r('funding_rate', digits=12)} from f""")
 add("json_leaves", "x as (select 1)", "select event_id, 'k' as path, json_extract_string(props, '$.k') as value from events")
-add("label_lines", f"""l as (select doc_id, u.line, u.pos - 1 as pos from (select doc_id, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) as a
+add("label_lines", f"""l as (select doc_id, u.line, u.pos - 1 as pos from (select doc_id, string_split(regexp_replace(replace(text, '. ', ': '), '\\r\\n|\\r', chr(10), 'g'), chr(10)) as a
   from documents) d, unnest(d.a) with ordinality as u(line, pos)), t as (select doc_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as line from l)""",
   f"""select doc_id, lower(trim(regexp_extract(line, '{LABEL_LINE}', 1))) as path, trim(regexp_extract(line, '{LABEL_LINE}', 2)) as value, pos
   from t where regexp_matches(line, '{LABEL_LINE}')""")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import cut_lineage
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -19,6 +21,7 @@ def exact_quantiles(
     wanted: dict[str, tuple[str, float]],
     aggs: Sequence[Column] = (),
     accuracy: int = 20_000,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per group: keys, the plain aggregates ``aggs``, and ``{name: (column, p)}``
     as linearly interpolated quantiles, null where a group has no value.
@@ -26,6 +29,10 @@ def exact_quantiles(
     The input is read twice.  The bracket is eight times as wide as the rank error the
     sketch states; should a position fall outside, the query fails rather than return a
     wrong value.  Keys must not be null.
+
+    With ``stored`` the brackets become a table first.  Their size is then known when the
+    second pass is planned: if they are small they travel to the values, which are not
+    shuffled at all; if not, both sides are joined by key.
     """
     keys, extra = list(keys), [f"_agg{i}" for i in range(len(aggs))]
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
@@ -64,9 +71,11 @@ def exact_quantiles(
             F.array(*[F.struct(F.lit(n).alias("_name"), F.col(c).cast("double").alias("_v")) for n, (c, _) in wanted.items()])
         ),
     )
-    # The brackets are a few rows per group, so the join moves them to the values when they
-    # fit and adaptive execution splits a skewed group when they do not.  What lies below a
-    # bracket, and what is missing, collapses to one counter before the shuffle.
+    if stored:
+        brackets = cut_lineage(brackets)
+    # A skewed group is split by adaptive execution, the brackets being few rows per group.
+    # What lies below a bracket, and what is missing, collapses to one counter before the
+    # shuffle.
     inside = values.join(brackets, [*keys, "_name"]).filter(F.col("_v").isNull() | (F.col("_v") <= F.col("_b.hi")))
     counted = inside.groupBy(*keys, "_agg", "_b", F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_x")).agg(
         F.count("_v").alias("_c")
@@ -94,7 +103,7 @@ def exact_quantiles(
 
 
 def exact_medians(
-    df: DataFrame, keys: Sequence[str], columns: dict[str, str], aggs: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], columns: dict[str, str], aggs: Sequence[Column] = (), stored: bool = False
 ) -> DataFrame:
     """Medians of several columns, ``{source: name}``, next to plain aggregates."""
-    return exact_quantiles(df, keys, {name: (src, 0.5) for src, name in columns.items()}, aggs)
+    return exact_quantiles(df, keys, {name: (src, 0.5) for src, name in columns.items()}, aggs, stored=stored)

@@ -19,8 +19,15 @@ def _named(col: Column | str) -> Column:
 
 
 def ntz_to_ms(name: str) -> Column:
-    """Milliseconds of a zone-less timestamp column that holds UTC."""
-    return F.expr(f"timestampdiff(MILLISECOND, {_EPOCH}, `{name}`)")
+    """Milliseconds of a zone-less timestamp column that holds UTC.
+
+    Put together from its fields: a difference of timestamps would go through the session's
+    time zone and its clock changes.
+    """
+    ts = F.col(name)
+    day = F.unix_date(F.to_date(ts)).cast("long") * F.lit(DAY_MS)
+    clock = (F.hour(ts) * 60 + F.minute(ts)).cast("long") * F.lit(MINUTE_MS)
+    return day + clock + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
 
 
 def ms_to_ntz(ms: Column | str) -> Column:

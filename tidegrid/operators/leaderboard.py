@@ -51,6 +51,7 @@ def build_leaderboard(outcomes: DataFrame, events: DataFrame | None = None) -> D
         CELL,
         {"forward_return_pct": "median_forward_return", "mfe_pct": "median_mfe", "mae_pct": "median_mae"},
         moments,
+        stored=True,
     )
     if events is not None:
         cells = cells.join(mean_strength(events), [*SERIES_KEYS, "event_type"], "left")

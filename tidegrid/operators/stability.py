@@ -159,6 +159,12 @@ def _draw(seed: int):
     return run
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by key into the session's number of partitions.  Little data stands for much
+    work here, so partitions must not be merged for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def permutation_test(
     cells: DataFrame,
     universe: DataFrame,
@@ -202,13 +208,16 @@ def permutation_test(
     )
     key_schema = ", ".join(f"{c} string" for c in CELL) + ", n_complete long, obs_mean double"
     allocated = (
-        planned.groupBy(*CELL, "_block")
+        _spread(planned, *CELL, "_block")
+        .groupBy(*CELL, "_block")
         .applyInPandas(_allocate(p.seed), f"{key_schema}, _block long, _seg long, _counts array<long>")
         .select(*CELL, "n_complete", "obs_mean", F.col("_block").alias("block"), F.col("_seg").alias("seg"), F.col("_counts").alias("counts"))
     )
+    where = [*horizon_key, "_seg"]
     drawn = (
-        values.groupBy(*horizon_key, "_seg")
-        .cogroup(allocated.withColumn("_seg", F.col("seg")).groupBy(*horizon_key, "_seg"))
+        _spread(values, *where)
+        .groupBy(*where)
+        .cogroup(_spread(allocated.withColumn("_seg", F.col("seg")), *where).groupBy(*where))
         .applyInPandas(_draw(p.seed), f"{key_schema}, _perm long, _sum double")
     )
     means = drawn.groupBy(*CELL, "_perm", "n_complete", "obs_mean").agg(F.sum("_sum").alias("_sum"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,9 @@ from tidegrid.functions.scalars import (
     month_start_ms,
     ms_to_date,
     ms_to_iso,
+    ms_to_ntz,
     ntz_to_ms,
     short_event,
-    timeframe_ms,
 )
 from tidegrid.functions.segments import cut, ensure_index
 from tidegrid.operators import events as ev
@@ -38,9 +39,11 @@ from tidegrid.params import (
     StudyParams,
 )
 from tidegrid.plans.event_study import Study, run_study, shock_outcomes
-from tidegrid.session import cut_lineage
+from tidegrid.session import cut_lineage, shared_folder
+from tidegrid.sources import archives as ar
 from tidegrid.sources import ticks as tk
-from tidegrid.sources.tables import clip_window, funding_export
+from tidegrid.sources.schemas import KLINE_FIELDS
+from tidegrid.sources.tables import clip_window, funding_export, read_series, write_report_csv, write_table
 from tidegrid.streaming import streams as st
 
 # Cells of the driver's tables are small, hence lower thresholds than the defaults.
@@ -231,6 +234,185 @@ def label_lines(spark: SparkSession, sf: str) -> DataFrame:
     return runs.parse_run_text(d, ("doc_id",)).withColumn("pos", F.col("pos").cast("long"))
 
 
+# ---- raw archives ------------------------------------------------------------------------------------
+# The bars of the events are written in the layout of an archive and read back by its reader.
+
+
+def _landed(df: DataFrame, *levels: str, header: bool = False, compression: str | None = None, as_text: bool = True) -> str:
+    """Write files below folders named by ``levels``; the place of the archive."""
+    path = f"{shared_folder(df.sparkSession)}/archive-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*levels) if levels else df.write
+    if compression:
+        writer = writer.option("compression", compression)
+    if as_text:
+        writer.text(path)
+    else:
+        writer.option("header", header).option("emptyValue", "").csv(path)
+    return path
+
+
+def _line(*cols: Column | str) -> Column:
+    """A CSV line; missing cells are blank."""
+    return F.concat_ws(",", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]).alias("value")
+
+
+def _kline_line() -> Column:
+    names = ["ts_open_ms", "open", "high", "low", "close", "volume_base", "ts_close_ms", "volume_quote", "trades", "taker_buy_base", "taker_buy_quote"]
+    return _line(*names, F.lit("0"))
+
+
+@query
+def archive_klines(spark: SparkSession, sf: str) -> DataFrame:
+    """Kline files per symbol and timeframe; bars with an odd number of trades also leave a
+    line that is cut off, which the reader drops."""
+    _, b = market(spark, sf)
+    cut_off = b.filter(F.col("trades") % 2 == 1).select("symbol", "timeframe", F.col("ts_open_ms").cast("string").alias("value"))
+    path = _landed(b.select("symbol", "timeframe", _kline_line()).unionByName(cut_off), "symbol", "timeframe")
+    return tidy(ar.read_klines(spark, path, exchange=tk.EXCHANGE).drop(*ar.PHYSICAL))
+
+
+@query
+def archive_funding(spark: SparkSession, sf: str) -> DataFrame:
+    f = tk.funding_from_ticks(tk.read_ticks(spark, sf))
+    path = _landed(f.select("symbol", _line("ts_settle_ms", F.lit("8.0"), "funding_rate")), "symbol")
+    return tidy(ar.read_funding(spark, path, exchange=tk.EXCHANGE).drop(*ar.PHYSICAL, "predicted_funding_rate"), 12)
+
+
+@query
+def archive_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Open interest files; a mean of whole hundreds leaves a blank cell."""
+    oi = tk.oi_from_ticks(tk.read_ticks(spark, sf))
+    when = F.date_format(ms_to_ntz("ts_ms"), "yyyy-MM-dd HH:mm:ss")
+    base = F.when(F.col("oi_base") % 5 != 0, F.col("oi_base"))
+    line = _line(when, "symbol", base, "oi_value_quote", F.lit("1.5"), "top_trader_position_ratio", "long_short_account_ratio", "taker_long_short_vol_ratio")
+    path = _landed(oi.select(line))
+    return tidy(ar.read_oi_metrics(spark, path, exchange=tk.EXCHANGE).drop(*ar.PHYSICAL), 8)
+
+
+@query
+def archive_mark_klines(spark: SparkSession, sf: str) -> DataFrame:
+    _, b = market(spark, sf)
+    path = _landed(b.select("symbol", "timeframe", _kline_line()), "symbol", "timeframe")
+    return tidy(ar.read_price_klines(spark, path, "mark", exchange=tk.EXCHANGE).drop(*ar.PHYSICAL))
+
+
+@query
+def normalized_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Tier-1 rows from archive files with a header."""
+    _, b = market(spark, sf)
+    names = dict(zip(["ts_open_ms", "open", "high", "low", "close", "volume_base", "ts_close_ms", "volume_quote", "trades", "taker_buy_base", "taker_buy_quote"], KLINE_FIELDS, strict=False))
+    raw = b.select("symbol", *[F.col(c).alias(n) for c, n in names.items()], F.lit(0).alias("ignore"))
+    path = _landed(raw, "symbol", header=True, as_text=False)
+    out = ar.normalize_archive(spark, path, "um_klines_1m", "now").drop("source")
+    numbers = ["open", "high", "low", "close", "volume_base", "volume_quote", "taker_buy_base", "taker_buy_quote"]
+    return tidy(out.withColumns({**{c: F.col(c).cast("double") for c in numbers}, "trade_count": F.col("trade_count").cast("long")}))
+
+
+def _payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON payload per symbol and day; bars with more than four trades lack a field."""
+    _, b = market(spark, sf)
+    cells = [F.col(c).cast("string") for c in ("ts_open_ms", "open", "high", "low", "close", "volume_base", "ts_close_ms", "volume_quote", "trades", "taker_buy_base", "taker_buy_quote")]
+    row = F.when(F.col("trades") > 4, F.array(*cells)).otherwise(F.array(*cells, F.lit("0")))
+    day = F.floor(F.col("ts_open_ms") / F.lit(DAY_MS))
+    return b.groupBy("symbol", day.alias("day")).agg(F.to_json(F.collect_list(row)).alias("body")).select(
+        "symbol", F.col("day").cast("string").alias("source"), "body"
+    )
+
+
+@query
+def normalized_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    good, _ = ar.normalize_rest(_payloads(spark, sf), "mark_price_klines", "now")
+    return tidy(good.withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close")}))
+
+
+@query
+def quarantined_payload_rows(spark: SparkSession, sf: str) -> DataFrame:
+    _, bad = ar.normalize_rest(_payloads(spark, sf), "mark_price_klines", "now")
+    return bad.groupBy("symbol", "source").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def tier1_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Zipped tier-1 files per symbol, read by column name and checked row by row."""
+    m = minutes(spark, sf)
+    iso, end = ms_to_iso("ts_open_ms"), ms_to_iso(F.col("ts_open_ms") + F.when(F.col("k") == 3, F.lit(60000)).otherwise(F.lit(59999)))
+    row = m.select(
+        F.col("symbol").alias("folder"),
+        F.when(F.col("k") == 4, F.lit("?")).otherwise(iso).alias("timestamp_open_utc"),
+        end.alias("timestamp_close_utc"),
+        F.when(F.col("k") == 2, F.lit("other")).otherwise(F.col("symbol")).alias("symbol"),
+        *[F.col("value").alias(c) for c in ("open", "high", "low", "close")],
+        F.lit("s").alias("source"),
+        F.lit("now").alias("ingested_at_utc"),
+    ).withColumnRenamed("folder", "folder_symbol")
+    path = _landed(row, "folder_symbol", header=True, compression="gzip", as_text=False)
+    read = ar.read_tier1(spark, path, "mark_price_klines", folder="folder_symbol")
+    checked = pit.row_checks(ar.audit_rows(read, "mark_price_klines"), list(ar.PHYSICAL), ar.physical_bucket())
+    # Which copy of a time comes first depends on the files, so order errors are left out.
+    errors = pit.row_errors(checked).filter(~F.col("check_id").isin("PIT_MONOTONIC"))
+    return errors.groupBy("dataset_id", "symbol", "check_id", "error_type").agg(F.count(F.lit(1)).alias("errors"))
+
+
+@query
+def schema_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers of tier-1 files of two datasets, checked against the layout of one."""
+    f = tk.funding_from_ticks(tk.read_ticks(spark, sf))
+    rows = f.select(
+        "symbol", ms_to_iso("ts_settle_ms").alias("timestamp_utc"), F.col("symbol").alias("symbol_name"), "funding_rate",
+        F.lit("").alias("mark_price_at_funding"), F.lit("s").alias("source"), F.lit("n").alias("ingested_at_utc"),
+    )
+    path = _landed(rows.withColumnRenamed("symbol", "folder"), "folder", header=True, as_text=False)
+    report = ar.schema_report(spark, path, "funding_rate_history")
+    return report.groupBy("schema_ok", "observed_schema_fields").agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+@query
+def custom_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a funding feed with bad lines: a short one for k = 0, no number for k = 1."""
+    t = tk.read_ticks(spark, sf)
+    k = F.col("k")
+    rate = F.when(k == 1, F.lit("x")).otherwise((F.col("value") / 1000.0).cast("string"))
+    line = F.when(k == 0, _line("symbol", "ts_ms")).otherwise(_line(ms_to_iso("ts_ms"), "symbol", rate, F.when(k % 2 == 0, k), F.lit("s"), F.lit("i")))
+    path = _landed(t.select(line.alias("value")))
+    good, bad, _ = ar.read_custom_feed(spark, path, "funding")
+    counted = good.groupBy(F.col("source_symbol").alias("feed")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("funding_rate").alias("rate"), F.sum("mark_price_at_funding").alias("mark")
+    )
+    errors = bad.groupBy(F.concat(F.lit("bad:"), "reason").alias("feed")).agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(None).cast("double").alias("rate"), F.lit(None).cast("double").alias("mark")
+    )
+    return tidy(counted.unionByName(errors))
+
+
+@query
+def checksummed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of all files of an archive; every file has a hash."""
+    _, b = market(spark, sf)
+    path = _landed(b.select("symbol", "timeframe", _line("ts_open_ms", "trades")), "symbol", "timeframe")
+    files = ar.file_checksums(spark, path).filter(F.col("local_path").endswith(".txt"))
+    return files.agg(F.sum("bytes").alias("bytes"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
+
+
+@query
+def report_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A report written with a fixed column order and read back."""
+    flags = pit.availability(sources(spark, sf), funding_times(spark, sf), GAPS_MS)
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    write_report_csv(flags, path, ["timestamp_utc", "symbol", "has_all_price_state", "no_signal_required", "notes"])
+    back = spark.read.schema("timestamp_utc string, symbol string, has_all_price_state string, no_signal_required string, notes string")
+    return back.option("header", True).csv(path).withColumn("notes", F.coalesce("notes", F.lit("")))
+
+
+@query
+def stored_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Two writes of a table, the second of one symbol only; then a pruned, clipped read."""
+    _, b = market(spark, sf)
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    write_table(b.select(*SERIES_KEYS, "ts_open_ms", "close"), root, "bars")
+    write_table(b.filter(F.col("symbol") == PAIR[0]).select(*SERIES_KEYS, "ts_open_ms", (F.col("close") * 2).alias("close")), root, "bars")
+    return tidy(clip_window(read_series(spark, root, "bars"), "ts_open_ms", *CLIP))
+
+
 # ---- dedup, projections, filters ---------------------------------------------------------------------
 
 

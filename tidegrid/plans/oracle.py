@@ -255,6 +255,33 @@ add("label_lines", f"""l as (select doc_id, u.line, u.pos - 1 as pos from (selec
   f"""select doc_id, lower(trim(regexp_extract(line, '{LABEL_LINE}', 1))) as path, trim(regexp_extract(line, '{LABEL_LINE}', 2)) as value, pos
   from t where regexp_matches(line, '{LABEL_LINE}')""")
 
+# ---- raw archives ------------------------------------------------------------------------------------
+
+add("archive_klines", bars("1h"), "select exchange, symbol, timeframe, ts_open_ms, ts_close_ms, trades, " + rs(_SUMS, 4) + ", " + rs("open high low close") + " from b")
+add("archive_funding", f"{TICK}, {FUNDING}", f"select exchange, symbol, ts_settle_ms, {r('funding_rate', digits=12)}, funding_interval_ms from f")
+add("archive_metrics", f"{TICK}, {OI}", f"""select exchange, symbol, ts_ms, {r('case when fmod(oi_base, 5) <> 0 then oi_base end', 'oi_base', 8)},
+  {rs('oi_value_quote long_short_account_ratio top_trader_position_ratio taker_long_short_vol_ratio', 8)}, 1.5::double as top_trader_account_ratio from oi""")
+add("archive_mark_klines", bars("1h"), f"select exchange, symbol, timeframe, ts_open_ms, ts_close_ms, {r('close', 'mark_close')} from b")
+_ISO = lambda x: f"strftime(make_timestamp(({x}) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')"
+add("normalized_archive", bars("1h"), f"""select {_ISO('ts_open_ms')} as timestamp_open_utc, {_ISO('ts_close_ms')} as timestamp_close_utc, symbol, {rs('open high low close')},
+  {rs(_SUMS, 4)}, trades as trade_count, 'now' as ingested_at_utc from b""")
+add("normalized_payloads", bars("1h"), f"""select {_ISO('ts_open_ms')} as timestamp_open_utc, {_ISO('ts_close_ms')} as timestamp_close_utc, symbol, {rs('open high low close')},
+  cast(ts_open_ms // 86400000 as varchar) as source, 'now' as ingested_at_utc from b where trades <= 4""")
+add("quarantined_payload_rows", bars("1h"), """select symbol, cast(ts_open_ms // 86400000 as varchar) as source, count(*) as rows from b where trades > 4
+  group by symbol, ts_open_ms // 86400000""")
+add("tier1_audit", f"""{MINUTE}, d as (select symbol, count(*) - count(distinct ts_open_ms) as n from m where k <> 4 group by symbol)""", """select 'mark_price_klines' as dataset_id, * from (
+  select symbol, 'PIT_SYMBOL' as check_id, 'SYMBOL_MISMATCH' as error_type, count(*) as errors from m where k = 2 group by symbol union all
+  select symbol, 'PIT_COMPLETED_1M_BAR', 'CLOSE_TIME_FAIL', count(*) from m where k = 3 group by symbol union all
+  select symbol, 'PIT_SOURCE_TIMESTAMP', 'TIMESTAMP_PARSE_FAIL', count(*) from m where k = 4 group by symbol union all
+  select symbol, 'PIT_DUPLICATE', 'DUPLICATE_TIMESTAMP', n from d where n > 0)""")
+add("schema_check", "x as (select 1)", """select false as schema_ok, 'timestamp_utc,symbol_name,funding_rate,mark_price_at_funding,source,ingested_at_utc' as observed_schema_fields, true as found""")
+add("custom_feed", TICK, f"""select symbol as feed, count(*) as rows, {r('sum(value / 1000)', 'rate')}, {r('sum(case when k % 2 = 0 then k else 0 end)', 'mark')} from tick
+  where k > 1 group by symbol union all select 'bad:column_count', count(*), null, null from tick where k = 0 having count(*) > 0
+  union all select 'bad:parse_error', count(*), null, null from tick where k = 1 having count(*) > 0""")
+add("checksummed_files", bars("1h"), "select cast(sum(length(ts_open_ms || ',' || trades) + 1) as bigint) as bytes, true as hashed from b")
+add("stored_series", bars("1h"), f"""select exchange, symbol, timeframe, ts_open_ms, {r(f"case when symbol = '{PAIR[0]}' then close * 2 else close end", 'close')} from b
+  where ts_open_ms between {CLIP[0]} and {CLIP[1]}""")
+
 # ---- dedup, projections ----------------------------------------------------------------------------------
 
 add("dedupe_first", MINUTE, f"""select exchange, symbol, timeframe, ts_open_ms, event_id, cast(k as bigint) as k, {r('value')} from m
@@ -429,6 +456,8 @@ _SRC = f"""{MINUTE}, {FUNDING}, pr as (select symbol, ts_open_ms as ts_ms, bool_
   fm as materialized (select ts_ms - ts_ms % 300000 as bar_5m_ms, symbol, count(*) filter (has_um_klines) as a, count(*) filter (has_premium_index) as b,
     count(*) filter (has_mark_price) as c, count(*) filter (has_index_price) as d from av group by all)"""
 add("availability_flags", _SRC, "select * from av")
+add("report_csv", _SRC, """select timestamp_utc, symbol, upper(cast(has_all_price_state as varchar)) as has_all_price_state,
+  upper(cast(no_signal_required as varchar)) as no_signal_required, notes from av""")
 add("five_minute_dependency", _SRC, f"""select bar_5m_ms, {_ISO('bar_5m_ms')} as bar_5m_timestamp_utc, symbol, cast(5 as bigint) as required_1m_rows,
   a as available_1m_rows_um_klines, b as available_1m_rows_premium, c as available_1m_rows_mark, d as available_1m_rows_index,
   least(a, b, c, d) = 5 as complete_for_price_state_features, least(a, b, c, d) <> 5 as no_signal_required,

@@ -221,14 +221,17 @@ def schema_report(spark: SparkSession, path: str, dataset: str, exact: bool = Tr
     )
 
 
-def read_tier1(spark: SparkSession, path: str, dataset: str, headers: DataFrame | None = None) -> DataFrame:
-    """Rows of tier-1 files, by column name.  Files that lack a column are left out; they are
+def read_tier1(
+    spark: SparkSession, path: str, dataset: str, headers: DataFrame | None = None, folder: str = "symbol"
+) -> DataFrame:
+    """Rows of tier-1 files, by column name; ``folder`` is the level that names the symbol.
+     Files that lack a column are left out; they are
     the rows of ``schema_report`` that are not ok.  A gz file is read by one task."""
     wanted = TIER1[dataset]
     headers = headers if headers is not None else file_headers(spark, path)
     names = F.split("header", ",")
     usable = headers.withColumn("_names", names).filter(F.size(F.array_except(F.lit(list(wanted)), F.col("_names"))) == 0)
-    rows = _lines(spark, path).withColumnRenamed("symbol", "_folder")
+    rows = _lines(spark, path).withColumnRenamed(folder, "_folder")
     joined = rows.join(usable, "file_path").filter(F.col("value") != F.col("header"))
     # split() keeps blank cells at the end, so positions hold.
     cells = F.split("value", ",", -1)

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.functions.scalars import ntz_to_ms, timeframe_ms
-from tidegrid.params import FUNDING_INTERVAL_MS
+from tidegrid.functions.scalars import ntz_to_ms
+from tidegrid.params import DAY_MS, FUNDING_INTERVAL_MS, HOUR_MS, MINUTE_MS
 
 EXCHANGE = "sim"
 OI_STEP_MS = 300_000
@@ -32,18 +32,31 @@ def _bucket(ts: Column, width: Column) -> Column:
     return F.floor(ts / width) * width
 
 
+_UNIT_MS = {"m": MINUTE_MS, "h": HOUR_MS, "d": DAY_MS}
+
+
 def bars_from_ticks(ticks: DataFrame, timeframes: tuple[str, ...] = ("1h",)) -> DataFrame:
     """OHLCV bars.  All timeframes come from one pass; partial aggregation runs before the
-    shuffle, so a symbol with most of the ticks costs no more than its number of bars."""
-    wide = ticks.withColumn("timeframe", F.explode(F.array(*[F.lit(t) for t in timeframes])))
-    width = timeframe_ms("timeframe")
-    when = F.struct("ts_ms", "event_id")
+    shuffle, so a symbol with most of the ticks costs no more than its number of bars.
+
+    First and last are by time, then id.  The order is one number, so that the aggregate can
+    hash: a struct as order would make it sort all ticks first.
+    """
+    frames = F.array(
+        *[F.struct(F.lit(t).alias("timeframe"), F.lit(int(t[:-1]) * _UNIT_MS[t[-1]]).cast("long").alias("_w")) for t in timeframes]
+    )
+    wide = ticks.select("*", F.inline(frames))
+    width = F.col("_w")
+    start = _bucket(F.col("ts_ms"), width)
+    place = (F.col("ts_ms") - start).cast("decimal(9,0)") * F.lit(str(10**19)).cast("decimal(20,0)")
+    when = (place + F.col("event_id").cast("decimal(19,0)")).cast("decimal(29,0)")
+    wide = wide.withColumns({"ts_open_ms": start, "_when": when})
     buy = F.col("k") % 2 == 0
-    bars = wide.groupBy("exchange", "symbol", "timeframe", _bucket(F.col("ts_ms"), width).alias("ts_open_ms")).agg(
-        F.min_by("px", when).alias("open"),
+    bars = wide.groupBy("exchange", "symbol", "timeframe", "_w", "ts_open_ms").agg(
+        F.min_by("px", "_when").alias("open"),
         F.max("px").alias("high"),
         F.min("px").alias("low"),
-        F.max_by("px", when).alias("close"),
+        F.max_by("px", "_when").alias("close"),
         F.sum("value").alias("volume_base"),
         F.sum(F.col("value") * F.col("px")).alias("volume_quote"),
         F.count(F.lit(1)).alias("trades"),
@@ -51,7 +64,7 @@ def bars_from_ticks(ticks: DataFrame, timeframes: tuple[str, ...] = ("1h",)) ->
         F.coalesce(F.sum(F.when(buy, F.col("value") * F.col("px"))), F.lit(0.0)).alias("taker_buy_quote"),
         F.avg("px").alias("mean_px"),
     )
-    return bars.withColumn("ts_close_ms", F.col("ts_open_ms") + width - 1)
+    return bars.withColumn("ts_close_ms", F.col("ts_open_ms") + width - 1).drop("_w")
 
 
 def mark_from_bars(bars: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ fewer rows than the series has.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,12 +73,18 @@ class Segments:
     order: str
     idx: str
     rows: int
+    # Window objects made so far; building one takes several calls into the JVM.
+    _made: dict = field(default_factory=dict, compare=False, repr=False)
 
     def window(self):
-        return Window.partitionBy(*self.keys, _SEG).orderBy(self.order)
+        if None not in self._made:
+            self._made[None] = Window.partitionBy(*self.keys, _SEG).orderBy(self.order)
+        return self._made[None]
 
     def frame(self, first: int, last: int):
-        return self.window().rowsBetween(first, last)
+        if (first, last) not in self._made:
+            self._made[first, last] = self.window().rowsBetween(first, last)
+        return self._made[first, last]
 
     def over(self, first: int | None = None, last: int = 0) -> str:
         """The window, or a frame of it, as SQL text."""

@@ -88,15 +88,16 @@ def funding_window_flags(p: FeatureParams = FeatureParams()) -> dict[str, Column
 # ---- frames of a few rows, in the JVM ----------------------------------------------------
 
 
-def full_frame(value: Column, statistic: Column, frame, rows: int) -> Column:
-    """``statistic`` only where all ``rows`` values of the frame are present."""
-    return F.when(F.count(value).over(frame) >= rows, statistic)
+def full_frame(value: str, statistic: str, seg: Segments, rows: int) -> Column:
+    """``statistic`` over the last ``rows`` rows, only where all of them have a value."""
+    frame = seg.over(-(rows - 1), 0)
+    return F.expr(f"CASE WHEN count({value}) {frame} >= {rows} THEN {statistic} {frame} END")
 
 
 def zscore(name: str, seg: Segments, rows: int) -> Column:
-    x, frame = F.col(name), seg.frame(-(rows - 1), 0)
-    z = (x - F.avg(x).over(frame)) / F.nullif(F.stddev_samp(x).over(frame), F.lit(0.0))
-    return full_frame(x, z, frame, rows)
+    frame = seg.over(-(rows - 1), 0)
+    z = f"({name} - avg({name}) {frame}) / nullif(stddev_samp({name}) {frame}, 0D)"
+    return F.expr(f"CASE WHEN count({name}) {frame} >= {rows} THEN {z} END")
 
 
 def lag_by_span(name: str, seg: Segments, span_ms: int, timeframes: tuple[str, ...]) -> Column:
@@ -131,18 +132,10 @@ def narrow_features(seg: Segments, p: FeatureParams, timeframes: tuple[str, ...]
             **funding_window_flags(p),
         }
     )
-    ret, slope_frame = F.col("ret_1"), seg.frame(-(p.slope - 1), 0)
     seg = seg.with_columns(
         {
-            "vol_close_to_close_24": full_frame(
-                ret, F.stddev_samp(ret).over(seg.frame(-(p.vol - 1), 0)), seg.frame(-(p.vol - 1), 0), p.vol
-            ),
-            "slope_ret_24": full_frame(
-                F.col("_log_close"),
-                F.regr_slope("_log_close", F.col(seg.idx).cast("double")).over(slope_frame),
-                slope_frame,
-                p.slope,
-            ),
+            "vol_close_to_close_24": full_frame("ret_1", "stddev_samp(ret_1)", seg, p.vol),
+            "slope_ret_24": full_frame("_log_close", f"regr_slope(_log_close, double({seg.idx}))", seg, p.slope),
             "vol_zscore_24": zscore("ret_1", seg, p.zscore),
             "taker_quote_zscore_24": zscore("taker_buy_quote", seg, p.zscore),
             "basis_zscore_24": zscore("basis_bp", seg, p.zscore),

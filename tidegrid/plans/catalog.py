@@ -62,7 +62,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
-SUMS = ("volume_base", "volume_quote", "taker_buy_base", "taker_buy_quote")
+# Digits of columns that need other ones than the rest: large sums, and tiny rates.
+DIGITS = {
+    **dict.fromkeys(("volume_base", "volume_quote", "taker_buy_base", "taker_buy_quote"), 4),
+    **dict.fromkeys(("funding_rate", "funding_rate_ffill"), 12),
+}
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -71,7 +75,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     def one(name: str, kind: str) -> Column:
         c = F.col(name)
         if kind in ("double", "float"):
-            return (F.round(c, 4 if name in SUMS else digits) + F.lit(0.0)).alias(name)
+            return (F.round(c, DIGITS.get(name, digits)) + F.lit(0.0)).alias(name)
         if kind in ("byte", "short", "integer"):
             return c.cast("long").alias(name)
         return c

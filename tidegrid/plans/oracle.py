@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from tidegrid.operators.runs import LABEL_LINE, METRIC_ALIASES, PRIMARY_FILES, SECONDARY_FILES
 from tidegrid.params import EVENT_TYPES
-from tidegrid.plans.catalog import CLIP, GAPS_MS, PAIR
+from tidegrid.plans.catalog import CLIP, DIGITS, GAPS_MS, PAIR
 
 ORACLE: dict[str, str] = {}
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 as {name or expr}"
+    return f"round({expr}, {DIGITS.get(name or expr, digits)}) + 0.0 as {name or expr}"
 
 
 def rs(names: str, digits: int = 6) -> str:

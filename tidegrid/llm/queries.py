@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import ngram_join
+from tidegrid.llm import language, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.learn_from_documents(docs)
+    marked = docs.withColumn("held_out", language.held_out())
+    return language.identify(marked, model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_ngram_jaccard_join,)
+    f.__name__: f for f in (op6_ngram_jaccard_join, op9_language_id)
 }
 ORACLE: dict[str, str] = {}

@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrid.llm import language, ngram_join
+from tidegrid.llm import language, mixing, ngram_join
+from tidegrid.session import cut_lineage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    sizes = cut_lineage(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
+    mix = mixing.plan_mix(sizes)
+    shards = F.transform("placements", lambda d: d["shard"])
+    return mix.select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"), shards.alias("shards"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
@@ -26,6 +36,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_ngram_jaccard_join, op9_language_id)
+    f.__name__: f for f in (op5_source_mixing, op6_ngram_jaccard_join, op9_language_id)
 }
 ORACLE: dict[str, str] = {}

@@ -90,6 +90,55 @@ def by_frequency(keys: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray
     return (level << np.uint64(60)) | (mix(keys ^ mix(np.array([order + 1], np.uint64))) >> np.uint64(4))
 
 
+def recurring(limit: int, same: tuple[str, ...], passing: str | None = None):
+    """From rows sorted by ``key`` and ``same``: the different rows of each key that has more than one.
+
+    ``often`` says whether there are more than ``limit``.  Of a key, only the first ``limit`` rows are
+    ever held.  Rows where ``passing`` is negative are not looked at and stay.
+    """
+
+    def flagged(table: pa.Table, often) -> list[pa.RecordBatch]:
+        return table.set_column(table.schema.get_field_index("often"), "often", pa.array(often, pa.bool_())).combine_chunks().to_batches()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+        running: tuple | None = None  # the last row of a key already known to be held often
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if passing:
+                passed = pa.compute.less(table.column(passing), 0)
+                if pa.compute.any(passed).as_py():
+                    yield from table.filter(passed).to_batches()
+                    table = table.filter(pa.compute.invert(passed))
+            if carry is not None:
+                table = pa.concat_tables([carry, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            columns = [np.asarray(table.column(c)) for c in ("key", *same)]
+            first = np.ones(len(columns[0]), bool)
+            fresh = first.copy()
+            first[1:] = columns[0][1:] != columns[0][:-1]
+            fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            if running and tuple(c[0] for c in columns) == running:
+                fresh[0] = False
+            goes_on = bool(running and columns[0][0] == running[0])
+            group = (np.cumsum(first) - 1)[fresh]
+            size = np.bincount(group, minlength=int(first.sum()))
+            often = size > limit
+            often[0] |= goes_on
+            last = tuple(c[-1] for c in columns)
+            table = table.filter(pa.array(fresh))
+            take = (often | (size > 1))[group]
+            running, carry = (last, None) if often[-1] else (None, table.filter(pa.array(group == len(size) - 1)))
+            if carry is not None:
+                take &= group != len(size) - 1
+            yield from flagged(table.filter(pa.array(take)), often[group[take]])
+        if carry is not None and carry.num_rows > 1:
+            yield from flagged(carry, [False] * carry.num_rows)
+
+    return of
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
     return r.n, r.h

@@ -116,7 +116,8 @@ def learn(labelled: DataFrame, params: LanguageParams | None = None) -> Language
     rows = labelled.where("text is not null and lang is not null")
     per = rows.groupBy("lang").agg(F.count("*").alias("rows"))
     key = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(per, "lang").where(key * F.col("rows") < p.sample_rows).select("text", "lang")
+    # One row per language, as the model has; it may be broadcast.
+    sample = rows.join(F.broadcast(per), "lang").where(key * F.col("rows") < p.sample_rows).select("text", "lang")
     counted = sample.mapInArrow(_count(p.table_bits), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     found = counted.toPandas()  # the model: languages x cells, whatever the size of the corpus
     languages = sorted(found.lang.unique().tolist(), key=lambda x: x.encode())

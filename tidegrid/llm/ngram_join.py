@@ -7,11 +7,11 @@ and break ties by their own hash, so a passage that many documents hold stays ou
 prefixes under all of them.
 
 1. One pass reads the texts and counts tokens into the sketch; a second emits the prefix
-   tokens of each order, and one row per document with a 128-bit signature of its set.
-   Documents with equal sets are one node from then on.
-2. Tokens in one set only are dropped.  A node stays if it shares a token under every order.
-3. Tokens held by few nodes give pairs; those that share no prefix token under one of the other
-   orders or whose sizes are too different go.  The rest are verified on the texts.
+   tokens of each order, and one row per document with a signature of its set.
+   Documents with equal sets are one node from then on, named by the signature.
+2. Tokens in one set only are dropped.
+3. Tokens held by few nodes give pairs.  A pair goes if the sizes are too different or if, under one
+   of the orders, it shares too few prefix tokens to be similar.  The rest are verified on the texts.
 4. Tokens held by many nodes give no pairs.  Their nodes fall into groups, groups into blocks of
    bounded size, and a task compares two blocks by set arithmetic on matrices.  It returns a
    spanning forest of the links it finds, never all of them.
@@ -28,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.bytestrings import LOWER, U, mix, shingles, utf8, word_hashes, words
-from tidegrid.llm.common import by_frequency, components, count_cells, frequency_levels, pieces, signed
+from tidegrid.llm.common import by_frequency, components, count_cells, frequency_levels, pieces, recurring, signed
 from tidegrid.session import cut_lineage
 
 
@@ -47,6 +47,8 @@ class JaccardParams:
     pair_limit: int = 48
     #: Nodes in a block.
     block: int = 1024
+    #: Up to so many ids (32 MB) of texts to verify are broadcast; more are joined.
+    broadcast_ids: int = 2_000_000
 
 
 def prefix_size(n: np.ndarray | int, hundredths: int):
@@ -59,7 +61,7 @@ def similar(common, a, b, hundredths: int):
 
 
 def _signatures(value: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit sums per set."""
+    """Two independent 64-bit sums per set: the name of the node, and a check that no two sets have one name."""
     one = np.concatenate((np.zeros(1, U), np.cumsum(mix(value), dtype=U)))
     two = np.concatenate((np.zeros(1, U), np.cumsum(mix(value ^ U(0xA0761D6478BD642F)), dtype=U)))
     return one[begin[1:]] - one[begin[:-1]], two[begin[1:]] - two[begin[:-1]]
@@ -86,71 +88,55 @@ def _all_shingles(column: str, width: int):
     return of
 
 
+_ROW = "key long, node long, n long, ord byte, often boolean, id long, two long"
+
+
+def _rows(key: np.ndarray, node: np.ndarray, n: np.ndarray, order: int, ids=None, two=None) -> pa.RecordBatch:
+    m = len(key)
+    nothing = pa.nulls(m, pa.int64())
+    columns = [
+        pa.array(signed(key)),
+        pa.array(signed(node)),
+        pa.array(n.astype(np.int64)),
+        pa.array(np.full(m, order, np.int8)),
+        pa.nulls(m, pa.bool_()),
+        nothing if ids is None else pa.array(ids),
+        nothing if two is None else pa.array(signed(two)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ROW.split(", ")])
+
+
 def _emit(levels, p: JaccardParams):
-    """One row per document (order -1), and one per prefix token and order of each set new to the task."""
+    """One row per document (order -1), and one per order and prefix token of each set new to the task."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in pieces(batches, "text"):
             raw, at = utf8(batch.column("text"))
             value, begin = shingles(raw, at, p.width)
             ids = np.asarray(batch.column("id"), np.int64)
             n = np.diff(begin)
             one, two = _signatures(value, begin)
+            yield _rows(mix(one), one, n, -1, ids, two)
             new = []
-            for i in np.flatnonzero(n):
-                mark = one[i].tobytes() + two[i].tobytes()
-                if mark not in seen:
+            for i in np.flatnonzero(n).tolist():
+                if (mark := int(one[i])) not in seen:
                     seen.add(mark)
-                    new.append(int(i))
-            parts = [(np.full(len(ids), -1, np.int8), signed(mix(ids.view(U))), signed(one), signed(two), n, ids)]
+                    new.append(i)
             for order in range(p.orders):
-                key = by_frequency(value, levels.value, order)
-                chosen, row = [np.zeros(0, np.int64)], []
+                rank = by_frequency(value, levels.value, order)
+                chosen = []
                 for i in new:
-                    part, k = key[begin[i] : begin[i + 1]], prefix_size(int(n[i]), p.hundredths)
+                    part, k = rank[begin[i] : begin[i + 1]], prefix_size(int(n[i]), p.hundredths)
                     chosen.append(begin[i] + (np.argpartition(part, k - 1)[:k] if k < len(part) else np.arange(len(part))))
-                    row.append(np.full(len(chosen[-1]), i))
-                token, row = np.concatenate(chosen), np.concatenate(row or [np.zeros(0, np.int64)])
-                parts.append((np.full(len(row), order, np.int8), signed(value[token]), signed(one[row]), signed(two[row]), n[row], np.zeros(len(row), np.int64)))
-            columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["ord", "token", "one", "two", "n", "id"])
+                if chosen:
+                    row = np.repeat(new, [len(c) for c in chosen])
+                    # Under each order a token is a key of its own.
+                    yield _rows(mix(value[np.concatenate(chosen)] + U(order)), one[row], n[row], order)
 
     return of
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token, order and signature: each token and set once, if two sets hold the token; documents as they are."""
-    names = ["token", "ord", "one", "two"]
-    held = None  # the last row, while no other set with its token was seen
-    last = None  # the last row before this batch
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = [np.asarray(batch.column(c)) for c in names]
-        before = [np.concatenate(([x[0] if last is None else last[c]], x[:-1])) for c, x in zip(names, k, strict=True)]
-        same_token = (k[0] == before[0]) & (k[1] == before[1])
-        if last is None:
-            same_token[0] = False
-        new_set = ~(same_token & (k[2] == before[2]) & (k[3] == before[3]))
-        later = new_set & same_token  # not the first set of its token
-        first = new_set & ~same_token
-        group = np.cumsum(first)
-        more = np.bincount(group[later], minlength=group[-1] + 1) > 0
-        take = (k[1] < 0) | later | (first & more[group])
-        out = batch.filter(pa.array(take))
-        if held is not None and more[0]:
-            yield held
-        if more[0] or group[-1] > 0:
-            held = None
-        if group[-1] > 0 and not more[group[-1]]:
-            at = int(np.flatnonzero(first)[-1])
-            held = batch.slice(at, 1) if k[1][at] >= 0 else None
-        last = {c: x[-1] for c, x in zip(names, k, strict=True)}
-        if out.num_rows:
-            yield out
-
-
 def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     raw, at = utf8(texts)
     value, begin = shingles(raw, at, width)
@@ -232,37 +218,41 @@ def _blocks(p: JaccardParams):
     return of
 
 
-def _shared_tokens(found: DataFrame, p: JaccardParams) -> tuple[DataFrame, DataFrame]:
-    """``(id, n, node)`` of every document, and the tokens of nodes that share one under every order."""
-    docs = found.where("ord < 0")
-    nodes = docs.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("node"))
-    docs = docs.join(nodes, ["one", "two"], "left").select("id", "n", "node")
-    tokens = found.where("ord >= 0").join(nodes, ["one", "two"]).select("ord", "token", "node", "n")
-    under_all = tokens.groupBy("node").agg(F.countDistinct("ord").alias("k")).where(F.col("k") == p.orders).select("node")
-    tokens = tokens.join(under_all, "node")
-    held = tokens.groupBy("ord", "token").agg(F.count("*").alias("held")).where("held > 1")
-    return docs, tokens.join(held, ["ord", "token"])
+def _may_be_similar(shared: Column, na: Column, nb: Column, p: JaccardParams) -> Column:
+    """Can sets of these sizes be similar, given how many prefix tokens they share?
+
+    Beyond the shorter-reaching of the two prefixes, one set has at most its tokens after the prefix.
+    """
+    h = p.hundredths
+    rest = F.greatest(*(F.floor((n * h + 99) / 100) - 1 for n in (na, nb)))
+    return (shared + rest) * (100 + h) >= (na + nb) * h
 
 
-def _small_pairs(shared: DataFrame, p: JaccardParams) -> DataFrame:
-    """Pairs of nodes with a rare common token under order 0 and sizes that allow similarity, that pass the other orders."""
-    rare = shared.where((F.col("ord") == 0) & (F.col("held") <= p.pair_limit))
-    x = rare.select("token", F.col("node").alias("a"), F.col("n").alias("na"))
-    y = rare.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
+def _small_pairs(tokens: DataFrame, p: JaccardParams) -> DataFrame:
+    """Pairs of nodes with a rare common token under order 0 that pass the filters of all orders."""
+    mine = tokens.where("ord = 0")
+    rare, often = mine.where("not often"), mine.where("often").groupBy("node").agg(F.count("*").alias("m"))
+    x = rare.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
+    y = rare.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.hundredths) & (F.col("a") < F.col("b"))
-    pairs = x.join(y, "token").where(fits).select("a", "b").distinct()
+    pairs = x.join(y, "key").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("s"))
+    for side in ("a", "b"):
+        pairs = pairs.join(often.select(F.col("node").alias(side), F.col("m").alias(f"m{side}")), side, "left")
+    common = F.col("s") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    pairs = pairs.where(_may_be_similar(common, F.col("na"), F.col("nb"), p)).select("a", "b", "na", "nb")
     for order in range(1, p.orders):
-        held = shared.where(F.col("ord") == order).groupBy("node").agg(F.collect_list("token").alias("t"))
+        held = tokens.where(F.col("ord") == order).groupBy("node").agg(F.collect_list("key").alias("t"))
         pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
         pairs = pairs.join(held.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-        pairs = pairs.where(F.arrays_overlap("ta", "tb")).select("a", "b")
-    return pairs
+        common = F.size(F.array_intersect("ta", "tb"))
+        pairs = pairs.where(_may_be_similar(common, F.col("na"), F.col("nb"), p)).select("a", "b", "na", "nb")
+    return pairs.select("a", "b")
 
 
 def _cells(shared: DataFrame, p: JaccardParams) -> DataFrame:
     """``(node, grp, i, j, side)``: the pairs of blocks that a node with a frequent common token goes to."""
-    often = shared.where((F.col("ord") == 0) & (F.col("held") > p.pair_limit))
-    star = often.join(often.groupBy("token").agg(F.min("node").alias("hub")), "token").select("node", "hub").distinct()
+    often = shared.where("ord = 0 and often")
+    star = often.join(often.groupBy("key").agg(F.min("node").alias("hub")), "key").select("node", "hub").distinct()
     member = components(star, "node", "hub").withColumnRenamed("component", "grp")
     size = member.groupBy("grp").agg(F.ceil(F.count("*") / p.block).alias("k"))
     placed = member.join(size, "grp").select("id", "grp", "k", F.pmod(F.xxhash64("id", F.lit(7)), F.col("k")).alias("mine"))
@@ -277,6 +267,14 @@ def _cells(shared: DataFrame, p: JaccardParams) -> DataFrame:
     )
 
 
+def _texts(known: DataFrame, nodes: DataFrame, needed: DataFrame, p: JaccardParams) -> DataFrame:
+    """``(node, text)`` of the nodes that have candidates."""
+    wanted = cut_lineage(nodes.join(needed, "node").select("node", "id"))
+    if wanted.count() <= p.broadcast_ids:
+        wanted = F.broadcast(wanted)
+    return cut_lineage(known.join(wanted, "id").select("node", "text").dropDuplicates(["node"]))
+
+
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", params: JaccardParams | None = None) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row, see the module's text."""
     p = params or JaccardParams()
@@ -284,26 +282,30 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     known = rows.where("id is not null")
     levels = spark.sparkContext.broadcast(frequency_levels(count_cells(known.select("text"), "text", _all_shingles("text", p.width))))
-    schema = "ord byte, token long, one long, two long, n long, id long"
-    emitted = known.mapInArrow(_emit(levels, p), schema)
-    sorted_tokens = emitted.repartition("token", "ord").sortWithinPartitions("token", "ord", "one", "two")
-    found = cut_lineage(sorted_tokens.mapInArrow(_recurring, schema))
-    documents, tokens = _shared_tokens(found, p)
-    documents, tokens = cut_lineage(documents), cut_lineage(tokens)
-    if not documents.where("node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").isEmpty():
+    ordered = known.mapInArrow(_emit(levels, p), _ROW).repartition("key").sortWithinPartitions("key", "node")
+    found = cut_lineage(ordered.mapInArrow(recurring(p.pair_limit, ("node",), passing="ord"), _ROW))
+    documents, tokens = found.where("ord < 0"), found.where("ord >= 0")
+
+    per_id = documents.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    if not per_id.where("a <> b").isEmpty():
         largest = known.groupBy("id").agg(F.max("text").alias("text"))
         return rows.select("id").join(similar_groups(largest, "id", "text", p), "id", "left")
+    sets = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("two").alias("two"), F.max("two").alias("other"))
+    nodes = cut_lineage(sets.select("node", F.when(F.col("two") == F.col("other"), F.col("id")).otherwise(F.raise_error(F.lit("two sets have one signature"))).alias("id")))
 
     pairs, cells = cut_lineage(_small_pairs(tokens, p)), cut_lineage(_cells(tokens, p))
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(cells.select(F.col("node").alias("id"))).distinct()
-    texts = cut_lineage(known.join(needed, "id", "left_semi").dropDuplicates(["id"]))
-    side_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    side_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(cells.select("node")).distinct()
+    texts = _texts(known, nodes, needed, p)
+    side_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    side_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     verified = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_verify(p), "a long, b long")
-    in_blocks = cells.join(texts.withColumnRenamed("id", "node"), "node").groupBy("grp", "i", "j").applyInArrow(_blocks(p), "a long, b long")
-    joined = components(verified.unionByName(in_blocks), "a", "b")
-
-    out = documents.join(joined.withColumnRenamed("id", "node"), "node", "left")
-    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
+    in_blocks = cells.join(texts, "node").groupBy("grp", "i", "j").applyInArrow(_blocks(p), "a long, b long")
+    links = verified.unionByName(in_blocks)
+    for side in ("a", "b"):
+        links = links.join(nodes.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)
+    joined = components(links, "id_a", "id_b").withColumnRenamed("id", "first")
+
+    out = documents.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(nodes.withColumnRenamed("id", "first"), "node", "left").join(joined, "first", "left")
+    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
     nameless = rows.where("id is null").select("id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)

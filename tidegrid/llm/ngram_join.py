@@ -13,8 +13,8 @@ prefixes under all of them.
 3. Tokens held by few nodes give pairs.  A pair goes if the sizes are too different or if, under one
    of the orders, it shares too few prefix tokens to be similar.  The rest are verified on the texts.
 4. Tokens held by many nodes give no pairs.  Their nodes fall into groups, groups into blocks of
-   bounded size, and a task compares two blocks by set arithmetic on matrices.  It returns a
-   spanning forest of the links it finds, never all of them.
+   bounded size and near sizes of sets; a task compares two blocks by set arithmetic on matrices.
+   It returns a spanning forest of the links it finds, never all of them.
 5. Links join nodes, components are found with distributed rounds.
 
 Rows without an id take no part and get nulls.  Rows that repeat an id are one node; if their texts
@@ -249,22 +249,22 @@ def _small_pairs(tokens: DataFrame, p: JaccardParams) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def _cells(shared: DataFrame, p: JaccardParams) -> DataFrame:
-    """``(node, grp, i, j, side)``: the pairs of blocks that a node with a frequent common token goes to."""
-    often = shared.where("ord = 0 and often")
+def _cells(tokens: DataFrame, p: JaccardParams) -> DataFrame:
+    """``(node, grp, lo, hi, side)``: the pairs of blocks that a node with a frequent common token goes to.
+
+    Nodes of a group fall into bands of sizes, so that similar ones are in one band or in
+    neighbouring ones; a band with many nodes falls into blocks.
+    """
+    often = tokens.where("ord = 0 and often")
     star = often.join(often.groupBy("key").agg(F.min("node").alias("hub")), "key").select("node", "hub").distinct()
-    member = components(star, "node", "hub").withColumnRenamed("component", "grp")
-    size = member.groupBy("grp").agg(F.ceil(F.count("*") / p.block).alias("k"))
-    placed = member.join(size, "grp").select("id", "grp", "k", F.pmod(F.xxhash64("id", F.lit(7)), F.col("k")).alias("mine"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")
-    out = placed.select("id", "grp", "mine", other)
-    return out.select(
-        F.col("id").alias("node"),
-        "grp",
-        F.least("mine", "other").alias("i"),
-        F.greatest("mine", "other").alias("j"),
-        F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"),
-    )
+    member = components(star, "node", "hub").select(F.col("id").alias("node"), F.col("component").alias("grp"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.hundredths)))
+    member = cut_lineage(member.join(often.select("node", "n").distinct(), "node").select("node", "grp", band.alias("band")))
+    size = member.groupBy("grp", "band").agg(F.ceil(F.count("*") / p.block).alias("k"))
+    placed = member.join(size, ["grp", "band"]).select("node", "grp", F.struct("band", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).alias("block")).alias("mine"))
+    beside = placed.withColumn("band", F.explode(F.array(*(F.col("mine.band") + d for d in (-1, 0, 1))))).join(size, ["grp", "band"])
+    pairs = beside.select("node", "grp", "mine", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.struct(F.col("band"), i.alias("block")))).alias("other"))
+    return pairs.select("node", "grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
 
 def _texts(known: DataFrame, nodes: DataFrame, needed: DataFrame, p: JaccardParams) -> DataFrame:
@@ -299,7 +299,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     side_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     side_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     verified = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_verify(p), "a long, b long")
-    in_blocks = cells.join(texts, "node").groupBy("grp", "i", "j").applyInArrow(_blocks(p), "a long, b long")
+    in_blocks = cells.join(texts, "node").groupBy("grp", "lo", "hi").applyInArrow(_blocks(p), "a long, b long")
     links = verified.unionByName(in_blocks)
     for side in ("a", "b"):
         links = links.join(nodes.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)

@@ -179,7 +179,7 @@ def label_spans(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.
     return row, best_paths(score, length, model.switch), letters
 
 
-def _predict(model):
+def _predict(model, with_text: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = model.value
         for batch in pieces(batches, "text"):
@@ -202,23 +202,26 @@ def _predict(model):
                 "score": pa.array(np.where(some, share.max(1) / np.maximum(total, 1), 0.0)),
                 "spans": pa.ListArray.from_arrays(pa.array(offsets), span),
             }
-            rest = [c for c in batch.schema.names if c != "text"]
+            rest = [c for c in batch.schema.names if with_text or c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + list(out.values()), rest + list(out))
 
     return of
 
 
-def identify(rows: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns ``keep`` of ``rows`` with ``lang_pred``, ``score`` and ``spans`` (language and number of words of each run)."""
+def identify(rows: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``rows`` with ``lang_pred``, ``score`` and ``spans`` (language and number of words of each run).
+
+    ``with_text`` gives the text too, as column ``text``.
+    """
     from pyspark.sql import types as T
 
     shared = rows.sparkSession.sparkContext.broadcast(model)
     taken = rows.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("text"))
     spans = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType())]))
     schema = T.StructType(
-        [taken.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", spans)]
+        [taken.schema[c] for c in (*keep, *["text"] * with_text)] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", spans)]
     )
-    return taken.mapInArrow(_predict(shared), schema)
+    return taken.mapInArrow(_predict(shared, with_text), schema)
 
 
 def held_out(id_column: str = "doc_id") -> Column:

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, language, mixing, ngram_join, suffix_dedup
-from tidegrid.session import cut_lineage
+from tidegrid.llm import bpe, cover_tree, html_main_text, knn_join, language, mixing, ngram_join, suffix_dedup, token_files, url_filter
+from tidegrid.session import cut_lineage, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main_text.main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -29,6 +39,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sizes = cut_lineage(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
@@ -42,6 +56,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return cut.select(
@@ -56,7 +74,27 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(marked, model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as definition:
+        token_files.write_files(_table(spark, sf_dir, "documents"), path, definition.read())
+    read = token_files.read_files(spark, path)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_byte_bpe, op5_source_mixing, op6_ngram_jaccard_join, op8_suffix_dedup, op9_language_id)
+    f.__name__: f
+    for f in (
+        op1_cover_tree_near_dedup,
+        op2_html_main_text,
+        op3_byte_bpe,
+        op4_voronoi_knn,
+        op5_source_mixing,
+        op6_ngram_jaccard_join,
+        op7_url_filter,
+        op8_suffix_dedup,
+        op9_language_id,
+        op10_token_files,
+    )
 }
 ORACLE: dict[str, str] = {}

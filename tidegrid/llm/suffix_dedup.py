@@ -19,8 +19,8 @@ those whose 24 bytes occur once in the corpus can be dropped before anything is
    earliest in its part is compared again.
 6. Marked strings are joined to spans per document and cut out.
 
-A null text is empty.  A row without an id comes after all others.  Rows that repeat an id are the
-same document; if their texts differ, the largest counts.
+A null text is empty.  A row without an id has no place in the order: it is not compared and stays whole.
+Rows that repeat an id are the same document; if their texts differ, the largest counts.
 """
 
 from __future__ import annotations
@@ -34,10 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.bytestrings import U, mix, utf8
-from tidegrid.llm.common import by_frequency, count_cells, frequency_levels, pieces, recurring, signed
+from tidegrid.llm.common import CELL_BITS, by_frequency, count_cells, frequency_levels, pieces, recurring, signed
 from tidegrid.session import cut_lineage
 
-_LAST = (1 << 63) - 1
 _POS_BITS = 23
 
 
@@ -48,6 +47,8 @@ class DedupParams:
     gram: int = 24
     #: A sampled substring with more positions is compared in parts of about this size.
     part: int = 4096
+    #: Power of two above the mean count from which a substring is taken to recur.
+    frequent: int = 3
 
 
 def _grams(raw: np.ndarray, size: int) -> np.ndarray:
@@ -116,7 +117,10 @@ def sampled(raw: np.ndarray, at: np.ndarray, levels: np.ndarray, p: DedupParams)
 
 
 def _positions(levels, p: DedupParams):
-    """``key, node, spot``: the node is the position's place in the order of documents; the spot packs where and how many."""
+    """``key, id, spot, often, salt``: the spot packs the position and the starts of its strings.
+
+    A substring far more frequent than others recurs for certain; its positions are spread (``salt`` below 0).
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -125,7 +129,10 @@ def _positions(levels, p: DedupParams):
             ids = np.asarray(batch.column("id"), np.int64)
             begin = at[:-1][row]
             spot = ((place - begin) << 16) | ((place - first) << 8) | (last - first)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids[row]), pa.array(spot), pa.nulls(len(row), pa.bool_())], ["key", "id", "spot", "often"])
+            often = levels.value[(key >> U(64 - CELL_BITS)).astype(np.int64)] >= p.frequent
+            salt = np.where(often, -1 - (mix(ids[row].view(U)) & U(1023)).astype(np.int64), 0)
+            columns = [pa.array(signed(key)), pa.array(ids[row]), pa.array(spot), pa.array(often), pa.array(salt)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "spot", "often", "salt"])
 
     return of
 
@@ -324,36 +331,37 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(text[keep].tobytes())
             removed.append(int((~keep).sum()))
         spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        rest = [c for c in batch.schema.names if c != "marks"]
+        rest = [c for c in batch.schema.names if c not in ("marks", "text")]
         out = [batch.column(c) for c in rest]
         yield pa.RecordBatch.from_arrays(
-            [*out, pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())],
-            [*rest, "n_bytes", "n_removed", "spans", "kept"],
+            [*out, pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept])],
+            [*rest, "n_bytes", "n_removed", "spans", "kept", "kept_text"],
         )
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", params: DedupParams | None = None) -> DataFrame:
-    """The rows of ``docs`` as ``id, text`` with ``n_bytes, n_removed, spans`` (byte ranges taken out) and ``kept`` (the other bytes)."""
+    """The rows of ``docs`` as ``id`` with ``n_bytes, n_removed, spans`` (byte ranges taken out), ``kept`` (the other bytes) and ``kept_text`` (these without torn characters)."""
     p = params or DedupParams()
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(_LAST)).alias("id"), F.col(f"`{text}`").alias("text"))
+    every = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = every.where("id is not null")
     twice = rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b")
     if not twice.isEmpty():
         largest = rows.groupBy("id").agg(F.max("text").alias("text"), F.count("*").alias("n"))
         rows = cut_lineage(largest.select("id", "text", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))).select("id", "text")
     levels = spark.sparkContext.broadcast(frequency_levels(count_cells(rows.select("text"), "text", _valid_grams(p.gram))))
 
-    schema = "key long, id long, spot long, often boolean"
-    found = rows.mapInArrow(_positions(levels, p), schema).repartition("key").sortWithinPartitions("key", "id", "spot")
-    found = cut_lineage(found.mapInArrow(recurring(p.part, ("id", "spot")), schema))
+    schema = "key long, id long, spot long, often boolean, salt long"
+    found = rows.mapInArrow(_positions(levels, p), schema).repartition("key", "salt").sortWithinPartitions("key", "id", "spot")
+    found = cut_lineage(found.mapInArrow(recurring(p.part, ("id", "spot"), passing="salt"), schema).drop("salt"))
     parts = found.where("often").groupBy("key").agg(F.ceil(F.count("*") / p.part).cast("long").alias("parts"))
     spots = found.join(parts, "key", "left").select("id", F.struct("key", "spot", F.coalesce("parts", F.lit(1)).cast("long").alias("parts")).alias("s"))
-    spots = spots.groupBy("id").agg(F.collect_list("s").alias("spots"))
+    spots = spots.groupBy("id").agg(F.collect_set("s").alias("spots"))
 
     context = rows.join(spots, "id").mapInArrow(_contexts(p), _CONTEXT).repartition("key", "part").sortWithinPartitions("key", "part")
     again = context.mapInArrow(_compare(p, True), _CONTEXT).repartition("key").sortWithinPartitions("key", "part")
     marks = context.mapInArrow(_compare(p, False), _MARKS).unionByName(again.mapInArrow(_compare(p, False), _MARKS))
     marks = marks.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
-    schema = "id long, text string, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
-    out = rows.join(marks, "id", "left").select("id", "text", "marks").mapInArrow(_cut, schema)
-    return out.withColumn("id", F.when(F.col("id") != _LAST, F.col("id")))
+    schema = "id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary, kept_text string"
+    nameless = every.where("id is null").withColumn("marks", F.array().cast("array<struct<begin:bigint,end:bigint>>"))
+    return rows.join(marks, "id", "left").select("id", "text", "marks").unionByName(nameless).mapInArrow(_cut, schema)

@@ -6,21 +6,66 @@ import os
 import sys
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tidegrid.llm import ngram_join  # noqa: E402
+from tidegrid.llm import bpe, language, mixing, ngram_join, suffix_dedup  # noqa: E402
 from tidegrid.session import shared_folder  # noqa: E402
 
+#: A document stays if one language holds at least this share of its letters.
+LEAST_SHARE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in which no language holds half of the letters, go."""
+    model = language.learn_from_documents(docs)
+    found = language.identify(docs, model, keep=tuple(c for c in docs.columns if c != "text"), with_text=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, that with the smallest id."""
-    found = ngram_join.similar_groups(docs)
-    return docs.join(found.where("id = component_id").select(found.id.alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of similar ones stays, that with the smallest id; rows without an id stay."""
+    found = ngram_join.similar_groups(docs).where("id <> component_id").select(F.col("id").alias("doc_id"))
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes and more that occur earlier are cut out; documents stay, some of them empty."""
+    named = docs.where("doc_id is not null")
+    cut = suffix_dedup.remove_repeats(named).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"))
+    out = named.drop("text").join(cut, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return out.unionByName(docs.where("doc_id is null"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each time that the mix takes a document, in the random order of its shard; a document taken in part is cut."""
+    plan = mixing.plan_mix(docs.withColumn("size", mixing.word_count("text")))
+    taken = mixing.shuffled(plan)
+    whole = F.col("words") == F.col("size")
+    text = F.when(whole, F.col("text")).otherwise(mixing.first_words("text", F.col("words").cast("int")))
+    taken = taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return taken.select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its text."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN).learn_dictionary(docs)
+    keep = tuple(c for c in docs.columns if c != "text")
+    coded = encoder.encode(docs.withColumn("_bytes", F.octet_length(F.coalesce("text", F.lit("")))), keep=(*keep, "_bytes"))
+    return coded.select(*keep, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.length("decoded") == F.col("_bytes")).alias("decodes"))
 
 
-STAGES = [("ngram_join", near_duplicates)]
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mixed),
+    ("tokens", encoded),
+]
 
 #: No stage can be said in SQL as a whole; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

@@ -77,16 +77,20 @@ def count_cells(rows: DataFrame, column: str, hashes) -> np.ndarray:
 
 
 def frequency_levels(counts: np.ndarray) -> np.ndarray:
-    """Per cell the power of two by which it exceeds the mean: 0 for rare keys, at most 15."""
+    """Per cell how far it stands out: 0 for keys lost in the noise of the cells, then one more for each doubling.
+
+    A cell of keys that are all rare holds the mean, give or take its root.  So a key is seen as
+    frequent from about four roots of the mean on, not only from the mean on.
+    """
     mean = max(1.0, counts.sum() / len(counts))
-    return np.minimum(np.floor(np.log2(np.maximum(counts / mean, 1.0))), 15).astype(np.uint64)
+    return np.clip(np.floor(np.log2(np.maximum((counts - mean) / np.sqrt(mean), 1.0))) - 1, 0, 15).astype(np.uint8)
 
 
 def by_frequency(keys: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     """A total order of the keys: rare before frequent, ties by a hash of their own for each ``order``."""
     from tidegrid.llm.bytestrings import mix
 
-    level = levels[(keys >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+    level = levels[(keys >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
     return (level << np.uint64(60)) | (mix(keys ^ mix(np.array([order + 1], np.uint64))) >> np.uint64(4))
 
 

@@ -9,7 +9,7 @@ which that script was seen.  Each word gets one score per remaining language, th
 its trigrams' log probabilities.  Viterbi then finds the best sequence of languages over the
 words, with a penalty for each switch.  Runs of one language are the spans.  A text's language
 is the one whose spans hold most letters; the score is their share of all letters.  A null
-text or one without a letter has language ``und``, score 0 and no spans.
+text or one without a letter has language ``und``, score 0 and no spans; so has every text if nothing was learnt.
 """
 
 from __future__ import annotations
@@ -170,8 +170,9 @@ def label_spans(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.
     bits = int(np.log2(len(model.table)))
     cell, script, begin, length = _trigrams(texts, bits)
     row = np.repeat(np.arange(len(texts)), length)
-    if not len(begin):
-        return row, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(begin) or not model.languages:
+        none = np.zeros(0, np.int64)
+        return none, none, none
     letters = np.diff(np.concatenate((begin, [len(cell)])))
     score = np.add.reduceat(model.table[cell], begin, axis=0).astype(np.float64)
     allowed = model.allowed[script[begin]]

@@ -108,9 +108,12 @@ def plan_mix(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
     """The rows of ``docs`` with ``source_size``, ``target`` and ``placements``.
 
     ``docs`` holds ``doc_id``, ``source`` and ``size``.  ``placements`` has one
-    ``(copy, shard, words)`` for each time that the mix takes the document.
+    ``(copy, shard, words)`` for each time that the mix takes the document.  Other columns stay;
+    those named like a result are replaced.
     """
     p = params or MixParams()
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("source_size", "target", "placements")]
+    docs = docs.select("doc_id", "source", "size", F.struct(*others).alias("_row"))
     perm = lambda *cols: F.xxhash64(*cols, F.lit(p.seed))
     sized = docs.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
     sources = cut_lineage(targets(sized, p).withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / p.block_words), F.lit(1)).cast("long")))
@@ -139,7 +142,7 @@ def plan_mix(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
         lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), F.greatest(F.least(d["drawn"] - F.col("earlier"), F.col("size")), F.lit(0)).alias("words")),
     )
     rows = rows.withColumn("placements", F.filter(taken, lambda d: d["words"] > 0))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), "source_size", "target", "placements")
+    return rows.select("_row.*", "source_size", "target", "placements")
 
 
 def taken_words() -> Column:
@@ -147,8 +150,9 @@ def taken_words() -> Column:
 
 
 def shuffled(mix: DataFrame, params: MixParams | None = None) -> DataFrame:
-    """One row per placement, with ``shard``, ``words`` and its ``position`` in the shard's random order."""
+    """One row per placement, with ``shard``, ``words`` and its ``position`` in the shard's random order; columns of these names are replaced."""
     p = params or MixParams()
-    each = mix.withColumn("d", F.explode("placements")).withColumns({"copy": F.col("d.copy"), "shard": F.col("d.shard"), "words": F.col("d.words")})
-    order = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "copy", "size", F.lit(p.seed + 1)), "doc_id", "copy")
-    return each.withColumn("position", F.row_number().over(order)).drop("d", "placements")
+    others = [F.col(f"`{c}`") for c in mix.columns if c not in ("placements", "shard", "words", "position")]
+    each = mix.select(F.struct(*others).alias("_row"), F.explode("placements").alias("_d"))
+    order = Window.partitionBy("_d.shard").orderBy(F.xxhash64("_row.doc_id", "_d.copy", "_row.size", F.lit(p.seed + 1)), "_row.doc_id", "_d.copy")
+    return each.withColumn("_position", F.row_number().over(order)).select("_row.*", "_d.shard", "_d.words", F.col("_position").alias("position"))

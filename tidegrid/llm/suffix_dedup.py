@@ -47,7 +47,7 @@ class DedupParams:
     gram: int = 24
     #: A sampled substring with more positions is compared in parts of about this size.
     part: int = 4096
-    #: Power of two above the mean count from which a substring is taken to recur.
+    #: Level of frequency from which a substring is taken to recur.
     frequent: int = 3
 
 

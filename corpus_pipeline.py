@@ -22,8 +22,10 @@ LEAST_SHARE = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in which no language holds half of the letters, go."""
     model = language.learn_from_documents(docs)
-    found = language.identify(docs, model, keep=tuple(c for c in docs.columns if c != "text"), with_text=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"), "text")
+    found = language.identify(packed, model, keep=("_row",), with_text=True)
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return found.select("_row.*", "text").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +44,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each time that the mix takes a document, in the random order of its shard; a document taken in part is cut."""
-    plan = mixing.plan_mix(docs.withColumn("size", mixing.word_count("text")))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars"))).alias("others")
+    plan = mixing.plan_mix(docs.select("doc_id", "source", "text", mixing.word_count("text").alias("size"), others))
     taken = mixing.shuffled(plan)
     whole = F.col("words") == F.col("size")
     text = F.when(whole, F.col("text")).otherwise(mixing.first_words("text", F.col("words").cast("int")))
     taken = taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return taken.select(docs.columns)
+    return taken.select("others.*", "text", "n_chars").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

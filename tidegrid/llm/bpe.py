@@ -16,7 +16,6 @@ Null texts are empty; they have no ids and decode to nothing.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -106,7 +105,7 @@ def _encode_word(word: Column, ranks: Column) -> Column:
 class Encoder:
     """Ranks, the pattern that cuts words, and a dictionary of frequent words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary_words: int = 1 << 16, sample_rows: int = 4096) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary_words: int = 1 << 17, sample_rows: int = 8192) -> None:
         if set(range(256)) - {k[0] for k in ranks if len(k) == 1}:
             raise ValueError("not byte-level: a byte has no rank")
         self.pattern = java_pattern(pattern)
@@ -162,17 +161,17 @@ def _join(vocabulary, keep: tuple[str, ...]):
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 words, distinct, ids = (batch.column(c) for c in ("_words", "_distinct", "_ids"))
-                text, known = words.flatten().to_pylist(), distinct.flatten().to_pylist()
                 lists = ids.flatten()
                 flat = np.asarray(lists.flatten(), np.int64).astype("<u4")
-                cut = (np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(lists))))) * 4).tolist()
-                raw = flat.tobytes()
-                codes = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-                out, i, j = [], 0, 0
-                for n, m in zip(pa.compute.list_value_length(words).to_pylist(), pa.compute.list_value_length(distinct).to_pylist(), strict=True):
-                    of_word = dict(zip(known[j : j + m], codes[j : j + m], strict=True))
-                    out.append(b"".join([of_word[w] for w in text[i : i + n]]))
-                    i, j = i + n, j + m
+                size = np.asarray(pa.compute.list_value_length(lists), np.int64)
+                # The same word has the same ids in every document's dictionary.
+                known = np.asarray(pa.compute.index_in(words.flatten(), value_set=distinct.flatten()), np.int64)
+                taken = size[known]
+                ends = np.cumsum(taken)
+                every = flat[np.repeat((np.cumsum(size) - size)[known] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
+                stop = np.concatenate(([0], ends))[np.cumsum(np.asarray(pa.compute.list_value_length(words), np.int64))]
+                start = np.concatenate(([0], stop[:-1]))
+                out = [every[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary()), decode(out, table)], [*keep, "ids", "decoded"])
 
     return of
@@ -186,7 +185,3 @@ def decode(ids: list[bytes], vocabulary: pa.Array) -> pa.Array:
     raw = data.to_pybytes() if data is not None else b""
     ends = np.cumsum([0] + [len(x) // 4 for x in ids])
     return pa.array([raw[at[a] : at[b]] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
-
-
-def digest(value: bytes) -> str:
-    return hashlib.sha256(value).hexdigest()

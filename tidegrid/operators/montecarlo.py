@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +10,6 @@ from tidegrid.operators.trades import path_summary
 # Accepted names of the return column, first match wins.
 RETURN_COLUMNS = ("pnl_pct", "return_pct", "pnl_percent", "profit_pct", "net_return_pct")
 
-_SIM_BLOCK = 50
-_CELLS_PER_STEP = 4_000_000
-
-
 def trade_returns(trades: DataFrame, keys: tuple[str, ...] = ("strategy_id", "trade_seq")) -> DataFrame:
     """Pick the return column and drop blank rows; an unknown layout is an error, a return
     is never made up from other columns."""
@@ -28,79 +20,24 @@ def trade_returns(trades: DataFrame, keys: tuple[str, ...] = ("strategy_id", "tr
     return trades.filter(text.isNotNull() & (text != "")).select(*keys, text.cast("double").alias("pnl_pct"))
 
 
-def _fold(paths: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
-    """Final equity and deepest drawdown of each row of returns."""
-    equity = start * np.cumprod(1.0 + paths / 100.0, axis=1)
-    peak = np.maximum(np.maximum.accumulate(equity, axis=1), start)
-    ruined = (equity <= 0.0).any(axis=1)
-    deepest = ((peak - equity) / peak).max(axis=1) * 100.0
-    return np.where(ruined, 0.0, equity[:, -1]), np.where(ruined, 100.0, np.maximum(deepest, 0.0))
-
-
-def _simulate(mode: str, seed: int, start: float, sims: int):
-    def run(frames):
-        for pdf in frames:
-            parts = []
-            for row in pdf.itertuples(index=False):
-                values = np.asarray(row.returns, dtype="float64")
-                n, first = len(values), int(row.block) * _SIM_BLOCK
-                rng = np.random.default_rng([seed, zlib.crc32(str(row.strategy_id).encode()), int(row.block)])
-                wanted = min(_SIM_BLOCK, sims - first)
-                step = max(1, _CELLS_PER_STEP // n)
-                for at in range(0, wanted, step):
-                    rows = min(step, wanted - at)
-                    if mode == "bootstrap":
-                        paths = values[rng.integers(0, n, size=(rows, n))]
-                    else:
-                        paths = rng.permuted(np.tile(values, (rows, 1)), axis=1)
-                    final, drop = _fold(paths, start)
-                    parts.append(
-                        pd.DataFrame(
-                            {
-                                "strategy_id": row.strategy_id,
-                                "sim": first + at + np.arange(rows, dtype="int64"),
-                                "final_equity": final,
-                                "max_drawdown_pct": drop,
-                            }
-                        )
-                    )
-            if parts:
-                yield pd.concat(parts)
-
-    return run
-
-
-_SCHEMA = "strategy_id string, sim long, final_equity double, max_drawdown_pct double"
-
-
-def _small(returns: DataFrame, sims: int, mode: str, seed: int, start: float) -> DataFrame:
-    """Strategies whose trades fit one array: the array goes to every block of simulations."""
-    arrays = returns.groupBy("strategy_id").agg(
-        F.array_sort(F.collect_list(F.struct("trade_seq", "pnl_pct"))).alias("_rows")
-    )
-    blocks = F.sequence(F.lit(0), F.lit((sims - 1) // _SIM_BLOCK))
-    tasks = arrays.select(
-        F.col("strategy_id").cast("string").alias("strategy_id"),
-        F.transform("_rows", lambda x: x["pnl_pct"]).alias("returns"),
-        F.explode(blocks).alias("block"),
-    ).repartition("strategy_id", "block")
-    return tasks.mapInPandas(_simulate(mode, seed, start, sims), _SCHEMA)
+_HASH_RANGE = 16.0**15
 
 
 def _hash(seed: int, *cols: Column) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+    """A number below 16^15: the first hex digits of the MD5 of the seed and the columns."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in cols))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _large(indexed: DataFrame, sims: int, mode: str, seed: int, start: float, block: int) -> DataFrame:
-    """Strategies of any size: paths are cut into stretches, drawn trades are joined in, and
-    only stretch summaries meet.  ``indexed`` has ``_idx`` and ``_n`` per trade."""
+def _paths(indexed: DataFrame, sims: int, mode: str, seed: int, start: float, block: int) -> DataFrame:
+    """Paths are cut into stretches, drawn trades are joined in, and only stretch summaries
+    meet.  ``indexed`` has ``_idx`` and ``_n`` per trade."""
     who = F.col("strategy_id").cast("string").alias("strategy_id")
     if mode == "shuffle":
         # A path sorts the trades by a hash; the hash range is cut into equal stretches.
         rows = indexed.select(who, "pnl_pct", "_idx", "_n", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
         place = _hash(seed, F.col("strategy_id"), F.col("sim"), F.col("_idx"))
-        share = place.cast("double") / F.lit(2.0**64) + F.lit(0.5)
-        stretch = F.floor(share * F.ceil(F.col("_n") / F.lit(block)))
+        stretch = F.floor(place.cast("double") / F.lit(_HASH_RANGE) * F.ceil(F.col("_n") / F.lit(block)))
         rows = rows.select("strategy_id", "sim", F.struct(place, "_idx").alias("_order"), stretch.alias("_stretch"), "pnl_pct")
     else:
         counts = indexed.groupBy("strategy_id").agg(F.first("_n").alias("_n"))
@@ -124,26 +61,22 @@ def simulate_equity(
     mode: str = "bootstrap",
     seed: int = 17,
     start: float = 200.0,
-    array_limit: int = 100_000,
     block: int = 4096,
 ) -> DataFrame:
     """Final equity and deepest drawdown of each (strategy, simulation).
 
     ``trades(strategy_id, trade_seq, pnl_pct)``.  Bootstrap draws with replacement, shuffle
-    reorders.  A strategy with at most ``array_limit`` trades travels as an array; a larger
-    one takes the join.  Both are exact; draws are seeded per strategy and block, so they do
-    not depend on partitioning.
+    reorders.  Every draw is a hash of seed, strategy, simulation and place, so results depend
+    neither on partitioning nor on ``block``, the length of the stretches that are folded alone.
     """
     if mode not in ("bootstrap", "shuffle"):
         raise ValueError(f"unknown mode {mode}")
     from tidegrid.functions.segments import with_row_index
 
     base = trades.select("strategy_id", "trade_seq", "pnl_pct")
-    bucket = F.floor(F.col("trade_seq") / F.lit(array_limit))
+    bucket = F.floor(F.col("trade_seq") / F.lit(100_000))
     indexed = with_row_index(base, ["strategy_id"], ["trade_seq"], bucket, out="_idx", total="_n")
-    small = indexed.filter(F.col("_n") <= array_limit)
-    large = indexed.filter(F.col("_n") > array_limit)
-    return _small(small, sims, mode, seed, start).unionByName(_large(large, sims, mode, seed, start, block))
+    return _paths(indexed, sims, mode, seed, start, block)
 
 
 def monte_carlo_summary(

@@ -1002,14 +1002,16 @@ def _mc_trades(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def monte_carlo_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(montecarlo.simulate_equity(montecarlo.trade_returns(_mc_trades(spark, sf)), sims=200))
+    r = montecarlo.trade_returns(_mc_trades(spark, sf))
+    modes = [montecarlo.simulate_equity(r, mode=m).withColumn("mode", F.lit(m)) for m in ("bootstrap", "shuffle")]
+    return tidy(modes[0].unionByName(modes[1]))
 
 
 @query
 def monte_carlo_verdict(spark: SparkSession, sf: str) -> DataFrame:
     r = montecarlo.trade_returns(_mc_trades(spark, sf))
     counts = r.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("trades"))
-    return tidy(montecarlo.monte_carlo_summary(montecarlo.simulate_equity(r, sims=200), counts, min_trades=20))
+    return tidy(montecarlo.monte_carlo_summary(montecarlo.simulate_equity(r), counts, min_trades=20))
 
 
 @query

@@ -597,6 +597,24 @@ add("falsification_criteria", f"""{_PATH}, st as (select strategy_id, count(*) a
     f"""select strategy_id, trades, {rs('avg_pre_fee oos_avg_net oos_sharpe is_win_rate oos_win_rate profit_factor max_drawdown_pct')}, c1_trades, c2_sharpe, c3_net, c4_drawdown, c5_pre_fee,
   c6_wins, case when not c1_trades or oos_avg_net is null or is_win_rate is null then 'INCONCLUSIVE' when c2_sharpe and c3_net and c4_drawdown and c5_pre_fee and c6_wins then 'PRELIMINARY_PASS'
   else 'FAIL' end as verdict from c""")
+_DRAWS = f"""{_TT}, dy as (select strategy_id, date, avg(post) as pnl from tt group by strategy_id, date),
+  tr as (select strategy_id, 1 + pnl / 100 as f, row_number() over (partition by strategy_id order by date) - 1 as idx, count(*) over (partition by strategy_id) as n from dy),
+  pl as (select strategy_id, idx as place, n, f, sim, cast('0x' || substr(md5(concat_ws('|', 17, strategy_id, sim, idx)), 1, 15) as bigint) as h from tr, range(1000) as s(sim)),
+  dr as (select 'bootstrap' as mode, pl.strategy_id, sim, place as ord, 0 as tie, tr.f from pl join tr on pl.strategy_id = tr.strategy_id and tr.idx = pl.h % pl.n
+    union all select 'shuffle', strategy_id, sim, h, place, f from pl),
+  eq as (select mode, strategy_id, sim, ord, tie, 200 * product(f) over (partition by mode, strategy_id, sim order by ord, tie) as e from dr),
+  pk as (select *, greatest(200, max(e) over (partition by mode, strategy_id, sim order by ord, tie)) as peak from eq),
+  mc as (select mode, strategy_id, sim, case when min(e) <= 0 then 0 else arg_max(e, struct_pack(a := ord, b := tie)) end as final_equity,
+    case when min(e) <= 0 then 100 else max((peak - e) / peak) * 100 end as max_drawdown_pct from pk group by mode, strategy_id, sim)"""
+add("monte_carlo_paths", _DRAWS, f"select mode, strategy_id, sim, {rs('final_equity max_drawdown_pct')} from mc")
+add("monte_carlo_verdict", f"""{_DRAWS}, ag as (select strategy_id, count(*) as simulations, quantile_cont(final_equity, 0.05) as p5_final_equity,
+  quantile_cont(final_equity, 0.5) as median_final_equity, quantile_cont(final_equity, 0.95) as p95_final_equity, quantile_cont(max_drawdown_pct, 0.5) as median_max_drawdown_pct,
+  quantile_cont(max_drawdown_pct, 0.95) as p95_max_drawdown_pct, avg(case when final_equity < 200 then 1.0 else 0.0 end) * 100 as prob_final_below_start from mc where mode = 'bootstrap' group by strategy_id),
+  co as (select ag.*, trades, p5_final_equity > 200 as c1, p95_max_drawdown_pct < 25 as c2, prob_final_below_start < 5 as c3, trades >= 20 as c4
+    from ag join (select strategy_id, max(n) as trades from tr group by strategy_id) using (strategy_id))""",
+    f"""select strategy_id, simulations, {rs('p5_final_equity median_final_equity p95_final_equity median_max_drawdown_pct p95_max_drawdown_pct prob_final_below_start')}, trades,
+  c1 as cond_final_p5_gt_start, c2 as cond_dd_p95_lt_max, c3 as cond_prob_loss_lt_max, c4 as cond_trade_count_ok,
+  case when not c4 then 'INCONCLUSIVE' when c1 and c2 and c3 then 'PASS' else 'FAIL' end as verdict from co""")
 add("path_statistics", f"""{_TT}, pa as (select strategy_id, date, 200 + sum(post) as fe, max(value) as dd, count(*) as n from tt group by strategy_id, date),
   ag as (select strategy_id, count(*) as simulations, quantile_cont(fe, 0.05) as p5_final_equity, quantile_cont(fe, 0.5) as median_final_equity, quantile_cont(fe, 0.95) as p95_final_equity,
   quantile_cont(dd, 0.5) as median_max_drawdown_pct, quantile_cont(dd, 0.95) as p95_max_drawdown_pct, avg(case when fe < 200 then 1.0 else 0.0 end) * 100 as prob_final_below_start,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.segments import cut, ensure_index
 from tidegrid.operators.events import attach_context, detect_events, event_counts, first_cross
 from tidegrid.operators.features import FEATURE_COLUMNS, build_features, non_null_counts
-from tidegrid.operators.joins import asof_funding, asof_oi, dedupe_keep_first, join_state, mask_known_gaps
+from tidegrid.operators.joins import asof_funding, asof_oi, dedupe_keep_first, join_closes, join_state, mask_known_gaps
 from tidegrid.operators.leaderboard import build_leaderboard
 from tidegrid.operators.outcomes import build_outcomes, forward_universe
 from tidegrid.operators.regimes import build_regimes
@@ -232,3 +232,19 @@ def test_leaderboard(spark):
     assert e.mean_forward_return == 1 and e.median_forward_return == 1 and e.median_mfe == 5 and e.mfe_mae_ratio == 1
     assert e.hit_rate_at_zero == pytest.approx(2 / 3) and e.sharpe_like == pytest.approx(0.5) and e.mean_event_strength == 2.5
     assert got.loc["F", "count"] == 0 and pd.isna(got.loc["F", "median_mfe"])
+
+
+def test_unknown_timeframe_fails(spark):
+    bars = to_spark(spark, price_frame(40, timeframe="15m"))
+    with pytest.raises(Exception, match="no horizons for timeframe 15m"):
+        forward_universe(bars).collect()
+
+
+def test_closes_of_one_bar_must_agree(spark):
+    bars = to_spark(spark, price_frame(3)).drop("mark_close", "index_close")
+    key = bars.select("exchange", "symbol", "timeframe", "ts_open_ms")
+    mark, index = key.withColumn("mark_close", F.lit(1.0)), key.withColumn("index_close", F.lit(2.0))
+    same = join_closes(bars, mark.unionAll(mark), index).collect()
+    assert [(r.mark_close, r.index_close) for r in same] == [(1.0, 2.0)] * 3
+    with pytest.raises(Exception, match="several values of mark_close"):
+        join_closes(bars, mark.unionAll(mark.withColumn("mark_close", F.lit(9.0))), index).collect()

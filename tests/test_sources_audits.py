@@ -172,6 +172,9 @@ def test_gap_fill(spark):
     fixed, report = integrity.apply_gap_fill(series, back, want, ["s"], "t", bad)
     assert sorted((r.t, r.v) for r in fixed.collect()) == [(1, 1.0), (2, 2.0), (3, 3.0)]
     assert {(r.s, r.t): r.target_status for r in report.collect()} == {("A", 2): "ALREADY_PRESENT", ("A", 3): "RECOVERED", ("A", 4): "NOT_RETURNED", ("B", 3): "SCHEMA_FAIL"}
+    fixed, twice = integrity.apply_gap_fill(series.unionAll(series.limit(1)), back, want, ["s"], "t", bad)
+    assert {r.t: (r.target_status, r.inserted) for r in twice.filter("s = 'A'").collect()}[3] == ("VALIDATION_FAIL", False)
+    assert sorted(r.t for r in fixed.collect()) == [1, 1, 2]
     ok = spark.createDataFrame([("OK",)], "status string")
     r = integrity.gap_rollup(report, ok).first()
     assert (r.inserted, r.unresolved, r.status) == (1, 2, "PARTIAL")

@@ -137,3 +137,8 @@ def split_window(text: Column) -> tuple[Column, Column]:
     start = F.when(has, F.trim(F.substring_index(text, ":", 1))).otherwise(F.lit(""))
     end = F.when(has, F.trim(F.regexp_replace(text, r"^[^:]*:", ""))).otherwise(F.lit(""))
     return start, end
+
+
+def unknown_timeframe(what: str) -> Column:
+    """Fails the query with the timeframe that no table of parameters names."""
+    return F.raise_error(F.concat(F.lit(f"no {what} for timeframe "), F.coalesce("timeframe", F.lit("null"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.asof import AsofSide, asof_join
 from tidegrid.functions.rolling import Rolling, add_rolling, look_back
-from tidegrid.functions.scalars import bars_per, change, timeframe_ms
+from tidegrid.functions.scalars import bars_per, change, timeframe_ms, unknown_timeframe
 from tidegrid.functions.segments import Segments, cut, ensure_index
 from tidegrid.params import HOUR_MS, MINUTE_MS, SERIES_KEYS, FeatureParams, SegmentParams
 
@@ -110,7 +110,7 @@ def lag_by_span(name: str, seg: Segments, span_ms: int, timeframes: tuple[str, .
         step = max(_per_day(tf) // 24 * hours, 1)
         here = F.lag(name, step).over(seg.window())
         picked = F.when(F.col("timeframe") == tf, here) if picked is None else picked.when(F.col("timeframe") == tf, here)
-    return picked
+    return picked.otherwise(unknown_timeframe("lags"))
 
 
 def narrow_features(seg: Segments, p: FeatureParams, timeframes: tuple[str, ...]) -> Segments:

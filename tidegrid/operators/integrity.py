@@ -144,9 +144,13 @@ def apply_gap_fill(
     bad_schema: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(repaired series, report).  Exactly the wanted missing times are inserted; stored rows
-    are never overwritten, and of several recovered rows for one time the last one counts."""
+    are never overwritten, and of several recovered rows for one time the last one counts.  A
+    series that holds a time twice is not touched: what would be inserted is VALIDATION_FAIL."""
     key = [*by, ts]
-    report = gap_targets(series, recovered, targets, by, ts, bad_schema)
+    twice = series.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*by, F.lit(True).alias("_twice")).distinct()
+    report = gap_targets(series, recovered, targets, by, ts, bad_schema).join(twice, [*by], "left")
+    refused = F.col("_twice").isNotNull() & (F.col("target_status") == "RECOVERED")
+    report = report.withColumn("target_status", F.when(refused, "VALIDATION_FAIL").otherwise(F.col("target_status"))).drop("_twice")
     chosen = recovered.join(report.filter(F.col("target_status") == "RECOVERED").select(*key), key, "left_semi")
     rest = [c for c in series.columns if c not in key]
     order = F.col("payload_order") if "payload_order" in recovered.columns else F.struct(*rest)

@@ -72,14 +72,20 @@ def asof_crowding(
 def join_closes(bars: DataFrame, mark: DataFrame, index: DataFrame) -> DataFrame:
     """Mark and index closes of exactly the same bar.
 
-    Both closes come from one aggregate per bar instead of two joins.
+    Both closes come from one aggregate per bar instead of two joins.  A side holds one close per
+    bar (``dedupe_keep_first`` makes it so); different closes of one bar are an error.
     """
+
+    def only(name: str) -> Column:
+        found = F.when(F.min(name).eqNullSafe(F.max(name)), F.max(name))
+        return found.otherwise(F.raise_error(F.lit(f"several values of {name} for one bar"))).alias(name)
+
     key = [*SERIES_KEYS, "ts_open_ms"]
     closes = (
         mark.select(*key, "mark_close", F.lit(None).cast("double").alias("index_close"))
         .unionByName(index.select(*key, F.lit(None).cast("double").alias("mark_close"), "index_close"))
         .groupBy(*key)
-        .agg(F.max("mark_close").alias("mark_close"), F.max("index_close").alias("index_close"))
+        .agg(only("mark_close"), only("index_close"))
     )
     return bars.join(closes, key, "left")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalars import unknown_timeframe
 from tidegrid.functions.segments import Segments, cut, ensure_index
 from tidegrid.params import HORIZONS, SERIES_KEYS, SegmentParams
 
@@ -67,7 +68,7 @@ def outcome_columns(seg: Segments, horizons: dict[str, tuple[int, ...]] = HORIZO
         outcomes = F.array(*[F.col(f"_h{h}") for h in hs])
         cond = F.col("timeframe") == tf
         picked = F.when(cond, outcomes) if picked is None else picked.when(cond, outcomes)
-    seg = seg.with_columns({"_outcomes": picked})
+    seg = seg.with_columns({"_outcomes": picked.otherwise(unknown_timeframe("horizons"))})
     return seg.having(seg.df.drop(*[f"_h{h}" for h in longest]))
 
 
@@ -109,5 +110,5 @@ def forward_universe(
         pairs = F.array(*[F.struct(F.lit(f"h+{h}").alias("horizon"), F.col(f"_f{h}").alias("forward_return_pct")) for h in hs])
         cond = F.col("timeframe") == tf
         picked = F.when(cond, pairs) if picked is None else picked.when(cond, pairs)
-    long = seg.with_columns({"_pairs": picked}).owned().select(*SERIES_KEYS, "bar_idx", "ts_open_ms", F.inline("_pairs"))
+    long = seg.with_columns({"_pairs": picked.otherwise(unknown_timeframe("horizons"))}).owned().select(*SERIES_KEYS, "bar_idx", "ts_open_ms", F.inline("_pairs"))
     return long.filter(F.col("forward_return_pct").isNotNull())

@@ -123,9 +123,6 @@ def _draw(seed: int):
 
     def one(values: np.ndarray, counts: np.ndarray, rng) -> np.ndarray:
         size = len(values)
-        if counts.max(initial=0) > size:
-            # More draws than values: draw how often each value is hit.
-            return np.array([rng.multinomial(int(c), np.full(size, 1.0 / size)) @ values for c in counts])
         sums = np.zeros(len(counts))
         start = 0
         while start < len(counts):

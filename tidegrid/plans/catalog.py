@@ -47,7 +47,7 @@ from tidegrid.sources.tables import clip_window, funding_export, read_series, wr
 from tidegrid.streaming import streams as st
 
 # Cells of the driver's tables are small, hence lower thresholds than the defaults.
-STABILITY = StabilityParams(min_n=20, perms=200)
+STABILITY = StabilityParams(min_n=20)
 SELECTION = SelectionParams(min_n=20, min_n_ranking=10, min_hit=0.5)
 PAIR = ("click", "view")
 GAPS_MS = (1704103200000, 1704189600000)

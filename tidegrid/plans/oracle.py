@@ -364,7 +364,7 @@ add("walk_forward", f"{O1H}, {WF}", """select exchange, symbol, timeframe, event
   sign_stable_maker, fold1_n, fold2_n, fold3_n, verdict, """ + rs("full_mean full_net full_net_maker fold1_net fold2_net fold3_net fold1_net_maker fold2_net_maker fold3_net_maker") + " from wf")
 add("permutation_setup", f"""{O1H}, {WF}, u as (select symbol, 'h+' || h as horizon, count(*) as n_universe from f0 a, hz
   where exists (select 1 from f0 x where x.symbol = a.symbol and x.bar_idx = a.bar_idx + h) group by all)""", f"""select exchange, symbol, timeframe, event_type, horizon,
-  n_complete, cast(200 as bigint) as n_perms, coalesce(n_universe, 0) as n_universe, {r('full_mean', 'obs_mean')}, {r('full_net', 'obs_net')},
+  n_complete, cast(1000 as bigint) as n_perms, coalesce(n_universe, 0) as n_universe, {r('full_mean', 'obs_mean')}, {r('full_net', 'obs_net')},
   {r('full_net_maker', 'obs_net_maker')}, n_complete < 20 or coalesce(n_universe, 0) < n_complete as insufficient, true as p_in_range from wf left join u using (symbol, horizon)""")
 add("verdict_counts", f"{O1H}, {WF}", """select exchange, symbol, timeframe, count(*) filter (verdict = 'STABLE') as stable, count(*) as walk_forward_cells,
   count(*) filter (p_value <= 0.05) as passed, count(*) as permutation_cells from wf group by all""")

@@ -11,10 +11,10 @@ prefixes under all of them.
    Documents with equal sets are one node from then on, named by the signature.
 2. Tokens in one set only are dropped.
 3. Tokens held by few nodes give pairs.  A pair goes if the sizes are too different or if, under one
-   of the orders, it shares too few prefix tokens to be similar.  The rest are verified on the texts.
-4. Tokens held by many nodes give no pairs.  Their nodes fall into groups, groups into blocks of
-   bounded size and near sizes of sets; a task compares two blocks by set arithmetic on matrices.
-   It returns a spanning forest of the links it finds, never all of them.
+   of the orders, it shares too few prefix tokens to be similar.  Tokens held by many nodes give no pairs.
+4. The pairs that are left, and frequent tokens, join nodes to groups; large groups fall into blocks of
+   bounded size and near sizes of sets.  A task compares the texts of a group, or of two blocks, by
+   set arithmetic on matrices.  It returns a spanning forest of the links it finds, never all of them.
 5. Links join nodes, components are found with distributed rounds.
 
 Rows without an id take no part and get nulls.  Rows that repeat an id are one node; if their texts
@@ -143,19 +143,6 @@ def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return np.split(value, begin[1:-1]) if len(texts) else []
 
 
-def _verify(p: JaccardParams):
-    """Keeps the pairs whose texts are similar."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(pieces(batches, "text_a"), "text_b"):
-            keep = []
-            for x, y in zip(_sets(batch.column("text_a"), p.width), _sets(batch.column("text_b"), p.width), strict=True):
-                keep.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), p.hundredths))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return of
-
-
 def _forest(sets: list[np.ndarray], split: int, hundredths: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the first ``split`` sets and the rest (all, if 0).
 
@@ -249,22 +236,25 @@ def _small_pairs(tokens: DataFrame, p: JaccardParams) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def _cells(tokens: DataFrame, p: JaccardParams) -> DataFrame:
-    """``(node, grp, lo, hi, side)``: the pairs of blocks that a node with a frequent common token goes to.
+def _cells(tokens: DataFrame, pairs: DataFrame, nodes: DataFrame, p: JaccardParams) -> DataFrame:
+    """``(node, grp, lo, hi, side)``: the pairs of blocks that a node with candidates goes to.
 
-    Nodes of a group fall into bands of sizes, so that similar ones are in one band or in
-    neighbouring ones; a band with many nodes falls into blocks.
+    Candidate pairs and common frequent tokens make groups.  A small group is one block.  The nodes of a
+    larger one fall into bands of sizes, so that similar ones are in one band or in neighbouring
+    ones, and a band with many nodes into blocks.
     """
     often = tokens.where("ord = 0 and often")
-    star = often.join(often.groupBy("key").agg(F.min("node").alias("hub")), "key").select("node", "hub").distinct()
-    member = components(star, "node", "hub").select(F.col("id").alias("node"), F.col("component").alias("grp"))
+    star = often.join(often.groupBy("key").agg(F.min("node").alias("hub")), "key").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    member = cut_lineage(components(pairs.unionByName(star), "a", "b").select(F.col("id").alias("node"), F.col("component").alias("grp")))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.hundredths)))
-    member = cut_lineage(member.join(often.select("node", "n").distinct(), "node").select("node", "grp", band.alias("band")))
+    member = member.join(nodes.select("node", "n"), "node").join(member.groupBy("grp").agg(F.count("*").alias("all")), "grp")
+    member = cut_lineage(member.select("node", "grp", F.when(F.col("all") > p.block, band).otherwise(F.lit(0)).cast("long").alias("band")))
     size = member.groupBy("grp", "band").agg(F.ceil(F.count("*") / p.block).alias("k"))
     placed = member.join(size, ["grp", "band"]).select("node", "grp", F.struct("band", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).alias("block")).alias("mine"))
     beside = placed.withColumn("band", F.explode(F.array(*(F.col("mine.band") + d for d in (-1, 0, 1))))).join(size, ["grp", "band"])
-    pairs = beside.select("node", "grp", "mine", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.struct(F.col("band"), i.alias("block")))).alias("other"))
-    return pairs.select("node", "grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.struct(F.col("band"), i.alias("block")))
+    both = beside.select("node", "grp", "mine", F.explode(blocks).alias("other"))
+    return both.select("node", "grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
 
 def _texts(known: DataFrame, nodes: DataFrame, needed: DataFrame, p: JaccardParams) -> DataFrame:
@@ -290,22 +280,17 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     if not per_id.where("a <> b").isEmpty():
         largest = known.groupBy("id").agg(F.max("text").alias("text"))
         return rows.select("id").join(similar_groups(largest, "id", "text", p), "id", "left")
-    sets = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("two").alias("two"), F.max("two").alias("other"))
-    nodes = cut_lineage(sets.select("node", F.when(F.col("two") == F.col("other"), F.col("id")).otherwise(F.raise_error(F.lit("two sets have one signature"))).alias("id")))
-
-    pairs, cells = cut_lineage(_small_pairs(tokens, p)), cut_lineage(_cells(tokens, p))
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(cells.select("node")).distinct()
-    texts = _texts(known, nodes, needed, p)
-    side_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    side_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    verified = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_verify(p), "a long, b long")
-    in_blocks = cells.join(texts, "node").groupBy("grp", "lo", "hi").applyInArrow(_blocks(p), "a long, b long")
-    links = verified.unionByName(in_blocks)
+    sets = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("two").alias("two"), F.max("two").alias("other"))
+    nodes = cut_lineage(sets.select("node", "n", F.when(F.col("two") == F.col("other"), F.col("id")).otherwise(F.raise_error(F.lit("two sets have one signature"))).alias("id")))
+
+    cells = cut_lineage(_cells(tokens, cut_lineage(_small_pairs(tokens, p)), nodes, p))
+    texts = _texts(known, nodes, cells.select("node").distinct(), p)
+    links = cells.join(texts, "node").groupBy("grp", "lo", "hi").applyInArrow(_blocks(p), "a long, b long")
     for side in ("a", "b"):
         links = links.join(nodes.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)
     joined = components(links, "id_a", "id_b").withColumnRenamed("id", "first")
 
-    out = documents.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(nodes.withColumnRenamed("id", "first"), "node", "left").join(joined, "first", "left")
+    out = documents.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(nodes.select("node", F.col("id").alias("first")), "node", "left").join(joined, "first", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
     nameless = rows.where("id is null").select("id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)

@@ -33,6 +33,7 @@ from tidegrid.llm.common import pieces
 
 MAGIC = b"PAIRIDS1"
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+_PLAIN = re.compile(r" \S+")
 
 
 @dataclass(frozen=True)
@@ -185,6 +186,9 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
 
@@ -195,11 +199,19 @@ class _Words:
         for text in texts:
             head, *rest = _BOUNDARY.split(text)
             cut.append([head, *(" " + x for x in rest)] if text else [])
-        new = list({x for parts in cut for x in parts}.difference(self.known))
-        for a in range(0, len(new), 1 << 14):
-            part = new[a : a + (1 << 14)]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        new = {x for parts in cut for x in parts}.difference(self.known)
+        # Plain words are encoded many at a time: each begins with the only id of it that begins with a space.
+        plain = [x for x in new if _PLAIN.fullmatch(x)]
+        runs = [plain[a : a + 256] for a in range(0, len(plain), 256)]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            begin = np.flatnonzero(self.spaced[ids]).tolist()
+            raw = ids.tobytes()
+            for word, i, j in zip(run, begin, [*begin[1:], len(ids)], strict=True):
+                self.known[word] = raw[4 * i : 4 * j]
+        rest = [x for x in new if not _PLAIN.fullmatch(x)]
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(found.ids, "<u4").tobytes()
         known = self.known
         return [b"".join([known[x] for x in parts]) for parts in cut]
 

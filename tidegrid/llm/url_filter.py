@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules of a site list: what to do, and host/path.
@@ -32,7 +34,9 @@ BLOCKED = (
     "replica-watches.com/rolex", "fake-rolex.net/buy", "crack-keygen.org/serial", "warez-crack.com/download", "free-download-crack.net/exe",
     "phish-login.biz/bank", "account-verify-login.com/secure", "win-prize-free.com/claim", "free-iphone-win.net/claim", "miracle-diet.com/lose",
     "forex-profit.biz/rich", "get-rich-fast.com/now", "crypto-double.net/win", "cheap-viagra.org/pills", "pills-cheap.example.com/en/3",
-    "bets-free.example.net/es/2", "farm-spam.example.org/fr/9",
+    "bets-free.example.net/es/2", "farm-spam.example.org/fr/9", "www.cheap-pills.example.net/fr/9", "m.spam-farm.example.com/en/2",
+    "free-bets.example.org/de/3?page=2", "blog.adult-x.example.com/es/1", "casino-win.example.net/en/5.html", "ads-track.example.com/en/6#top",
+    "blog.casino-win.example.org/fr/61", "m.ads-track.example.net/es/7", "www.adult-x.example.org/en/825/", "spam-farm.example.net/de/44",
 )
 ALLOWED = (
     "www.city-library.org/en/12", "news.morning-post.com/world/3", "blog.garden-notes.net/en/44", "docs.open-math.org/de/7", "university.edu/research/9",
@@ -41,7 +45,7 @@ ALLOWED = (
     "science.daily-lab.net/en/88", "www.train-times.org/en/2", "maps.hill-walks.com/route/6", "books.reading-room.net/en/31", "the-harbour.com/en/1", "thethe.example.com/fr/825",
     "thinther.example.org/en/474", "blog.theran.example.net/en/25", "www.thertion.example.com/de/3", "m.inthe.example.net/es/8", "theror.example.com/en/676", "blog.tionthe.example.org/fr/12",
     "erthan.example.org/de/252", "reston.example.net/en/18", "www.thatthe.example.org/en/5", "andthere.example.com/fr/71", "m.onther.example.com/en/474.html", "hathe.example.org/es/575",
-    "health.gov/advice/3", "parliament.org/en/4", "sport.local-news.com/results", "www.wood-craft.net/en/9", "plants.botany.edu/list/2", "photo.mountain-club.org/de/1",
+    "health.gov/advice/3", "parliament.org/en/4", "sport.local-news.com/results", "www.wood-craft.net/en/9", "plants.botany.edu/list/2", "ththou.example.net/es/66", "thouthe.example.com/en/8", "photo.mountain-club.org/de/1",
     "api.data-tools.net/en/guide", "www.court-records.org/fr/8", "bakery.small-town.com/", "farm-museum.org/en/3", "free-university.org/en/6", "adult-education.org/courses/2",
 )
 
@@ -50,9 +54,9 @@ ALLOWED = (
 class UrlParams:
     features: int = 1 << 12
     sizes: tuple[int, ...] = (3, 4, 5)
-    steps: int = 200
-    rate: float = 2.0
-    decay: float = 0.002
+    steps: int = 400
+    rate: float = 4.0
+    decay: float = 0.0005
 
 
 def _parts(url: str | Column, group: int) -> Column:
@@ -102,13 +106,14 @@ def train(labelled: DataFrame, params: UrlParams | None = None) -> list[float]:
     found = features(F.col("host"), F.col("path"), p)
     each = labelled.select("number", "y", F.explode(found).alias("f"), F.size(found).alias("m"))
     value = (F.count("*") / F.sqrt(F.first("m"))).alias("v")
-    x = each.groupBy("number", "y", "f").agg(value)
+    x = cut_lineage(each.groupBy("number", "y", "f").agg(value))
     products = x.select(F.col("number").alias("i"), "f", F.col("v").alias("vi")).join(x.select(F.col("number").alias("j"), "f", F.col("v").alias("vj")), "f")
     products = products.groupBy("i", "j").agg((F.sum(F.col("vi") * F.col("vj"))).alias("k"))
     row = products.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "k"))).alias("k"))
     one = labelled.join(row, labelled["number"] == row["i"]).agg(F.sort_array(F.collect_list(F.struct("number", "y", "k"))).alias("t"))
     dense = F.transform("t", lambda r: F.transform("t", lambda o: F.coalesce(F.map_from_entries(r["k"])[o["number"]], F.lit(0.0)) + 1.0))
-    one = one.select(F.col("t.number").alias("number"), F.col("t.y").alias("y"), dense.alias("k"))
+    # A table, so that the products are not computed again in every step.
+    one = cut_lineage(one.select(F.col("t.number").alias("number"), F.col("t.y").alias("y"), dense.alias("k")))
     zeros = F.transform("y", lambda _: F.lit(0.0))
 
     def step(alpha: Column, _: Column) -> Column:
@@ -118,7 +123,7 @@ def train(labelled: DataFrame, params: UrlParams | None = None) -> list[float]:
 
         return F.transform(alpha, next_value)
 
-    solved = one.select("number", F.aggregate(F.sequence(F.lit(1), F.lit(p.steps)), zeros, step).alias("alpha"))
+    solved = cut_lineage(one.select("number", F.aggregate(F.sequence(F.lit(1), F.lit(p.steps)), zeros, step).alias("alpha")))
     alpha = solved.select(F.explode(F.arrays_zip("number", "alpha")).alias("z")).select("z.number", "z.alpha")
     weight = x.join(alpha, "number").groupBy("f").agg(F.sum(F.col("v") * F.col("alpha")).alias("w"))
     constant = alpha.agg(F.lit(p.features).alias("f"), F.sum("alpha").alias("w"))

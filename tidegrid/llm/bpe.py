@@ -105,7 +105,7 @@ def _encode_word(word: Column, ranks: Column) -> Column:
 class Encoder:
     """Ranks, the pattern that cuts words, and a dictionary of frequent words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary_words: int = 1 << 17, sample_rows: int = 8192) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary_words: int = 1 << 15, sample_rows: int = 4096) -> None:
         if set(range(256)) - {k[0] for k in ranks if len(k) == 1}:
             raise ValueError("not byte-level: a byte has no rank")
         self.pattern = java_pattern(pattern)

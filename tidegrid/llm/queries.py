@@ -97,4 +97,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_files,
     )
 }
-ORACLE: dict[str, str] = {}
+_VECTORS = """v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null
+  and embedding is not null and len(embedding) > 0 and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true))"""
+_REACH = """reach as (select i, i as r from node union select reach.i, link.b from reach join link on reach.r = link.a),
+  comp as (select i, min(r) as component_id from reach group by i)"""
+
+ORACLE: dict[str, str] = {
+    "op1_cover_tree_near_dedup": f"""with recursive {_VECTORS}, node as (select vec_id as i from embeddings),
+  u as (select * from v where label is not null and list_dot_product(e, e) > 0),
+  link as (select x.vec_id as a, y.vec_id as b from u x join u y on x.label = y.label and len(x.e) = len(y.e) and x.vec_id <> y.vec_id
+    where list_cosine_similarity(x.e, y.e) >= 0.93), {_REACH}, n as (select a, count(*) as n_links from link group by a)
+  select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join comp on vec_id = i left join n on vec_id = a""",
+    "op4_voronoi_knn": f"""with {_VECTORS}, w as (select vec_id, list_transform(e, lambda x: floor(64 * x)) as e from v),
+  s as (select q.vec_id as query_id, d.vec_id, cast(list_dot_product(q.e, d.e) as bigint) as score from w q join w d on q.vec_id <> d.vec_id and len(q.e) = len(d.e)
+    where q.vec_id % 20 = 0), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+  select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op6_ngram_jaccard_join": f"""with recursive node as (select doc_id as i from documents),
+  w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+  g as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as gs from w),
+  t as (select doc_id, len(gs) as n, unnest(gs) as t from g), many as (select t from t group by t having count(*) > 1),
+  m as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as c from t x join many using (t) join t y using (t) where x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+  link as (select a, b from m where 100 * c >= 80 * (na + nb - c)), {_REACH}
+  select doc_id, len(gs) as n_shingles, component_id from g join comp on doc_id = i""",
+}

@@ -37,7 +37,7 @@ from tidegrid.llm.bytestrings import U, mix, utf8
 from tidegrid.llm.common import CELL_BITS, by_frequency, count_cells, frequency_levels, pieces, recurring, signed
 from tidegrid.session import cut_lineage
 
-_POS_BITS = 23
+_POS_BITS = 21
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def sampled(raw: np.ndarray, at: np.ndarray, levels: np.ndarray, p: DedupParams) -> tuple[np.ndarray, ...]:
     """Runs of strings with one sampled position: row, position, first and last start (all in ``raw``), key."""
     parts = []
-    step = 1 << 22
+    step = 1 << 20
     for base in range(0, max(1, len(raw)), step):
         text = raw[base : base + step + p.length - 1]
         starts = min(step, len(text) - p.length + 1)

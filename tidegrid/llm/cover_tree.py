@@ -192,11 +192,19 @@ def near_duplicates(rows: DataFrame, params: CosineParams | None = None) -> Data
     spark = rows.sparkSession
     theta = float(np.arccos(p.at_least))
     taken = rows.select("vec_id", "label", doubles("embedding").alias("v"))
-    norm = F.sqrt(dot(F.col("v"), F.col("v")))
     good = taken.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & is_finite("v"))
-    good = good.withColumn("scale", F.array_max(F.transform("v", F.abs))).where("scale > 0")
-    good = good.withColumn("v", F.transform("v", lambda x: x / F.col("scale")))
-    good = good.withColumn("norm", norm).select("vec_id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    good = good.where(F.array_max(F.transform("v", F.abs)) > 0)
+
+    def once(value, body):
+        """``body`` of a value that is not computed again for each component."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def unit(v):
+        return once(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: x / n))
+
+    largest = F.array_max(F.transform("v", F.abs))
+    scaled = once(largest, lambda m: F.transform("v", lambda x: x / m))
+    good = cut_lineage(good.select("vec_id", "label", once(scaled, unit).alias("v")))
     points = good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"))
     points = cut_lineage(points.select("id", F.col("label").cast("string").alias("label"), "v", "times", F.monotonically_increasing_id().alias("point")))
 

@@ -231,6 +231,18 @@ def test_main_text(spark):
     assert html_main_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_main_text_counts_every_subtree_on_a_large_host(spark):
+    notice, box = "<div>Open all days</div>", "<div>Write to us</div>"
+    rows = [(i, f"http://h.org/{i}", f"<div><p>text {i}</p></div>" + (notice if i < 3 else "")) for i in range(60)]
+    # On pages with an article, and in what the fixed rules drop, the same subtree is evidence too.
+    rows += [(100, "http://a.org/", page("<article><p>x</p></article>", box)), (101, "http://a.org/", page("<article><p>y</p></article>", f"<aside>{box}</aside>"))]
+    rows += [(102, "http://a.org/", f"<p>z</p>{box}"), (103, "http://b.org/", f"<p>z</p>{box}")]
+    found = html_main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in found.collect()}
+    assert all(got[i] == f"text {i}" for i in range(60))
+    assert [got[100 + k] for k in range(4)] == ["x", "y", "z", "z\nWrite to us"]
+
+
 def test_main_text_of_given_pages(spark, sf):
     import html as h
     import re

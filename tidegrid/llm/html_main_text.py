@@ -1,13 +1,15 @@
 """Main text of web pages: fixed boilerplate and site templates go, the article stays.
 
 Each page is read once into its blocks of text.  With each block go the hashes of the element
-subtrees (name, attributes, content) that hold it.  Per host, Spark counts in how many pages each
-subtree occurs, where pages with the same main text count once, so copies of an article are no
-template.  Subtrees that recur on many pages of their host are deleted: blocks inside them go.
+subtrees (name, attributes, content) that hold it.  Per host, Spark counts on how many pages each
+subtree of the page occurs, where pages with the same main text count once, so copies of an article
+are no template.  Subtrees on a fixed number of pages of their host are deleted, however many pages
+the host has: blocks inside them go.
 
-Fixed rules drop what is boilerplate by its name, class, id or role, and keep to ``article`` or ``main``
-elements if a page has any.  Inside these, headings, paragraphs, lists, tables and quotes are the
-article itself and are not counted; other elements are.
+Fixed rules also drop what is boilerplate by its name, class, id or role, and keep to ``article`` or ``main``
+elements if a page has any.  Subtrees that these rules drop are counted like others, so they tell of
+equal ones elsewhere.  Inside ``article`` or ``main``, headings, paragraphs, lists, tables and quotes
+are the article itself and are not counted; other elements are.
 
 Null pages and urls are empty.  Pages are told apart by their row, so repeated ids do no harm.
 """
@@ -57,9 +59,8 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class TemplateParams:
-    #: A subtree is part of a template if it is on so many pages of its host, and on this share of them.
+    #: A subtree is part of a template if it is on so many different pages of its host.
     pages: int = 3
-    share: float = 0.1
 
 
 class _Element:
@@ -81,12 +82,16 @@ def _boilerplate(name: str, attributes: dict[str, str], inside_main: bool) -> bo
     return any(BOILERPLATE.intersection(_NAME.findall(attributes.get(k, "").lower())) for k in ("class", "id", "role"))
 
 
-def read_blocks(page: str) -> list[tuple[str, list[int], bool]]:
-    """Blocks in page order: text, hashes of the subtrees around it, and whether it lies in an article or main element."""
+def read_blocks(page: str) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
+    """Blocks in page order: text, hashes of the subtrees around it, and whether it lies in an article or main element.
+
+    Beside them the hashes of all counted subtrees of the page, also of those without a block.
+    """
     stack: list[_Element] = []
     blocks: list[list] = []  # text parts, elements around, in main
     around: tuple[_Element, ...] = ()
     text: list[str] = []
+    trees: set[int] = set()
 
     def end_block() -> None:
         joined = " ".join("".join(text).split())
@@ -98,6 +103,7 @@ def read_blocks(page: str) -> list[tuple[str, list[int], bool]]:
         e = stack.pop()
         if e.counted:
             e.mark = int.from_bytes(e.digest.digest(), "big", signed=True)
+            trees.add(e.mark)
         if stack:
             stack[-1].digest.update(e.digest.digest())
 
@@ -158,22 +164,23 @@ def read_blocks(page: str) -> list[tuple[str, list[int], bool]]:
     end_block()
     while stack:
         pop()
-    return [(t, [e.mark for e in elements], main) for t, elements, main in blocks]
+    return [(t, [e.mark for e in elements], main) for t, elements, main in blocks], sorted(trees)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html", 1 << 20):
-        out, digests = [], []
+        out, digests, counted = [], [], []
         for page in batch.column("html").to_pylist():
-            blocks = read_blocks(page or "")
+            blocks, trees = read_blocks(page or "")
             if any(main for _, _, main in blocks):
                 blocks = [b for b in blocks if b[2]]
+            counted.append(trees)
             out.append([{"text": t, "inside": marks} for t, marks, _ in blocks])
             joined = "\n".join(t for t, _, _ in blocks).encode("utf-8", "surrogatepass")
             digests.append(int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "big", signed=True))
         kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))
         rest = [c for c in batch.schema.names if c != "html"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, kind), pa.array(digests, pa.int64())], [*rest, "blocks", "main"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, kind), pa.array(counted, pa.list_(pa.int64())), pa.array(digests, pa.int64())], [*rest, "blocks", "trees", "main"])
 
 
 def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), params: TemplateParams | None = None) -> DataFrame:
@@ -183,14 +190,16 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), para
     p = params or TemplateParams()
     taken = pages.select(*(F.col(f"`{c}`") for c in keep), host_of("url").alias("_host"), "html")
     block = T.StructType([T.StructField("text", T.StringType()), T.StructField("inside", T.ArrayType(T.LongType()))])
-    fields = [taken.schema[c] for c in (*keep, "_host")] + [T.StructField("blocks", T.ArrayType(block)), T.StructField("main", T.LongType())]
+    fields = [taken.schema[c] for c in (*keep, "_host")] + [T.StructField("blocks", T.ArrayType(block)), T.StructField("trees", T.ArrayType(T.LongType())), T.StructField("main", T.LongType())]
     read = cut_lineage(taken.mapInArrow(_read, T.StructType(fields)).withColumn("_row", F.monotonically_increasing_id()))
 
-    inside = read.select("_row", "_host", "main", F.explode(F.array_distinct(F.flatten("blocks.inside"))).alias("tree"))
-    sites = read.select("_host", "main").distinct().groupBy("_host").agg(F.count("*").alias("n"))
-    trees = inside.select("_host", "tree", "main").distinct().groupBy("_host", "tree").agg(F.count("*").alias("on"))
-    templates = trees.where(F.col("on") >= p.pages).join(sites, "_host").where(F.col("on") >= F.col("n") * p.share).select("_host", "tree")
+    inside = read.select("_row", "_host", F.explode(F.array_distinct(F.flatten("blocks.inside"))).alias("tree"))
+    trees = read.select("_host", F.explode("trees").alias("tree"), "main").distinct().groupBy("_host", "tree").agg(F.count("*").alias("on"))
+    templates = trees.where(F.col("on") >= p.pages).select("_host", "tree")
     hit = inside.join(templates, ["_host", "tree"]).groupBy("_row").agg(F.collect_set("tree").alias("gone"))
+    # Pages whose blocks lie in no counted subtree lose nothing; they are not shuffled.
+    held = F.exists("blocks", lambda b: F.size(b["inside"]) > 0)
+    open_pages = read.where(held).join(hit, "_row", "left").unionByName(read.where(~held), allowMissingColumns=True)
     rest = F.filter("blocks", lambda b: ~F.arrays_overlap(b["inside"], F.coalesce("gone", F.array().cast("array<bigint>"))))
     text = F.array_join(F.transform(rest, lambda b: b["text"]), "\n")
-    return read.join(hit, "_row", "left").select(*(F.col(f"`{c}`") for c in keep), text.alias("text"))
+    return open_pages.select(*(F.col(f"`{c}`") for c in keep), text.alias("text"))

@@ -119,6 +119,17 @@ def test_language_held_out_and_mixed_text(spark, sf):
     assert {r.lang_pred for r in language.identify(some, nothing, keep=("k",)).collect()} == {"und"}
 
 
+def test_language_copies_do_not_starve_the_sample(spark):
+    texts = [f"{a} {b}" for a in ("alpha", "beta", "gamma", "delta") for b in ("eins", "zwei", "drei", "vier", "acht")]
+    once = spark.createDataFrame([(t, "xx") for t in texts] + [("solo", "yy")], "text string, lang string")
+    copies = once.unionByName(spark.range(20_000).select(F.lit("copied words").alias("text"), F.lit("xx").alias("lang")))
+    params = language.LanguageParams(sample_rows=50)
+    want = language.learn(once.unionByName(spark.createDataFrame([("copied words", "xx")], once.schema)), params)
+    got = language.learn(copies, params)
+    assert got.languages == want.languages == ["xx", "yy"]
+    np.testing.assert_array_equal(got.table, want.table)
+
+
 def test_best_path_is_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(50):

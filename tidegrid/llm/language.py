@@ -1,7 +1,7 @@
 """Language identification with spans: scripts, then words, then a best path.
 
 Learning: letter trigrams (within a word, white space as its border) are hashed to a table of
-fixed size and counted per language over a bounded sample of labelled rows; the shares of
+fixed size and counted per language over a bounded sample of different labelled texts; the shares of
 scripts in each language's letters are counted too.
 
 Prediction, on whole texts: the script of a word's letters narrows the languages to those in
@@ -44,7 +44,7 @@ NAMES = sorted({name for _, name in SCRIPTS})
 
 @dataclass(frozen=True)
 class LanguageParams:
-    #: Labelled rows to learn from, at most about so many for each language.
+    #: Different labelled texts to learn from, at most about so many for each language.
     sample_rows: int = 3000
     #: Cells of the trigram table.
     table_bits: int = 16
@@ -111,13 +111,15 @@ def _count(bits: int):
 
 
 def learn(labelled: DataFrame, params: LanguageParams | None = None) -> LanguageModel:
-    """A model from ``(text, lang)``; which rows of a language are in the sample depends on their content alone."""
+    """A model from ``(text, lang)``; copies count once, and which texts of a language are in the sample depends on their content alone."""
     p = params or LanguageParams()
     rows = labelled.where("text is not null and lang is not null")
-    per = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    key = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)
+    hashed = F.xxhash64("text", "lang")
+    # Texts are counted by their hashes; only those in the sample are shuffled.
+    per = rows.select("lang", hashed.alias("hash")).distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    key = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
     # One row per language, as the model has; it may be broadcast.
-    sample = rows.join(F.broadcast(per), "lang").where(key * F.col("rows") < p.sample_rows).select("text", "lang")
+    sample = rows.join(F.broadcast(per), "lang").where(key * F.col("texts") < p.sample_rows).select("text", "lang").distinct()
     counted = sample.mapInArrow(_count(p.table_bits), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     found = counted.toPandas()  # the model: languages x cells, whatever the size of the corpus
     languages = sorted(found.lang.unique().tolist(), key=lambda x: x.encode())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -62,6 +63,21 @@ def test_token_files_come_back(spark, tmp_path):
     assert token_files.read_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_hold_added_tokens_like_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["foo bar<|endoftext|> baz", "<|endoftext|>", "a  <|endoftext|>  <|endoftext|><|endoftext|>\nb c", "no token <|endoftext", *[t or "" for t in ODD]]
+    os.mkdir(tmp_path / "sf")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    got = queries.QUERIES["op10_token_files"](spark, str(tmp_path / "sf")).orderBy("doc_id").collect()
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert want[0] == [21943, 2318, 50256, 275, 1031, 0]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+    assert [r.start for r in got] == [sum(map(len, want[:k])) for k in range(len(want))]
+
+
 def test_pairing_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for _ in range(100):

@@ -77,7 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as definition:
-        token_files.write_files(_table(spark, sf_dir, "documents"), path, definition.read())
+        token_files.write_files(_table(spark, sf_dir, "documents"), path, definition.read(), params=token_files.FileParams(added_tokens=True))
     read = token_files.read_files(spark, path)
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -47,6 +47,8 @@ class FileParams:
     least: int = 16
     #: Words whose ids a task remembers.
     remembered: int = 1 << 19
+    #: Whether added tokens of the tokenizer that stand in a text are one id, as the library has it, or spelt out.
+    added_tokens: bool = False
     end: int = 0
 
 
@@ -175,17 +177,21 @@ class _Words:
 
     No word of its pattern goes over a space between two other characters, and what stands before
     and after such a space is cut alike with and without the other.  So texts are cut
-    there, and each different part is encoded once.
+    there, and each different part is encoded once.  A text that holds an added token is encoded as it is.
     """
 
-    def __init__(self, definition: str, remembered: int) -> None:
+    def __init__(self, definition: str, remembered: int, added_tokens: bool) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # Special ones are spelt out by this switch; others never are.
+        self.tokenizer.encode_special_tokens = not added_tokens
+        found = [re.escape(t.content) for t in added if added_tokens or not t.special]
+        self.added = re.compile("|".join(found)) if found else None
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
@@ -195,8 +201,12 @@ class _Words:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.known.clear()
-        cut = []
-        for text in texts:
+        cut: list[list[str]] = []
+        whole = {k for k, text in enumerate(texts) if self.added and self.added.search(text)}
+        for k, text in enumerate(texts):
+            if k in whole:
+                cut.append([])
+                continue
             head, *rest = _BOUNDARY.split(text)
             cut.append([head, *(" " + x for x in rest)] if text else [])
         new = {x for parts in cut for x in parts}.difference(self.known)
@@ -213,12 +223,13 @@ class _Words:
         for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[word] = np.array(found.ids, "<u4").tobytes()
         known = self.known
-        return [b"".join([known[x] for x in parts]) for parts in cut]
+        alone = {k: np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes() for k in whole}
+        return [alone[k] if k in whole else b"".join([known[x] for x in parts]) for k, parts in enumerate(cut)]
 
 
 def _write(definition, terminals: int, p: FileParams):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(definition.value, p.remembered)
+        words = _Words(definition.value, p.remembered, p.added_tokens)
         partition = TaskContext.get().partitionId()
         end = np.array([p.end], "<u4").tobytes()
         codes: list[bytes] = []
@@ -253,8 +264,8 @@ def write_files(docs: DataFrame, path: str, definition: str, id_column: str = "d
     import json
 
     p = params or FileParams()
-    model = json.loads(definition)["model"]["vocab"]
-    terminals = max(model.values()) + 1
+    described = json.loads(definition)
+    terminals = max([*described["model"]["vocab"].values(), *(t["id"] for t in described.get("added_tokens") or [])]) + 1
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     shared = docs.sparkSession.sparkContext.broadcast(definition)

@@ -112,6 +112,21 @@ def test_suffix_dedup_is_brute_force(spark, sf, part):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_spreads_one_long_run(spark):
+    import pyarrow as pa
+
+    n, p = 20_000, suffix_dedup.DedupParams(part=1000)
+    key, spot, parts = [7] * n, [(k << 16) | (0 << 8) | 0 for k in range(n)], [n // p.part] * n
+    spots = pa.StructArray.from_arrays([pa.array(key), pa.array(spot), pa.array(parts)], ["key", "spot", "parts"])
+    lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), spots)
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([" " * (n + 99)]), lists], ["id", "text", "spots"])
+    part = np.concatenate([np.asarray(b.column("part")) for b in suffix_dedup._contexts(p)([batch])])
+    assert len(part) == n and np.bincount(part).max() < 1.5 * p.part
+    docs = spark.createDataFrame([(1, "-" * n), (2, "ab" * 2000 + "-" * 150)], "doc_id long, text string")
+    got = {r.id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, params=p).collect()}
+    assert got == {1: (n - 1, b"-"), 2: (4148, b"ab")}
+
+
 def test_suffix_dedup_repeated_ids(spark):
     same = "".join(f"{i}," for i in range(1000, 1036))
     docs = spark.createDataFrame([(1, same), (1, same), (2, same), (3, "short"), (3, "long text")], "doc_id long, text string")

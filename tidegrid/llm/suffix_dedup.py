@@ -15,8 +15,8 @@ those whose 24 bytes occur once in the corpus can be dropped before anything is
 4. Every other position is merged in through its sampled one: it is (the bytes before the sample,
    the name of the suffix at it), at its distance.  Adjacent entries that agree in these are equal
    strings; all but the earliest are marked.
-5. Positions whose 24 bytes are very frequent are first compared in parts; what is
-   earliest in its part is compared again.
+5. Positions whose 24 bytes are very frequent, in many documents or in one, are first compared
+   in parts; what is earliest in its part is compared again, all of a key together.
 6. Marked strings are joined to spans per document and cut out.
 
 A null text is empty.  A row without an id has no place in the order: it is not compared and stays whole.
@@ -116,6 +116,17 @@ def sampled(raw: np.ndarray, at: np.ndarray, levels: np.ndarray, p: DedupParams)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _blocks(row: np.ndarray, key: np.ndarray, spot: np.ndarray, p: DedupParams) -> np.ndarray:
+    """The positions of a key in one text numbered in blocks of a quarter of a part; the first block is 0."""
+    order = np.lexsort((spot, key, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])
+    at = np.arange(len(order))
+    out = np.empty(len(order), U)
+    out[order] = ((at - np.maximum.accumulate(np.where(new, at, 0))) // max(1, p.part // 4)).astype(U)
+    return out
+
+
 def _positions(levels, p: DedupParams):
     """``key, id, spot, often, salt``: the spot packs the position and the starts of its strings.
 
@@ -130,7 +141,7 @@ def _positions(levels, p: DedupParams):
             begin = at[:-1][row]
             spot = ((place - begin) << 16) | ((place - first) << 8) | (last - first)
             often = levels.value[(key >> U(64 - CELL_BITS)).astype(np.int64)] >= p.frequent
-            salt = np.where(often, -1 - (mix(ids[row].view(U)) & U(1023)).astype(np.int64), 0)
+            salt = np.where(often, -1 - ((mix(ids[row].view(U)) + _blocks(row, key, spot, p)) & U(1023)).astype(np.int64), 0)
             columns = [pa.array(signed(key)), pa.array(ids[row]), pa.array(spot), pa.array(often), pa.array(salt)]
             yield pa.RecordBatch.from_arrays(columns, ["key", "id", "spot", "often", "salt"])
 
@@ -150,6 +161,8 @@ def _contexts(p: DedupParams):
             packed = np.asarray(spot)
             first = at[:-1][row] + (packed >> 16) - ((packed >> 8) & 255)
             size = (packed & 255) + p.length
+            # A text with few positions of a key is in one part; blocks of many go round the parts.
+            block = _blocks(row, np.asarray(key), packed, p)
             # Some thousand spots at a time.
             for a in range(0, len(row), 1 << 14):
                 b = min(a + (1 << 14), len(row))
@@ -158,7 +171,7 @@ def _contexts(p: DedupParams):
                 offsets = np.concatenate(([0], ends)).astype(np.int32)
                 seg = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(raw[take])])
                 ids = np.asarray(batch.column("id"), np.int64)[row[a:b]]
-                salt = mix(ids.view(U) + U(11)) % np.asarray(parts.slice(a, b - a), np.int64).astype(U)
+                salt = (mix(ids.view(U) + U(11)) + block[a:b]) % np.asarray(parts.slice(a, b - a), np.int64).astype(U)
                 yield pa.RecordBatch.from_arrays(
                     [key.slice(a, b - a), pa.array(salt.astype(np.int64)), parts.slice(a, b - a), pa.array(ids), pa.array(packed[a:b]), seg, pa.nulls(b - a, pa.binary())],
                     ["key", "part", "parts", "id", "spot", "seg", "open"],

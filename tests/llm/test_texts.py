@@ -305,6 +305,14 @@ def test_queries_digest_what_operators_give(spark, sf):
     assert all(b.start == a.start + a.n_tokens for a, b in zip(files, files[1:], strict=False))
 
 
+def test_pipeline_tells_wrong_bytes_of_equal_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "hello", "en", "s", 5), (2, "jello", "en", "s", 5), (3, None, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    right = bpe.Encoder.encode
+    assert all(r.decodes for r in corpus_pipeline.encoded(spark, docs, "").collect())
+    monkeypatch.setattr(bpe.Encoder, "encode", lambda *a, **k: right(*a, **k).withColumn("decoded", F.when(F.length("decoded") > 0, F.lit(b"hello")).otherwise(F.col("decoded"))))
+    assert {r.doc_id: r.decodes for r in corpus_pipeline.encoded(spark, docs, "").collect()} == {1: True, 2: False, 3: True}
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = [(10**6, None, "en", "s", 0), (10**6 + 1, "12 34", None, None, 5), (None, "words without an id in the table", "en", "s", 32)]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, cover_tree, html_main_text, knn_join, language, mixing, ngram_join, suffix_dedup, token_files, url_filter
+from tidegrid.llm import bpe, cover_tree, html_main_text, knn_join, language, mixing, ngram_join, suffix_dedup, token_files, trie_bpe, url_filter
 from tidegrid.session import cut_lineage, shared_folder
 
 
@@ -82,6 +82,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as read:
+        definition = read.read()
+    coded = trie_bpe.encode(_table(spark, sf_dir, "documents"), definition)
+    decoded = trie_bpe.decode(coded, definition, keep=("doc_id", "ids"))
+    return decoded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_language_id,
         op10_token_files,
+        op11_trie_bpe,
     )
 }
 _VECTORS = """v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null

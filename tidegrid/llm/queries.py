@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, cover_tree, html_main_text, knn_join, language, mixing, ngram_join, suffix_dedup, token_files, trie_bpe, url_filter
+from tidegrid.llm import bpe, collocations, cover_tree, html_main_text, knn_join, language, mixing, ngram_join, suffix_dedup, token_files, trie_bpe, url_filter
 from tidegrid.session import cut_lineage, shared_folder
 
 
@@ -95,6 +95,11 @@ def op11_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.graph(_table(spark, sf_dir, "documents"))
+    return collocations.collocations(found).withColumnRenamed("group", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_token_files,
         op11_trie_bpe,
+        op12_collocations,
     )
 }
 _VECTORS = """v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null
@@ -133,4 +139,18 @@ ORACLE: dict[str, str] = {
   m as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as c from t x join many using (t) join t y using (t) where x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
   link as (select a, b from m where 100 * c >= 80 * (na + nb - c)), {_REACH}
   select doc_id, len(gs) as n_shingles, component_id from g join comp on doc_id = i""",
+    "op12_collocations": """with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+  w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as ws from p),
+  t as (select lang, sum(len(ws)) as n from w group by lang),
+  g as (select lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i : i + k - 1])))) as g from w),
+  f as (select lang, g, count(*) as a from g group by lang, g having count(*) >= 100),
+  longer as (select lang, g[: len(g) - 1] as g, a from f where len(g) > 2 union select lang, g[2 :], a from f where len(g) > 2),
+  kept as (select * from f where len(g) > 1 and not exists (select 1 from longer where longer.lang = f.lang and longer.g = f.g and longer.a = f.a)),
+  cut as (select lang, g, a, unnest(range(1, len(g))) as k from kept),
+  s as (select cut.lang, cut.g, cut.a, k, x.a as l, y.a as r, t.n, (1000::hugeint * cut.a * t.n) // (x.a::hugeint * y.a) as score
+    from cut join t using (lang) join f x on x.lang = cut.lang and x.g = cut.g[: k] join f y on y.lang = cut.lang and y.g = cut.g[k + 1 :]),
+  low as (select *, row_number() over (partition by lang, g order by score, k) as c from s),
+  r as (select lang, array_to_string(g, ' ') as phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from low where c = 1),
+  o as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from r)
+  select * from o where rank <= 2000""",
 }

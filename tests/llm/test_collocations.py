@@ -43,7 +43,7 @@ def rows_of(seed):
         text = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", " \x1c "]) for _ in range(rnd.randrange(1, 25)))
         rows.append((text.upper() if rnd.random() < 0.2 else text, rnd.choice(["en", "en", None, "de", "und"])))
     long = " ".join(rnd.choice(["rare%d" % i for i in range(50)]) for _ in range(40))
-    return rows + [(f"start {i}, {long} of", "fr") for i in range(12)] + [("the of " * 400, "en")] + [("a b c", "en")] * 30
+    return rows + [(f"start {i}, {long} of", "fr") for i in range(12)] + [("the of " * 400, "en")] + [("a b c", "en")] * 30 + [("en de und", "en"), ("de en und", "de"), ("und en de", None)] * 9
 
 
 @pytest.mark.parametrize("p", [CollocationParams(least=4), CollocationParams(least=9, longest=3, top=5), CollocationParams(least=1, longest=7, top=100000)])

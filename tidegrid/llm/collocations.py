@@ -85,7 +85,7 @@ class _Text:
         self.joined[1:] = (np.diff(cuts) == 0) & (np.diff(self.row) == 0)
         group, where = utf8(batch.column("group"))
         self.group = word_hashes(group, where[:-1], where[1:]) if len(where) > 1 else np.zeros(0, U)
-        key = mix(word_hashes(self.raw, self.start, self.end) ^ self.group[self.row])
+        key = mix(word_hashes(self.raw, self.start, self.end) ^ mix(self.group * _STEP + U(1))[self.row])
         self.key = np.where(key == 0, U(1), key)  # 0 says that there is no word
 
     def pair(self) -> np.ndarray:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, collocations, cover_tree, html_main_text, knn_join, language, mixing, ngram_join, suffix_dedup, token_files, trie_bpe, url_filter
+from tidegrid.llm import bpe, collocations, conversation_repair, cover_tree, html_main_text, knn_join, language, mixing, ngram_join, suffix_dedup, token_files, trie_bpe, url_filter
 from tidegrid.session import cut_lineage, shared_folder
 
 
@@ -100,6 +100,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(found).withColumnRenamed("group", "lang")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, absent="absent").report
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_files,
         op11_trie_bpe,
         op12_collocations,
+        op13_conversation_repair,
     )
 }
 _VECTORS = """v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null
@@ -153,4 +159,30 @@ ORACLE: dict[str, str] = {
   r as (select lang, array_to_string(g, ' ') as phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from low where c = 1),
   o as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from r)
   select * from o where rank <= 2000""",
+    "op13_conversation_repair": """with recursive k as (select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+  c as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::bigint)),
+    lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 20 as fate from k),
+  d as (select conv_id, turn, case when fate = 4 then 'user' else coalesce(role, ' ') end as role,
+    case fate when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text, unnest(range(case when fate = 3 then 2 else 1 end)) as copy from c where fate <> 0),
+  o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, role[1] as i from d),
+  b as (select *, not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank, row_number() over (partition by conv_id, role, text order by pos) > 1 as again,
+    lag(i) over (partition by conv_id order by pos) as before from o),
+  f as (select *, not blank and again as dup, not blank and not again and not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') as cut, blank or again as gone from b),
+  g as (select conv_id, max(pos) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (dup) as duplicate,
+    count(*) filter (cut) as truncated, count(*) filter (pos > 1 and before || i not in ('su', 'ua', 'au')) as illegal from f group by conv_id),
+  ids as (select distinct conv_id from conversations),
+  v as (select conv_id, 0::bigint as pos, {c: 0::bigint, a: '', t: ''} as s0, {c: 1000000::bigint, a: '', t: ''} as s1, {c: 3::bigint, a: 'I', t: chr(10) || 'user:'} as s2,
+      {c: 6::bigint, a: 'II', t: chr(10) || 'user:' || chr(10) || 'assistant:'} as s3 from ids
+    union all select conv_id, pos, r0, r1, u, least(r3, {c: u.c + 3, a: u.a || 'I', t: u.t || chr(10) || 'assistant:'}) from (
+      select *, least(r2, {c: r0.c + 3, a: r0.a || 'I', t: r0.t || chr(10) || 'user:'}, {c: r1.c + 3, a: r1.a || 'I', t: r1.t || chr(10) || 'user:'}, {c: r3.c + 3, a: r3.a || 'I', t: r3.t || chr(10) || 'user:'}) as u from (
+      select v.conv_id, f.pos, {c: s0.c + 4, a: s0.a || 'D', t: s0.t} as r0, least({c: s1.c + 4, a: s1.a || 'D', t: s1.t}, {c: s0.c + x + if(i = 's', 0, 1000000), a: s0.a || 'K', t: s0.t || own}) as r1,
+        least({c: s2.c + 4, a: s2.a || 'D', t: s2.t}, {c: s0.c + x + if(i = 'u', 0, 1000000), a: s0.a || 'K', t: s0.t || own}, {c: s1.c + x + if(i = 'u', 0, 1000000), a: s1.a || 'K', t: s1.t || own},
+          {c: s3.c + x + if(i = 'u', 0, 1000000), a: s3.a || 'K', t: s3.t || own}, {c: s0.c + x + 3, a: s0.a || 'R', t: s0.t || chr(10) || 'user:' || text},
+          {c: s1.c + x + 3, a: s1.a || 'R', t: s1.t || chr(10) || 'user:' || text}, {c: s3.c + x + 3, a: s3.a || 'R', t: s3.t || chr(10) || 'user:' || text}) as r2,
+        least({c: s3.c + 4, a: s3.a || 'D', t: s3.t}, {c: s2.c + x + if(i = 'a', 0, 1000000), a: s2.a || 'K', t: s2.t || own}, {c: s2.c + x + 3, a: s2.a || 'R', t: s2.t || chr(10) || 'assistant:' || text}) as r3
+      from v join (select *, case when gone then 1000000 when cut then 3 else 0 end::bigint as x, chr(10) || role || ':' || text as own from f) f on v.conv_id is not distinct from f.conv_id and f.pos = v.pos + 1))),
+  e as (select ids.conv_id, coalesce(n, 0) as n, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal
+    from ids left join g on ids.conv_id is not distinct from g.conv_id),
+  l as (select e.*, least(s0, s3) as best from e join v on e.conv_id is not distinct from v.conv_id and e.n = v.pos)
+  select conv_id, gaps, blank, duplicate, truncated, illegal, best.c as cost, best.a as audit, sha256(substr(best.t, 2)) as repaired_sha256 from l""",
 }

@@ -175,6 +175,11 @@ def test_gap_fill(spark):
     fixed, twice = integrity.apply_gap_fill(series.unionAll(series.limit(1)), back, want, ["s"], "t", bad)
     assert {r.t: (r.target_status, r.inserted) for r in twice.filter("s = 'A'").collect()}[3] == ("VALIDATION_FAIL", False)
     assert sorted(r.t for r in fixed.collect()) == [1, 1, 2]
+    month = 31 * 86_400_000  # a flawed month does not hold up the next one
+    later = spark.createDataFrame([("A", month + 3, 5.0, 1, True), ("A", month + 4, 6.0, 1, True), ("A", month + 4, 7.0, 2, False), ("A", 3, 3.0, 1, True)], "s string, t long, v double, payload_order long, ok boolean")
+    fixed, split = integrity.apply_gap_fill(series.unionAll(series.limit(1)), later, later.select("s", "t"), ["s"], "t", usable="ok")
+    assert {r.t - month: r.target_status for r in split.collect()} == {3 - month: "VALIDATION_FAIL", 3: "RECOVERED", 4: "VALIDATION_FAIL"}
+    assert sorted((r.t, r.v) for r in fixed.collect()) == [(1, 1.0), (1, 1.0), (2, 2.0), (month + 3, 5.0)]
     ok = spark.createDataFrame([("OK",)], "status string")
     r = integrity.gap_rollup(report, ok).first()
     assert (r.inserted, r.unresolved, r.status) == (1, 2, "PARTIAL")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalars import month_start_ms
 from tidegrid.operators.quality import monotonic
 from tidegrid.params import MINUTE_MS, SegmentParams
 
@@ -103,6 +104,14 @@ def manifest_rollup(manifest: DataFrame, errors: DataFrame) -> DataFrame:
 # ---- gap repair ---------------------------------------------------------------------------
 
 
+def _last_returned(recovered: DataFrame, targets: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Per wanted time the last returned row, as ``_row``."""
+    rest = [c for c in recovered.columns if c not in key]
+    order = F.col("payload_order") if "payload_order" in rest else F.struct(*rest)
+    wanted = recovered.join(targets.select(*key).distinct(), list(key), "left_semi")
+    return wanted.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+
+
 def gap_targets(
     series: DataFrame,
     recovered: DataFrame,
@@ -110,16 +119,20 @@ def gap_targets(
     by: Sequence[str],
     ts: str,
     bad_schema: DataFrame | None = None,
+    usable: str | None = None,
 ) -> DataFrame:
-    """Per wanted time: ALREADY_PRESENT, SCHEMA_FAIL, NOT_RETURNED or RECOVERED.
+    """Per wanted time: ALREADY_PRESENT, SCHEMA_FAIL, NOT_RETURNED, VALIDATION_FAIL or RECOVERED.
 
     ``bad_schema`` lists the series whose recovery payload has rows of another width; nothing
-    of such a payload is used.  Only the wanted times are looked up.
+    of such a payload is used.  ``usable`` names a boolean column of ``recovered``: where it is
+    not true, the row came back but could not be normalised, which is VALIDATION_FAIL.  Only
+    the wanted times are looked up.
     """
     key = [*by, ts]
     wanted = targets.select(*key).distinct()
     present = series.join(wanted, key, "left_semi").select(*key).distinct().withColumn("_present", F.lit(True))
-    returned = recovered.join(wanted, key, "left_semi").select(*key).distinct().withColumn("_returned", F.lit(True))
+    ok = F.coalesce(F.col(f"_row.{usable}"), F.lit(False)) if usable else F.lit(True)
+    returned = _last_returned(recovered, wanted, key).select(*key, ok.alias("_returned"))
     out = wanted.join(present, key, "left").join(returned, key, "left")
     if bad_schema is None:
         out = out.withColumn("_bad", F.lit(None).cast("boolean"))
@@ -129,8 +142,9 @@ def gap_targets(
         *key,
         F.when(F.col("_present"), "ALREADY_PRESENT")
         .when(F.col("_bad"), "SCHEMA_FAIL")
+        .when(F.col("_returned").isNull(), "NOT_RETURNED")
         .when(F.col("_returned"), "RECOVERED")
-        .otherwise("NOT_RETURNED")
+        .otherwise("VALIDATION_FAIL")
         .alias("target_status"),
     )
 
@@ -142,19 +156,26 @@ def apply_gap_fill(
     by: Sequence[str],
     ts: str,
     bad_schema: DataFrame | None = None,
+    usable: str | None = None,
+    period: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(repaired series, report).  Exactly the wanted missing times are inserted; stored rows
-    are never overwritten, and of several recovered rows for one time the last one counts.  A
-    series that holds a time twice is not touched: what would be inserted is VALIDATION_FAIL."""
+    are never overwritten, and of several recovered rows for one time the last one counts.
+
+    A file is written by ``period``, the month of the time if not given.  One that holds a
+    time twice is not written: what would go into it is VALIDATION_FAIL, while the other months of
+    the series are filled.
+    """
     key = [*by, ts]
-    twice = series.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*by, F.lit(True).alias("_twice")).distinct()
-    report = gap_targets(series, recovered, targets, by, ts, bad_schema).join(twice, [*by], "left")
+    month = month_start_ms(ts) if period is None else period
+    copies = series.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    twice = copies.select(*by, month.alias("_period"), F.lit(True).alias("_twice")).distinct()
+    report = gap_targets(series, recovered, targets, by, ts, bad_schema, usable).withColumn("_period", month)
+    report = report.join(twice, [*by, "_period"], "left")
     refused = F.col("_twice").isNotNull() & (F.col("target_status") == "RECOVERED")
-    report = report.withColumn("target_status", F.when(refused, "VALIDATION_FAIL").otherwise(F.col("target_status"))).drop("_twice")
-    chosen = recovered.join(report.filter(F.col("target_status") == "RECOVERED").select(*key), key, "left_semi")
+    report = report.withColumn("target_status", F.when(refused, "VALIDATION_FAIL").otherwise(F.col("target_status"))).drop("_twice", "_period")
     rest = [c for c in series.columns if c not in key]
-    order = F.col("payload_order") if "payload_order" in recovered.columns else F.struct(*rest)
-    one = chosen.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*key, "_row.*")
+    one = _last_returned(recovered, report.filter(F.col("target_status") == "RECOVERED"), key).select(*key, *[F.col(f"_row.{c}") for c in rest])
     repaired = series.unionByName(one.select(*series.columns))
     report = report.withColumns(
         {

@@ -50,6 +50,8 @@ from tidegrid.streaming import streams as st
 STABILITY = StabilityParams(min_n=20)
 SELECTION = SelectionParams(min_n=20, min_n_ranking=10, min_hit=0.5)
 PAIR = ("click", "view")
+# The series that holds repeated times where repairs are shown.
+FLAWED = "view"
 GAPS_MS = (1704103200000, 1704189600000)
 CLIP = (1704412800000, 1705276800000)
 
@@ -767,22 +769,30 @@ def refreshed_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gap_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Series without repeated times, but for one whose month holds some; a part of what was returned is not usable."""
     m = minutes(spark, sf).select("symbol", "ts_open_ms", "value", "k", "event_id")
-    series = m.filter(F.col("k") % 10 != 0).select("symbol", "ts_open_ms", "value")
-    recovered = m.filter(F.col("k") % 20 == 0).select("symbol", "ts_open_ms", "value", F.col("event_id").alias("payload_order"))
+    stored = m.filter(F.col("k") % 10 != 0)
+    flawed = F.col("symbol") == FLAWED
+    clean = joins.dedupe_keep_first(stored.filter(~flawed), ["symbol", "ts_open_ms"], ["event_id"])
+    series = clean.unionByName(stored.filter(flawed)).unionByName(stored.filter(flawed & (F.col("k") == 1)))
+    recovered = m.filter(F.col("k") % 20 == 0).withColumn("usable", F.col("k") % 40 != 0)
     targets = m.filter(F.col("k") % 5 == 0).select("symbol", "ts_open_ms")
-    return series, recovered, targets
+    return (
+        series.select("symbol", "ts_open_ms", "value"),
+        recovered.select("symbol", "ts_open_ms", "value", "usable", F.col("event_id").alias("payload_order")),
+        targets,
+    )
 
 
 @query
 def gap_fill_report(spark: SparkSession, sf: str) -> DataFrame:
-    _, report = integrity.apply_gap_fill(*_gap_parts(spark, sf), ["symbol"], "ts_open_ms")
+    _, report = integrity.apply_gap_fill(*_gap_parts(spark, sf), ["symbol"], "ts_open_ms", usable="usable")
     return report
 
 
 @query
 def gap_filled_series(spark: SparkSession, sf: str) -> DataFrame:
-    repaired, _ = integrity.apply_gap_fill(*_gap_parts(spark, sf), ["symbol"], "ts_open_ms")
+    repaired, _ = integrity.apply_gap_fill(*_gap_parts(spark, sf), ["symbol"], "ts_open_ms", usable="usable")
     return tidy(repaired)
 
 

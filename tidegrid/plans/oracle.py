@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidegrid.operators.runs import LABEL_LINE, METRIC_ALIASES, PRIMARY_FILES, SECONDARY_FILES
 from tidegrid.params import EVENT_TYPES
-from tidegrid.plans.catalog import CLIP, DIGITS, GAPS_MS, PAIR
+from tidegrid.plans.catalog import CLIP, DIGITS, FLAWED, GAPS_MS, PAIR
 
 ORACLE: dict[str, str] = {}
 
@@ -441,12 +441,17 @@ add("refreshed_manifest", _FILES, f"""select dataset_id, symbol, local_path, cas
   case when ev then 'OK' else 'PENDING' end as status, case when not ev then 'x' when ins > 0 then 'x | gap_resolution=inserted_exact_rest_rows'
   else 'x | gap_resolution=no_insert' end as notes from (select dataset_id, symbol, local_path, bool_or((ts_open_ms // 86400000) % 2 = 0) as ev, min(ts_open_ms) as lo,
   max(ts_open_ms) as hi, count(*) as n, count(*) filter (k = 0) as ins from fl group by all)""")
-_GAP = f"""{MINUTE}, sr as (select symbol, ts_open_ms, value from m where k % 10 <> 0), rc as (select * from m where k % 20 = 0),
+_GAP = f"""{MINUTE}, st as (select * from m where k % 10 <> 0), sr as (select symbol, ts_open_ms, value from (select * from st where symbol <> '{FLAWED}'
+    qualify row_number() over (partition by symbol, ts_open_ms order by event_id) = 1) union all select symbol, ts_open_ms, value from st where symbol = '{FLAWED}'
+    union all select symbol, ts_open_ms, value from st where symbol = '{FLAWED}' and k = 1),
+  rc as (select symbol, ts_open_ms, arg_max(value, event_id) as value, arg_max(k, event_id) % 40 <> 0 as usable from m where k % 20 = 0 group by all),
+  tw as (select distinct symbol, date_trunc('month', make_timestamp(ts_open_ms * 1000)) as mo from (select symbol, ts_open_ms from sr group by all having count(*) > 1)),
   tg as (select distinct symbol, ts_open_ms from m where k % 5 = 0), rp as materialized (select symbol, ts_open_ms, case when (symbol, ts_open_ms) in (select (symbol, ts_open_ms) from sr)
-  then 'ALREADY_PRESENT' when (symbol, ts_open_ms) in (select (symbol, ts_open_ms) from rc) then 'RECOVERED' else 'NOT_RETURNED' end as target_status from tg)"""
-add("gap_fill_report", _GAP, """select symbol, ts_open_ms, target_status, target_status <> 'NOT_RETURNED' as recovered, target_status = 'RECOVERED' as inserted from rp""")
-add("gap_filled_series", _GAP, f"""select symbol, ts_open_ms, {r('value')} from (select * from sr union all select symbol, ts_open_ms, arg_max(value, event_id) from rc
-  where (symbol, ts_open_ms) in (select (symbol, ts_open_ms) from rp where target_status = 'RECOVERED') group by symbol, ts_open_ms)""")
+  then 'ALREADY_PRESENT' when rc.usable is null then 'NOT_RETURNED' when not rc.usable or (symbol, date_trunc('month', make_timestamp(ts_open_ms * 1000))) in (select (symbol, mo) from tw)
+  then 'VALIDATION_FAIL' else 'RECOVERED' end as target_status from tg left join rc using (symbol, ts_open_ms))"""
+add("gap_fill_report", _GAP, """select symbol, ts_open_ms, target_status, target_status in ('RECOVERED', 'ALREADY_PRESENT') as recovered, target_status = 'RECOVERED' as inserted from rp""")
+add("gap_filled_series", _GAP, f"""select symbol, ts_open_ms, {r('value')} from (select * from sr union all select symbol, ts_open_ms, value from rc
+  where (symbol, ts_open_ms) in (select (symbol, ts_open_ms) from rp where target_status = 'RECOVERED'))""")
 _SRC = f"""{MINUTE}, {FUNDING}, pr as (select symbol, ts_open_ms as ts_ms, bool_or(k % 10 <> 0) as u, bool_or(k % 7 <> 0) as p, bool_or(k % 11 <> 0) as q,
   bool_or(k % 13 <> 0) as i, ts_open_ms in {GAPS_MS} as gap from m group by symbol, ts_open_ms),
   ft as (select symbol, min(ts_settle_ms) + 28800000 as first_f from f group by symbol),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import numpy as np
 import pandas as pd
 import pytest
@@ -82,12 +83,39 @@ def test_permutation(spark, rows):
     assert abs(one.p_value - 0.317) < 4 * np.sqrt(0.317 * 0.683 / 300)
 
 
-def test_draws_do_not_depend_on_partitions(spark):
-    universe = _universe(spark, np.random.default_rng(3).normal(0, 1, 800))
-    p, seg = StabilityParams(perms=100), SegmentParams(rows=100)
-    a = stability.permutation_test(_observed(spark, 90, 0.1), universe, p, segments=seg).first().p_value
-    b = stability.permutation_test(_observed(spark, 90, 0.1), universe.repartition(7), p, segments=seg).first().p_value
-    assert a == b
+def test_draws_are_functions_of_cell_permutation_and_place(spark):
+    """The same p-value for any segments and partitions, and that of drawing everything at once."""
+    values = np.random.default_rng(3).normal(0, 1, 800)
+    universe, p = _universe(spark, values), StabilityParams(perms=130)
+    found = {
+        (rows, parts): stability.permutation_test(_observed(spark, 90, 0.1), universe.repartition(parts), p, segments=SegmentParams(rows=rows)).first().p_value
+        for rows, parts in ((100, 1), (100, 7), (33, 2), (10_000, 3))
+    }
+    key = int(hashlib.md5(b"17|x|A|1h|E|h+1").hexdigest()[:8], 16)
+    at = stability.drawn_positions(key, np.arange(130), np.arange(90), 800)
+    whole = np.floor(values / 1e-9 + 0.5).astype(np.int64)
+    extreme = int((np.abs(whole[at].sum(axis=1) * 1e-9 / 90) >= 0.1).sum())
+    assert set(found.values()) == {(extreme + 1) / 131}
+    assert 0 < extreme < 130
+
+
+def test_draws_in_shares_and_pieces(spark, monkeypatch):
+    """Dense events: several tasks share a segment, draws come in several pieces."""
+    universe = _universe(spark, np.random.default_rng(4).normal(0, 1, 500))
+    p = StabilityParams(perms=120)
+    want = stability.permutation_test(_observed(spark, 400, 0.05), universe, p).first().p_value
+    monkeypatch.setattr(stability, "_PLACES", 64)
+    monkeypatch.setattr(stability, "_DRAW_LIMIT", 5000)
+    assert stability.permutation_test(_observed(spark, 400, 0.05), universe, p, segments=SegmentParams(rows=200)).first().p_value == want
+
+
+def test_positions_are_even():
+    at = stability.drawn_positions(99, np.arange(500), np.arange(400), 7)
+    assert at.min() == 0 and at.max() == 6
+    counts = np.bincount(at.reshape(-1).astype(int), minlength=7)
+    assert np.abs(counts - counts.mean()).max() < 5 * np.sqrt(counts.mean())
+    wide = stability.drawn_positions(5, np.arange(3), np.arange(3), (1 << 31) - 1)
+    assert len(np.unique(wide)) == 9
 
 
 # ---- candidates --------------------------------------------------------------------------------

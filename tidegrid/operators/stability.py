@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,65 +93,79 @@ def stable_counts(wf: DataFrame, pm: DataFrame) -> DataFrame:
 
 # ---- bootstrap against random bars --------------------------------------------------------
 
-_PERM_BLOCK = 250
-_DRAW_LIMIT = 2_000_000
-
-
-def _entropy(*parts) -> list[int]:
-    return [p if isinstance(p, int) else zlib.crc32(str(p).encode()) for p in parts]
-
-
-def _allocate(seed: int):
-    """How many of a cell's draws fall into each segment of its series, for a block of
-    permutations: a multinomial with the segment sizes as weights."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seg")
-        rng = np.random.default_rng(_entropy(seed, *key))
-        sizes = pdf["_size"].to_numpy(dtype="float64")
-        n, perms = int(pdf["n_complete"].iloc[0]), int(pdf["_perms"].iloc[0])
-        counts = rng.multinomial(n, sizes / sizes.sum(), size=perms)
-        out = pdf[[*CELL, "n_complete", "obs_mean", "_block", "_seg"]].copy()
-        out["_counts"] = [counts[:, i].tolist() for i in range(len(pdf))]
-        return out
-
-    return run
-
-
-def _draw(seed: int):
-    """Sum of the values drawn from one segment, per cell and permutation."""
-
-    def one(values: np.ndarray, counts: np.ndarray, rng) -> np.ndarray:
-        size = len(values)
-        sums = np.zeros(len(counts))
-        start = 0
-        while start < len(counts):
-            stop, total = start + 1, int(counts[start])
-            while stop < len(counts) and total + counts[stop] <= _DRAW_LIMIT:
-                total += int(counts[stop])
-                stop += 1
-            picked = values[rng.integers(0, size, size=total)]
-            sums[start:stop] = np.bincount(
-                np.repeat(np.arange(stop - start), counts[start:stop]), weights=picked, minlength=stop - start
-            )
-            start = stop
-        return sums
-
-    def run(key: tuple, universe: pd.DataFrame, plans: pd.DataFrame) -> pd.DataFrame:
-        names = [*CELL, "n_complete", "obs_mean", "_perm", "_sum"]
-        if universe.empty or plans.empty:
-            return pd.DataFrame(columns=names)
-        values = universe.sort_values("bar_idx")["forward_return_pct"].to_numpy()
-        parts = []
-        for row in plans.itertuples(index=False):
-            cell = tuple(getattr(row, c) for c in CELL)
-            block = int(row.block)
-            rng = np.random.default_rng(_entropy(seed, *cell, block, int(row.seg), 1))
-            sums = one(values, np.asarray(row.counts, dtype="int64"), rng)
-            part = pd.DataFrame({"_perm": block * _PERM_BLOCK + np.arange(len(sums)), "_sum": sums})
-            part = part.assign(n_complete=row.n_complete, obs_mean=row.obs_mean)
-            parts.append(part.assign(**dict(zip(CELL, cell, strict=True))))
-        return pd.concat(parts)[names]
+#: Permutations whose sums travel in one array, and draws of each that are made at a time.
+_PERM_BLOCK = 50
+_PLACES = 16_384
+#: Draws that meet the values of one segment in one task.
+_DRAW_LIMIT = 8_000_000
+#: Returns are summed in whole billionths of a percent, so sums do not depend on their order.
+UNIT = 1e-9
+_WORD = 0xFFFFFFFF
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit words in which every input bit moves every output bit."""
+    x = x ^ (x >> 16)
+    x = (x * 0x7FEB352D) & _WORD
+    x = x ^ (x >> 15)
+    x = (x * 0x31848BAB) & _WORD
+    return x ^ (x >> 14)
+
+
+def drawn_positions(key: int, perms: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Positions below ``size`` per permutation and place: functions of these and the cell's key alone."""
+    stream = mixed(key ^ mixed(perms.astype(np.int64)))
+    word = mixed(stream[:, None] ^ mixed(places.astype(np.int64))[None, :])
+    return (word.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)
+
+
+def _draw(keep: list[str], segment_rows: int):
+    """Per piece of work the draws that fall into each segment: which permutation, which place in the segment."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                key, n, size, block, perms, chunk = (row.column(c)[0].as_py() for c in ("_key", "n_complete", "n_universe", "_block", "_perms", "_chunk"))
+                places = np.arange(chunk * _PLACES, min(n, (chunk + 1) * _PLACES))
+                found = drawn_positions(key, block * _PERM_BLOCK + np.arange(perms), places, size)
+                perm = np.broadcast_to(np.arange(perms, dtype="<u2")[:, None], found.shape).reshape(-1)
+                found = found.reshape(-1)
+                order = np.argsort(found, kind="stable")
+                found, perm = found[order], perm[order]
+                seg, first = np.unique(found // np.uint64(segment_rows), return_index=True)
+                ends = [*first[1:].tolist(), len(found)]
+                offset = (found % np.uint64(segment_rows)).astype("<u4")
+                same = pa.table([row.column(c) for c in keep], keep).take(pa.array(np.zeros(len(seg), np.int64))).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *same.columns,
+                        pa.array(seg.astype(np.int64)),
+                        pa.array([perm[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()),
+                        pa.array([offset[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()),
+                    ],
+                    [*keep, "_seg", "_perm", "_offset"],
+                )
+
+    return of
+
+
+def _resolve(keep: list[str]):
+    """Sums of the drawn values of one segment, an array over the permutations of a block."""
+
+    def run(values: pa.Table, draws: pa.Table) -> pa.Table:
+        table = np.zeros(1 + (pa.compute.max(values.column("_at")).as_py() if values.num_rows else 0), np.int64)
+        table[np.asarray(values.column("_at"))] = np.asarray(values.column("_value"))
+        sums = []
+        for perms, perm, offset in zip(*(draws.column(c) for c in ("_perms", "_perm", "_offset")), strict=True):
+            who = np.frombuffer(perm.as_buffer(), "<u2")
+            picked = table[np.frombuffer(offset.as_buffer(), "<u4")]
+            # In two halves, so that adding up stays exact.
+            low = np.bincount(who, weights=picked & _WORD, minlength=perms.as_py()).astype(np.int64)
+            high = np.bincount(who, weights=picked >> 32, minlength=perms.as_py()).astype(np.int64)
+            sums.append((high << 32) + low)
+        out = draws.select(keep)
+        return out.append_column("_sums", pa.array(sums, pa.list_(pa.int64())))
 
     return run
 
@@ -174,17 +188,16 @@ def permutation_test(
     ``cells`` has ``n_complete`` and ``full_mean`` per cell (see ``walk_forward``);
     ``universe`` comes from ``outcomes.forward_universe``.
 
-    The bars are never gathered: the number of draws per segment is itself drawn first, and
-    every segment then draws from its own values.  This has exactly the law of drawing n bars
-    with replacement from the whole series, and costs at most one pass of the smaller of
-    draws and bars per permutation.  Draws are seeded by cell, block and segment, so results
-    do not depend on how the data is partitioned.
+    A draw is a hash of seed, cell, permutation and place, so any task can make any of them and
+    results depend neither on segments nor on partitions.  Draws are made in pieces of bounded size and go,
+    packed, to the segments that hold their positions; from there come arrays of sums, one number per
+    permutation.  Neither the bars nor the draws of a cell are ever gathered.
     """
     horizon_key = [*SERIES_KEYS, "horizon"]
-    seg = F.floor(F.col("bar_idx") / F.lit(segments.rows)).alias("_seg")
-    values = universe.select(*horizon_key, "bar_idx", "forward_return_pct", seg)
-    sizes = values.groupBy(*horizon_key, "_seg").agg(F.count(F.lit(1)).alias("_size"))
-    totals = sizes.groupBy(*horizon_key).agg(F.sum("_size").alias("n_universe"))
+    bucket = F.floor(F.col("bar_idx") / F.lit(segments.rows))
+    returns = universe.select(*horizon_key, "bar_idx", "forward_return_pct")
+    ranked = with_row_index(returns, horizon_key, ["bar_idx"], bucket, out="_rank")
+    totals = returns.groupBy(*horizon_key).agg(F.count(F.lit(1)).alias("n_universe"))
     base = (
         cells.select(*CELL, "n_complete", F.col("full_mean").alias("obs_mean"))
         .join(totals, horizon_key, "left")
@@ -196,31 +209,50 @@ def permutation_test(
             & F.col("obs_mean").isNotNull(),
         )
     )
-    blocks = F.sequence(F.lit(0), F.lit((p.perms - 1) // _PERM_BLOCK))
-    planned = (
-        base.filter("_enough")
-        .select(*CELL, "n_complete", "obs_mean", F.explode(blocks).alias("_block"))
-        .withColumn("_perms", F.least(F.lit(_PERM_BLOCK), F.lit(p.perms) - F.col("_block") * F.lit(_PERM_BLOCK)))
-        .join(sizes, horizon_key)
+    tested = base.filter("_enough")
+    # Where events are dense, several tasks share the draws of a segment and get its values each.
+    per_segment = F.sum("n_complete") * F.lit(p.perms) / F.ceil(F.max("n_universe") / F.lit(segments.rows))
+    shares = tested.groupBy(*horizon_key).agg(F.ceil(per_segment / F.lit(_DRAW_LIMIT)).cast("int").alias("_shares"))
+    text = F.concat_ws("|", F.lit(str(p.seed)), *CELL)
+    work = tested.join(shares, horizon_key).select(
+        *CELL,
+        "n_complete",
+        "n_universe",
+        "_shares",
+        F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long").alias("_key"),
+        F.explode(F.sequence(F.lit(0), F.lit((p.perms - 1) // _PERM_BLOCK))).alias("_block"),
+    )
+    work = work.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_complete") - 1) / F.lit(_PLACES)).cast("int"))).alias("_chunk"))
+    work = work.withColumns(
+        {
+            "_perms": F.least(F.lit(_PERM_BLOCK), F.lit(p.perms) - F.col("_block") * F.lit(_PERM_BLOCK)),
+            "_share": F.pmod(F.hash("_block", "_chunk"), F.col("_shares")),
+        }
+    )
+    kept = [*CELL, "_block", "_perms", "_share"]
+    names = ", ".join(f"{c} string" for c in CELL)
+    draws = _spread(work, *CELL, "_block", "_chunk").mapInArrow(
+        _draw(kept, segments.rows), f"{names}, _block int, _perms int, _share int, _seg long, _perm binary, _offset binary"
     )
-    key_schema = ", ".join(f"{c} string" for c in CELL) + ", n_complete long, obs_mean double"
-    allocated = (
-        _spread(planned, *CELL, "_block")
-        .groupBy(*CELL, "_block")
-        .applyInPandas(_allocate(p.seed), f"{key_schema}, _block long, _seg long, _counts array<long>")
-        .select(*CELL, "n_complete", "obs_mean", F.col("_block").alias("block"), F.col("_seg").alias("seg"), F.col("_counts").alias("counts"))
+    seg = F.floor(F.col("_rank") / F.lit(segments.rows))
+    values = ranked.join(shares, horizon_key).select(
+        *horizon_key,
+        seg.alias("_seg"),
+        F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"),
+        (F.col("_rank") - seg * F.lit(segments.rows)).alias("_at"),
+        F.floor(F.col("forward_return_pct") / F.lit(UNIT) + F.lit(0.5)).alias("_value"),
     )
-    where = [*horizon_key, "_seg"]
-    drawn = (
+    where = [*horizon_key, "_seg", "_share"]
+    sums = (
         _spread(values, *where)
         .groupBy(*where)
-        .cogroup(_spread(allocated.withColumn("_seg", F.col("seg")), *where).groupBy(*where))
-        .applyInPandas(_draw(p.seed), f"{key_schema}, _perm long, _sum double")
+        .cogroup(_spread(draws, *where).groupBy(*where))
+        .applyInArrow(_resolve([*CELL, "_block"]), f"{names}, _block int, _sums array<long>")
     )
-    means = drawn.groupBy(*CELL, "_perm", "n_complete", "obs_mean").agg(F.sum("_sum").alias("_sum"))
-    beyond = F.abs(F.col("_sum") / F.col("n_complete")) >= F.abs("obs_mean")
-    extreme = means.groupBy(*CELL).agg(F.count_if(beyond).alias("_extreme"))
-    p_value = (F.col("_extreme") + 1) / F.lit(float(p.perms + 1))
+    means = sums.select(*CELL, "_block", F.posexplode("_sums").alias("_perm", "_sum")).groupBy(*CELL, "_block", "_perm").agg(F.sum("_sum").alias("_sum"))
+    beyond = F.abs(F.col("_sum") * F.lit(UNIT) / F.col("n_complete")) >= F.abs("obs_mean")
+    extreme = means.join(tested.select(*CELL, "n_complete", "obs_mean"), [*CELL]).groupBy(*CELL).agg(F.count_if(beyond).alias("_extreme"))
+    p_value = (F.coalesce("_extreme", F.lit(0)) + 1) / F.lit(float(p.perms + 1))
     return (
         base.join(extreme, [*CELL], "left")
         .withColumn("p_value", F.when(F.col("_enough"), p_value))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidegrid.operators.runs import LABEL_LINE, METRIC_ALIASES, PRIMARY_FILES, SECONDARY_FILES
 from tidegrid.params import EVENT_TYPES
-from tidegrid.plans.catalog import CLIP, DIGITS, FLAWED, GAPS_MS, PAIR
+from tidegrid.plans.catalog import CLIP, DIGITS, FLAWED, GAPS_MS, PAIR, WIDE_P
 
 ORACLE: dict[str, str] = {}
 
@@ -209,7 +209,7 @@ WF = """wf0 as (select *, row_number() over c - 1 as rk, count(*) over (partitio
     count(*) filter (fold = 0) as n0, count(*) filter (fold = 1) as n1, count(*) filter (fold = 2) as n2,
     avg(forward_return_pct) filter (fold = 0) as m0, avg(forward_return_pct) filter (fold = 1) as m1, avg(forward_return_pct) filter (fold = 2) as m2
     from wf1 group by all),
-  wf3 as (select c.*, coalesce(n_complete, 0) as nc, coalesce(n_complete, 0) >= 20 as ok, full_mean, n0, n1, n2, m0, m1, m2
+  wf3 as (select c.*, coalesce(n_complete, 0) as nc, coalesce(n_complete, 0) >= 80 as ok, full_mean, n0, n1, n2, m0, m1, m2
     from (select distinct exchange, symbol, timeframe, event_type, horizon from o) c left join wf2 using (exchange, symbol, timeframe, event_type, horizon)),
   wf4 as (select *, case when ok then cast(sign(m0 - 0.18) = sign(full_mean - 0.18) as bigint) + cast(sign(m1 - 0.18) = sign(full_mean - 0.18) as bigint)
       + cast(sign(m2 - 0.18) = sign(full_mean - 0.18) as bigint) else 0 end as st,
@@ -221,13 +221,37 @@ WF = """wf0 as (select *, row_number() over c - 1 as rk, count(*) over (partitio
     case when ok then m0 - 0.18 end as fold1_net, case when ok then m1 - 0.18 end as fold2_net, case when ok then m2 - 0.18 end as fold3_net,
     case when ok then m0 - 0.1 end as fold1_net_maker, case when ok then m1 - 0.1 end as fold2_net_maker, case when ok then m2 - 0.1 end as fold3_net_maker,
     case when not ok then 'INSUFFICIENT_N' when st = 3 then 'STABLE' else 'UNSTABLE' end as verdict,
-    case when ok then least(1.0, 1 / (1 + 100 * abs(full_mean))) end as p_value, greatest(1, cast(substr(horizon, 3) as int)) as hb from wf4)"""
+    greatest(1, cast(substr(horizon, 3) as int)) as hb from wf4)"""
+
+
+
+def _mix(x: str, out: str) -> str:
+    """The 32-bit mixing of the draws, step by step, as columns that build on each other."""
+    return (
+        f"xor({x}, ({x}) >> 16) as {out}1, ({out}1 * {0x7FEB352D}) & 4294967295 as {out}2, xor({out}2, {out}2 >> 15) as {out}3, "
+        f"({out}3 * {0x31848BAB}) & 4294967295 as {out}4, xor({out}4, {out}4 >> 14) as {out}"
+    )
+
+
+# Every draw of every permutation of every cell that is large enough, looked up among the returns of its series.
+_TO_CELL = "exchange, symbol, timeframe, event_type, horizon"
+PERM = f"""un as materialized (select a.symbol, 'h+' || h as horizon, row_number() over (partition by a.symbol, h order by a.bar_idx) - 1 as rk,
+    cast(floor((x.close / nullif(a.close, 0) - 1) * 100 / 1e-9 + 0.5) as bigint) as v from f0 a, hz, f0 x where x.symbol = a.symbol and x.bar_idx = a.bar_idx + h),
+  us as materialized (select symbol, horizon, count(*) as nu from un group by all),
+  pc as materialized (select {_TO_CELL}, n_complete as n, nu, full_mean, cast('0x' || substr(md5(concat_ws('|', 17, {_TO_CELL})), 1, 8) as bigint) as ck
+    from wf join us using (symbol, horizon) where n_complete >= 80 and nu >= n_complete and full_mean is not null),
+  w32 as materialized (select i, m from (select i, {_mix('i', 'm')} from (select range as i from range((select greatest(1000, coalesce(max(n), 0)) from pc))))),
+  ps as (select pc.*, w32.i as perm, {_mix('xor(ck, m)', 's')} from pc, w32 where w32.i < 1000),
+  pd as (select ps.* exclude (ck), {_mix('xor(s, m)', 'd')}, (d * nu) >> 32 as rk from ps join w32 on w32.i < ps.n),
+  pt as (select {_TO_CELL}, perm, any_value(n) as n, any_value(full_mean) as full_mean, sum(v) as total from pd join un using (symbol, horizon, rk) group by {_TO_CELL}, perm),
+  pv as materialized (select {_TO_CELL}, (count(*) filter (abs(cast(total as double) * 1e-9 / n) >= abs(full_mean)) + 1) / 1001.0::double as p_value from pt group by {_TO_CELL}),
+  wp as materialized (select wf.*, p_value from wf left join pv using ({_TO_CELL}))"""
 
 CAND = """cand as materialized (select w.exchange, symbol, timeframe, event_type, horizon, n_complete, p_value, tier, direction, net from (
-    select *, 'T' as tier, 'long' as direction, full_mean - 0.18 as net, sign_stable as st, 0.05 as pm from wf union all
-    select *, 'T', 'fade', -full_mean - 0.18, sign_stable, 0.05 from wf union all
-    select *, 'M', 'long', full_mean - 0.1, sign_stable_maker, 0.1 from wf union all
-    select *, 'M', 'fade', -full_mean - 0.1, sign_stable_maker, 0.1 from wf) w where n_complete >= 20 and st and p_value <= pm and net > 0)"""
+    select *, 'T' as tier, 'long' as direction, full_mean - 0.18 as net, sign_stable as st, 0.05 as pm from wp union all
+    select *, 'T', 'fade', -full_mean - 0.18, sign_stable, 0.05 from wp union all
+    select *, 'M', 'long', full_mean - 0.1, sign_stable_maker, 0.1 from wp union all
+    select *, 'M', 'fade', -full_mean - 0.1, sign_stable_maker, 0.1 from wp) w where n_complete >= 80 and st and p_value <= pm and net > 0)"""
 
 E1H = evs("1h")
 O1H = outs("1h", E1H)
@@ -362,13 +386,16 @@ add("forward_returns", f"{bars('1h')}, hz as (select * from (values (1), (3), (1
 
 add("walk_forward", f"{O1H}, {WF}", """select exchange, symbol, timeframe, event_type, horizon, n_complete, folds_same_sign, folds_same_sign_maker, sign_stable,
   sign_stable_maker, fold1_n, fold2_n, fold3_n, verdict, """ + rs("full_mean full_net full_net_maker fold1_net fold2_net fold3_net fold1_net_maker fold2_net_maker fold3_net_maker") + " from wf")
-add("permutation_setup", f"""{O1H}, {WF}, u as (select symbol, 'h+' || h as horizon, count(*) as n_universe from f0 a, hz
-  where exists (select 1 from f0 x where x.symbol = a.symbol and x.bar_idx = a.bar_idx + h) group by all)""", f"""select exchange, symbol, timeframe, event_type, horizon,
-  n_complete, cast(1000 as bigint) as n_perms, coalesce(n_universe, 0) as n_universe, {r('full_mean', 'obs_mean')}, {r('full_net', 'obs_net')},
-  {r('full_net_maker', 'obs_net_maker')}, n_complete < 20 or coalesce(n_universe, 0) < n_complete as insufficient, true as p_in_range from wf left join u using (symbol, horizon)""")
-add("verdict_counts", f"{O1H}, {WF}", """select exchange, symbol, timeframe, count(*) filter (verdict = 'STABLE') as stable, count(*) as walk_forward_cells,
-  count(*) filter (p_value <= 0.05) as passed, count(*) as permutation_cells from wf group by all""")
-add("research_candidates", f"{O1H}, {WF}, {CAND}", f"""select exchange, symbol, timeframe, event_type, horizon, n_complete, {r('p_value')}, tier, direction, {r('net')},
+_PERM_OUT = f"""{_TO_CELL}, n_complete, cast(1000 as bigint) as n_perms, coalesce(nu, 0) as n_universe, {r('full_mean', 'obs_mean')}, {r('full_net', 'obs_net')},
+  {r('full_net_maker', 'obs_net_maker')}, {r('p_value')}"""
+_PERM_VERDICT = "case when p_value is null then 'INSUFFICIENT_N' when p_value <= 0.05 then 'PASS' else 'FAIL' end as verdict"
+add("permutation_test", f"{O1H}, {WF}, {PERM}", f"select {_PERM_OUT}, {_PERM_VERDICT} from wp left join us using (symbol, horizon)")
+add("permutation_setup", f"{O1H}, {WF}, {PERM}", f"""select {_TO_CELL}, n_complete, cast(1000 as bigint) as n_perms, coalesce(nu, 0) as n_universe,
+  {r('full_mean', 'obs_mean')}, {r('full_net', 'obs_net')}, {r('full_net_maker', 'obs_net_maker')}, n_complete < 80 or coalesce(nu, 0) < n_complete as insufficient,
+  cast(round(p_value * 1001) as bigint) - 1 as n_extreme from wp left join us using (symbol, horizon)""")
+add("verdict_counts", f"{O1H}, {WF}, {PERM}", """select exchange, symbol, timeframe, count(*) filter (verdict = 'STABLE') as stable, count(*) as walk_forward_cells,
+  count(*) filter (p_value <= 0.05) as passed, count(*) as permutation_cells from wp group by all""")
+add("research_candidates", f"{O1H}, {WF}, {PERM}, {CAND}", f"""select exchange, symbol, timeframe, event_type, horizon, n_complete, {r('p_value')}, tier, direction, {r('net')},
   row_number() over (partition by tier, direction order by net desc, n_complete desc, symbol, timeframe, event_type, horizon) as rank from cand""")
 
 
@@ -382,9 +409,9 @@ def _sides(picks: dict[str, str], digits: int = 6, ints: tuple[str, ...] = ()) -
 
 
 _PAIRED = "symbol in ('%s', '%s')" % PAIR
-add("cross_symbol_candidates", f"{O1H}, {WF}, {CAND}", f"""select exchange, tier, direction, event_type, timeframe, horizon,
+add("cross_symbol_candidates", f"{O1H}, {WF}, {PERM}, {CAND.replace(', 0.05 as pm', f', {WIDE_P} as pm').replace(', 0.05 from', f', {WIDE_P} from').replace(', 0.1 from', f', {WIDE_P} from')}", f"""select exchange, tier, direction, event_type, timeframe, horizon,
   {_sides({'n': 'n_complete', 'net': 'net', 'p': 'p_value'}, ints=('n',))} from cand where {_PAIRED} group by all having count(distinct symbol) = 2""")
-_CLEAR = lambda t: f"coalesce({t}_count >= 20 and {t}_net > 0 and {t}_hit > 0.5 and {t}_ratio >= 1, false)"
+_CLEAR = lambda t: f"coalesce({t}_count >= 80 and {t}_net > 0 and {t}_hit > 0.55 and {t}_ratio >= 1, false)"
 _PICKS = {"count": "count", "mean": "mean_forward_return", "hit": "hit_rate_at_zero", "ratio": "mfe_mae_ratio", "net": "net_after_fee"}
 _PARETO = f"""{O1H}, {LB}, p0 as (select exchange, event_type, timeframe, horizon, {', '.join(f"max({src}) filter (symbol = '{s}') as {t}_{n}"
   for t, s in zip('ab', PAIR, strict=True) for n, src in _PICKS.items())} from lb where {_PAIRED} group by exchange, event_type, timeframe, horizon
@@ -394,15 +421,15 @@ add("pareto_pairs", _PARETO, f"""select exchange, event_type, timeframe, horizon
 add("pareto_decision", _PARETO, """select count(*) as pairs, case when bool_or(ca and cb) then 'RESEARCH CANDIDATE' when bool_or(ca <> cb) or
   coalesce(arg_max(a_net, (coalesce(avg_net, -1e300), coalesce(min_net, -1e300))) > 0 or arg_max(b_net, (coalesce(avg_net, -1e300), coalesce(min_net, -1e300))) > 0, false)
   then 'WATCHLIST ONLY' else 'NO CANDIDATE' end as decision from p1""")
-add("top_cells_by_net", f"{O1H}, {LB}", f"""select {LB_OUT}, {r('net_after_fee')} from (select * from lb where count >= 20
+add("top_cells_by_net", f"{O1H}, {LB}", f"""select {LB_OUT}, {r('net_after_fee')} from (select * from lb where count >= 80
   order by abs(net_after_fee) desc, symbol, timeframe, hb, event_type limit 30)""")
-add("top_cells_by_sharpe", f"{O1H}, {LB}", f"""select {LB_OUT}, {r('net_after_fee')} from (select * from lb where count >= 10 and sharpe_like is not null
+add("top_cells_by_sharpe", f"{O1H}, {LB}", f"""select {LB_OUT}, {r('net_after_fee')} from (select * from lb where count >= 30 and sharpe_like is not null
   order by abs(sharpe_like) desc, symbol, timeframe, hb, event_type limit 12)""")
 add("top_cells_by_maker_net", f"{O1H}, {WF}", f"""select exchange, symbol, timeframe, event_type, horizon, n_complete, {rs('full_net full_net_maker')}, verdict from
-  (select * from wf where n_complete >= 20 order by full_net_maker desc nulls last, n_complete desc, symbol, timeframe, hb, event_type limit 20)""")
-add("top_cells_by_p_value", f"{O1H}, {WF}", f"""select exchange, symbol, timeframe, event_type, horizon, n_complete, {r('p_value')},
+  (select * from wf where n_complete >= 80 order by full_net_maker desc nulls last, n_complete desc, symbol, timeframe, hb, event_type limit 20)""")
+add("top_cells_by_p_value", f"{O1H}, {WF}, {PERM}", f"""select exchange, symbol, timeframe, event_type, horizon, n_complete, {r('p_value')},
   case when p_value <= 0.05 then 'PASS' else 'FAIL' end as verdict from
-  (select * from wf where n_complete >= 20 order by p_value nulls last, n_complete desc, symbol, timeframe, hb, event_type limit 20)""")
+  (select * from wp where n_complete >= 80 order by p_value nulls last, n_complete desc, symbol, timeframe, hb, event_type limit 20)""")
 
 # ---- quality and audits -----------------------------------------------------------------------------------------------------
 

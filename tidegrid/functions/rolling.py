@@ -20,10 +20,9 @@ from pyspark.sql import types as T
 
 from tidegrid.functions.scalars import bars_per
 from tidegrid.functions.segments import Segments
+from tidegrid.functions.sliding import rolling_quantile, rolling_rank
 from tidegrid.params import DAY_MS, HOUR_MS, MINUTE_MS
 
-_BLOCK = 2048
-
 
 @dataclass(frozen=True)
 class Rolling:
@@ -78,21 +77,6 @@ def _per_day(timeframe: str) -> int:
     return DAY_MS // (int(timeframe[:-1]) * unit)
 
 
-def _rank(x: np.ndarray, idx: np.ndarray, frame: int, needed: int) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    padded = np.concatenate([np.full(frame - 1, np.nan), x])
-    views = np.lib.stride_tricks.sliding_window_view(padded, frame)
-    for at in range(0, len(x), _BLOCK):
-        block = views[at : at + _BLOCK]
-        now = block[:, -1:]
-        below = (block[:, :-1] <= now).sum(axis=1)
-        present = (~np.isnan(block)).sum(axis=1)
-        others = np.maximum(np.minimum(idx[at : at + _BLOCK] + 1, frame) - 1, 1)
-        good = ~np.isnan(now[:, 0]) & (present >= needed)
-        out[at : at + _BLOCK] = np.where(good, below / others, np.nan)
-    return out
-
-
 def _evaluate(spec: Rolling, x: np.ndarray, idx: np.ndarray, per_day: int) -> np.ndarray:
     series = pd.Series(x)
     frame, needed = spec.frame_rows(per_day), spec.needed_rows(per_day)
@@ -100,10 +84,10 @@ def _evaluate(spec: Rolling, x: np.ndarray, idx: np.ndarray, per_day: int) -> np
         mean = series.ewm(alpha=spec.arg, adjust=False).mean().to_numpy()
         return np.where(idx >= needed - 1, mean, np.nan)
     if spec.kind == "rank":
-        return _rank(x, idx, frame, needed)
-    window = series.rolling(frame, min_periods=min(needed, frame))
+        return rolling_rank(x, idx, frame, needed)
     if spec.kind == "quantile":
-        return window.quantile(spec.arg).to_numpy()
+        return rolling_quantile(x, frame, min(needed, frame), spec.arg)
+    window = series.rolling(frame, min_periods=min(needed, frame))
     if spec.kind == "zscore":
         spread = window.std().to_numpy()
         spread = np.where(spread == 0.0, np.nan, spread)

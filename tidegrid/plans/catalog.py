@@ -99,8 +99,7 @@ def market(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",), stored:
     return ticks, bars
 
 
-def joined(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> DataFrame:
-    ticks, bars = market(spark, sf, tfs, stored=True)
+def _joined(ticks: DataFrame, bars: DataFrame) -> DataFrame:
     return joins.join_state(
         bars,
         tk.funding_from_ticks(ticks),
@@ -110,6 +109,21 @@ def joined(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> Data
     )
 
 
+def joined(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> DataFrame:
+    return _joined(*market(spark, sf, tfs, stored=True))
+
+
+def dense_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """Five-minute bars of a series that is longer than the widest frame."""
+    ticks = tk.read_dense_ticks(spark, sf)
+    bars = tk.bars_from_ticks(ticks, ("5m",))
+    return cut_lineage(_joined(ticks, cut_lineage(ensure_index(bars, SERIES_KEYS, StudyParams().segments.rows))))
+
+
+def dense_study(spark: SparkSession, sf: str) -> Study:
+    return run_study(dense_joined(spark, sf), StudyParams())
+
+
 def study(spark: SparkSession, sf: str, tfs: tuple[str, ...] = ("1h",)) -> Study:
     """Bars, joined bars and outcomes are tables of a pipeline; each is written once."""
     return run_study(cut_lineage(joined(spark, sf, tfs)), StudyParams())
@@ -566,12 +580,29 @@ def detected_events(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(study(spark, sf).events, 8)
 
 
+@query
+def features_5m(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(ft.build_features(dense_joined(spark, sf), timeframes=("5m",)))
+
+
+@query
+def regime_labels_5m(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(dense_study(spark, sf).regimes)
+
+
 @query
 def detected_events_5m(spark: SparkSession, sf: str) -> DataFrame:
-    """Events on five-minute bars that need no wide frame."""
-    narrow = ["EV_FUND_FLIP", "EV_OI_FLUSH", "EV_FUNDING_WINDOW_PRE", "EV_PREMIUM_SPIKE", "EV_PREMIUM_COMPRESSION"]
-    found = study(spark, sf, ("5m",)).events.filter(F.col("event_type").isin(*narrow))
-    return tidy(found.drop("context_regime"), 8)
+    return tidy(dense_study(spark, sf).events, 8)
+
+
+@query
+def event_outcomes_5m(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(dense_study(spark, sf).outcomes)
+
+
+@query
+def event_leaderboard_5m(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(canonical_order(build_leaderboard(cut_lineage(dense_study(spark, sf).strong_outcomes))))
 
 
 @query

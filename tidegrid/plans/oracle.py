@@ -355,21 +355,32 @@ _FEATURES = ("close ret_1 ret_3 ret_12 ret_72 vol_close_to_close_24 atr_14 range
              "taker_quote_zscore_24 funding_rate_ffill funding_rate_zscore_30d funding_minutes_to_next basis_bp basis_zscore_24 oi_base oi_pct_change_1h "
              "oi_pct_change_24h oi_zscore_30d long_short_account_ratio top_trader_position_ratio taker_long_short_vol_ratio")
 _FLAGS = "pre_funding_30m post_funding_30m funding_settle_bar"
-add("features", feats("1h"), f"select ts_open_ms, ts_close_ms, exchange, symbol, timeframe, {rs(_FEATURES)}, {_FLAGS.replace(' ', ', ')}, bar_idx from f1")
+_FEATURES_OUT = f"ts_open_ms, ts_close_ms, exchange, symbol, timeframe, {rs(_FEATURES)}, {_FLAGS.replace(' ', ', ')}, bar_idx from f1"
+add("features", feats("1h"), f"select {_FEATURES_OUT}")
 add("feature_counts", feats("1h"), "select exchange, symbol, timeframe, "
     + ", ".join(f"count({c}) as {c}" for c in f"{_FEATURES} {_FLAGS}".split()) + " from f1 group by all")
 _REGIMES = "trend_regime, vol_regime, funding_regime, basis_regime, crowding_regime, liquidity_regime, composite_label"
-add("regime_labels", regs("1h"), f"select ts_open_ms, ts_close_ms, exchange, symbol, timeframe, {_REGIMES}, {r('confidence')} from g")
+_REGIME_OUT = f"select ts_open_ms, ts_close_ms, exchange, symbol, timeframe, {_REGIMES}, {r('confidence')} from g"
+add("regime_labels", regs("1h"), _REGIME_OUT)
 add("latest_regime", regs("1h"), f"""select exchange, symbol, timeframe, ts_open_ms, composite_label, {r('confidence')} from g
   qualify row_number() over (partition by symbol order by ts_open_ms desc) = 1""")
-add("detected_events", E1H, f"select event_id, ts_open_ms, event_type, {r('event_strength', digits=8)}, context_regime, exchange, symbol, timeframe from e")
-add("detected_events_5m", evs("5m"), f"""select event_id, ts_open_ms, event_type, {r('event_strength', digits=8)}, exchange, symbol, timeframe from e where event_type in
-  ('EV_FUND_FLIP', 'EV_OI_FLUSH', 'EV_FUNDING_WINDOW_PRE', 'EV_PREMIUM_SPIKE', 'EV_PREMIUM_COMPRESSION')""")
+_EVENT_OUT = f"select event_id, ts_open_ms, event_type, {r('event_strength', digits=8)}, context_regime, exchange, symbol, timeframe from e"
+add("detected_events", E1H, _EVENT_OUT)
+# One long series of five-minute bars, in which frames of a month fill up.
+DENSE = """tick as (select 'all' as symbol, l_partkey * 1000000 + l_suppkey as event_id, 1704067200000 + l_orderkey * 300000 + l_linenumber * 1000 as ts_ms,
+  999.0 + 2.0 * l_quantity as px, 2.0 * l_quantity - 1.0 as value, cast(l_partkey % 100 as int) as k from lineitem)"""
 add("event_counts", E1H, "select exchange, symbol, timeframe, " + ", ".join(f"count(*) filter (event_type = '{t}') as {t}" for t in EVENT_TYPES)
     + " from e group by all")
-add("event_outcomes", O1H, f"""select event_id, ts_open_ms, event_type, horizon, {rs('forward_return_pct mfe_pct mae_pct')}, time_to_mfe_bars, time_to_mae_bars,
-  max_holding_bars_used, exchange, symbol, timeframe from o""")
+_OUTCOME_OUT = f"""select event_id, ts_open_ms, event_type, horizon, {rs('forward_return_pct mfe_pct mae_pct')}, time_to_mfe_bars, time_to_mae_bars,
+  max_holding_bars_used, exchange, symbol, timeframe from o"""
+add("event_outcomes", O1H, _OUTCOME_OUT)
 add("event_leaderboard", f"{O1H}, {LB}", f"select {LB_OUT} from lb")
+_O5M = outs("5m", evs("5m")).replace(TICK, DENSE)
+add("features_5m", feats("5m").replace(TICK, DENSE), f"select {_FEATURES_OUT}")
+add("regime_labels_5m", regs("5m").replace(TICK, DENSE), _REGIME_OUT)
+add("detected_events_5m", evs("5m").replace(TICK, DENSE), _EVENT_OUT)
+add("event_outcomes_5m", _O5M, _OUTCOME_OUT)
+add("event_leaderboard_5m", f"{_O5M}, {LB}", f"select {LB_OUT} from lb")
 _W = "over (partition by symbol order by ts_open_ms)"
 _W24 = "over (partition by symbol order by ts_open_ms rows between 23 preceding and current row)"
 _SHOCK = f"""{bars('1h')}, s0 as (select *, row_number() {_W} - 1 as bar_idx, close / lag(close) {_W} - 1 as ret from b),

@@ -28,6 +28,28 @@ def read_ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Start of the series of dense ticks.
+DENSE_START_MS = 1_704_067_200_000
+
+
+def read_dense_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """One long series: each order is a five-minute bar, its lines are the trades of it.
+
+    Its frames of a month fill up, which those of the events never do.
+    """
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    ts = F.lit(DENSE_START_MS).cast("long") + F.col("l_orderkey") * F.lit(5 * MINUTE_MS) + F.col("l_linenumber") * F.lit(1000)
+    return lines.select(
+        F.lit(EXCHANGE).alias("exchange"),
+        F.lit("all").alias("symbol"),
+        (F.col("l_partkey") * F.lit(1_000_000) + F.col("l_suppkey")).alias("event_id"),
+        ts.alias("ts_ms"),
+        (F.lit(999.0) + F.lit(2.0) * F.col("l_quantity")).alias("px"),
+        (F.lit(2.0) * F.col("l_quantity") - F.lit(1.0)).alias("value"),
+        F.pmod("l_partkey", F.lit(100)).cast("int").alias("k"),
+    )
+
+
 def _bucket(ts: Column, width: Column) -> Column:
     return F.floor(ts / width) * width
 

@@ -94,6 +94,11 @@ def test_audit_of_files(spark, tmp_path):
     path = str(tmp_path / d)
     report = {r.file_path[-8:]: r.schema_ok for r in ar.schema_report(spark, path, d).collect()}
     assert report == {"p.csv.gz": True, "q.csv.gz": False}
+    rows = ar.audit_rows(ar.scan_tier1(spark, path, d))
+    whole = pit.row_checks(rows, list(ar.PHYSICAL), ar.physical_bucket(), SegmentParams(rows=2))
+    assert [(r.check_id, r.error_type, r.timestamp_utc) for r in pit.row_errors(whole).filter("error_type = 'SCHEMA_FAIL'").collect()] == [("PIT_SCHEMA_BAR", "SCHEMA_FAIL", None)]
+    s = pit.source_summary(whole).first()
+    assert (s.rows_checked, s.failures, s.min_ms) == (8, 8, T0)
     rows = ar.audit_rows(ar.read_tier1(spark, path, d), d)
     checked = pit.row_checks(rows, list(ar.PHYSICAL), ar.physical_bucket(), SegmentParams(rows=2))
     errors = sorted(r.error_type for r in pit.row_errors(checked).collect())
@@ -102,12 +107,35 @@ def test_audit_of_files(spark, tmp_path):
     assert (s.rows_checked, s.failures, s.min_ms) == (8, 7, T0)
 
 
+def test_header_lines_and_blocks(spark, tmp_path):
+    """A header that stands there again is a row; of a file in several blocks the first line is the header of all."""
+    d = "mark_price_klines"
+    folder = tmp_path / "symbol=A"
+    folder.mkdir()
+    head = ",".join(TIER1["mark_price_klines"])
+    (folder / "p.csv").write_text("\n".join([head, *[_price(i) for i in range(300)], head, "", _price(300), "short"]) + "\n")
+    (folder / "empty.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        scan = ar.scan_tier1(spark, str(tmp_path), d)
+        checked = pit.row_checks(ar.audit_rows(scan), list(ar.PHYSICAL), ar.physical_bucket())
+        s = pit.source_summary(checked).first()
+        assert (s.rows_checked, s.failures) == (303, 2) and scan.rows.select("block_start").distinct().count() > 3
+        assert {r.error_type for r in pit.row_errors(checked).collect()} == {"TIMESTAMP_PARSE_FAIL"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_audit_of_funding(spark, tmp_path):
+    _tier1(tmp_path, "funding_rate_history", "B", ["1,2"], "q", header=["foo", "bar"])
     rows = ["2024-01-01T00:00:00.000Z,A,0.1,,s,now", "2024-01-01T08:00:00.000Z,A,oops,,s,now", "2024-01-01T16:00:00.000Z,A,0.1,7,s,now"]
     _tier1(tmp_path, "funding_rate_history", "A", rows)
     t = ar.read_tier1(spark, str(tmp_path / "funding_rate_history"), "funding_rate_history")
     checked = pit.row_checks(ar.audit_rows(t, "funding_rate_history"), list(ar.PHYSICAL), ar.physical_bucket())
     assert [r.error_type for r in pit.row_errors(checked).collect()] == ["FUNDING_PARSE_FAIL"]
+    scan = ar.scan_tier1(spark, str(tmp_path / "funding_rate_history"), "funding_rate_history")
+    found = pit.row_errors(pit.row_checks(ar.audit_rows(scan), list(ar.PHYSICAL), ar.physical_bucket()))
+    assert {(r.symbol, r.check_id) for r in found.collect()} == {("A", "PIT_FUNDING_TIMESTAMP"), ("B", "PIT_SCHEMA_FUNDING")}
     assert len(TIER1_FUNDING) == 6
 
 

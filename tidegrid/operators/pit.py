@@ -149,20 +149,24 @@ def row_checks(
 
     ``rows(dataset_id, symbol, row_symbol, open_ms, close_ms, parsed)``: ``symbol`` is the
     folder's, ``row_symbol`` what the row says; funding rows have no ``close_ms``.  A row can
-    fail several checks, each counts.
+    fail several checks, each counts.  Where a column ``bad_file`` is true, the row stands for a
+    file that lacks columns: one failure, and no row that was checked.
     """
     series = ["dataset_id", "symbol"]
     funding = F.col("dataset_id") == FUNDING
+    bad_file = F.coalesce(F.col("bad_file"), F.lit(False)) if "bad_file" in rows.columns else F.lit(False)
+
+    def failure(check: str, error: str) -> Column:
+        return F.struct(F.lit(check).alias("check_id"), F.lit(error).alias("error_type"))
+
     unparsed = rows.filter(~F.col("parsed")).select(
         *series,
         "open_ms",
         F.array(
-            F.when(
-                funding,
-                F.struct(F.lit("PIT_FUNDING_TIMESTAMP").alias("check_id"), F.lit("FUNDING_PARSE_FAIL").alias("error_type")),
-            ).otherwise(
-                F.struct(F.lit("PIT_SOURCE_TIMESTAMP").alias("check_id"), F.lit("TIMESTAMP_PARSE_FAIL").alias("error_type"))
-            )
+            F.when(bad_file & funding, failure("PIT_SCHEMA_FUNDING", "SCHEMA_FAIL"))
+            .when(bad_file, failure("PIT_SCHEMA_BAR", "SCHEMA_FAIL"))
+            .when(funding, failure("PIT_FUNDING_TIMESTAMP", "FUNDING_PARSE_FAIL"))
+            .otherwise(failure("PIT_SOURCE_TIMESTAMP", "TIMESTAMP_PARSE_FAIL"))
         ).alias("failed"),
     )
     good = with_row_index(rows.filter("parsed"), series, list(physical), bucket, out="_at")
@@ -195,9 +199,10 @@ def row_errors(checked: DataFrame) -> DataFrame:
 
 
 def source_summary(checked: DataFrame) -> DataFrame:
-    """Rows, failures and extent per dataset and symbol."""
+    """Rows, failures and extent per dataset and symbol; a file that could not be read is a failure, not a row."""
+    read = ~F.exists("failed", lambda f: f["error_type"] == "SCHEMA_FAIL")
     return checked.groupBy("dataset_id", "symbol").agg(
-        F.count(F.lit(1)).alias("rows_checked"),
+        F.count_if(read).alias("rows_checked"),
         F.sum(F.size("failed")).alias("failures"),
         F.min("open_ms").alias("min_ms"),
         F.max("open_ms").alias("max_ms"),

@@ -354,24 +354,29 @@ def quarantined_payload_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tier1_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Zipped tier-1 files per symbol, read by column name and checked row by row."""
+    """Zipped tier-1 files per symbol, read by column name and checked row by row.
+
+    The header stands in a file again for k = 5, and each symbol has a second file without closes.
+    """
     m = minutes(spark, sf)
-    iso, end = ms_to_iso("ts_open_ms"), ms_to_iso(F.col("ts_open_ms") + F.when(F.col("k") == 3, F.lit(60000)).otherwise(F.lit(59999)))
-    row = m.select(
-        F.col("symbol").alias("folder"),
-        F.when(F.col("k") == 4, F.lit("?")).otherwise(iso).alias("timestamp_open_utc"),
-        end.alias("timestamp_close_utc"),
-        F.when(F.col("k") == 2, F.lit("other")).otherwise(F.col("symbol")).alias("symbol"),
-        *[F.col("value").alias(c) for c in ("open", "high", "low", "close")],
-        F.lit("s").alias("source"),
-        F.lit("now").alias("ingested_at_utc"),
-    ).withColumnRenamed("folder", "folder_symbol")
-    path = _landed(row, "folder_symbol", header=True, compression="gzip", as_text=False)
-    read = ar.read_tier1(spark, path, "mark_price_klines", folder="folder_symbol")
-    checked = pit.row_checks(ar.audit_rows(read, "mark_price_klines"), list(ar.PHYSICAL), ar.physical_bucket())
-    # Which copy of a time comes first depends on the files, so order errors are left out.
-    errors = pit.row_errors(checked).filter(~F.col("check_id").isin("PIT_MONOTONIC"))
-    return errors.groupBy("dataset_id", "symbol", "check_id", "error_type").agg(F.count(F.lit(1)).alias("errors"))
+    k = F.col("k")
+    cells = {
+        "timestamp_open_utc": F.when(k == 4, F.lit("?")).otherwise(ms_to_iso("ts_open_ms")),
+        "timestamp_close_utc": ms_to_iso(F.col("ts_open_ms") + F.when(k == 3, F.lit(60000)).otherwise(F.lit(59999))),
+        "symbol": F.when(k == 2, F.lit("other")).otherwise(F.col("symbol")),
+        **{c: F.col("value").cast("string") for c in ("open", "high", "low", "close")},
+        "source": F.lit("s"),
+        "ingested_at_utc": F.lit("now"),
+    }
+    row = m.select(F.col("symbol").alias("folder_symbol"), "event_id", *[F.when(k == 5, F.lit(n)).otherwise(c).alias(n) for n, c in cells.items()])
+    # One file per symbol, in the order of the events.
+    stored = row.repartition("folder_symbol").sortWithinPartitions("folder_symbol", "event_id").drop("event_id")
+    path = _landed(stored, "folder_symbol", header=True, compression="gzip", as_text=False)
+    lacking = row.drop("event_id", "close").groupBy("folder_symbol").agg(*[F.max(c).alias(c) for c in cells if c != "close"])
+    lacking.repartition("folder_symbol").write.partitionBy("folder_symbol").mode("append").option("compression", "gzip").option("header", True).csv(path)
+    read = ar.scan_tier1(spark, path, "mark_price_klines", folder="folder_symbol")
+    checked = pit.row_checks(ar.audit_rows(read), list(ar.PHYSICAL), ar.physical_bucket())
+    return pit.row_errors(checked).groupBy("dataset_id", "symbol", "check_id", "error_type").agg(F.count(F.lit(1)).alias("errors"))
 
 
 @query
@@ -847,9 +852,10 @@ def _audit(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("um_klines_1m").alias("dataset_id"),
         "symbol",
         F.when(k == 2, F.lit("other")).otherwise(F.col("symbol")).alias("row_symbol"),
-        F.when(k != 4, opened).alias("open_ms"),
+        F.when(~k.isin(4, 6), opened).alias("open_ms"),
         (opened + F.when(k == 3, F.lit(60000)).otherwise(F.lit(59999))).alias("close_ms"),
-        (k != 4).alias("parsed"),
+        (~k.isin(4, 6)).alias("parsed"),
+        (k == 6).alias("bad_file"),
         "event_id",
     )
     return pit.row_checks(rows, ["event_id"], F.floor(F.col("event_id") / F.lit(32_768)))

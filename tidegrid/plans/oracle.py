@@ -293,11 +293,14 @@ add("normalized_payloads", bars("1h"), f"""select {_ISO('ts_open_ms')} as timest
   cast(ts_open_ms // 86400000 as varchar) as source, 'now' as ingested_at_utc from b where trades <= 4""")
 add("quarantined_payload_rows", bars("1h"), """select symbol, cast(ts_open_ms // 86400000 as varchar) as source, count(*) as rows from b where trades > 4
   group by symbol, ts_open_ms // 86400000""")
-add("tier1_audit", f"""{MINUTE}, d as (select symbol, count(*) - count(distinct ts_open_ms) as n from m where k <> 4 group by symbol)""", """select 'mark_price_klines' as dataset_id, * from (
+add("tier1_audit", f"""{MINUTE}, g as (select *, lag(ts_open_ms) over (partition by symbol order by event_id) as prev from m where k not in (4, 5)),
+  d as (select symbol, count(*) - count(distinct ts_open_ms) as n, count(*) filter (ts_open_ms <= prev) as o from g group by symbol)""", """select 'mark_price_klines' as dataset_id, * from (
   select symbol, 'PIT_SYMBOL' as check_id, 'SYMBOL_MISMATCH' as error_type, count(*) as errors from m where k = 2 group by symbol union all
   select symbol, 'PIT_COMPLETED_1M_BAR', 'CLOSE_TIME_FAIL', count(*) from m where k = 3 group by symbol union all
-  select symbol, 'PIT_SOURCE_TIMESTAMP', 'TIMESTAMP_PARSE_FAIL', count(*) from m where k = 4 group by symbol union all
-  select symbol, 'PIT_DUPLICATE', 'DUPLICATE_TIMESTAMP', n from d where n > 0)""")
+  select symbol, 'PIT_SOURCE_TIMESTAMP', 'TIMESTAMP_PARSE_FAIL', count(*) from m where k in (4, 5) group by symbol union all
+  select symbol, 'PIT_SCHEMA_BAR', 'SCHEMA_FAIL', 1 from m group by symbol union all
+  select symbol, 'PIT_DUPLICATE', 'DUPLICATE_TIMESTAMP', n from d where n > 0 union all
+  select symbol, 'PIT_MONOTONIC', 'NON_MONOTONIC', o from d where o > 0)""")
 add("schema_check", "x as (select 1)", """select false as schema_ok, 'timestamp_utc,symbol_name,funding_rate,mark_price_at_funding,source,ingested_at_utc' as observed_schema_fields, true as found""")
 add("custom_feed", TICK, f"""select symbol as feed, count(*) as rows, {r('sum(value / 1000)', 'rate')}, {r('sum(case when k % 2 = 0 then k else 0 end)', 'mark')} from tick
   where k > 1 group by symbol union all select 'bad:column_count', count(*), null, null from tick where k = 0 having count(*) > 0
@@ -525,8 +528,9 @@ def _rows(src: str) -> str:
     parts = " union all ".join(f"select symbol, om, '{c}' as check_id, '{e}' as error_type from rg where {cond}" for (c, e), cond in checks.items())
     return f"""{src}, rr as (select *, ts_open_ms + case when k = 1 then 17 else 0 end as om from m),
   rg as materialized (select *, row_number() over (partition by symbol, om order by event_id) as dup, lag(om) over (partition by symbol order by event_id) as prev
-    from rr where k <> 4), re as materialized ({parts} union all select symbol, null, 'PIT_SOURCE_TIMESTAMP', 'TIMESTAMP_PARSE_FAIL' from rr where k = 4),
-  ss as materialized (select 'um_klines_1m' as dataset_id, symbol, (select count(*) from rr r2 where r2.symbol = s.symbol) as rows_checked,
+    from rr where k not in (4, 6)), re as materialized ({parts} union all select symbol, null, 'PIT_SOURCE_TIMESTAMP', 'TIMESTAMP_PARSE_FAIL' from rr where k = 4
+    union all select symbol, null, 'PIT_SCHEMA_BAR', 'SCHEMA_FAIL' from rr where k = 6),
+  ss as materialized (select 'um_klines_1m' as dataset_id, symbol, (select count(*) from rr r2 where r2.symbol = s.symbol and k <> 6) as rows_checked,
     (select count(*) from re where re.symbol = s.symbol) as failures, (select min(om) from rg where rg.symbol = s.symbol) as min_ms,
     (select max(om) from rg where rg.symbol = s.symbol) as max_ms from (select distinct symbol from rr) s)"""
 

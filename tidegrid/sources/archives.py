@@ -6,12 +6,18 @@ as partition columns; what is missing there is given as an argument.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.scalars import iso_to_ms, ms_to_iso
 from tidegrid.params import HOUR_MS
+from tidegrid.session import cut_lineage
 from tidegrid.sources.schemas import (
     FUNDING_FIELDS,
     KLINE_FIELDS,
@@ -204,61 +210,128 @@ def normalize_rest(payloads: DataFrame, dataset: str, stamped: str) -> tuple[Dat
     return kept.select(*TIER1[dataset]), bad
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mark the line at the very beginning of each file; a task reads the lines of a file one after another."""
+    block = None
+    for batch in batches:
+        marks = np.zeros(batch.num_rows, bool)
+        for i, here in enumerate(zip(batch.column("file_path").to_pylist(), batch.column("block_start").to_pylist(), strict=True)):
+            if here != block:
+                block, marks[i] = here, here[1] == 0
+        yield batch.append_column("first", pa.array(marks))
+
+
+def scan_lines(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """All lines that are not blank, with where they are stored and whether they are the first of their file; each file is read once.
+
+    The result is a table, since the layout of a file is needed by tasks that read later blocks of it.
+    """
+    lines = _lines(spark, path).filter(F.col("value") != "")
+    lines = lines.select("value", *PHYSICAL, *([F.col(folder).cast("string").alias("folder_symbol")] if folder else []))
+    schema = T.StructType([*lines.schema.fields, T.StructField("first", T.BooleanType())])
+    return cut_lineage(lines.mapInArrow(_first_lines, schema))
+
+
+def _headers(scanned: DataFrame) -> DataFrame:
+    return scanned.filter("first").select("file_path", F.col("value").alias("header"))
+
+
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
     """First line of each file."""
-    lines = _lines(spark, path)
-    return lines.groupBy("file_path").agg(F.min_by("value", F.struct("block_start", "row_id")).alias("header"))
+    return _headers(scan_lines(spark, path))
+
+
+def _schema_ok(wanted: tuple[str, ...]) -> Column:
+    return F.size(F.array_except(F.lit(list(wanted)), F.split("header", ","))) == 0
 
 
 def schema_report(spark: SparkSession, path: str, dataset: str, exact: bool = True) -> DataFrame:
     """Per file: is the header the expected one?  ``exact`` asks for the same columns in the
     same order, otherwise all expected columns must be there."""
     wanted = TIER1[dataset]
-    found = F.split("header", ",")
-    ok = (F.col("header") == ",".join(wanted)) if exact else (F.size(F.array_except(F.lit(list(wanted)), found)) == 0)
+    ok = (F.col("header") == ",".join(wanted)) if exact else _schema_ok(wanted)
     return file_headers(spark, path).select(
         "file_path", ok.alias("schema_ok"), F.col("header").alias("observed_schema_fields")
     )
 
 
-def read_tier1(
-    spark: SparkSession, path: str, dataset: str, headers: DataFrame | None = None, folder: str = "symbol"
-) -> DataFrame:
-    """Rows of tier-1 files, by column name; ``folder`` is the level that names the symbol.
-     Files that lack a column are left out; they are
-    the rows of ``schema_report`` that are not ok.  A gz file is read by one task."""
+@dataclass(frozen=True)
+class Tier1:
+    """Rows of the files that have all columns, by column name; and the files that lack one, with their header."""
+
+    dataset: str
+    rows: DataFrame
+    bad_files: DataFrame
+
+
+def scan_tier1(spark: SparkSession, path: str, dataset: str, folder: str = "symbol") -> Tier1:
+    """Tier-1 files, each read once; ``folder`` is the level that names the symbol.
+
+    Only the first line of a file is its header: a line that repeats it is a row, which the audit
+    will not be able to parse.  Cells that a short line lacks are null.  A gz file is read by one task.
+    """
     wanted = TIER1[dataset]
-    headers = headers if headers is not None else file_headers(spark, path)
-    names = F.split("header", ",")
-    usable = headers.withColumn("_names", names).filter(F.size(F.array_except(F.lit(list(wanted)), F.col("_names"))) == 0)
-    rows = _lines(spark, path).withColumnRenamed(folder, "_folder")
-    joined = rows.join(usable, "file_path").filter(F.col("value") != F.col("header"))
+    scanned = scan_lines(spark, path, folder)
+    headers = _headers(scanned).withColumn("_ok", _schema_ok(wanted))
+    names = headers.filter("_ok").select("file_path", F.split("header", ",").alias("_names"))
+    joined = scanned.filter(~F.col("first")).join(names, "file_path")
     # split() keeps blank cells at the end, so positions hold.
     cells = F.split("value", ",", -1)
     picked = [F.try_element_at(cells, F.array_position("_names", n).cast("int")).alias(n) for n in wanted]
-    return joined.select(*picked, F.col("_folder").cast("string").alias("folder_symbol"), *PHYSICAL)
+    bad = scanned.filter("first").join(headers.filter(~F.col("_ok")).select("file_path"), "file_path")
+    return Tier1(
+        dataset,
+        joined.select(*picked, "folder_symbol", *PHYSICAL),
+        bad.select("file_path", "folder_symbol", F.col("value").alias("header"), "block_start", "row_id"),
+    )
 
 
-def audit_rows(tier1: DataFrame, dataset: str) -> DataFrame:
-    """Tier-1 rows in the layout of the point-in-time audit."""
+def read_tier1(spark: SparkSession, path: str, dataset: str, folder: str = "symbol") -> DataFrame:
+    """The rows of ``scan_tier1``."""
+    return scan_tier1(spark, path, dataset, folder).rows
+
+
+def audit_rows(tier1: DataFrame | Tier1, dataset: str | None = None) -> DataFrame:
+    """Tier-1 rows in the layout of the point-in-time audit.
+
+    Of a whole scan, each file that lacks a column is a row, too, with ``bad_file`` set.
+    """
+    rows, dataset = (tier1.rows, tier1.dataset) if isinstance(tier1, Tier1) else (tier1, dataset)
     if dataset == "funding_rate_history":
         open_ms, close_ms = iso_to_ms("timestamp_utc"), F.lit(None).cast("long")
         mark = F.nullif(F.col("mark_price_at_funding"), F.lit(""))
         numbers = F.col("funding_rate").try_cast("double").isNotNull()
-        numbers = numbers & (mark.isNull() | mark.try_cast("double").isNotNull())
+        # A missing cell is no blank one.
+        numbers = numbers & F.col("mark_price_at_funding").isNotNull() & (mark.isNull() | mark.try_cast("double").isNotNull())
         parsed = open_ms.isNotNull() & numbers
     else:
         open_ms, close_ms = iso_to_ms("timestamp_open_utc"), iso_to_ms("timestamp_close_utc")
         parsed = open_ms.isNotNull() & close_ms.isNotNull()
-    return tier1.select(
+    out = rows.select(
         F.lit(dataset).alias("dataset_id"),
         F.col("folder_symbol").alias("symbol"),
         F.col("symbol").alias("row_symbol"),
         open_ms.alias("open_ms"),
         close_ms.alias("close_ms"),
         F.coalesce(parsed, F.lit(False)).alias("parsed"),
+        F.lit(False).alias("bad_file"),
         *PHYSICAL,
     )
+    if not isinstance(tier1, Tier1):
+        return out
+    none = F.lit(None)
+    return out.unionByName(
+        tier1.bad_files.select(
+            F.lit(dataset).alias("dataset_id"),
+            F.col("folder_symbol").alias("symbol"),
+            none.cast("string").alias("row_symbol"),
+            none.cast("long").alias("open_ms"),
+            none.cast("long").alias("close_ms"),
+            F.lit(False).alias("parsed"),
+            F.lit(True).alias("bad_file"),
+            *PHYSICAL,
+        )
+    )
 
 
 # ---- strategy feeds ---------------------------------------------------------------------------

@@ -22,8 +22,8 @@ def feed(spark, folder, parts):
     return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def stateful(spark, stream):
-    return st.with_state_store(spark, lambda: st.run_available(spark, stream))
+def stateful(spark, stream, idle_batches=True):
+    return st.with_state_store(spark, lambda: st.run_available(spark, stream), idle_batches)
 
 
 def test_close_bars(spark, tmp_path):
@@ -85,8 +85,36 @@ def test_match_waits_for_partner(spark, tmp_path):
 def test_repeats_are_dropped(spark, tmp_path):
     schema = "exchange string, symbol string, ts_settle_ms long"
     parts = [spark.createDataFrame([("x", "A", h * HOUR_MS) for h in hours], schema) for hours in ((96, 104, 104), (104, 112))]
-    got = st.run_available(spark, st.stream_drop_repeats(feed(spark, str(tmp_path / "in"), parts)))
+    got = stateful(spark, st.stream_drop_repeats(feed(spark, str(tmp_path / "in"), parts)))
     assert sorted(r.ts_settle_ms // HOUR_MS for r in got.collect()) == [96, 104, 112]
+    # A time that is new but late is dropped, as if the feed had gone on.
+    parts = [spark.createDataFrame([("x", "A", h * HOUR_MS) for h in hours], schema) for hours in ((96, 104), (100, 112), (112, 108))]
+    got = stateful(spark, st.stream_drop_repeats(feed(spark, str(tmp_path / "late"), parts), keep_ms=3_600_000), idle_batches=False)
+    assert sorted(r.ts_settle_ms // HOUR_MS for r in got.collect()) == [96, 104, 112]
+
+
+def test_bounded_input_ends(spark, tmp_path):
+    """The last windows come out, whatever the number of batches; nothing of the end row does."""
+    minutes = [1, 2, 3, 4, 5, 6, 7, 8, 10, 30, 60, 61]
+    df = spark.createDataFrame([("x", "A", m * MINUTE_MS, float(m)) for m in minutes], "exchange string, symbol string, ts_ms long, value double")
+    want = close_bars(df, 5 * MINUTE_MS, 5).orderBy("bar_end_ms").select("bar_end_ms", "open", "close", "complete").collect()
+    for name, cuts in (("one", [99]), ("three", [5, 10, 99])):
+        parts, low = [], 0
+        for high in cuts:
+            parts.append(df.filter((F.col("ts_ms") > low * MINUTE_MS) & (F.col("ts_ms") <= high * MINUTE_MS)))
+            low = high
+        s = feed(spark, str(tmp_path / name), parts)
+        got = st.run_to_end(spark, s, "ts_ms", st.stream_close_bars)
+        assert got.orderBy("bar_end_ms").select("bar_end_ms", "open", "close", "complete").collect() == want
+
+
+def test_state_ends(spark, tmp_path):
+    """A state that is kept for a moment only is gone with the next batch; with a long time it is there."""
+    schema = "strategy_id string, seq long, equity double"
+    parts = [spark.createDataFrame([("s", 1, 100.0), ("s", 2, 70.0)], schema), spark.createDataFrame([("s", 2, 1.0), ("s", 3, 70.0)], schema)]
+    for keep, tripped in ((1, [False, True, False, False]), (86_400_000, [False, True, True])):
+        got = stateful(spark, st.stream_stop_latch(feed(spark, str(tmp_path / str(keep)), parts), keep_ms=keep), idle_batches=False)
+        assert [r.tripped for r in got.orderBy("seq", F.desc("equity")).collect()] == tripped
 
 
 def test_daily_summary(spark, tmp_path):

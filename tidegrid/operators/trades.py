@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.segments import Segments, running
+from tidegrid.functions.segments import Segments, running, with_row_index
 from tidegrid.params import FrictionParams
 
 # ---- fees and returns ------------------------------------------------------------------------
@@ -227,14 +227,20 @@ def daily_summary(trades: DataFrame, equity: DataFrame, rows_per_segment: int =
     )
 
 
+def _ranked_path(trades: DataFrame, value: str, block_rows: int, start: float = 100.0) -> DataFrame:
+    """Summary of the path of each strategy.  Stretches are cut by rank, so numbers with gaps, or far apart, make
+    no more of them than there are trades for."""
+    bucket = F.floor(F.col("trade_seq") / F.lit(100_000))
+    ranked = with_row_index(trades.select("strategy_id", "trade_seq", value), ["strategy_id"], ["trade_seq", value], bucket, out="_place")
+    return path_summary(ranked, ["strategy_id"], "_place", value, F.floor(F.col("_place") / F.lit(block_rows)), start)
+
+
 def run_totals(
     trades: DataFrame, value: str = "post_fee_pct", start: float = 100.0, min_trades: int = 300, block_rows: int = 4096
 ) -> DataFrame:
     """Per strategy: net return and deepest drawdown of the compounding path, with a warning
     where there are too few trades for a verdict."""
-    path = path_summary(
-        trades, ["strategy_id"], "trade_seq", value, F.floor(F.col("trade_seq") / F.lit(block_rows)), start
-    )
+    path = _ranked_path(trades, value, block_rows, start)
     n = trades.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("trades"))
     return path.join(n, "strategy_id").select(
         "strategy_id",
@@ -276,9 +282,7 @@ def falsification(
         F.avg(F.when(oos, (post > 0).cast("double"))).alias("oos_win_rate"),
         (F.sum(F.when(post > 0, post).otherwise(0.0)) / F.nullif(-F.sum(F.when(post < 0, post).otherwise(0.0)), F.lit(0.0))).alias("profit_factor"),
     )
-    path = path_summary(
-        trades, ["strategy_id"], "trade_seq", "post_fee_pct", F.floor(F.col("trade_seq") / F.lit(block_rows))
-    ).select("strategy_id", "max_drawdown_pct")
+    path = _ranked_path(trades, "post_fee_pct", block_rows).select("strategy_id", "max_drawdown_pct")
     no = F.lit(False)
     rows = stats.join(path, "strategy_id").withColumns(
         {

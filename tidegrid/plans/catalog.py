@@ -412,11 +412,11 @@ def custom_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def checksummed_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes of all files of an archive; every file has a hash."""
+    """Bytes and hash of each file of an archive; a symbol's lines are one file, in the order of time."""
     _, b = market(spark, sf)
-    path = _landed(b.select("symbol", "timeframe", _line("ts_open_ms", "trades")), "symbol", "timeframe")
-    files = ar.file_checksums(spark, path).filter(F.col("local_path").endswith(".txt"))
-    return files.agg(F.sum("bytes").alias("bytes"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
+    lines = b.repartition("symbol").sortWithinPartitions("symbol", "ts_open_ms").select("symbol", _line("ts_open_ms", "trades"))
+    files = ar.file_checksums(spark, _landed(lines, "symbol")).filter(F.col("local_path").endswith(".txt"))
+    return files.select(F.regexp_extract("local_path", "symbol=([^/]+)/", 1).alias("symbol"), "bytes", "sha256")
 
 
 @query
@@ -1158,7 +1158,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_close_bars(spark: SparkSession, sf: str) -> DataFrame:
     s = _stream(spark, sf)
-    return tidy(st.run_available(spark, st.stream_close_bars(s, minutes=60, needed=3)))
+    return tidy(st.run_to_end(spark, s, "ts_ms", lambda x: st.stream_close_bars(x, minutes=60, needed=3)))
 
 
 @query
@@ -1169,7 +1169,7 @@ def stream_daily_summary(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("value") - 45.0) / 50.0).alias("pre_fee"),
         ((F.col("value") - 45.0) / 50.0 - 0.08).alias("post_fee"),
     )
-    return tidy(st.run_available(spark, st.stream_daily_summary(s)))
+    return tidy(st.run_to_end(spark, s, "exit_ms", st.stream_daily_summary), 9)
 
 
 @query
@@ -1221,4 +1221,4 @@ def stream_drop_repeats(spark: SparkSession, sf: str) -> DataFrame:
     s = _stream(spark, sf)
     hour = F.floor(F.col("ts_ms") / F.lit(HOUR_MS)) * F.lit(HOUR_MS)
     once = st.stream_drop_repeats(s.select("exchange", "symbol", hour.alias("ts_settle_ms")))
-    return st.run_available(spark, once).drop("ts")
+    return st.with_state_store(spark, lambda: st.run_available(spark, once))

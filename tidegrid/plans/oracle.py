@@ -305,7 +305,8 @@ add("schema_check", "x as (select 1)", """select false as schema_ok, 'timestamp_
 add("custom_feed", TICK, f"""select symbol as feed, count(*) as rows, {r('sum(value / 1000)', 'rate')}, {r('sum(case when k % 2 = 0 then k else 0 end)', 'mark')} from tick
   where k > 1 group by symbol union all select 'bad:column_count', count(*), null, null from tick where k = 0 having count(*) > 0
   union all select 'bad:parse_error', count(*), null, null from tick where k = 1 having count(*) > 0""")
-add("checksummed_files", bars("1h"), "select cast(sum(length(ts_open_ms || ',' || trades) + 1) as bigint) as bytes, true as hashed from b")
+add("checksummed_files", f"{bars('1h')}, c as (select symbol, string_agg(ts_open_ms || ',' || trades || chr(10), '' order by ts_open_ms) as t from b group by symbol)",
+    "select symbol, cast(length(t) as bigint) as bytes, sha256(t) as sha256 from c")
 add("stored_series", bars("1h"), f"""select exchange, symbol, timeframe, ts_open_ms, {r(f"case when symbol = '{PAIR[0]}' then close * 2 else close end", 'close')} from b
   where ts_open_ms between {CLIP[0]} and {CLIP[1]}""")
 
@@ -705,13 +706,11 @@ add("experiments_upsert", "n as (select distinct cast(l_orderkey + 7 as varchar)
 
 # ---- streams ----------------------------------------------------------------------------------------------------------------------
 
-add("stream_close_bars", f"""{TICK}, cb as (select 'sim' as exchange, symbol, (ts_ms + 3599999) // 3600000 * 3600000 as bar_end_ms, arg_min(value, ts_ms) as open, max(value) as high, min(value) as low,
-  arg_max(value, ts_ms) as close, count(*) as observations, count(*) = 3 as complete from tick group by symbol, (ts_ms + 3599999) // 3600000)""",
-    f"""select exchange, symbol, bar_end_ms, {rs('open high low close')}, observations, complete from cb
-  where bar_end_ms <= (select max(ts_ms) - 1 - 600000 from tick)""")
-add("stream_daily_summary", _TT, f"""select strategy_id, epoch_ms(cast(date as timestamp)) as day_ms, count(*) as trades, {r('avg(case when post > 0 then 1.0 else 0.0 end)', 'win_rate')},
-  {r('avg(pre)', 'avg_pre_fee')}, {r('avg(post)', 'avg_post_fee')} from tt group by strategy_id, date
-  having epoch_ms(cast(date as timestamp)) + 86400000 <= (select max(ts_ms) - 3600000 from tick)""")
+add("stream_close_bars", f"""{TICK}, cb as (select 'sim' as exchange, symbol, (ts_ms + 3599999) // 3600000 * 3600000 as bar_end_ms, arg_min(value, (ts_ms, value)) as open, max(value) as high, min(value) as low,
+  arg_max(value, (ts_ms, value)) as close, count(*) as observations, count(*) = 3 as complete from tick group by symbol, (ts_ms + 3599999) // 3600000)""",
+    f"select exchange, symbol, bar_end_ms, {rs('open high low close')}, observations, complete from cb")
+add("stream_daily_summary", _TT, f"""select strategy_id, epoch_ms(cast(date as timestamp)) as day_ms, count(*) as trades, {r('avg(case when post > 0 then 1.0 else 0.0 end)', 'win_rate', 9)},
+  {r('avg(pre)', 'avg_pre_fee', 9)}, {r('avg(post)', 'avg_post_fee', 9)} from tt group by strategy_id, date""")
 add("stream_latest_funding", f"{TICK}, fs as (select symbol, ts_ms as funding_ms, (value - 50) / 20000 as funding_rate from tick where k < 5)",
     f"""select 'sim' as exchange, b.symbol, b.ts_ms as bar_end_ms, funding_ms, {r('funding_rate', digits=9)} from (select symbol, ts_ms from tick where k >= 5) b
   asof join fs on b.symbol = fs.symbol and b.ts_ms >= fs.funding_ms""")

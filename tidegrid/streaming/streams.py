@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +47,11 @@ def stream_close_bars(observations: DataFrame, minutes: int = 5, needed: int = 5
     """
     timed = observations.withColumn("ts", F.timestamp_millis(F.col("ts_ms") - 1)).withWatermark("ts", delay)
     bars = timed.groupBy("exchange", "symbol", F.window("ts", f"{minutes} minutes").alias("w")).agg(
-        F.min_by("value", "ts_ms").alias("open"),
+        # Of several observations at one time the lowest opens and the highest closes.
+        F.min_by("value", F.struct("ts_ms", "value")).alias("open"),
         F.max("value").alias("high"),
         F.min("value").alias("low"),
-        F.max_by("value", "ts_ms").alias("close"),
+        F.max_by("value", F.struct("ts_ms", "value")).alias("close"),
         F.count(F.lit(1)).alias("observations"),
     )
     return bars.select(
@@ -95,11 +97,6 @@ def stream_match_bars(price: DataFrame, premium: DataFrame, wait: str = "25 minu
     return a.join(b, on).select("exchange", "symbol", "bar_end_ms", "premium_delta", "complete")
 
 
-def stream_drop_repeats(funding: DataFrame, delay: str = "2 days") -> DataFrame:
-    """First row per instrument and settlement; rows behind the watermark are dropped."""
-    return event_time(funding, "ts_settle_ms", delay).dropDuplicatesWithinWatermark(["exchange", "symbol", "ts_settle_ms"])
-
-
 # ---- arbitrary state ------------------------------------------------------------------------------
 
 _KEY_FIELDS = [StructField("exchange", StringType()), StructField("symbol", StringType())]
@@ -109,12 +106,55 @@ def _rows(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
 
 
+def _stateful(grouped, processor: StatefulProcessor, schema: StructType, keep_ms: int | None) -> DataFrame:
+    """State that is not touched for ``keep_ms`` of wall-clock time ends; without it, it stays.
+
+    For a bounded run with ``keep_ms`` see ``with_state_store``.
+    """
+    mode = "None" if keep_ms is None else "ProcessingTime"
+    return grouped.transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
+
+
+class NewSettlements(StatefulProcessor):
+    """Settlements later than all that were seen: repeats and late ones are dropped."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self._keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._last = handle.getValueState("last", StructType([StructField("ts", LongType())]), self._keep_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last = self._last.get()[0] if self._last.exists() else -(2**62)
+        # Only the different times of a batch are held.
+        times = pd.Series(dtype="int64")
+        for frame in rows:
+            fresh = frame["ts_settle_ms"].dropna().astype("int64")
+            times = pd.concat([times, fresh[fresh > last]]).drop_duplicates()
+        times = times.sort_values()
+        if len(times):
+            self._last.update((int(times.iloc[-1]),))
+        yield pd.DataFrame({"exchange": key[0], "symbol": key[1], "ts_settle_ms": times.astype("int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_drop_repeats(funding: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Settlements per instrument in the order of time; what is not later than the newest one is dropped."""
+    schema = StructType([*_KEY_FIELDS, StructField("ts_settle_ms", LongType())])
+    return _stateful(funding.groupBy("exchange", "symbol"), NewSettlements(keep_ms), schema, keep_ms)
+
+
 class LatestFunding(StatefulProcessor):
     """Bars and settlements in one stream: each bar gets the last rate known at its end."""
 
+    def __init__(self, keep_ms: int | None) -> None:
+        self._keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("ts", LongType()), StructField("rate", DoubleType())])
-        self._last = handle.getValueState("last", schema)
+        self._last = handle.getValueState("last", schema, self._keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _rows(rows, "ts_ms")
@@ -148,48 +188,55 @@ class LatestFunding(StatefulProcessor):
         pass
 
 
-def stream_latest_funding(mixed: DataFrame) -> DataFrame:
+def stream_latest_funding(mixed: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """``mixed(exchange, symbol, ts_ms, funding_rate)``: a settlement has a rate, a bar none."""
     schema = StructType(
         [*_KEY_FIELDS, StructField("bar_end_ms", LongType()), StructField("funding_ms", LongType()), StructField("funding_rate", DoubleType())]
     )
-    return mixed.groupBy("exchange", "symbol").transformWithStateInPandas(
-        statefulProcessor=LatestFunding(), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    return _stateful(mixed.groupBy("exchange", "symbol"), LatestFunding(keep_ms), schema, keep_ms)
 
 
 class FundingHistory(StatefulProcessor):
     """z-score against the last settlements; repeats and late settlements are ignored."""
 
-    def __init__(self, history: int, z_min: float) -> None:
-        self._n, self._z_min = history, z_min
+    def __init__(self, history: int, z_min: float, keep_ms: int | None) -> None:
+        self._n, self._z_min, self._keep_ms = history, z_min, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("ts", LongType()), StructField("rates", ArrayType(DoubleType()))])
-        self._past = handle.getValueState("past", schema)
+        self._past = handle.getValueState("past", schema, self._keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last, past = self._past.get() if self._past.exists() else (-(2**62), [])
-        past, out = list(past), []
-        for ts, rate in _rows(rows, "ts_settle_ms")[["ts_settle_ms", "funding_rate"]].itertuples(index=False):
-            if ts <= last:
-                continue
-            z = None
-            if len(past) >= self._n:
-                window = pd.Series(past[-self._n :])
-                spread = window.std(ddof=0)
-                z = (rate - window.mean()) / spread if spread > 0 else None
-            out.append((key[0], key[1], int(ts), float(rate), z, int(z is not None and abs(z) >= self._z_min)))
-            past, last = (past + [float(rate)])[-self._n :], int(ts)
-        self._past.update((last, past))
-        names = ["exchange", "symbol", "ts_settle_ms", "funding_rate", "funding_zscore", "direction"]
-        yield pd.DataFrame(out, columns=names).astype({"funding_zscore": "float64"})
+        batch = _rows(rows, "ts_settle_ms")
+        batch = batch[batch["ts_settle_ms"] > last].drop_duplicates("ts_settle_ms")
+        if batch.empty:
+            return
+        line = pd.concat([pd.Series(list(past), dtype="float64"), batch["funding_rate"].astype("float64")], ignore_index=True)
+        # Windows of the settlements before each one, all at once.
+        padded = np.concatenate((np.full(max(self._n - len(past), 0), np.nan), line.to_numpy()))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, self._n)[-len(batch) - 1 : -1]
+        spread = windows.std(axis=1)
+        rates = batch["funding_rate"].to_numpy(dtype="float64")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            z = np.where(spread > 0, (rates - windows.mean(axis=1)) / spread, np.nan)
+        self._past.update((int(batch["ts_settle_ms"].iloc[-1]), line.tail(self._n).tolist()))
+        yield pd.DataFrame(
+            {
+                "exchange": key[0],
+                "symbol": key[1],
+                "ts_settle_ms": batch["ts_settle_ms"].astype("int64").to_numpy(),
+                "funding_rate": rates,
+                "funding_zscore": z,
+                "direction": (np.abs(z) >= self._z_min).astype("int64"),
+            }
+        )
 
     def close(self) -> None:
         pass
 
 
-def stream_funding_signal(funding: DataFrame, history: int = 90, z_min: float = 2.0) -> DataFrame:
+def stream_funding_signal(funding: DataFrame, history: int = 90, z_min: float = 2.0, keep_ms: int | None = None) -> DataFrame:
     schema = StructType(
         [
             *_KEY_FIELDS,
@@ -199,9 +246,7 @@ def stream_funding_signal(funding: DataFrame, history: int = 90, z_min: float =
             StructField("direction", LongType()),
         ]
     )
-    return funding.groupBy("exchange", "symbol").transformWithStateInPandas(
-        statefulProcessor=FundingHistory(history, z_min), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    return _stateful(funding.groupBy("exchange", "symbol"), FundingHistory(history, z_min, keep_ms), schema, keep_ms)
 
 
 class FirstCross(StatefulProcessor):
@@ -247,22 +292,25 @@ def stream_first_cross(flags: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 class StopLatch(StatefulProcessor):
-    """Running peak and a stop that stays tripped."""
+    """Running peak and a stop that stays tripped; what is not later than the newest row is ignored."""
 
-    def __init__(self, stop: float) -> None:
-        self._stop = stop
+    def __init__(self, stop: float, keep_ms: int | None) -> None:
+        self._stop, self._keep_ms = stop, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("peak", DoubleType()), StructField("tripped", BooleanType())])
-        self._state = handle.getValueState("latch", schema)
+        schema = StructType([StructField("seq", LongType()), StructField("peak", DoubleType()), StructField("tripped", BooleanType())])
+        self._state = handle.getValueState("latch", schema, self._keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = _rows(rows, "seq")
-        top, tripped = self._state.get() if self._state.exists() else (float("-inf"), False)
+        seen, top, tripped = self._state.get() if self._state.exists() else (-(2**62), float("-inf"), False)
+        batch = batch[batch["seq"] > seen].drop_duplicates("seq")
+        if batch.empty:
+            return
         peak = batch["equity"].cummax().clip(lower=top)
         drop = ((peak - batch["equity"]) / peak).where(peak > 0, 0.0)
         hit = (drop >= self._stop).cummax() | bool(tripped)
-        self._state.update((float(peak.iloc[-1]), bool(hit.iloc[-1])))
+        self._state.update((int(batch["seq"].iloc[-1]), float(peak.iloc[-1]), bool(hit.iloc[-1])))
         yield pd.DataFrame(
             {
                 "strategy_id": key[0],
@@ -277,7 +325,7 @@ class StopLatch(StatefulProcessor):
         pass
 
 
-def stream_stop_latch(equity: DataFrame, stop: float = 0.20) -> DataFrame:
+def stream_stop_latch(equity: DataFrame, stop: float = 0.20, keep_ms: int | None = None) -> DataFrame:
     """``equity(strategy_id, seq, equity)``."""
     schema = StructType(
         [
@@ -288,20 +336,17 @@ def stream_stop_latch(equity: DataFrame, stop: float = 0.20) -> DataFrame:
             StructField("tripped", BooleanType()),
         ]
     )
-    return equity.groupBy("strategy_id").transformWithStateInPandas(
-        statefulProcessor=StopLatch(stop), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    return _stateful(equity.groupBy("strategy_id"), StopLatch(stop, keep_ms), schema, keep_ms)
 
 
 # ---- running a stream over what is there ------------------------------------------------------------
 
 
-def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all data its sources hold now; the result is a table, read back.
+#: The time of the row that ends an input: later than all that a feed will hold.
+END_MS = 253_370_764_800_000
 
-    Table and progress go to the shared checkpoint folder of the session.
-    """
-    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+def _run(stream: DataFrame, place: str, mode: str) -> None:
     query = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -311,18 +356,55 @@ def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append")
         .start()
     )
     query.awaitTermination()
+
+
+def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all data its sources hold now; the result is a table, read back.
+
+    Table and progress go to the shared checkpoint folder of the session.
+    """
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _run(stream, place, mode)
     return spark.read.schema(stream.schema).parquet(f"{place}/table")
 
 
-def with_state_store(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
-    """Arbitrary state needs the RocksDB store; the setting is put back afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STATE_STORE)
+def run_to_end(spark: SparkSession, source: DataFrame, ms: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """Run ``build(source)`` over a bounded input, with the windows that are open at its end.
+
+    A watermark follows the newest row, so the last windows of an input that stops would stay open for ever.
+    Here a second source stands beside the first, empty while that is read.  Then it gets one row, far
+    in the future and null but for ``ms``, and the same query goes on from its own progress: the watermark passes
+    every open window, while the row's own one stays open.
+    """
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    ends = f"{place}/end"
+    spark.createDataFrame([], source.schema).write.parquet(ends)
+    stream = build(source.unionByName(spark.readStream.schema(source.schema).parquet(ends)))
+    _run(stream, place, mode)
+    row = [END_MS if f.name == ms else None for f in source.schema]
+    nullable = StructType([StructField(f.name, f.dataType) for f in source.schema])
+    spark.createDataFrame([row], nullable).write.mode("append").parquet(ends)
+    _run(stream, place, mode)
+    return spark.read.schema(stream.schema).parquet(f"{place}/table")
+
+
+def with_state_store(spark: SparkSession, run: Callable[[], DataFrame], idle_batches: bool = True) -> DataFrame:
+    """Arbitrary state needs the RocksDB store; the settings are put back afterwards.
+
+    A state with a time to live asks for batches without data for ever, so a bounded run of one
+    must go without them.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if not idle_batches:
+        wanted["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         return run()
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)

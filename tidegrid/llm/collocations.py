@@ -10,13 +10,15 @@ A node whose whole flow leaves through one edge, or comes through one, adds noth
 it is compacted into it, and so are the shorter phrases of which the same holds.  ``paths`` follows edges
 through such nodes and gives the unary paths of any length in whole.
 
-What is too rare never reaches the graph.  Words are counted first, exactly; then pairs of
-frequent words.  A filter of fixed size holds the frequent ones; it errs only towards keeping.
-Pieces are cut where a word or a pair is known to be rare: no frequent phrase goes over such
-a place, and all that is counted of frequent ones stays.  Single words keep the counts of the first pass.
+Words are counted first, exactly.  A filter of fixed size holds the frequent ones; it errs only towards
+keeping.  Pieces are cut where a word is known to be rare: no frequent phrase goes over such a
+place, and all that is counted of frequent ones stays.  Single words keep the counts of the first pass.
 
-Edges are added up in batches, then spread by their first three words, so that one frequent word or
-pair does not meet in one task; all longer counts follow there without moving rows again.
+Edges are added up in batches.  They travel as byte strings in which each word has a number by its frequency, of one to
+three bytes; words beyond the first million, a fixed size, stand there with their hash.  No number
+begins another, so edges with the same first words are neighbours once they are sorted, and the
+flow through each node is the sum of a run of rows.  They are spread by their first two words, those that begin with two
+hot words (one of 1000 occurrences each) by the first three, so that no pair meets in one task; the flow of such a pair is summed afterwards.
 
 In the graph a word is a 64-bit hash of group and word.  Two frequent words of one hash fail
 the query; a rare word that shares the hash of a frequent one would count as it (for a billion different
@@ -47,7 +49,7 @@ _ROLE = np.zeros(256, np.uint8)
 _ROLE[[32, 9]] = 1
 _ROLE[[*b".,;:!?", 10, 11, 12, 13]] = 2
 _BITS = 25
-_BATCH = 8 << 20
+_BATCH = 3 << 20
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +82,7 @@ class _Text:
         self.start = np.flatnonzero(right & (~left | edge))
         self.end = np.flatnonzero(left & (~right | edge))
         self.row = np.searchsorted(at, self.start, "right") - 1
-        cuts = np.cumsum(np.concatenate(([0], role == 2)))[self.start] if len(raw) else np.zeros(0, np.int64)
+        cuts = np.cumsum(np.concatenate(([0], role == 2)), dtype=np.int32)[self.start] if len(raw) else np.zeros(0, np.int64)
         self.joined = np.zeros(len(self.start), bool)
         self.joined[1:] = (np.diff(cuts) == 0) & (np.diff(self.row) == 0)
         group, where = utf8(batch.column("group"))
@@ -88,12 +90,6 @@ class _Text:
         key = mix(word_hashes(self.raw, self.start, self.end) ^ mix(self.group * _STEP + U(1))[self.row])
         self.key = np.where(key == 0, U(1), key)  # 0 says that there is no word
 
-    def pair(self) -> np.ndarray:
-        """A hash of each word and the one before it."""
-        out = np.zeros(len(self.key), U)
-        out[1:] = mix(self.key[:-1] * _STEP + self.key[1:])
-        return out
-
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
@@ -105,19 +101,28 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = _Text(batch)
         if not len(text.key):
             continue
-        key, first, _, n = _counted(text.key)
+        _, first, _, n = _counted(text.key)
         groups = batch.column("group").take(pa.array(text.row[first]))
         s, e = text.start[first].tolist(), text.end[first].tolist()
         raw = text.raw.tobytes()
         names = pa.array([raw[a:b] for a, b in zip(s, e, strict=True)], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([groups, pa.array(key.view(np.int64)), names, pa.array(n)], ["group", "key", "word", "n"])
+        yield pa.RecordBatch.from_arrays([groups, names, pa.array(n)], ["group", "word", "n"])
         total = pa.table({"group": batch.column("group").take(pa.array(text.row))}).group_by("group").aggregate([([], "count_all")])
-        size = total.num_rows
         yield pa.RecordBatch.from_arrays(
-            [total.column("group").combine_chunks(), pa.array(np.zeros(size, np.int64)), pa.nulls(size, pa.string()), total.column("count_all").combine_chunks()], ["group", "key", "word", "n"]
+            [total.column("group").combine_chunks(), pa.nulls(total.num_rows, pa.string()), total.column("count_all").combine_chunks()], ["group", "word", "n"]
         )
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted words with their keys; no key where there is no word."""
+    for batch in batches:
+        rows = batch.filter(batch.column("word").is_valid())
+        text = _Text(pa.RecordBatch.from_arrays([rows.column("word"), rows.column("group")], ["text", "group"]))
+        key = np.zeros(batch.num_rows, np.int64)
+        key[np.asarray(batch.column("word").is_valid())] = text.key.view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "key"])
+
+
 def _bits(keys: DataFrame) -> np.ndarray:
     """A bit table of fixed size: a key that is in it is never missed, a few others seem to be."""
     words = keys.selectExpr(f"shiftrightunsigned(key, {64 - _BITS}) as bit").selectExpr("shiftright(bit, 6) as at", "shiftleft(1L, cast(bit % 64 as int)) as mask")
@@ -132,32 +137,98 @@ def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) > 0
 
 
-def _pairs(words: Broadcast):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", _BATCH):
-            text = _Text(batch)
-            known = _held(words.value, text.key)
-            both = text.joined.copy()
-            both[1:] &= known[1:] & known[:-1]
-            key, _, _, n = _counted(text.pair()[both])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
-
-    return of
-
-
-def _edges(words: Broadcast, pairs: Broadcast, width: int):
-    names = [f"w{k}" for k in range(1, width + 1)]
-
+#: Numbers of words: so many of one byte, of two and of three; a word without number is the last byte and its key.
+_ONE, _TWO, _THREE = 160, 80 << 8, 15 << 16
+_NUMBERED = _ONE + _TWO + _THREE
+_OTHER = 255
+
+
+class _Numbers:
+    """Word keys to byte strings and back.  Words are ordered by how often they occur."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.order = np.argsort(keys, kind="stable")
+        self.sorted = keys[self.order]
+
+    def number(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for a word without number."""
+        if not len(self.sorted):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == keys, self.order[at], -1)
+
+    @staticmethod
+    def spell(keys: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of each word, as many columns as the longest needs, and how many of them it has; a key of 0 has none."""
+        size = np.where(number < 0, 9, 1 + (number >= _ONE) + (number >= _ONE + _TWO))
+        size[keys == 0] = 0
+        two, three = number - _ONE, number - _ONE - _TWO
+        out = np.zeros((len(keys), 9 if (size == 9).any() else 3), np.uint8)
+        out[:, 0] = np.select([size == 1, size == 2, size == 3], [number, _ONE + (two >> 8), 240 + (three >> 16)], _OTHER)
+        out[:, 1] = np.where(size == 2, two & 255, (three >> 8) & 255)
+        out[:, 2] = three & 255
+        other = np.flatnonzero(size == 9)
+        if len(other):
+            out[other, 1:] = keys[other].astype(">u8").view(np.uint8).reshape(-1, 8)
+        return out, size
+
+    def read(self, raw: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key and number of the word at each place, and the place after it; past the end the key is 0."""
+        here = at < end
+        padded = np.concatenate((raw, np.zeros(9, np.uint8)))
+        first = padded[at].astype(np.int64)
+        second, third = padded[at + 1].astype(np.int64), padded[at + 2].astype(np.int64)
+        number = np.where(
+            first < _ONE,
+            first,
+            np.where(first < 240, _ONE + ((first - _ONE) << 8) + second, _ONE + _TWO + ((first - 240) << 16) + (second << 8) + third),
+        )
+        size = 1 + (first >= _ONE).astype(np.int64) + (first >= 240)
+        other = first == _OTHER
+        number[other | ~here] = -1
+        key = np.zeros(len(at), U)
+        known = number >= 0
+        key[known] = self.keys[number[known]]
+        where = np.flatnonzero(other & here)
+        if len(where):
+            key[where] = padded[at[where][:, None] + 1 + np.arange(8)].copy().view(">u8").reshape(-1)
+        size[other] = 9
+        return key, number, np.where(here, at + size, at)
+
+
+def _packed(words: list[np.ndarray], sizes: list[np.ndarray], spread: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A byte string per edge: how many bytes of its words say where it goes, the words, and how often it occurs.
+
+    A number of occurrences below 255 is one byte; otherwise four bytes and a last one of 255.
+    """
+    often = n >= 255
+    tail = np.zeros((len(n), 5 if often.any() else 1), np.uint8)
+    tail[:, 0] = np.where(often, 0, n)
+    if often.any():
+        tail[often, :4] = n[often].astype("<u4").view(np.uint8).reshape(-1, 4)
+        tail[often, 4] = 255
+    parts = [spread.astype(np.uint8)[:, None], *words, tail]
+    size = np.stack([np.ones(len(n), np.int64), *sizes, np.where(often, 5, 1)], axis=1)
+    letters = np.zeros((len(n), len(parts), max(x.shape[1] for x in parts)), np.uint8)
+    for k, x in enumerate(parts):
+        letters[:, k, : x.shape[1]] = x
+    flat = letters[np.arange(letters.shape[2])[None, None, :] < size[:, :, None]]
+    ends = np.concatenate(([0], np.cumsum(size.sum(axis=1)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
+def _edges(bits: Broadcast, ranked: Broadcast, hot: int, width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(ranked.value)
         for batch in pieces(batches, "text", _BATCH):
             text = _Text(batch)
-            known = _held(words.value, text.key)
-            joined = text.joined.copy()
-            joined[1:] &= known[1:] & known[:-1]
-            joined &= _held(pairs.value, text.pair())
+            known = _held(bits.value, text.key)
+            # Whether the next word continues the piece, both known.
+            chain = np.zeros(len(known), bool)
+            chain[:-1] = text.joined[1:] & known[1:] & known[:-1]
             # How many words follow each one without a cut, as far as an edge is long.
-            follow = np.zeros(len(joined), np.int64)
-            chain = np.concatenate((joined[1:], [False])) if len(joined) else joined
+            follow = np.zeros(len(chain), np.int64)
             open_ = chain.copy()
             for k in range(1, width):
                 follow += open_
@@ -176,7 +247,74 @@ def _edges(words: Broadcast, pairs: Broadcast, width: int):
             _, first, same, n = _counted(phrase)
             if not all((c == c[first][same]).all() for c in columns):
                 first, n = np.arange(len(at)), np.ones(len(at), np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), pa.array(n)], [*names, "n"])
+            if not len(first):
+                continue
+            number = np.full(len(known), -1, np.int64)
+            number[known] = numbers.number(text.key[known])
+            words, sizes, marks = [], [], []
+            for k, column in enumerate(columns):
+                key = column[first]
+                mine = np.full(len(first), -1, np.int64)
+                mine[key != 0] = number[at[first][key != 0] + k]
+                spelt, size = numbers.spell(key, mine)
+                words.append(spelt)
+                sizes.append(size)
+                marks.append((mine >= 0) & (mine < hot))
+            pair = sizes[0] + sizes[1]
+            spread = np.where(marks[0] & marks[1], pair + sizes[2], pair)
+            yield pa.RecordBatch.from_arrays([_packed(words, sizes, spread, n)], ["g"])
+
+    return of
+
+
+def _flow(ranked: Broadcast, hot: int, width: int, least: int):
+    """From sorted edges to the phrases that begin them: the sum of the rows that begin alike.
+
+    Phrases below ``least`` go, but for pairs that are spread over tasks.
+    """
+
+    def closed(k: int, words: np.ndarray, sums: np.ndarray, hot_pair: np.ndarray) -> pa.RecordBatch:
+        keep = (words[k - 1] != 0) & ((sums >= least) | (hot_pair if k == 2 else False))
+        flat = np.ascontiguousarray(words[:k, keep].T).reshape(-1).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k, dtype=np.int32)), pa.array(flat))
+        return pa.RecordBatch.from_arrays([lists, pa.array(sums[keep])], ["g", "a"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(ranked.value)
+        # Per length the phrase of the last row so far, which may go on: its words, its sum, whether its pair is hot.
+        last: dict[int, tuple[np.ndarray, int, bool]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw, at = utf8(batch.column("g"))
+            place, end = at[:-1] + 1, at[1:] - 1
+            n = raw[end].astype(np.int64)
+            often = np.flatnonzero(n == 255)
+            end[often] -= 4
+            n[often] = raw[end[often][:, None] + np.arange(4)].copy().view("<u4").reshape(-1)
+            words = np.zeros((width, batch.num_rows), U)
+            pair = np.ones(batch.num_rows, bool)
+            for k in range(width):
+                words[k], number, place = numbers.read(raw, place, end)
+                if k < 2:
+                    pair &= (number >= 0) & (number < hot)
+            fresh = np.ones(batch.num_rows, bool)
+            differs = words[:, 1:] != words[:, :-1]
+            for k in range(2, width + 1):
+                fresh[1:] = differs[:k].any(axis=0)
+                first = np.flatnonzero(fresh)
+                sums = np.add.reduceat(n, first)
+                heads, marks = words[:, first], pair[first]
+                if k in last:
+                    before, total, mark = last[k]
+                    if (before[:k] == heads[:k, 0]).all():
+                        sums[0] += total
+                    else:
+                        yield closed(k, before[:, None], np.array([total]), np.array([mark]))
+                last[k] = (heads[:, -1], int(sums[-1]), bool(marks[-1]))
+                yield closed(k, heads[:, :-1], sums[:-1], marks[:-1])
+        for k, (before, total, mark) in last.items():
+            yield closed(k, before[:, None], np.array([total]), np.array([mark]))
 
     return of
 
@@ -196,24 +334,23 @@ def graph(docs: DataFrame, text: str = "text", group: str = "lang", params: Coll
     p = params or CollocationParams()
     rows = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("und")).alias("group"))
     share = docs.sparkSession.sparkContext.broadcast
-    counted = rows.mapInArrow(_words, "group string, key long, word string, n long").groupBy("group", "key", "word").agg(F.sum("n").alias("n"))
-    counted = cut_lineage(counted.where(F.col("word").isNull() | (F.col("n") >= p.least)))
+    counted = rows.mapInArrow(_words, "group string, word string, n long").groupBy("group", "word").agg(F.sum("n").alias("n"))
+    counted = counted.where(F.col("word").isNull() | (F.col("n") >= p.least))
+    counted = cut_lineage(counted.mapInArrow(_named, "group string, word string, n long, key long"))
     words = counted.where("word is not null")
     if words.groupBy("key").count().where("count > 1").limit(1).count():
         raise ValueError("two frequent words have one hash")
+    all_words = counted.where("word is null").agg(F.sum("n")).first()[0] or 0
     known = share(_bits(words.select("key")))
-    often = rows.mapInArrow(_pairs(known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= p.least)
-    linked = share(_bits(often.select("key")))
-    names = [f"w{k}" for k in range(1, p.longest + 1)]
-    edges = rows.mapInArrow(_edges(known, linked, p.longest), ", ".join(f"{w} long" for w in names) + ", n long")
-    spread = edges.repartition(*names[:3])
-    levels = []
-    for k in range(2, p.longest + 1):  # of a phrase of k words: the flow through all that begin with it, and the pieces that end with it
-        count = spread.where(f"w{k} <> 0").groupBy(*names[:k]).agg(F.sum("n").alias("a"))
-        levels.append(count.where(F.col("a") >= p.least).select(F.array(*names[:k]).alias("g"), "a"))
-    phrases = words.select(F.array("key").alias("g"), F.col("n").alias("a"))
-    for level in levels:
-        phrases = phrases.unionByName(level)
+    top = words.orderBy(F.desc("n"), "key").limit(_NUMBERED).select("key", "n").toArrow()  # 16 MB at most
+    hot = int((np.asarray(top.column("n")) * 1000 >= all_words).sum())
+    ranked = share(np.asarray(top.column("key")).astype(np.int64).view(U))
+    edges = rows.mapInArrow(_edges(known, ranked, hot, p.longest), "g binary")
+    spread = edges.repartition(F.expr("substring(g, 2, ascii(cast(substring(g, 1, 1) as string)))")).sortWithinPartitions("g")
+    longer = spread.mapInArrow(_flow(ranked, hot, p.longest, p.least), "g array<long>, a long")
+    # A pair of hot words has a part of its flow in each of the tasks it was spread over.
+    longer = longer.groupBy("g").agg(F.sum("a").alias("a")).where(F.col("a") >= p.least)
+    phrases = words.select(F.array("key").alias("g"), F.col("n").alias("a")).unionByName(longer)
     return Graph(cut_lineage(phrases), words.select("key", "group", "word"), counted.where("word is null").select("group", "n"), p)
 
 

@@ -54,12 +54,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text; columns of the same names give way."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN).learn_dictionary(docs)
-    keep = tuple(c for c in docs.columns if c != "text")
-    coded = encoder.encode(docs.withColumn("_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), keep=(*keep, "_sha256"))
-    return coded.select(*keep, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("_sha256")).alias("decodes"))
+    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decodes")]
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept), digest.alias("_sha256")).alias("_row"), "text")
+    coded = encoder.encode(packed, keep=("_row",))
+    decodes = F.sha2("decoded", 256) == F.col("_row._sha256")
+    return coded.select(*(F.col(f"_row.`{c}`") for c in kept), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", decodes.alias("decodes"))
 
 
 STAGES = [

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalars import ms_to_iso
-from tidegrid.functions.segments import cut, with_row_index
+from tidegrid.functions.segments import cut, running, with_row_index
 from tidegrid.params import MINUTE_MS, SegmentParams
 
 # Dataset names.
@@ -28,31 +28,36 @@ def _known_gap(gaps_ms: Sequence[int]) -> Column:
     return F.col("ts_ms").isin(*gaps_ms) if gaps_ms else F.lit(False)
 
 
-def _presence(times: DataFrame) -> DataFrame:
+def _presence(times: DataFrame, **more: str) -> DataFrame:
     """``times(dataset_id, symbol, ts_ms)`` to one row per (symbol, minute) with a flag for
     each source: one shuffle, keyed by minute, instead of one join per source."""
     return times.groupBy("symbol", "ts_ms").agg(
-        *[F.coalesce(F.bool_or(F.col("dataset_id") == d), F.lit(False)).alias(flag) for flag, d in FLAGS.items()]
+        *[F.coalesce(F.bool_or(F.col("dataset_id") == d), F.lit(False)).alias(flag) for flag, d in {**FLAGS, **more}.items()]
     )
 
 
 def availability(times: DataFrame, funding_times: DataFrame, gaps_ms: Sequence[int] = ()) -> DataFrame:
     """Flags per minute of the kline grid.
 
-    Funding is available from its first time on, so the first time per symbol is all that is
-    needed of it.
+    Funding is available from its first time on.  Its times stand among those of the grid as
+    marks, and a running maximum carries the mark on, so no row meets another of its symbol
+    but those of its segment.
     """
-    first = funding_times.groupBy("symbol").agg(F.min("ts_ms").alias("_first_funding"))
-    grid = _presence(times.filter(F.col("dataset_id").isin(*FLAGS.values()))).filter("has_um_klines")
+    marks = funding_times.select(F.lit(FUNDING).alias("dataset_id"), "symbol", "ts_ms")
+    seen = times.filter(F.col("dataset_id").isin(*FLAGS.values())).select("dataset_id", "symbol", "ts_ms").unionByName(marks)
+    present = _presence(seen, has_funding=FUNDING)
+    segment = F.floor(F.col("ts_ms") / F.lit(MINUTE_MS * SegmentParams().rows))
+    carried = running(present, ["symbol"], "ts_ms", segment, {"_funded": ("max", F.col("has_funding").cast("int"))})
+    grid = carried.filter("has_um_klines")
     whole = F.col("has_um_klines") & F.col("has_premium_index") & F.col("has_mark_price") & F.col("has_index_price")
     gap = _known_gap(gaps_ms)
-    return grid.join(first, "symbol", "left").select(
+    return grid.select(
         "ts_ms",
         ms_to_iso("ts_ms").alias("timestamp_utc"),
         "symbol",
         *FLAGS,
         whole.alias("has_all_price_state"),
-        F.coalesce(F.col("ts_ms") >= F.col("_first_funding"), F.lit(False)).alias("funding_available_after_timestamp"),
+        (F.col("_funded") == 1).alias("funding_available_after_timestamp"),
         gap.alias("known_gap_timestamp"),
         (~whole | gap).alias("no_signal_required"),
         F.when(gap, "known_gap_no_fill_no_signal").otherwise(F.lit("")).alias("notes"),

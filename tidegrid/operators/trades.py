@@ -92,10 +92,9 @@ def latched_stop(
     if not 0.0 < stop <= 0.20:
         raise ValueError("the stop may be tighter than 20 %, not looser")
     with_dd = drawdown(equity, keys, order, segment)
-    hit = with_dd.groupBy(*keys).agg(F.min(F.when(F.col("drawdown") >= stop, F.col(order))).alias("_hit"))
-    return with_dd.join(hit, list(keys)).withColumn(
-        "tripped", F.coalesce(F.col(order) >= F.col("_hit"), F.lit(False))
-    ).drop("_hit")
+    hit = (F.col("drawdown") >= stop).cast("int")
+    latched = running(with_dd, keys, order, segment, {"_hit": ("max", hit)})
+    return latched.withColumn("tripped", F.coalesce(F.col("_hit") == 1, F.lit(False))).drop("_hit")
 
 
 # ---- compounding paths --------------------------------------------------------------------------

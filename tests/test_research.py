@@ -271,6 +271,17 @@ def test_simulations(spark, mode, block):
         assert abs(spread.mean() - want.sum()) < 4 * want.std() * np.sqrt(60) / np.sqrt(120)
 
 
+def test_reordering_is_a_bijection():
+    for n in [*range(1, 60), 1000, 4097]:
+        got = montecarlo.reordered(12345, np.arange(n), n)
+        assert sorted(got.tolist()) == list(range(n))
+        assert montecarlo.reordered(12345, np.arange(n)[::7], n).tolist() == got[::7].tolist()
+    # Every trade comes to every place about as often.
+    at = np.stack([montecarlo.reordered(int(k), np.arange(10), 10) for k in np.random.default_rng(1).integers(0, 1 << 32, 4000)])
+    counts = np.stack([np.bincount(at[:, i], minlength=10) for i in range(10)])
+    assert np.abs(counts - 400).max() < 5 * np.sqrt(400 * 0.9)
+
+
 def test_ruin(spark):
     paths = montecarlo.simulate_equity(_returns(spark, [-100.0] * 3), sims=3).collect()
     assert all((r.final_equity, r.max_drawdown_pct) == (0.0, 100.0) for r in paths)

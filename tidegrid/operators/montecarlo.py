@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators.stability import mixed
 from tidegrid.operators.trades import path_summary
 
 # Accepted names of the return column, first match wins.
@@ -20,36 +25,84 @@ def trade_returns(trades: DataFrame, keys: tuple[str, ...] = ("strategy_id", "tr
     return trades.filter(text.isNotNull() & (text != "")).select(*keys, text.cast("double").alias("pnl_pct"))
 
 
-_HASH_RANGE = 16.0**15
-
-
 def _hash(seed: int, *cols: Column) -> Column:
     """A number below 16^15: the first hex digits of the MD5 of the seed and the columns."""
     text = F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in cols))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+_ROUNDS = 4
+
+
+def reordered(key: int, places: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` trades stands at each place: a bijection that depends on the key alone.
+
+    A Feistel network over a rectangle that just holds ``n``; what falls outside goes through it
+    again until it is inside, so any place is found without the others.
+    """
+    width = int(np.ceil(np.sqrt(n)))
+    height = -(-n // width)
+    out = places.astype(np.int64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] % width, out[todo] // width
+        for k in range(1, _ROUNDS + 1):
+            size = width if k % 2 else height
+            left, right = right, (left + mixed(key ^ mixed(right * 4 + k))) % size
+        out[todo] = width * right + left
+        todo = todo[out[todo] >= n]
+    return out
+
+
+def _reorder(block: int):
+    """Places of stretches, with the trade at each."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i, (n, stretch, sim, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_n", "_stretch", "sim", "_key")), strict=True)):
+            places = np.arange(stretch * block, min(n, (stretch + 1) * block))
+            yield i, places, reordered(int(mixed(np.array([key ^ int(mixed(np.array([sim]))[0])]))[0]), places, n)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
+            take = pa.array(np.concatenate([np.full(len(p), i) for i, p, _ in parts]))
+            same = [batch.column(c).take(take) for c in ("strategy_id", "sim", "_stretch")]
+            numbers = [pa.array(np.concatenate([x[k] for x in parts])) for k in (1, 2)]
+            return pa.RecordBatch.from_arrays([*same, *numbers], ["strategy_id", "sim", "_stretch", "_order", "_idx"])
+
+        for batch in batches:
+            parts, held = [], 0
+            for part in rows(batch):
+                parts.append(part)
+                held += len(part[1])
+                if held > 1 << 18:
+                    yield packed(batch, parts)
+                    parts, held = [], 0
+            if parts:
+                yield packed(batch, parts)
+
+    return of
+
+
 def _paths(indexed: DataFrame, sims: int, mode: str, seed: int, start: float, block: int) -> DataFrame:
-    """Paths are cut into stretches, drawn trades are joined in, and only stretch summaries
-    meet.  ``indexed`` has ``_idx`` and ``_n`` per trade."""
+    """Paths are cut into stretches of places, the trade at each place is computed and joined in, and only
+    stretch summaries meet.  ``indexed`` has ``_idx`` and ``_n`` per trade."""
     who = F.col("strategy_id").cast("string").alias("strategy_id")
+    counts = indexed.groupBy("strategy_id").agg(F.first("_n").alias("_n"))
+    stretches = counts.select(
+        who, "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / F.lit(block)))).alias("_stretch")
+    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
     if mode == "shuffle":
-        # A path sorts the trades by a hash; the hash range is cut into equal stretches.
-        rows = indexed.select(who, "pnl_pct", "_idx", "_n", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-        place = _hash(seed, F.col("strategy_id"), F.col("sim"), F.col("_idx"))
-        stretch = F.floor(place.cast("double") / F.lit(_HASH_RANGE) * F.ceil(F.col("_n") / F.lit(block)))
-        rows = rows.select("strategy_id", "sim", F.struct(place, "_idx").alias("_order"), stretch.alias("_stretch"), "pnl_pct")
+        text = F.concat_ws("|", F.lit(str(seed)), F.col("strategy_id"))
+        keyed = stretches.withColumn("_key", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"))
+        parts = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = keyed.repartition(parts, "strategy_id", "sim", "_stretch")
+        placed = spread.mapInArrow(_reorder(block), "strategy_id string, sim int, _stretch long, _order long, _idx long")
     else:
-        counts = indexed.groupBy("strategy_id").agg(F.first("_n").alias("_n"))
-        stretches = counts.select(
-            who, "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / F.lit(block)))).alias("_stretch")
-        ).select("*", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
         last = F.least((F.col("_stretch") + 1) * F.lit(block), F.col("_n")) - 1
         places = stretches.select("*", F.explode(F.sequence(F.col("_stretch") * F.lit(block), last)).alias("_order"))
         drawn = F.pmod(_hash(seed, F.col("strategy_id"), F.col("sim"), F.col("_order")), F.col("_n"))
-        rows = places.select("strategy_id", "sim", "_stretch", "_order", drawn.alias("_idx")).join(
-            indexed.select(who, "_idx", "pnl_pct"), ["strategy_id", "_idx"]
-        )
+        placed = places.select("strategy_id", "sim", "_stretch", "_order", drawn.alias("_idx"))
+    rows = placed.join(indexed.select(who, "_idx", "pnl_pct"), ["strategy_id", "_idx"])
     return path_summary(rows, ["strategy_id", "sim"], "_order", "pnl_pct", F.col("_stretch"), start).select(
         "strategy_id", F.col("sim").cast("long").alias("sim"), "final_equity", "max_drawdown_pct"
     )
@@ -65,9 +118,10 @@ def simulate_equity(
 ) -> DataFrame:
     """Final equity and deepest drawdown of each (strategy, simulation).
 
-    ``trades(strategy_id, trade_seq, pnl_pct)``.  Bootstrap draws with replacement, shuffle
-    reorders.  Every draw is a hash of seed, strategy, simulation and place, so results depend
-    neither on partitioning nor on ``block``, the length of the stretches that are folded alone.
+    ``trades(strategy_id, trade_seq, pnl_pct)``.  Bootstrap draws with replacement: every draw is
+    a hash of seed, strategy, simulation and place.  Shuffle reorders by a keyed bijection, nothing is
+    sorted.  So results depend neither on partitioning nor on ``block``, the length of the stretches
+    that are folded alone.
     """
     if mode not in ("bootstrap", "shuffle"):
         raise ValueError(f"unknown mode {mode}")

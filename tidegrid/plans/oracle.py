@@ -233,6 +233,16 @@ def _mix(x: str, out: str) -> str:
     )
 
 
+def _feistel(rows: str, x: str) -> str:
+    """Four rounds over a rectangle of ``wd`` times ``ht`` places for ``x`` of ``rows``, a select around a select per step; the result is ``y``."""
+    q = f"select *, {x} % wd as q0, {x} // wd as q1 from {rows}"
+    for k in range(1, 5):
+        q = f"select *, {_mix(f'(q{k} * 4 + {k})', f'g{k}')} from ({q})"
+        q = f"select *, {_mix(f'xor(key, g{k})', f'h{k}')} from ({q})"
+        q = f"select *, (q{k - 1} + h{k}) % {'wd' if k % 2 else 'ht'} as q{k + 1} from ({q})"
+    return f"select strategy_id, n, sim, wd, ht, key, place, wd * q5 + q4 as y from ({q})"
+
+
 # Every draw of every permutation of every cell that is large enough, looked up among the returns of its series.
 _TO_CELL = "exchange, symbol, timeframe, event_type, horizon"
 PERM = f"""un as materialized (select a.symbol, 'h+' || h as horizon, row_number() over (partition by a.symbol, h order by a.bar_idx) - 1 as rk,
@@ -648,8 +658,12 @@ add("falsification_criteria", f"""{_PATH}, st as (select strategy_id, count(*) a
 _DRAWS = f"""{_TT}, dy as (select strategy_id, date, avg(post) as pnl from tt group by strategy_id, date),
   tr as (select strategy_id, 1 + pnl / 100 as f, row_number() over (partition by strategy_id order by date) - 1 as idx, count(*) over (partition by strategy_id) as n from dy),
   pl as (select strategy_id, idx as place, n, f, sim, cast('0x' || substr(md5(concat_ws('|', 17, strategy_id, sim, idx)), 1, 15) as bigint) as h from tr, range(1000) as s(sim)),
+  sk as (select distinct strategy_id, n, sim, cast(ceil(sqrt(n)) as bigint) as wd, cast('0x' || substr(md5('17|' || strategy_id), 1, 8) as bigint) as ck from pl),
+  s32 as (select sk.*, {_mix('sim', 'a')}, {_mix('xor(ck, a)', 'key')} from sk),
+  w0 as (select strategy_id, n, sim, wd, (n + wd - 1) // wd as ht, key, tr.idx as place from s32 join tr using (strategy_id, n)),
+  wk as ({_feistel('w0', 'place')} union all {_feistel('(select * from wk where y >= n)', 'y')}),
   dr as (select 'bootstrap' as mode, pl.strategy_id, sim, place as ord, 0 as tie, tr.f from pl join tr on pl.strategy_id = tr.strategy_id and tr.idx = pl.h % pl.n
-    union all select 'shuffle', strategy_id, sim, h, place, f from pl),
+    union all select 'shuffle', wk.strategy_id, sim, place, 0, tr.f from wk join tr on wk.strategy_id = tr.strategy_id and tr.idx = wk.y where y < wk.n),
   eq as (select mode, strategy_id, sim, ord, tie, 200 * product(f) over (partition by mode, strategy_id, sim order by ord, tie) as e from dr),
   pk as (select *, greatest(200, max(e) over (partition by mode, strategy_id, sim order by ord, tie)) as peak from eq),
   mc as (select mode, strategy_id, sim, case when min(e) <= 0 then 0 else arg_max(e, struct_pack(a := ord, b := tie)) end as final_equity,

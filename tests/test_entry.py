@@ -24,6 +24,7 @@ COMPARED = [
     "file_integrity",
     "funding_premium_signal",
     "label_lines",
+    "momentum_ledger",
     "monte_carlo_paths",
     "monte_carlo_verdict",
     "regime_labels",

@@ -354,6 +354,58 @@ def test_ledger_matches_walk(spark, rows):
     assert trades.leakage_audit(ledger.taken_trades(ledger.trade_ledger(sig, bars, 6))).first().violations == 0
 
 
+def test_first_against():
+    rng = np.random.default_rng(3)
+    close = np.where(rng.random(300) < 0.1, np.nan, rng.normal(100, 3, 300))
+    first, last = rng.integers(0, 300, 500), rng.integers(0, 320, 500)
+    side, entry = rng.choice([-1, 1], 500), rng.choice([100.0, 99.0, -100.0, 0.0], 500)
+    got = ledger.first_against(close, first, last, side, entry, 0.04)
+    with np.errstate(all="ignore"):
+        hits = side[:, None] * (close[None, :] / entry[:, None] - 1.0) <= -0.04
+    want = [next((j for j in range(a, min(b, 299) + 1) if h[j]), -1) for a, b, h in zip(first, last, hits, strict=True)]
+    assert got.tolist() == want and (got >= 0).any() and (got < 0).any()
+
+
+def _plain(frame, live, hold, stop):
+    """Exit place and reason of each signal, bar by bar; a bar without a close does not count."""
+    n, out = len(frame), {}
+    for i, side in live:
+        if i + 1 >= n or np.isnan(frame.close[i + 1]):
+            out[i] = (None, "no_entry_bar")
+            continue
+        seen = [j for j in range(i + 2, min(i + 1 + hold, n - 1) + 1) if not np.isnan(frame.close[j])]
+        hit = next((j for j in seen if side * (frame.close[j] / frame.close[i + 1] - 1) <= -stop), None)
+        if not seen:
+            out[i] = (None, "no_exit_bar")
+        else:
+            out[i] = (hit, "stop") if hit is not None else (seen[-1], "time_exit" if seen[-1] == i + 1 + hold else "end_of_data")
+    return out
+
+
+@pytest.mark.parametrize(("rows", "hold"), [(7, 40), (16, 3), (64, 150), (5000, 25)])
+def test_exits_across_segments(spark, rows, hold):
+    frame = price_frame(260, seed=9)
+    rng = np.random.default_rng(2)
+    frame.loc[rng.choice(260, 20, replace=False), "close"] = np.nan
+    live = [(i, int(rng.choice([-1, 1]))) for i in range(260)]
+    sig = spark.createDataFrame([("s", "x", "A", "1h", i * 3_600_000, d) for i, d in live] * 2, "strategy_id string, exchange string, symbol string, timeframe string, ts_open_ms long, direction int")
+    got = ledger.candidate_trades(sig, to_spark(spark, frame), hold, 0.03, SegmentParams(rows=rows)).toPandas()
+    have = {r.signal_idx: (None if pd.isna(r.exit_idx) else int(r.exit_idx), r.exit_reason or r.skip_reason) for r in got.itertuples()}
+    assert len(got) == len(live) and have == _plain(frame, live, hold, 0.03)
+    assert {w for _, w in have.values()} >= {"stop", "time_exit", "no_entry_bar", "no_exit_bar"}
+
+
+def test_exits_salted(spark, monkeypatch):
+    """More signals on a segment than one task takes are spread; the exits stay."""
+    frame = price_frame(80, seed=4)
+    bars = to_spark(spark, frame)
+    sig = spark.createDataFrame([(f"s{k}", "x", "A", "1h", i * 3_600_000, 1) for i in range(80) for k in range(3)], "strategy_id string, exchange string, symbol string, timeframe string, ts_open_ms long, direction int")
+    pick = lambda df: sorted((r.strategy_id, r.signal_idx, r.exit_idx, r.exit_reason) for r in df.filter("exit_idx is not null").collect())
+    whole = pick(ledger.candidate_trades(sig, bars, 9, 0.02))
+    monkeypatch.setattr(ledger, "_SIGNALS_PER_BAR", 1)
+    assert pick(ledger.candidate_trades(sig, bars, 9, 0.02, SegmentParams(rows=8))) == whole and len(whole) == 3 * 78
+
+
 def test_maker_fill_window(spark):
     frame = price_frame(30).assign(side=1)
     frame["limit_price"] = frame.close

@@ -200,6 +200,16 @@ def trade_table(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.trade_ledger(found, bars, hold_bars=6, stop_frac=0.02)
 
 
+def momentum_signals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two strategies, one with and one against each move of a percent; most bars have one."""
+    _, bars = market(spark, sf, stored=True)
+    seg = cut(bars, SERIES_KEYS, "ts_open_ms", StudyParams().segments.rows, before=1)
+    move = seg.with_columns({"_move": F.col("close") / F.lag("close").over(seg.window()) - 1.0}).owned()
+    side = F.when(F.col("_move") >= 0.01, 1).when(F.col("_move") <= -0.01, -1).otherwise(0)
+    each = F.array(*[F.struct(F.lit(n).alias("strategy_id"), (side * k).alias("direction")) for n, k in (("follow", 1), ("fade", -1))])
+    return move.select(*SERIES_KEYS, "ts_open_ms", F.inline(each)), bars
+
+
 # ---- scans and their shapes ----------------------------------------------------------------------
 
 
@@ -981,6 +991,13 @@ def trade_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(trade_table(spark, sf).drop("signal_idx", "exit_idx"))
 
 
+@query
+def momentum_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands of signals, so that every reason to skip one and every exit occurs."""
+    found, bars = momentum_signals(spark, sf)
+    return tidy(ledger.trade_ledger(found, bars, hold_bars=12, stop_frac=0.06).drop("signal_idx", "exit_idx"))
+
+
 @query
 def ledger_returns(spark: SparkSession, sf: str) -> DataFrame:
     taken = ledger.taken_trades(trade_table(spark, sf)).withColumn("quantity", F.lit(2.0))

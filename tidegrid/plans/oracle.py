@@ -630,6 +630,20 @@ _LEDGER = f"""{_BRK}, sgn as materialized (select *, row_number() over (partitio
 add("trade_ledger", _LEDGER, f"""select 'breakout' as strategy_id, exchange, symbol, timeframe, signal_ts, cast(direction as bigint) as direction, entry_ts, {r('entry_price')}, exit_ts,
   {r('exit_price')}, case when taken then null else coalesce(sr, 'already_in_position') end as skip_reason, case when stop_idx is not null then 'stop' when held >= 6 then 'time_exit'
   when last_idx is not null then 'end_of_data' end as exit_reason, taken from ld""")
+add("momentum_ledger", f"""{bars('1h')}, k0 as materialized (select *, row_number() {_W} - 1 as i, close / lag(close) {_W} - 1 as mv from b),
+  sg as materialized (select strategy_id, exchange, symbol, timeframe, ts_open_ms as signal_ts, i, sign * (case when mv >= 0.01 then 1 when mv <= -0.01 then -1 else 0 end) as direction
+    from k0, (values ('follow', 1), ('fade', -1)) t(strategy_id, sign) where abs(mv) >= 0.01),
+  ca as materialized (select s.*, en.ts_open_ms as entry_ts, en.close as entry_price, min(x.i) filter (s.direction * (x.close / en.close - 1) <= -0.06) as stop_i,
+    max(x.i) as last_i from sg s left join k0 en on en.symbol = s.symbol and en.i = s.i + 1 left join k0 x on x.symbol = s.symbol and x.i between s.i + 2 and s.i + 13 group by all),
+  cb as materialized (select ca.*, coalesce(stop_i, last_i) as xi, q.ts_open_ms as exit_ts, q.close as exit_price,
+    case when entry_ts is null then 'no_entry_bar' when last_i is null then 'no_exit_bar' end as sr from ca left join k0 q on q.symbol = ca.symbol and q.i = coalesce(stop_i, last_i)),
+  op as materialized (select strategy_id, symbol, i, xi, row_number() over (partition by strategy_id, symbol order by i) as n from cb where sr is null),
+  wk as (select strategy_id, symbol, n, i, xi as busy, true as taken from op where n = 1 union all select op.strategy_id, op.symbol, op.n, op.i,
+    case when op.i >= wk.busy then op.xi else wk.busy end, op.i >= wk.busy from wk join op on op.strategy_id = wk.strategy_id and op.symbol = wk.symbol and op.n = wk.n + 1),
+  ld as (select cb.*, coalesce(wk.taken, false) as taken from cb left join wk on wk.strategy_id = cb.strategy_id and wk.symbol = cb.symbol and wk.i = cb.i)""",
+    f"""select strategy_id, exchange, symbol, timeframe, signal_ts, cast(direction as bigint) as direction, entry_ts, {r('entry_price')}, exit_ts, {r('exit_price')},
+  case when taken then null else coalesce(sr, 'already_in_position') end as skip_reason, case when stop_i is not null then 'stop' when last_i = i + 13 then 'time_exit'
+  when last_i is not null then 'end_of_data' end as exit_reason, taken from ld""")
 _G = "direction * (exit_price / entry_price - 1) * 100"
 add("ledger_returns", _LEDGER, f"""select symbol, signal_ts, {r(_G, 'pre_fee_pct')}, {r(f'{_G} - 100 * (0.0002 * 2 * entry_price + 0.0004 * 2 * exit_price) / (2 * entry_price)', 'post_fee_pct')},
   {r(f'{_G} - 0.08', 'post_fee_estimate_pct')}, {r(f'{_G} - 0.18', 'full_friction_pct')} from ld where taken""")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +287,38 @@ def test_runs(spark, tmp_path):
     assert (up["BT0001"].is_start, up["BT0001"].is_end, up["BT0001"].oos_start) == ("2024-01-01", "2024-02-01", "")
 
 
+@pytest.mark.parametrize("block", ["64", "100", "128m"])
+def test_trade_counts(spark, tmp_path, block):
+    """As the csv module counts, over blocks that end inside quoted cells."""
+    rng = np.random.default_rng(int(block.rstrip("m")))
+    pieces = ['"', '""', ",", "\n", "\r\n", "a", "bc", '"x,\ny"', ',"', '",']
+    texts = ["h\n", "h", "\n\n1\n", 'h\n"open\nto the end', 'h\n"a""\n""b"\n1,x"y\n\n'] + ["".join(rng.choice(pieces, 150)) for _ in range(25)]
+    want = {}
+    for i, text in enumerate([*texts, ""]):
+        (tmp_path / f"r{i}").mkdir()
+        (tmp_path / f"r{i}" / "trades.csv").write_bytes(text.encode())
+        with open(tmp_path / f"r{i}" / "trades.csv") as f:
+            records = sum(1 for _ in csv.reader(f))
+        if records:
+            want[f"r{i}"] = records - 1
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert {r.run_id: r.trades for r in runs.trade_counts(spark, str(tmp_path)).collect()} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_label_lines_at_all_line_ends(spark):
+    ends = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    text = "".join(f"\u00a0Label {chr(97 + i)}:\u3000{i}\u2003{e}" for i, e in enumerate(ends))
+    df = spark.createDataFrame([("r", text), ("none", None), ("empty", "")], "run_id string, text string")
+    got = {(r.run_id, r.path, r.value, r.pos) for r in runs.parse_run_text(df).collect()}
+    assert got == {("r", f"label {chr(97 + i)}", str(i), i) for i in range(len(ends))}
+
+
 @pytest.mark.parametrize(("conf", "n", "want"), [("NO_EVIDENCE", 5, "INCONCLUSIVE_DRAFT"), ("OK", 29, "FAIL_DRAFT"), ("OK", 299, "INCONCLUSIVE_DRAFT"), ("OK", None, "READY_FOR_REVIEW")])
 def test_draft_verdict(spark, conf, n, want):
     df = spark.createDataFrame([(conf, n)], "c string, n long")

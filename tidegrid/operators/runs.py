@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegrid.functions.records import count_records
 from tidegrid.functions.scalars import run_id_from_folder, split_window
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -26,6 +27,10 @@ METRIC_ALIASES = {
     "avg_trade_net": ["average trade", "avg trade", "average win", "expectancy", "avg_trade"],
 }
 
+# Where a text has a new line, and what is blank around one.
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
 LABEL_LINE = r"^([A-Za-z][A-Za-z0-9 _\-/%()]+?)[:\t]\s*(.+)$"
 
 REGISTRY_COLUMNS = (
@@ -96,13 +101,14 @@ def flatten_run_json(documents: DataFrame, keys: tuple[str, ...] = ("run_id",),
 
 def parse_run_text(documents: DataFrame, keys: tuple[str, ...] = ("run_id",), text: str = "text") -> DataFrame:
     """``Label: value`` or tab-separated lines to lower-cased label, value and place."""
-    lines = documents.select(*keys, F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("pos", "_line"))
-    line = F.regexp_replace("_line", r"^\s+|\s+$", "")
+    lines = documents.select(*keys, F.posexplode(F.split(F.col(text), LINE_ENDS)).alias("pos", "_line"))
+    bare = lambda c: F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    line = bare(F.col("_line"))
     hit = lines.withColumn("_line", line).filter(F.col("_line").rlike(LABEL_LINE))
     return hit.select(
         *keys,
         F.lower(F.trim(F.regexp_extract("_line", LABEL_LINE, 1))).alias("path"),
-        F.trim(F.regexp_extract("_line", LABEL_LINE, 2)).alias("value"),
+        bare(F.regexp_extract("_line", LABEL_LINE, 2)).alias("value"),
         "pos",
     )
 
@@ -120,12 +126,22 @@ def read_run_texts(spark: SparkSession, path: str, name: str) -> DataFrame:
     return raw.select(folder.alias("run_id"), F.col("value").alias("text"))
 
 
-def trade_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Trades per run: lines of ``trades.csv`` below the header."""
-    raw = spark.read.text(f"{path}/*/trades.csv")
-    folder, _ = run_folder()
-    lines = raw.select(folder.alias("run_id"), "value")
-    return lines.groupBy("run_id").agg(F.greatest(F.count_if(F.col("value") != "") - 1, F.lit(0)).alias("trades"))
+def trade_counts(spark: SparkSession, path: str, name: str = "trades.csv") -> DataFrame:
+    """Trades per run: CSV records of its file below the header, blank ones included.
+
+    Line breaks in quoted cells end no record.  An empty file has no count.  Large files are
+    read in blocks.
+    """
+    raw = spark.read.text(f"{path}/*/{name}")
+    lines = raw.select(
+        "value",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("row_id"),
+    )
+    records = count_records(lines, "file_path", "block_start", "row_id")
+    run = F.element_at(F.split("file_path", "/"), -2)
+    return records.groupBy(run.alias("run_id")).agg(F.sum(F.col("records") - 1).alias("trades"))
 
 
 def run_files(spark: SparkSession, path: str) -> DataFrame:

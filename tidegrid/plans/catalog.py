@@ -1135,6 +1135,32 @@ def run_reports(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def trade_file_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders as trade files of 25 runs, one CSV record each: quoted cells with line breaks, quotes in and
+    behind quoted cells, quotes inside plain ones, and blank records."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    cells = [
+        F.format_string('%d,%s,"%s,\nnext ""line""\n"', key, state, "o_orderpriority"),
+        F.lit(""),
+        F.format_string('%d,a"b,%s"', key, state),
+        F.format_string('"%d"x"y,"",%s', key, state),
+        F.format_string('%d,"\n\n",""""', key),
+        F.format_string("%d,%s,plain", key, state),
+    ]
+    row = F.element_at(F.array(*cells), (F.pmod(key, F.lit(len(cells))) + 1).cast("int"))
+    run = F.concat(F.lit("BT"), F.lpad(F.pmod("o_custkey", F.lit(25)).cast("string"), 4, "0"))
+    rows = o.select(run.alias("run"), key.alias("pos"), row.alias("line"))
+    heads = rows.select("run").distinct().select("run", F.lit(-1).cast("long").alias("pos"), F.lit('id,state,"note"').alias("line"))
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    filed = rows.unionByName(heads).repartition("run").sortWithinPartitions("run", "pos").select("run", "line")
+    filed.write.partitionBy("run").text(path)
+    counts = runs.trade_counts(spark, path, "*.txt")
+    verdict, _ = runs.draft_verdict(F.lit("OK"), F.col("trades"))
+    return counts.select(F.replace("run_id", F.lit("run="), F.lit("")).alias("run_id"), "trades", verdict.alias("verdict"))
+
+
 @query
 def run_trade_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of each customer as the trades of a run, with the draft verdict."""

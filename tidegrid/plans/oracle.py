@@ -726,6 +726,8 @@ add("run_reports", f"""{_LEAVES}, fa as (select cast(l_orderkey as varchar) as r
   case when cf <> 'OK' then 'INCONCLUSIVE_DRAFT' when n < 30 then 'FAIL_DRAFT' when n < 300 then 'INCONCLUSIVE_DRAFT' else 'READY_FOR_REVIEW' end as verdict,
   case when cf <> 'OK' then 'screenshots only; no machine-readable artifacts' when n < 30 then 'trade count ' || n || ' below swing minimum 30'
   when n < 300 then 'trade count ' || n || ' below intraday minimum 300' else 'primary artifacts present; criteria 1-6 to be evaluated in review' end as reason from x""")
+add("trade_file_counts", "c as (select 'BT' || lpad(cast(o_custkey % 25 as varchar), 4, '0') as run_id, count(*) as trades from orders group by o_custkey % 25)",
+    """select run_id, trades, case when trades < 30 then 'FAIL_DRAFT' when trades < 300 then 'INCONCLUSIVE_DRAFT' else 'READY_FOR_REVIEW' end as verdict from c""")
 add("run_trade_counts", "c as (select o_custkey, count(*) as trades from orders group by o_custkey)", """select o_custkey, trades, case when trades * 10 < 30 then 'FAIL_DRAFT'
   when trades * 10 < 300 then 'INCONCLUSIVE_DRAFT' else 'READY_FOR_REVIEW' end as verdict, case when trades * 10 < 30 then 'trade count ' || trades * 10 || ' below swing minimum 30'
   when trades * 10 < 300 then 'trade count ' || trades * 10 || ' below intraday minimum 300' else 'primary artifacts present; criteria 1-6 to be evaluated in review' end as reason from c""")

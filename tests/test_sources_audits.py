@@ -6,6 +6,7 @@ import csv
 import gzip
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from tidegrid.functions.scalars import iso_to_ms, month_bounds, months_between,
 from tidegrid.operators import integrity, pit, quality, runs
 from tidegrid.params import MINUTE_MS, SegmentParams
 from tidegrid.sources import archives as ar
-from tidegrid.sources import tables
+from tidegrid.sources import tables, versions
 from tidegrid.sources.schemas import TIER1, TIER1_FUNDING, TIER1_KLINES
 
 KLINE = "{t},1,3,0.5,2,10,{c},20,7,4,8,0"
@@ -287,6 +288,49 @@ def test_runs(spark, tmp_path):
     assert (up["BT0001"].is_start, up["BT0001"].is_end, up["BT0001"].oos_start) == ("2024-01-01", "2024-02-01", "")
 
 
+def _registered(spark, *ids, verdict="v"):
+    rows = [tuple({"backtest_id": i, "verdict": verdict}.get(c, "") for c in runs.REGISTRY_COLUMNS) for i in ids]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in runs.REGISTRY_COLUMNS))
+
+
+def test_versions_do_not_lose_rows(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "registry")
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, root)
+    assert versions.commit_version(_registered(spark, "BT1"), root, 0) == 1
+    with pytest.raises(versions.VersionConflict):
+        versions.commit_version(_registered(spark, "BT2"), root, 0)
+    # A second writer commits after the first has read its base: the first one starts again.
+    plain, calls = versions.commit_version, []
+
+    def late(df, where, base):
+        calls.append(base)
+        if len(calls) == 1:
+            plain(_registered(spark, "BT1", "BT3", verdict="other"), where, base)
+        return plain(df, where, base)
+
+    monkeypatch.setattr(versions, "commit_version", late)
+    assert runs.upsert_registry(spark, root, _registered(spark, "BT2", "BT3", verdict="mine")) == 3 and calls == [1, 2]
+    got = {r.backtest_id: r.verdict for r in versions.read_version(spark, root).collect()}
+    assert got == {"BT1": "other", "BT2": "mine", "BT3": "mine"}
+    assert [r.verdict for r in versions.read_version(spark, root, 1).collect()] == ["v"]
+    with pytest.raises(Exception, match="two new rows of BT9"):
+        runs.upsert_registry(spark, root, _registered(spark, "BT9", "BT9"))
+    assert versions.newest_version(spark, root) == 3
+    # Lost between making the file and filling it: said, not passed over.
+    (tmp_path / "registry" / "_versions" / "0000000004").write_text("")
+    with pytest.raises(TimeoutError):
+        versions.read_version(spark, root, wait=0.2)
+
+
+def test_versions_of_writers_at_once(spark, tmp_path):
+    root = str(tmp_path / "registry")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: runs.upsert_registry(spark, root, _registered(spark, f"BT{i}")), range(4)))
+    assert sorted(r.backtest_id for r in versions.read_version(spark, root).collect()) == ["BT0", "BT1", "BT2", "BT3"]
+    assert versions.newest_version(spark, root) == 4
+
+
 @pytest.mark.parametrize("block", ["64", "100", "128m"])
 def test_trade_counts(spark, tmp_path, block):
     """As the csv module counts, over blocks that end inside quoted cells."""

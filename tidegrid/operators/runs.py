@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from tidegrid.functions.records import count_records
 from tidegrid.functions.scalars import run_id_from_folder, split_window
+from tidegrid.session import cut_lineage
+from tidegrid.sources.versions import update_table
 
 # ---- fixed values ---------------------------------------------------------------------------
 
@@ -260,8 +262,31 @@ def registry_rows(
 
 
 def upsert_experiments(registry: DataFrame, new: DataFrame, key: str = "backtest_id") -> DataFrame:
-    """Rows of ``new`` replace those with the same key, others are appended.  Write the
-    result to a new place or through a checkpoint, never over its own input."""
+    """Rows of ``new`` replace those with the same key, others are appended.  Never write the
+    result over its own input; ``upsert_registry`` makes a new version of it."""
     return registry.join(new.select(key).distinct(), key, "left_anti").select(*registry.columns).unionByName(
         new.select(*registry.columns)
     )
+
+
+def upsert_registry(spark: SparkSession, root: str, new: DataFrame) -> int:
+    """Upsert registry rows into the versioned table at ``root``; several writers may do so at once.
+
+    Columns that an old registry lacks are empty, those it has beyond ``REGISTRY_COLUMNS`` go.
+    Two new rows of one backtest are refused, since neither is the later one.
+    """
+    rows = new.select(*REGISTRY_COLUMNS)
+    once = rows.groupBy("backtest_id").agg(
+        *[F.first(c).alias(c) for c in REGISTRY_COLUMNS if c != "backtest_id"], F.count(F.lit(1)).alias("_n")
+    )
+    repeated = F.raise_error(F.concat(F.lit("two new rows of "), F.coalesce("backtest_id", F.lit("null"))))
+    checked = once.withColumn("backtest_id", F.when(F.col("_n") == 1, F.col("backtest_id")).otherwise(repeated))
+    rows = cut_lineage(checked.select(*REGISTRY_COLUMNS))
+
+    def change(old: DataFrame | None) -> DataFrame:
+        if old is None:
+            return rows
+        whole = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in old.columns else F.lit("").alias(c) for c in REGISTRY_COLUMNS]
+        return upsert_experiments(old.select(*whole), rows)
+
+    return update_table(spark, root, change)

@@ -44,6 +44,7 @@ from tidegrid.sources import archives as ar
 from tidegrid.sources import ticks as tk
 from tidegrid.sources.schemas import KLINE_FIELDS
 from tidegrid.sources.tables import clip_window, funding_export, read_series, write_report_csv, write_table
+from tidegrid.sources.versions import read_version
 from tidegrid.streaming import streams as st
 
 STABILITY = StabilityParams()
@@ -1182,6 +1183,63 @@ def experiments_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return runs.upsert_experiments(old, new)
 
 
+def _supplier_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A run per supplier with all columns of the registry; a line of an order is a leaf of its supplier's run."""
+    x = spark.read.parquet(f"{sf}/lineitem.parquet")
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    four = F.lpad(F.col("s_suppkey").cast("string"), F.greatest(F.length(F.col("s_suppkey").cast("string")), F.lit(4)), F.lit("0"))
+    # Numbers of five digits and every tenth run have folders that name no run.
+    folder = F.when((F.length(four) == 4) & (F.col("s_suppkey") % 10 != 7), F.concat(F.lit("BT"), four, F.lit("_export")))
+    run = F.coalesce(folder, F.concat(F.lit("raw"), four))
+    who = s.select("s_suppkey", "s_nationkey", "s_acctbal", run.alias("run_id"), F.concat(F.lit("H"), four).alias("hypothesis_id"))
+    metric = [f"Stats.{a[0]}".lower() for a in runs.METRIC_ALIASES.values()]
+    lines = x.join(who, F.col("l_suppkey") == F.col("s_suppkey"))
+    leaves = lines.select(
+        "run_id",
+        (F.col("l_linenumber") % 2).alias("source_rank"),
+        F.element_at(F.lit(metric), (F.pmod("l_partkey", F.lit(len(metric))) + 1).cast("int")).alias("path"),
+        F.floor(F.col("l_quantity") * 100).cast("string").alias("value"),
+        (F.col("l_orderkey") * 10**7 + F.col("l_linenumber") * 10**6 + F.floor(F.col("l_quantity") * 100)).alias("pos"),
+    )
+    names = [*runs.PRIMARY_FILES, *runs.SECONDARY_FILES]
+    last = (F.pmod(F.col("s_suppkey") + F.col("s_nationkey"), F.lit(len(names))) + 1).cast("int")
+    files = who.select("run_id", F.element_at(F.lit(names), last).alias("file_name"))
+    counts = lines.filter(F.col("s_suppkey") % 4 != 1).groupBy("run_id").agg(F.count_if(F.col("l_quantity") > 25).alias("trades"))
+    day = F.to_date(F.date_add(F.lit("2024-01-01").cast("date"), F.col("s_nationkey"))).cast("string")
+    info = who.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "run_id",
+        "hypothesis_id",
+        F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("strategy_id"),
+        day.alias("date"),
+        F.col("n_name").alias("symbols"),
+        F.when(F.col("s_suppkey") % 2 == 0, "5m").alias("timeframe"),
+        F.concat(F.lit(" "), day, F.lit(" : "), day, F.lit(":x")).alias("is_window"),
+        F.when(F.col("s_acctbal") > 0, F.concat(day, F.lit(":"))).otherwise("none").alias("oos_window"),
+        F.concat(F.lit("runs/"), F.col("run_id")).alias("artifacts_path"),
+    )
+    return runs.registry_rows(runs.run_report(files, leaves, counts), info)
+
+
+@query
+def registry_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _supplier_reports(spark, sf)
+
+
+@query
+def experiments_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Three commits to a versioned registry of 25 columns: runs of two suppliers in three as an older draft, half of all
+    runs, and a run of the first half again with another verdict."""
+    rows = cut_lineage(_supplier_reports(spark, sf))
+    number = F.regexp_replace("hypothesis_id", "^H", "").cast("long")
+    root = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    draft = rows.filter(number % 3 != 0).withColumns({"verdict": F.lit("OLD"), "reason": F.lit("")})
+    runs.upsert_registry(spark, root, draft)
+    runs.upsert_registry(spark, root, rows.filter(number % 2 == 0))
+    runs.upsert_registry(spark, root, rows.filter(number % 6 == 2).withColumn("verdict", F.lit("REVIEWED")))
+    return read_version(spark, root)
+
+
 # ---- streams ---------------------------------------------------------------------------------------------------
 
 

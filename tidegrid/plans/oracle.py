@@ -734,6 +734,30 @@ add("run_trade_counts", "c as (select o_custkey, count(*) as trades from orders
 add("experiments_upsert", "n as (select distinct cast(l_orderkey + 7 as varchar) as backtest_id from lineitem where l_quantity > 45)", """select cast(o_orderkey as varchar) as backtest_id,
   o_orderstatus as verdict from orders where cast(o_orderkey as varchar) not in (select backtest_id from n) union all select backtest_id, 'NEW' from n""")
 
+_METRIC_PATHS = _list(f"stats.{names[0]}" for names in METRIC_ALIASES.values())
+_WIDE = ", ".join(f"max(value) filter (metric = '{m}') as {m}" for m in METRIC_ALIASES)
+_FIELDS = ", ".join(f"coalesce({m}, '') as {m}" for m in METRIC_ALIASES if m != "total_trades")
+_EMPTY = ", ".join(f"'' as {c}" for c in ("avg_trade_prefee", "mc_p5_final_equity", "mc_p95_max_drawdown", "mc_prob_loss"))
+_DAY = "strftime(date '2024-01-01' + s_nationkey, '%Y-%m-%d')"
+_REGISTRY = f"""wh as (select *, lpad(cast(s_suppkey as varchar), cast(greatest(4, length(cast(s_suppkey as varchar))) as integer), '0') as four from supplier join nation on s_nationkey = n_nationkey),
+  lv as (select s_suppkey, l_linenumber % 2 as sr, {_METRIC_PATHS}[l_partkey % {len(METRIC_ALIASES)} + 1] as path, cast(cast(floor(l_quantity * 100) as bigint) as varchar) as value,
+    l_orderkey * 10000000 + l_linenumber * 1000000 + cast(floor(l_quantity * 100) as bigint) as pos, l_quantity from lineitem join wh on l_suppkey = s_suppkey),
+  al as (select * from (values {_ALIAS}) t(metric, alias, ar)), me as materialized (select s_suppkey, metric, arg_min(value, (sr, ar, pos)) as value
+    from lv join al on contains(path, alias) group by s_suppkey, metric), wi as (select s_suppkey, {_WIDE} from me group by s_suppkey),
+  ct as (select s_suppkey, count(*) filter (l_quantity > 25) as tr from lv where s_suppkey % 4 <> 1 group by s_suppkey),
+  rp as (select wh.*, wi.* exclude (s_suppkey), tr, case when (s_suppkey + s_nationkey) % 8 < 5 then 'OK' else 'LOW_CONFIDENCE' end as cf, coalesce(tr, cast(total_trades as bigint)) as nt
+    from wh left join wi using (s_suppkey) left join ct using (s_suppkey)),
+  rg as materialized (select s_suppkey, 'H' || four as hypothesis_id, 'S' || s_nationkey as strategy_id, 'BT' || four as backtest_id, {_DAY} as date, n_name as symbols,
+    case when s_suppkey % 2 = 0 then '5m' else '' end as timeframe, {_DAY} as is_start, {_DAY} || ':x' as is_end, case when s_acctbal > 0 then {_DAY} else '' end as oos_start, '' as oos_end,
+    coalesce(total_trades, cast(tr as varchar), '') as total_trades, {_FIELDS}, {_EMPTY}, cf as evidence_confidence,
+    case when cf <> 'OK' then 'INCONCLUSIVE_DRAFT' when nt < 30 then 'FAIL_DRAFT' when nt < 300 then 'INCONCLUSIVE_DRAFT' else 'READY_FOR_REVIEW' end as verdict,
+    case when cf <> 'OK' then 'screenshots only; no machine-readable artifacts' when nt < 30 then 'trade count ' || nt || ' below swing minimum 30'
+    when nt < 300 then 'trade count ' || nt || ' below intraday minimum 300' else 'primary artifacts present; criteria 1-6 to be evaluated in review' end as reason,
+    'runs/' || case when length(four) = 4 and s_suppkey % 10 <> 7 then 'BT' || four || '_export' else 'raw' || four end as artifacts_path from rp)"""
+add("registry_rows", _REGISTRY, "select * exclude (s_suppkey) from rg")
+add("experiments_registry", _REGISTRY, """select * exclude (s_suppkey) replace (case when s_suppkey % 6 = 2 then 'REVIEWED' when s_suppkey % 2 = 0 then verdict else 'OLD' end as verdict,
+  case when s_suppkey % 2 = 0 then reason else '' end as reason) from rg where s_suppkey % 2 = 0 or s_suppkey % 3 <> 0""")
+
 # ---- streams ----------------------------------------------------------------------------------------------------------------------
 
 add("stream_close_bars", f"""{TICK}, cb as (select 'sim' as exchange, symbol, (ts_ms + 3599999) // 3600000 * 3600000 as bar_end_ms, arg_min(value, (ts_ms, value)) as open, max(value) as high, min(value) as low,

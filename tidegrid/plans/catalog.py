@@ -43,7 +43,7 @@ from tidegrid.session import cut_lineage, shared_folder
 from tidegrid.sources import archives as ar
 from tidegrid.sources import ticks as tk
 from tidegrid.sources.schemas import KLINE_FIELDS
-from tidegrid.sources.tables import clip_window, funding_export, read_series, write_report_csv, write_table
+from tidegrid.sources.tables import clip_window, export_funding_csv, funding_export, read_series, write_report_csv, write_table
 from tidegrid.sources.versions import read_version
 from tidegrid.streaming import streams as st
 
@@ -252,6 +252,41 @@ def funding_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(out.withColumn("funding_rate", F.col("funding_rate").cast("double")), 12)
 
 
+@query
+def funding_csv_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The exported feed, read back from its CSV files; repeated settlements keep the first."""
+    f = tk.funding_from_ticks(tk.read_ticks(spark, sf)).withColumn("pos", F.lit(0))
+    again = f.filter(F.col("funding_rate") > 0).withColumns({"funding_rate": F.lit(9.0), "pos": F.lit(1)})
+    path = f"{shared_folder(spark)}/funding-{uuid.uuid4().hex}"
+    export_funding_csv(f.unionByName(again), path, ["pos"])
+    # Without a schema of its own the reader takes the names from the header.
+    back = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    return tidy(back.withColumn("funding_rate", F.col("funding_rate").cast("double")), 12)
+
+
+@query
+def nested_json_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """One document per order: objects in lists in objects, lists in lists, nulls, booleans, empty ones."""
+    x = spark.read.parquet(f"{sf}/lineitem.parquet")
+    line = F.struct(
+        F.col("l_linenumber").alias("no"),
+        F.struct(
+            F.col("l_partkey").alias("Part"),
+            F.when(F.col("l_partkey") % 3 > 0, F.col("l_returnflag")).alias("Flag"),
+            (F.col("l_suppkey") % 2 == 0).alias("Even"),
+        ).alias("Cell"),
+        F.array(F.array(F.col("l_partkey"), F.col("l_suppkey")), F.array(F.col("l_suppkey"))).alias("Pairs"),
+    )
+    # An order has few lines.
+    docs = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("Lines"))
+    body = F.struct(
+        F.struct(F.col("l_orderkey").alias("Key"), "Lines").alias("Order"), F.array().cast("array<string>").alias("None"), F.lit("x").alias("Last.Name")
+    )
+    text = F.when(F.col("l_orderkey") % 50 == 0, F.lit("{broken")).otherwise(F.to_json(body, {"ignoreNullFields": "false"}))
+    leaves = runs.flatten_run_json(docs.select("l_orderkey", text.alias("text")), ("l_orderkey",))
+    return leaves.withColumn("pos", F.col("pos").cast("long"))
+
+
 @query
 def json_leaves(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")

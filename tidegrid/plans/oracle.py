@@ -283,6 +283,18 @@ add("series_inventory", f"{bars('1h', '5m')}, {OI}", """select 'bars' as kind, e
   max(ts_open_ms) as last_ts_ms from b group by all union all select 'oi', exchange, symbol, '5m', count(*), min(ts_ms), max(ts_ms) from oi group by all""")
 add("funding_csv_rows", f"{TICK}, {FUNDING}", f"""select strftime(make_timestamp(ts_settle_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as timestamp_utc, symbol,
   {r('funding_rate', digits=12)} from f""")
+add("funding_csv_file", f"{TICK}, {FUNDING}", f"""select strftime(make_timestamp(ts_settle_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as timestamp_utc, symbol,
+  {r('funding_rate', digits=12)} from f""")
+_LEAF = [
+    ("no", "cast(l_linenumber as varchar)"), ("cell.part", "cast(l_partkey as varchar)"), ("cell.flag", "case when l_partkey % 3 > 0 then l_returnflag else 'None' end"),
+    ("cell.even", "case when l_suppkey % 2 = 0 then 'True' else 'False' end"), ("pairs[0][0]", "cast(l_partkey as varchar)"),
+    ("pairs[0][1]", "cast(l_suppkey as varchar)"), ("pairs[1][0]", "cast(l_suppkey as varchar)"),
+]
+_EACH = ", ".join(f"({i}, '{p}', {v})" for i, (p, v) in enumerate(_LEAF))
+add("nested_json_leaves", """o as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, case when l_partkey % 3 > 0 then l_returnflag end, l_suppkey % 2 = 0, l_suppkey) - 1 as i, count(*) over (partition by l_orderkey) as c
+  from lineitem where l_orderkey % 50 <> 0)""", f"""select l_orderkey, 'order.lines[' || i || '].' || u.p as path, u.v as value, cast(1 + {len(_LEAF)} * i + u.k as bigint) as pos
+  from o, lateral (values {_EACH}) u(k, p, v) union all select distinct l_orderkey, 'order.key', cast(l_orderkey as varchar), cast(0 as bigint) from o
+  union all select distinct l_orderkey, 'last.name', 'x', cast(1 + {len(_LEAF)} * c as bigint) from o""")
 add("json_leaves", "x as (select 1)", "select event_id, 'k' as path, json_extract_string(props, '$.k') as value from events")
 add("label_lines", f"""l as (select doc_id, u.line, u.pos - 1 as pos from (select doc_id, string_split(regexp_replace(replace(text, '. ', ': '), '\\r\\n|\\r', chr(10), 'g'), chr(10)) as a
   from documents) d, unnest(d.a) with ordinality as u(line, pos)), t as (select doc_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as line from l)""",

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +126,67 @@ def test_daily_summary(spark, tmp_path):
     got = st.run_available(spark, st.stream_daily_summary(feed(spark, str(tmp_path / "in"), [df]))).withColumn("d", F.col("day_ms") / day)
     r = got.collect()
     assert len(r) == 1 and (r[0].trades, r[0].win_rate) == (2, 0.5) and r[0].avg_pre_fee == pytest.approx(0.2)
+
+
+class _Value:
+    """A value state and its handle, without a store."""
+
+    row = None
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.row is not None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+
+def processed(processor, frames):
+    """What a processor gives out for one key, and the most bytes it held over its input and output."""
+    processor.init(_Value())
+    tracemalloc.start()
+    parts, rows = [], 0
+    for part in processor.handleInputRows(("x", "A"), frames, None):
+        rows += len(part)
+        parts.append(part.iloc[:: max(len(part) // 50, 1)].copy())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return pd.concat(parts), rows, peak
+
+
+def frames_of(n, make):
+    for i in range(0, n, 10_000):
+        at = (np.arange(i, min(i + 10_000, n)) * 7919) % n
+        yield make(at).assign(exchange="x" * 20, symbol="A" * 20).astype({"exchange": object, "symbol": object})
+
+
+def test_long_batch_of_a_key_is_held_as_numbers():
+    """A key with 200,003 rows in one batch, out of order: few bytes a row, and the results of a plain loop."""
+    n = 200_003
+    rate = lambda t: (t * 31 % 101) / 1000.0
+    history = st.FundingHistory(90, 1.5, None)
+    got, rows, peak = processed(history, frames_of(n, lambda t: pd.DataFrame({"ts_settle_ms": t, "funding_rate": rate(t)})))
+    assert rows == n and peak < 130 * n
+    for r in got.itertuples():
+        if r.ts_settle_ms >= 90:
+            before = rate(np.arange(r.ts_settle_ms - 90, r.ts_settle_ms))
+            assert r.funding_zscore == pytest.approx((r.funding_rate - before.mean()) / before.std())
+        else:
+            assert np.isnan(r.funding_zscore)
+    assert history._past.row == (n - 1, rate(np.arange(n - 90, n)).tolist())
+
+
+def test_history_state_is_short_at_first():
+    history = st.FundingHistory(4, 1.5, None)
+    rows = lambda ts: iter([pd.DataFrame({"ts_settle_ms": ts, "funding_rate": [t / 10 for t in ts]})])
+    history.init(_Value())
+    list(history.handleInputRows(("x", "A"), rows([2, 1, 2]), None))
+    assert history._past.row == (2, [0.1, 0.2])
+    got = pd.concat(history.handleInputRows(("x", "A"), rows([5, 2, 3, 4, 6]), None))
+    assert got.ts_settle_ms.tolist() == [3, 4, 5, 6] and history._past.row == (6, [0.3, 0.4, 0.5, 0.6])
+    assert got.funding_zscore.isna().tolist() == [True, True, False, False]

@@ -106,6 +106,44 @@ def _rows(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
 
 
+#: Rows that a processor gives out, or works on, at a time.
+_SLICE = 16_384
+
+
+def _ordered(frames: Iterator[pd.DataFrame], order: str, other: str, later_than: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a key by time, in the order of arrival at one time, as plain arrays of time and value.
+
+    Frames hold objects, hundreds of bytes a row with the key, so each is reduced to its 16 bytes a row as it
+    comes.  Rows without a time, or not later than ``later_than``, take no part.
+    """
+    times, values = [np.empty(0, "int64")], [np.empty(0, "float64")]
+    for frame in frames:
+        wanted = frame[order].notna()
+        if later_than is not None:
+            wanted &= frame[order] > later_than
+        times.append(frame.loc[wanted, order].to_numpy("int64"))
+        values.append(frame.loc[wanted, other].to_numpy("float64", na_value=np.nan))
+    # One column after the other, so that the parts of a column go before the next one is put together.
+    ts = np.concatenate(times)
+    times.clear()
+    value = np.concatenate(values)
+    values.clear()
+    if (ts[1:] < ts[:-1]).any():
+        place = np.argsort(ts, kind="stable")
+        ts, value = ts[place], value[place]
+    return ts, value
+
+
+def _first_of_time(ts: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows at one time the first stays."""
+    first = np.concatenate((np.full(min(len(ts), 1), True), ts[1:] != ts[:-1]))
+    return (ts, value) if first.all() else (ts[first], value[first])
+
+
+def _slices(n: int) -> Iterator[slice]:
+    return (slice(i, min(i + _SLICE, n)) for i in range(0, n, _SLICE))
+
+
 def _stateful(grouped, processor: StatefulProcessor, schema: StructType, keep_ms: int | None) -> DataFrame:
     """State that is not touched for ``keep_ms`` of wall-clock time ends; without it, it stays.
 
@@ -208,29 +246,29 @@ class FundingHistory(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last, past = self._past.get() if self._past.exists() else (-(2**62), [])
-        batch = _rows(rows, "ts_settle_ms")
-        batch = batch[batch["ts_settle_ms"] > last].drop_duplicates("ts_settle_ms")
-        if batch.empty:
+        ts, rates = _first_of_time(*_ordered(rows, "ts_settle_ms", "funding_rate", last))
+        if not len(ts):
             return
-        line = pd.concat([pd.Series(list(past), dtype="float64"), batch["funding_rate"].astype("float64")], ignore_index=True)
-        # Windows of the settlements before each one, all at once.
-        padded = np.concatenate((np.full(max(self._n - len(past), 0), np.nan), line.to_numpy()))
-        windows = np.lib.stride_tricks.sliding_window_view(padded, self._n)[-len(batch) - 1 : -1]
-        spread = windows.std(axis=1)
-        rates = batch["funding_rate"].to_numpy(dtype="float64")
-        with np.errstate(invalid="ignore", divide="ignore"):
-            z = np.where(spread > 0, (rates - windows.mean(axis=1)) / spread, np.nan)
-        self._past.update((int(batch["ts_settle_ms"].iloc[-1]), line.tail(self._n).tolist()))
-        yield pd.DataFrame(
-            {
-                "exchange": key[0],
-                "symbol": key[1],
-                "ts_settle_ms": batch["ts_settle_ms"].astype("int64").to_numpy(),
-                "funding_rate": rates,
-                "funding_zscore": z,
-                "direction": (np.abs(z) >= self._z_min).astype("int64"),
-            }
-        )
+        past = list(past)[-self._n :]
+        empty = self._n - len(past)
+        line = np.concatenate((np.full(empty, np.nan), np.asarray(past, "float64"), rates))
+        self._past.update((int(ts[-1]), line[max(len(ts), empty) :].tolist()))
+        # Windows of the settlements before each one, a slice of rows at a time: their spread needs all of them as numbers.
+        for part in _slices(len(ts)):
+            windows = np.lib.stride_tricks.sliding_window_view(line[part.start : part.stop - 1 + self._n], self._n)
+            spread = windows.std(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                z = np.where(spread > 0, (rates[part] - windows.mean(axis=1)) / spread, np.nan)
+            yield pd.DataFrame(
+                {
+                    "exchange": key[0],
+                    "symbol": key[1],
+                    "ts_settle_ms": ts[part],
+                    "funding_rate": rates[part],
+                    "funding_zscore": z,
+                    "direction": (np.abs(z) >= self._z_min).astype("int64"),
+                }
+            )
 
     def close(self) -> None:
         pass
@@ -259,21 +297,21 @@ class FirstCross(StatefulProcessor):
         self._prev = handle.getValueState("prev", schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = _rows(rows, "ts_ms")
         known = self._prev.exists()
         seen, on = self._prev.get() if known else (-(2**62), False)
-        batch = batch[batch["ts_ms"] > seen]
-        if batch.empty:
+        ts, cond = _ordered(rows, "ts_ms", "cond", seen)
+        if not len(ts):
             return
-        now = batch["cond"].fillna(False).astype(bool)
-        before = now.shift(1, fill_value=bool(on))
-        last = int(batch["ts_ms"].iloc[-1])
-        self._prev.update((last, bool(now.iloc[-1])))
+        now = cond == 1.0
+        before = np.concatenate(([bool(on)], now[:-1]))
+        last = int(ts[-1])
+        self._prev.update((last, bool(now[-1])))
         if known:
             self._handle.deleteTimer(seen + _TWO_DAYS_MS)
         self._handle.registerTimer(last + _TWO_DAYS_MS)
-        fired = batch[now & ~before]
-        yield pd.DataFrame({"exchange": key[0], "symbol": key[1], "ts_ms": fired["ts_ms"].astype("int64")})
+        fired = ts[now & ~before]
+        for part in _slices(len(fired)):
+            yield pd.DataFrame({"exchange": key[0], "symbol": key[1], "ts_ms": fired[part]})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self._prev.clear()
@@ -302,24 +340,25 @@ class StopLatch(StatefulProcessor):
         self._state = handle.getValueState("latch", schema, self._keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = _rows(rows, "seq")
         seen, top, tripped = self._state.get() if self._state.exists() else (-(2**62), float("-inf"), False)
-        batch = batch[batch["seq"] > seen].drop_duplicates("seq")
-        if batch.empty:
+        seq, equity = _first_of_time(*_ordered(rows, "seq", "equity", seen))
+        if not len(seq):
             return
-        peak = batch["equity"].cummax().clip(lower=top)
-        drop = ((peak - batch["equity"]) / peak).where(peak > 0, 0.0)
+        line = pd.Series(equity)
+        peak = line.cummax().clip(lower=top)
+        drop = ((peak - line) / peak).where(peak > 0, 0.0)
         hit = (drop >= self._stop).cummax() | bool(tripped)
-        self._state.update((int(batch["seq"].iloc[-1]), float(peak.iloc[-1]), bool(hit.iloc[-1])))
-        yield pd.DataFrame(
-            {
-                "strategy_id": key[0],
-                "seq": batch["seq"].astype("int64"),
-                "equity": batch["equity"].astype("float64"),
-                "drawdown": drop.astype("float64"),
-                "tripped": hit.astype(bool),
-            }
-        )
+        self._state.update((int(seq[-1]), float(peak.iloc[-1]), bool(hit.iloc[-1])))
+        for part in _slices(len(seq)):
+            yield pd.DataFrame(
+                {
+                    "strategy_id": key[0],
+                    "seq": seq[part],
+                    "equity": equity[part],
+                    "drawdown": drop.to_numpy()[part],
+                    "tripped": hit.to_numpy()[part],
+                }
+            )
 
     def close(self) -> None:
         pass

@@ -180,6 +180,11 @@ def test_long_batch_of_a_key_is_held_as_numbers():
             assert np.isnan(r.funding_zscore)
     assert history._past.row == (n - 1, rate(np.arange(n - 90, n)).tolist())
 
+    latest = st.LatestFunding(None)
+    got, rows, peak = processed(latest, frames_of(n, lambda t: pd.DataFrame({"ts_ms": t, "funding_rate": np.where(t % 7 == 3, rate(t), np.nan)})))
+    assert rows == sum(1 for t in range(3, n) if t % 7 != 3) and peak < 130 * n
+    assert ((got.bar_end_ms - 3) // 7 * 7 + 3 == got.funding_ms).all() and (got.funding_rate == rate(got.funding_ms)).all()
+
 
 def test_history_state_is_short_at_first():
     history = st.FundingHistory(4, 1.5, None)

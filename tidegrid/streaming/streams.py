@@ -102,10 +102,6 @@ def stream_match_bars(price: DataFrame, premium: DataFrame, wait: str = "25 minu
 _KEY_FIELDS = [StructField("exchange", StringType()), StructField("symbol", StringType())]
 
 
-def _rows(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(order, kind="stable")
-
-
 #: Rows that a processor gives out, or works on, at a time.
 _SLICE = 16_384
 
@@ -195,32 +191,33 @@ class LatestFunding(StatefulProcessor):
         self._last = handle.getValueState("last", schema, self._keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = _rows(rows, "ts_ms")
-        settled = batch["funding_rate"].notna()
+        ts, rate = _ordered(rows, "ts_ms", "funding_rate")
+        settled = ~np.isnan(rate)
         known = self._last.get() if self._last.exists() else None
-        line = batch[["ts_ms"]].assign(
-            funding_ms=batch["ts_ms"].where(settled), rate=batch["funding_rate"], settle=settled
-        )
-        # Settlements of the same time come first.
-        line = line.sort_values(["ts_ms", "settle"], ascending=[True, False], kind="stable")
-        line[["funding_ms", "rate"]] = line[["funding_ms", "rate"]].ffill()
-        if known is not None:
-            line["funding_ms"] = line["funding_ms"].fillna(known[0])
-            line["rate"] = line["rate"].fillna(known[1])
-        if line["rate"].notna().any():
-            newest = line[line["settle"]].tail(1)
-            if len(newest) and (known is None or newest["ts_ms"].iloc[0] > known[0]):
-                self._last.update((int(newest["ts_ms"].iloc[0]), float(newest["rate"].iloc[0])))
-        bars = line[~line["settle"] & (line["funding_ms"] <= line["ts_ms"])]
-        yield pd.DataFrame(
-            {
-                "exchange": key[0],
-                "symbol": key[1],
-                "bar_end_ms": bars["ts_ms"].astype("int64"),
-                "funding_ms": bars["funding_ms"].astype("int64"),
-                "funding_rate": bars["rate"].astype("float64"),
-            }
-        )
+        at, rates = ts[settled], rate[settled]
+        if len(at) and (known is None or at[-1] > known[0]):
+            self._last.update((int(at[-1]), float(rates[-1])))
+        bars = ts[~settled]
+        del ts, rate, settled
+        for part in _slices(len(bars)):
+            end = bars[part]
+            # Settlements at the time of a bar's end or before it; of the same time the last that came.
+            before = np.searchsorted(at, end, side="right")
+            found = before > 0
+            funding_ms, funding = np.zeros(len(end), "int64"), np.zeros(len(end))
+            funding_ms[found], funding[found] = at[before[found] - 1], rates[before[found] - 1]
+            if known is not None:
+                funding_ms[~found], funding[~found] = known
+                found |= funding_ms <= end
+            yield pd.DataFrame(
+                {
+                    "exchange": key[0],
+                    "symbol": key[1],
+                    "bar_end_ms": end[found],
+                    "funding_ms": funding_ms[found],
+                    "funding_rate": funding[found],
+                }
+            )
 
     def close(self) -> None:
         pass

@@ -139,3 +139,29 @@ def test_one_hot_series_spreads(spark):
     assert sizes.max() <= 560 and len(sizes) >= 20
     w = Window.partitionBy("bar_idx")
     assert seg.owned().withColumn("c", F.count(F.lit(1)).over(w)).filter("c > 1").count() == 0
+
+
+@pytest.mark.parametrize("rows", [40, 4096])
+def test_narrow_frames_are_those_of_window_functions(spark, rows):
+    """Frames of a few rows give the very numbers of Spark's aggregates; nulls, runs of one value and infinite ones included."""
+    frame = price_frame(150, seed=5)
+    frame.loc[60:90, "close"] = 7.1
+    bars = ensure_index(to_spark(spark, frame).withColumn("close", F.when(F.col("ts_open_ms") == 120 * 3_600_000, float("inf")).otherwise(F.col("close"))), SERIES_KEYS, 50)
+    seg = cut(bars, SERIES_KEYS, "ts_open_ms", rows, before=24)
+    specs = [Rolling(f"{kind}_{x}", f"full_{kind}", x, rows=24) for x in ("close", "oi_base", "mark_close") for kind in ("spread", "zscore", "slope")]
+    got = add_rolling(seg, specs, ("trades",)).owned()
+    assert "trades" not in got.columns
+    for x in ("close", "oi_base", "mark_close"):
+        w = Window.partitionBy(*SERIES_KEYS).orderBy("ts_open_ms").rowsBetween(-23, 0)
+        full = F.count(x).over(w) >= 24
+        spread = F.stddev_samp(x).over(w)
+        got = got.withColumns(
+            {
+                f"want_spread_{x}": F.when(full, spread),
+                f"want_zscore_{x}": F.when(full, (F.col(x) - F.avg(x).over(w)) / F.nullif(spread, F.lit(0.0))),
+                f"want_slope_{x}": F.when(full, F.regr_slope(F.col(x), F.col("bar_idx").cast("double")).over(w)),
+            }
+        )
+    same = [F.col(s.out).eqNullSafe(F.col(f"want_{s.out}")) for s in specs]
+    assert got.count() == 150 and got.filter(~F.least(*same)).count() == 0
+    assert got.filter(F.col("zscore_close").isNotNull()).count() > 50

@@ -15,7 +15,7 @@ from tidegrid.operators.events import attach_context, detect_events, event_count
 from tidegrid.operators.features import FEATURE_COLUMNS, build_features, non_null_counts
 from tidegrid.operators.joins import asof_funding, asof_oi, dedupe_keep_first, join_closes, join_state, mask_known_gaps
 from tidegrid.operators.leaderboard import build_leaderboard
-from tidegrid.operators.outcomes import build_outcomes, forward_universe
+from tidegrid.operators.outcomes import build_outcomes, forward_universe, outcome_columns
 from tidegrid.operators.regimes import build_regimes
 from tidegrid.params import EVENT_TYPES, SERIES_KEYS, FeatureParams, SegmentParams, StudyParams
 from tidegrid.plans.event_study import run_study
@@ -248,3 +248,44 @@ def test_closes_of_one_bar_must_agree(spark):
     assert [(r.mark_close, r.index_close) for r in same] == [(1.0, 2.0)] * 3
     with pytest.raises(Exception, match="several values of mark_close"):
         join_closes(bars, mark.unionAll(mark.withColumn("mark_close", F.lit(9.0))), index).collect()
+
+
+def test_wide_frames_are_made_of_shorter_ones(spark, frame, capsys):
+    """No row looks at all rows of its frames: neither narrow statistics nor outcomes slide over them in the plan."""
+    study = run_study(to_spark(spark, frame))
+    study.outcomes.explain("formatted")
+    plan = capsys.readouterr().out.lower()
+    assert "rowframe, -23" not in plan and "stddev_samp" not in plan
+    assert "rowframe, 2, 73" not in plan and "rowframe, 2, 13" not in plan
+
+
+@pytest.mark.parametrize("rows", [64, 4096])
+def test_extremes_of_any_horizon(spark, rows):
+    """Against a loop: missing prices, ties, the end of the series, and horizons that are no multiples of each other."""
+    n, horizons = 400, {"1h": (1, 2, 5, 7, 13, 100, 150)}
+    rng = np.random.default_rng(4)
+    frame = price_frame(n, seed=6)
+    for c in ("high", "low"):
+        frame[c] = rng.integers(90, 110, n).astype(float)
+        frame.loc[rng.choice(n, 60, replace=False), c] = np.nan
+    frame.loc[200:230, ["high", "low"]] = np.nan
+    bars = ensure_index(to_spark(spark, frame), SERIES_KEYS, 50)
+    seg = cut(bars, SERIES_KEYS, "ts_open_ms", rows, after=151)
+    got = outcome_columns(seg, horizons).owned().select("bar_idx", F.inline("_outcomes")).collect()
+    assert len(got) == n * len(horizons["1h"])
+    for r in got:
+        h, i = int(r.horizon[2:]), r.bar_idx
+        ahead = frame.iloc[i + 2 : i + 2 + h]
+        if i + 1 >= n:
+            assert (r.mfe_pct, r.time_to_mfe_bars, r.max_holding_bars_used) == (None, None, 0)
+            continue
+        entry = frame.close[i + 1]
+        assert r.max_holding_bars_used == len(ahead)
+        assert (r.forward_return_pct is None) == (i + 1 + h >= n)
+        for best, pct, after, c in (("idxmax", r.mfe_pct, r.time_to_mfe_bars, "high"), ("idxmin", r.mae_pct, r.time_to_mae_bars, "low")):
+            known = ahead[c].dropna()
+            if known.empty:
+                assert (pct, after) == (None, None)
+            else:
+                at = getattr(known, best)()
+                assert after == at - i - 1 and pct == (known[at] - entry) / entry * 100

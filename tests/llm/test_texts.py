@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -334,3 +335,19 @@ def test_pipeline_stage_by_stage(spark, sf):
     coded = corpus_pipeline.encoded(spark, mix, sf).collect()
     assert len(coded) == mix.count() and all(r.decodes for r in coded)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_passages", "mixing", "tokens"]
+
+
+def test_pairing_holds_few_bytes_an_id():
+    """Of a shard of four million ids: the arrays of a round are narrow, and stretches of documents come back alone."""
+    rng = np.random.default_rng(1)
+    ids = (rng.zipf(1.2, 4_000_000) % 50_000).astype("<u4")
+    sizes = np.full(8_000, 500)
+    ends = np.zeros(len(ids), bool)
+    ends[np.cumsum(sizes) - 1] = True
+    tracemalloc.start()
+    symbols, _, rules = token_files.pair_up(ids, ends, 50_000, token_files.FileParams())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(ids) and len(rules) > 1000 and len(symbols) < len(ids) * 0.7
+    file = token_files.TokenFile(token_files.file_of(ids, sizes, np.arange(8_000), np.ones(8_000, bool), 50_000, token_files.FileParams()))
+    assert (file.ids_between(2048, 4096) == ids[2048 * 500 : 4096 * 500]).all() and (file.ids_between(7000, 8000) == ids[7000 * 500 :]).all()

@@ -52,29 +52,51 @@ class FileParams:
     end: int = 0
 
 
+def _parts(n: int, step: int = 1 << 20) -> Iterator[slice]:
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
 def pair_up(symbols: np.ndarray, ends: np.ndarray, terminals: int, p: FileParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols after pairing, which of them end a document, and the rules as rows (left, right)."""
     rules = np.zeros((0, 2), np.int64)
-    symbols = symbols.astype(np.int64)
+    # A task holds a shard's arrays beside its words, so they are narrow, or made a part at a time.
+    symbols = symbols.astype(np.uint32)
     for _ in range(p.rounds):
         if len(symbols) < 2:
             break
-        key = (symbols[:-1] << 32) | symbols[1:]
+        key = symbols[:-1].astype(np.int64)
+        key <<= 32
+        key |= symbols[1:]
         # Counts of hashed pairs first: only pairs in full cells can be frequent.
-        cell = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-        cell[ends[:-1]] = 0
-        full = np.bincount(cell, minlength=1 << 22)
+        cell = np.empty(len(key), np.int32)
+        full = np.zeros(1 << 22, np.int32)
+        for part in _parts(len(key)):
+            cell[part] = (key[part].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+            cell[part][ends[:-1][part]] = 0
+            full += np.bincount(cell[part], minlength=1 << 22)
         least = max(p.least, int(np.partition(full, -p.pairs)[-p.pairs]))
-        at = np.flatnonzero((full[cell] >= least) & ~ends[:-1])
-        pair, inverse, count = np.unique(key[at], return_inverse=True, return_counts=True)
+        some = (full >= least)[cell]
+        some &= ~ends[:-1]
+        del cell, full
+        pair = key[some]
+        pair.sort()
+        first = np.flatnonzero(np.concatenate((np.full(min(len(pair), 1), True), pair[1:] != pair[:-1])))
+        count = np.diff(first, append=len(pair))
+        pair = pair[first]
         good = np.flatnonzero(count >= p.least)
-        good = good[np.lexsort((pair[good], -count[good]))][: p.pairs]
+        good = pair[good[np.lexsort((pair[good], -count[good]))][: p.pairs]]
+        del pair, count, first
         if not len(good):
             break
-        rank = np.full(len(pair), len(pair) + 1, np.int64)
-        rank[good] = np.arange(len(good))
-        here = np.full(len(symbols) + 1, len(pair) + 1, np.int64)  # rank of the pair that starts at each place, moved by one
-        here[at + 1] = rank[inverse]
+        here = np.full(len(symbols) + 1, len(good), np.int32)  # rank of the pair that starts at each place, moved by one
+        rank = np.argsort(good)
+        ordered = good[rank]
+        for part in _parts(len(key)):
+            at = np.flatnonzero(some[part])
+            found = key[part][at]
+            place = np.minimum(np.searchsorted(ordered, found), len(good) - 1)
+            here[1 + part.start + at] = np.where(ordered[place] == found, rank[place], len(good))
+        del key, some
         chosen = here[1:] <= len(good) - 1
         chosen &= (here[1:] < here[:-1]) | (here[:-1] > len(good) - 1)
         chosen[:-1] &= here[1:-1] <= here[2:]
@@ -85,7 +107,7 @@ def pair_up(symbols: np.ndarray, ends: np.ndarray, terminals: int, p: FileParams
             offset = np.arange(len(taken)) - np.repeat(run_start, np.diff(np.concatenate((run_start, [len(taken)]))))
             taken = taken[offset % 2 == 0]
         fresh = terminals + len(rules)
-        rules = np.concatenate((rules, np.stack((pair[good] >> 32, pair[good] & 0xFFFFFFFF), axis=1)))
+        rules = np.concatenate((rules, np.stack((good >> 32, good & 0xFFFFFFFF), axis=1)))
         symbols[taken] = fresh + here[1:][taken]
         keep = np.ones(len(symbols), bool)
         keep[taken + 1] = False
@@ -148,9 +170,13 @@ class TokenFile:
             out[place[pairs]], out[place[pairs] + 1] = self.left[rule], self.right[rule]
             symbols = out
 
+    def ids_between(self, a: int, b: int) -> np.ndarray:
+        """The ids of documents a to b - 1."""
+        stop = self.first[b] if b < len(self.first) else len(self.symbols)
+        return self._expand(self.symbols[self.first[a] : stop])
+
     def document(self, k: int) -> np.ndarray:
-        stop = self.first[k + 1] if k + 1 < len(self.first) else len(self.symbols)
-        return self._expand(self.symbols[self.first[k] : stop])
+        return self.ids_between(k, k + 1)
 
     def token(self, k: int, n: int) -> int:
         """The n-th id of a document: expansion lengths lead to it."""
@@ -240,10 +266,12 @@ def _write(definition, terminals: int, p: FileParams):
             nonlocal number, held
             sizes = np.array([len(c) // 4 for c in codes], np.int64)
             named = np.array([i is not None for i in ids])
-            file = file_of(np.frombuffer(b"".join(codes), "<u4"), sizes, np.array([i or 0 for i in ids], np.int64), named, terminals, p)
-            row = pa.RecordBatch.from_arrays([pa.array([(partition << 24) + number]), pa.array([int(sizes.sum())]), pa.array([file], pa.binary())], ["shard", "n_ids", "file"])
+            documents = np.array([i or 0 for i in ids], np.int64)
+            every = np.frombuffer(b"".join(codes), "<u4")
             codes.clear()
             ids.clear()
+            file = file_of(every, sizes, documents, named, terminals, p)
+            row = pa.RecordBatch.from_arrays([pa.array([(partition << 24) + number]), pa.array([int(sizes.sum())]), pa.array([file], pa.binary())], ["shard", "n_ids", "file"])
             number, held = number + 1, 0
             return row
 
@@ -277,17 +305,18 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for before, raw in zip(batch.column("before").to_pylist(), batch.column("file"), strict=True):
             file = TokenFile(raw.as_py())
-            every = file.all_ids().tobytes()
             ends = np.cumsum(file.sizes)
             start = ends - file.sizes
             for a in range(0, len(ends), 2048):
                 b = min(a + 2048, len(ends))
+                # A stretch of documents at a time: a whole shard spelt out takes many times its file.
+                every = file.ids_between(a, b).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(file.documents[a:b], pa.int64(), mask=~file.named[a:b]),
                         pa.array(start[a:b] + before),
                         pa.array(file.sizes[a:b]),
-                        pa.array([every[4 * i : 4 * j] for i, j in zip(start[a:b].tolist(), ends[a:b].tolist(), strict=True)], pa.binary()),
+                        pa.array([every[4 * i : 4 * j] for i, j in zip((start[a:b] - start[a]).tolist(), (ends[a:b] - start[a]).tolist(), strict=True)], pa.binary()),
                     ],
                     ["id", "start", "n_tokens", "ids"],
                 )

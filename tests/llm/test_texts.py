@@ -41,6 +41,21 @@ def test_bpe_is_the_library(spark, sf):
     assert plain.encode(docs.limit(0)).count() == 0
 
 
+def test_bpe_ranks_are_not_in_the_plan(spark):
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pick = np.random.default_rng(3)
+    texts = ["".join(pick.choice(list("aaabnéß語 \n"), n)) for n in (1, 2, 7, 60, 900)] + ["aéb" * 9000, "語" * 5000, "a" * 20000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    # Three words are remembered at most, beside the dictionary.
+    coded = bpe.Encoder(ranks, public_tokenizers.PATTERN, dictionary_words=2, remembered=3).learn_dictionary(docs).encode(docs)
+    assert len(coded._jdf.queryExecution().optimizedPlan().toString()) < 20000
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in coded.collect()} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert all(bytes(r.decoded) == texts[r.doc_id].encode() for r in coded.collect())
+
+
 def test_token_files_come_back(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding from a rank file.
 
-The ranks are a literal in the plan: an array of small maps from byte strings to ranks, where the
-CRC-32 of a byte string says in which map it is.  A byte is written as the character with
-its number, so byte strings are strings.  Per document the distinct words are encoded: each starts as the array of its bytes, and a fold joins the neighbours of
-lowest rank (the first of equal ones) until no two neighbours have a rank.  A word that has a
-rank itself is one id, as in the usual libraries.
+Spark cuts the texts into words; tasks get them as Arrow arrays of about ``PIECE`` bytes of text.  A
+task encodes each different word once: it starts as its bytes, and the neighbours of lowest rank
+(the first of equal ones) are joined until no two neighbours have a rank.  A heap of the neighbours
+that have one makes a word of n bytes n log n steps.  A word that has a rank itself is one id,
+as in the usual libraries.  A task remembers words up to a fixed number, which changes no result.
 
-Words that are frequent in a sample of bounded size are encoded beforehand; that dictionary is a
-second literal and only saves work.  A document's words then take their ids from its own
-dictionary, and decoding takes the bytes of each id and joins them.
+Words that are frequent in a sample of bounded size are encoded beforehand; that dictionary, of at
+most ``dictionary_words``, is what each task starts from and only saves work.  Ranks and dictionary are broadcast, so no
+plan holds them.  A document's words take their ids from the different words of its
+piece, and decoding takes the bytes of each id and joins them.
 
 Null texts are empty; they have no ids and decode to nothing.
 """
@@ -16,18 +17,19 @@ Null texts are empty; they have no ids and decode to nothing.
 from __future__ import annotations
 
 import base64
-import json
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidegrid.llm.common import PIECE
 
 #: White space of Unicode, which \s means in the patterns of tokenizers but not in Java's.
 SPACE = r"\t-\r \x85\xA0  -     　"
-_NEVER = (1 << 31) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,133 +44,131 @@ def java_pattern(pattern: str) -> str:
     return out.replace(r"\s", f"[{SPACE}]")
 
 
-def _bucketed(entries: dict[str, object], per_map: int = 6) -> str:
-    count = max(1, len(entries) // per_map)
-    maps: list[dict] = [{} for _ in range(count)]
-    for key, value in entries.items():
-        maps[zlib.crc32(key.encode()) % count][key] = value
-    return json.dumps(maps)
-
-
-def _found(maps: Column, key: Column) -> Column:
-    """The value of ``key`` in an array of maps; null if it has none."""
-    bucket = F.pmod(F.crc32(key.cast("binary")), F.size(maps).cast("long")).cast("int")
-    return F.get(maps, bucket)[key]
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _merge(state: Column, ranks: Column) -> Column:
-    """One step: joins the pair of lowest rank; the state is (pieces, rank of each piece with the next)."""
-
-    def at(i: Column) -> Column:
-        piece, rank = state["piece"], state["rank"]
-
-        def joined(new: Column) -> Column:
-            n = F.size(piece)
-            none = F.array().cast("array<int>")
-            before = F.when(i > 1, F.array(F.coalesce(_found(ranks, F.concat(F.get(piece, i - 2), new)), F.lit(_NEVER)))).otherwise(none)
-            after = F.when(i + 1 < n, F.array(F.coalesce(_found(ranks, F.concat(new, F.get(piece, i + 1))), F.lit(_NEVER)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(piece, F.lit(1), i - 1), F.array(new), F.slice(piece, i + 2, F.greatest(n - i - 1, F.lit(0)))).alias("piece"),
-                F.concat(F.slice(rank, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(rank, i + 2, F.greatest(n - i - 2, F.lit(0)))).alias("rank"),
-            )
-
-        return _let(F.concat(F.get(piece, i - 1), F.get(piece, i)), joined)
-
-    best = F.array_position(state["rank"], F.array_min(state["rank"])).cast("int")
-    return F.when(F.array_min(state["rank"]) < _NEVER, _let(best, at)).otherwise(state)
-
-
-def _encode_word(word: Column, ranks: Column) -> Column:
+def _merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word."""
-    byte_text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-
-    def fold(text: Column) -> Column:
-        pieces = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-
-        def start(p: Column) -> Column:
-            pairs = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: F.coalesce(_found(ranks, F.concat(x, F.get(p, i + 1))), F.lit(_NEVER)))
-            state = F.struct(p.alias("piece"), pairs.alias("rank"))
-            done = F.aggregate(pairs, state, lambda s, _: _merge(s, ranks), lambda s: s["piece"])
-            return F.transform(done, lambda x: _found(ranks, x))
-
-        whole = _found(ranks, text)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(pieces, start))
-
-    return _let(byte_text, fold)
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    # Per place the piece that starts there, the start of the next one and of the one before.
+    piece = [word[i : i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = after[i]
+        # Pieces only grow, so a pair is still there if it starts and ends where it did.
+        if not piece[i] or j >= n or after[j] != stop:
+            continue
+        piece[i], piece[j] = piece[i] + piece[j], b""
+        after[i] = stop
+        if stop < n:
+            before[stop] = i
+            if (rank := ranks.get(piece[i] + piece[stop])) is not None:
+                heappush(heap, (rank, i, after[stop]))
+        if i:
+            h = before[i]
+            if (rank := ranks.get(piece[h] + piece[i])) is not None:
+                heappush(heap, (rank, h, stop))
+    return [ranks[x] for x in piece if x]
+
+
+class _Words:
+    """Words to ids in one task: look up, merge what is new."""
+
+    def __init__(self, ranks: dict[bytes, int], dictionary: dict[str, bytes], remembered: int) -> None:
+        self.ranks, self.dictionary, self.remembered = ranks, dictionary, remembered
+        self.known = dict(dictionary)
+
+    def encode(self, words: Iterable[str]) -> list[bytes]:
+        if len(self.known) > self.remembered + len(self.dictionary):
+            self.known = dict(self.dictionary)
+        out = []
+        for word in words:
+            found = self.known.get(word)
+            if found is None:
+                found = self.known[word] = np.array(_merged(word.encode(), self.ranks), "<u4").tobytes()
+            out.append(found)
+        return out
 
 
 class Encoder:
     """Ranks, the pattern that cuts words, and a dictionary of frequent words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary_words: int = 1 << 15, sample_rows: int = 4096) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, dictionary_words: int = 1 << 15, sample_rows: int = 4096, remembered: int = 1 << 18) -> None:
         if set(range(256)) - {k[0] for k in ranks if len(k) == 1}:
             raise ValueError("not byte-level: a byte has no rank")
         self.pattern = java_pattern(pattern)
-        self.ranks = _bucketed({k.decode("latin-1"): v for k, v in ranks.items()})
+        self.ranks = ranks
         vocabulary = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             vocabulary[v] = k
         self.vocabulary = vocabulary
-        self.dictionary_words, self.sample_rows = dictionary_words, sample_rows
-        self.dictionary = "[{}]"
+        self.dictionary_words, self.sample_rows, self.remembered = dictionary_words, sample_rows, remembered
+        self.dictionary: dict[str, bytes] = {}
 
     def words(self, text: str | Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _ids(self, words: Column) -> Column:
-        """The ids of each of an array of words."""
-        ranks = F.from_json(F.lit(self.ranks), "array<map<string,int>>")
-        known = F.from_json(F.lit(self.dictionary), "array<map<string,array<int>>>")
-        return _let(
-            F.struct(ranks.alias("ranks"), known.alias("known")),
-            lambda lit: F.transform(words, lambda w: F.coalesce(_found(lit["known"], w), _encode_word(w, lit["ranks"]))),
-        )
-
     def learn_dictionary(self, docs: DataFrame, text: str = "text") -> Encoder:
         """Encodes the words most frequent in about ``sample_rows`` rows, at most ``dictionary_words`` of them."""
         rows = max(1, docs.count())
         share = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / float(1 << 30)
         sample = docs.where(share * rows < self.sample_rows).select(F.explode(self.words(text)).alias("word"))
         top = sample.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(self.dictionary_words)
-        one = top.groupBy(F.spark_partition_id()).agg(F.collect_list("word").alias("words"))
-        found = one.select("words", self._ids(F.col("words")).alias("ids")).collect()
-        self.dictionary = _bucketed({w: list(i) for r in found for w, i in zip(r.words, r.ids, strict=True)})
+        shared = docs.sparkSession.sparkContext.broadcast((self.ranks, {}))
+        found = top.select("word").mapInArrow(_each(shared, self.remembered), "word string, ids binary").collect()
+        self.dictionary = {r.word: bytes(r.ids) for r in found}
         return self
 
     def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """Columns ``keep``, ``ids`` (32-bit, little-endian) and ``decoded``, the bytes of the ids joined."""
-        from pyspark.sql import types as T
-
         words = docs.select(*(F.col(f"`{c}`") for c in keep), self.words(F.col(f"`{text}`")).alias("_words"))
-        distinct = words.withColumn("_distinct", F.array_distinct("_words"))
-        encoded = distinct.withColumn("_ids", self._ids(F.col("_distinct")))
         schema = T.StructType([words.schema[c] for c in keep] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-        vocabulary = docs.sparkSession.sparkContext.broadcast(self.vocabulary)
-        return encoded.mapInArrow(_join(vocabulary, keep), schema)
+        context = docs.sparkSession.sparkContext
+        shared, vocabulary = context.broadcast((self.ranks, self.dictionary)), context.broadcast(self.vocabulary)
+        return words.mapInArrow(_join(shared, vocabulary, self.remembered, keep), schema)
+
+
+def _each(shared, remembered: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(*shared.value, remembered)
+        for batch in batches:
+            ids = words.encode(batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+
+    return of
+
+
+def _pieces(batch: pa.RecordBatch, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The rows in runs whose words hold about ``limit`` bytes."""
+    column = batch.column("_words")
+    length = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(column.flatten()), np.int64))))
+    ends = length[np.cumsum(np.asarray(pa.compute.list_value_length(column), np.int64))]
+    cuts = [0, *(np.flatnonzero(np.diff(ends // limit)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
-def _join(vocabulary, keep: tuple[str, ...]):
-    """From a document's words and the ids of its distinct words to its ids, and back to its bytes."""
+def _join(shared, vocabulary, remembered: int, keep: tuple[str, ...]):
+    """From a document's words to its ids, by the different words of a piece, and back to its bytes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(vocabulary.value, pa.large_binary())
+        known = _Words(*shared.value, remembered)
         for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
-                words, distinct, ids = (batch.column(c) for c in ("_words", "_distinct", "_ids"))
-                lists = ids.flatten()
-                flat = np.asarray(lists.flatten(), np.int64).astype("<u4")
-                size = np.asarray(pa.compute.list_value_length(lists), np.int64)
-                # The same word has the same ids in every document's dictionary.
-                known = np.asarray(pa.compute.index_in(words.flatten(), value_set=distinct.flatten()), np.int64)
-                taken = size[known]
+            for batch in _pieces(whole):
+                words = batch.column("_words")
+                coded = words.flatten().dictionary_encode()
+                lists = known.encode(coded.dictionary.to_pylist())
+                place = np.asarray(coded.indices, np.int64)
+                flat = np.frombuffer(b"".join(lists), "<u4")
+                size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+                taken = size[place]
                 ends = np.cumsum(taken)
-                every = flat[np.repeat((np.cumsum(size) - size)[known] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
+                every = flat[np.repeat((np.cumsum(size) - size)[place] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
                 stop = np.concatenate(([0], ends))[np.cumsum(np.asarray(pa.compute.list_value_length(words), np.int64))]
                 start = np.concatenate(([0], stop[:-1]))
                 out = [every[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]

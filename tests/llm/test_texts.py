@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 import tracemalloc
 import zlib
 
@@ -56,6 +57,29 @@ def test_bpe_ranks_are_not_in_the_plan(spark):
     assert all(bytes(r.decoded) == texts[r.doc_id].encode() for r in coded.collect())
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    from tidegrid.session import DROP_SHUFFLES, cut_lineage
+
+    def files():
+        return sum("shuffle_" in f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+    def left(rows):
+        before = files()
+        out = cut_lineage(rows)
+        for _ in range(50):  # they go in the background
+            if files() <= before:
+                break
+            time.sleep(0.1)
+        return out, files() - before
+
+    rows = spark.range(1000).selectExpr("id", "id % 7 as k").repartition(3, "k")
+    (out, more), held = left(rows), spark.conf.get(DROP_SHUFFLES, None)
+    assert more <= 0 and out.count() == 1000 and held is None
+    assert rows.count() == rows.count() == 1000  # the rows can still be made again
+    out, more = left(suffix_dedup.remove_repeats(odd_docs(spark).drop("ids")))
+    assert more <= 0 and out.count() == len(ODD) + 2
+
+
 def test_token_files_come_back(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -369,12 +369,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     found = cut_lineage(found.mapInArrow(recurring(p.part, ("id", "spot"), passing="salt"), schema).drop("salt"))
     parts = found.where("often").groupBy("key").agg(F.ceil(F.count("*") / p.part).cast("long").alias("parts"))
     spots = found.join(parts, "key", "left").select("id", F.struct("key", "spot", F.coalesce("parts", F.lit(1)).cast("long").alias("parts")).alias("s"))
-    spots = spots.groupBy("id").agg(F.collect_set("s").alias("spots"))
+    # Tables here and below: the shuffles so far go before those of the texts are made.
+    spots = cut_lineage(spots.groupBy("id").agg(F.collect_set("s").alias("spots")))
 
     context = rows.join(spots, "id").mapInArrow(_contexts(p), _CONTEXT).repartition("key", "part").sortWithinPartitions("key", "part")
     again = context.mapInArrow(_compare(p, True), _CONTEXT).repartition("key").sortWithinPartitions("key", "part")
     marks = context.mapInArrow(_compare(p, False), _MARKS).unionByName(again.mapInArrow(_compare(p, False), _MARKS))
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
+    marks = cut_lineage(marks).groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
     schema = "id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary, kept_text string"
     nameless = every.where("id is null").withColumn("marks", F.array().cast("array<struct<begin:bigint,end:bigint>>"))
     return rows.join(marks, "id", "left").select("id", "text", "marks").unionByName(nameless).mapInArrow(_cut, schema)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.llm import queries
+from tidegrid.llm import ngram_join, queries
 from tidegrid.llm.common import components
 from tidegrid.llm.cover_tree import CosineParams, CoverTree, near_duplicates, near_pairs
 from tidegrid.llm.knn_join import KnnParams, top_k
@@ -65,6 +65,20 @@ def test_jaccard_join_is_brute_force(spark, sf, params):
     assert got == jaccard_groups(rows)
 
 
+def test_jaccard_texts_are_not_shuffled_to_their_cells(spark):
+    known = spark.createDataFrame([(i, f"t{i}") for i in (1, 2, 2, 3)], "id long, text string")
+    nodes = spark.createDataFrame([(10 * i, i, 5) for i in (1, 2, 3)], "node long, id long, n long")
+    block = "struct<band:long,block:long>"
+    cells = spark.createDataFrame([(n, g, (0, 0), (0, g), 0) for n in (10, 20) for g in (1, 2)], f"node long, grp long, lo {block}, hi {block}, side int")
+    want = [(n, g, f"t{n // 10}") for n in (10, 20) for g in (1, 2)]
+    once = ngram_join._texts(known.distinct().localCheckpoint(), nodes, cells, False, JaccardParams())
+    assert "Exchange hashpartitioning" not in once._jdf.queryExecution().executedPlan().toString()
+    for limit in (0, 100):
+        for rows, repeated in ((known.distinct(), False), (known, True)):
+            got = ngram_join._texts(rows, nodes, cells, repeated, JaccardParams(broadcast_cells=limit))
+            assert sorted((r.node, r.grp, r.text) for r in got.collect()) == want
+
+
 def test_jaccard_join_edges(spark):
     base = [f"w{i}" for i in range(60)]
     near = base[:58] + ["x", "y"]

@@ -70,7 +70,7 @@ def count_cells(rows: DataFrame, column: str, hashes) -> np.ndarray:
 
     cells = rows.mapInArrow(add, "chunk long, salt long, counts binary")
     cells = cells.groupBy("chunk", "salt").applyInArrow(by_salt, "chunk long, salt long, counts binary")
-    cells = cells.groupBy("chunk").applyInArrow(by_chunk, "chunk long, counts binary")
+    cells = cut_lineage(cells.groupBy("chunk").applyInArrow(by_chunk, "chunk long, counts binary"))
     out = np.zeros(1 << CELL_BITS, np.int64)
     for row in cells.toLocalIterator():  # 64 rows, 8 MB, at any size of the corpus
         out[row.chunk << _CHUNK_BITS : (row.chunk + 1) << _CHUNK_BITS] = np.frombuffer(row.counts, "<i8")

@@ -47,8 +47,8 @@ class JaccardParams:
     pair_limit: int = 48
     #: Nodes in a block.
     block: int = 1024
-    #: Up to so many ids (32 MB) of texts to verify are broadcast; more are joined.
-    broadcast_ids: int = 2_000_000
+    #: Up to so many places of texts to verify, in cells, are broadcast (about 60 MB); more are joined.
+    broadcast_cells: int = 500_000
 
 
 def prefix_size(n: np.ndarray | int, hundredths: int):
@@ -257,12 +257,14 @@ def _cells(tokens: DataFrame, pairs: DataFrame, nodes: DataFrame, p: JaccardPara
     return both.select("node", "grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
 
 
-def _texts(known: DataFrame, nodes: DataFrame, needed: DataFrame, p: JaccardParams) -> DataFrame:
-    """``(node, text)`` of the nodes that have candidates."""
-    wanted = cut_lineage(nodes.join(needed, "node").select("node", "id"))
-    if wanted.count() <= p.broadcast_ids:
-        wanted = F.broadcast(wanted)
-    return cut_lineage(known.join(wanted, "id").select("node", "text").dropDuplicates(["node"]))
+def _texts(known: DataFrame, nodes: DataFrame, cells: DataFrame, repeated: bool, p: JaccardParams) -> DataFrame:
+    """The cells with the texts of their nodes.  Texts are large, so they meet the cells where they are read, by id."""
+    wanted = cut_lineage(cells.join(nodes.select("node", "id"), "node"))
+    few = wanted.count() <= p.broadcast_cells
+    if repeated:
+        ids = wanted.select("id").distinct()
+        known = known.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    return known.join(F.broadcast(wanted) if few else wanted, "id").drop("id")
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", params: JaccardParams | None = None) -> DataFrame:
@@ -276,16 +278,16 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     found = cut_lineage(ordered.mapInArrow(recurring(p.pair_limit, ("node",), passing="ord"), _ROW))
     documents, tokens = found.where("ord < 0"), found.where("ord >= 0")
 
-    per_id = documents.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    if not per_id.where("a <> b").isEmpty():
+    per_id = documents.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("m"))
+    twice = per_id.where("m > 1").agg(F.count("*").alias("ids"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("unequal")).first()
+    if twice.unequal:
         largest = known.groupBy("id").agg(F.max("text").alias("text"))
         return rows.select("id").join(similar_groups(largest, "id", "text", p), "id", "left")
     sets = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("two").alias("two"), F.max("two").alias("other"))
     nodes = cut_lineage(sets.select("node", "n", F.when(F.col("two") == F.col("other"), F.col("id")).otherwise(F.raise_error(F.lit("two sets have one signature"))).alias("id")))
 
     cells = cut_lineage(_cells(tokens, cut_lineage(_small_pairs(tokens, p)), nodes, p))
-    texts = _texts(known, nodes, cells.select("node").distinct(), p)
-    links = cells.join(texts, "node").groupBy("grp", "lo", "hi").applyInArrow(_blocks(p), "a long, b long")
+    links = _texts(known, nodes, cells, twice.ids > 0, p).groupBy("grp", "lo", "hi").applyInArrow(_blocks(p), "a long, b long")
     for side in ("a", "b"):
         links = links.join(nodes.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)
     joined = components(links, "id_a", "id_b").withColumnRenamed("id", "first")

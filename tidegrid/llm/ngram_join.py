@@ -35,6 +35,9 @@ from tidegrid.llm.bytestrings import LOWER, U, mix, shingles, utf8, word_hashes,
 from tidegrid.llm.common import by_frequency, components, count_cells, frequency_levels, pieces, recurring, signed
 from tidegrid.session import cut_lineage
 
+#: Bytes of text that a comparison turns into sets at a time.
+_TEXTS = 1 << 19
+
 
 @dataclass(frozen=True)
 class JaccardParams:
@@ -151,24 +154,23 @@ def _forest(sets: list[np.ndarray], split: int, hundredths: int) -> list[tuple[i
     """
     m = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
-    tokens = np.concatenate(sets) if m else np.zeros(0, U)
-    row = np.repeat(np.arange(m), sizes)
-    _, code, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    _, code, times = np.unique(np.concatenate(sets) if m else np.zeros(0, U), return_inverse=True, return_counts=True)
     shared = times > 1
-    number = np.cumsum(shared) - 1
     keep = shared[code]
-    row, code = row[keep], number[code[keep]]
+    row = np.repeat(np.arange(m, dtype=np.int32), sizes)[keep]
+    code = (np.cumsum(shared, dtype=np.int32) - 1)[code[keep]]
     order = np.argsort(code, kind="stable")
     row, code = row[order], code[order]
-    left = np.arange(m) if not split else np.arange(split)
-    right = np.arange(m) if not split else np.arange(split, m)
+    del times, shared, keep, order
+    ahead, behind = slice(0, split or m), slice(split, m)  # views of the matrices, not copies
+    left, right = np.arange(m)[ahead], np.arange(m)[behind]
     common = np.zeros((len(left), len(right)), np.float32)
-    width = 2048
+    width = 512
     for first in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         a, b = np.searchsorted(code, [first, first + width])
         dense = np.zeros((m, width), np.float32)
         dense[row[a:b], code[a:b] - first] = 1
-        common += dense[left] @ dense[right].T
+        common += dense[ahead] @ dense[behind].T
     top = np.arange(m)
 
     def root(i: int) -> int:
@@ -190,15 +192,16 @@ def _forest(sets: list[np.ndarray], split: int, hundredths: int) -> list[tuple[i
 
 def _blocks(p: JaccardParams):
     def of(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         side = np.asarray(table.column("side"))
-        order = np.argsort(side, kind="stable")
-        table = table.take(pa.array(order))
+        order = np.argsort(side, kind="stable").tolist()
         sets = []
-        for batch in pieces(iter(table.to_batches()), "text"):
+        # The texts are read where they are, a little at a time: beside them, a task has its sets and matrices.
+        for batch in pieces(iter(table.to_batches()), "text", _TEXTS):
             sets += _sets(batch.column("text"), p.width)
+        sets = [sets[i] for i in order]
         split = int((side == 0).sum()) if side.any() else 0
         node = table.column("node").to_pylist()
+        node = [node[i] for i in order]
         links = _forest(sets, split, p.hundredths)
         return pa.table({"a": pa.array([node[i] for i, _ in links], pa.int64()), "b": pa.array([node[j] for _, j in links], pa.int64())})
 

@@ -4,7 +4,7 @@ import tracemalloc
 
 import numpy as np
 
-from tidegrid.llm import ngram_join
+from tidegrid.llm import collocations, ngram_join
 
 
 def peak(f):
@@ -23,3 +23,18 @@ def test_near_duplicate_blocks_hold_no_copies_of_their_matrices():
     links, held = peak(lambda: ngram_join._forest(sets, 1000, 80))
     assert {(i, i + 1000) for i in range(1000)} <= set(links)
     assert held < 30  # 48 for two copies of a matrix of all sets alone
+
+
+def test_edges_are_spelt_a_slice_at_a_time():
+    rng = np.random.default_rng(2)
+    n = 300_000
+    keys = rng.integers(1, 1 << 62, (5, n)).astype(np.uint64)
+    numbers = rng.integers(0, 1_000_000, (5, n))
+    numbers[4, :7] = -1
+    both = [collocations._Numbers.spell(k, m) for k, m in zip(keys, numbers, strict=True)]
+    times = rng.integers(1, 300, n)
+    packed, held = peak(lambda: collocations._packed([w for w, _ in both], [s for _, s in both], np.full(n, 4), times))
+    assert held < 40
+    for i in [*range(20), *rng.integers(0, n, 200).tolist(), n - 1]:
+        tail = bytes([times[i]]) if times[i] < 255 else int(times[i]).to_bytes(4, "little") + b"\xff"
+        assert packed[i].as_py() == b"\4" + b"".join(w[i, : s[i]].tobytes() for w, s in both) + tail

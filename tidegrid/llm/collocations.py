@@ -50,6 +50,7 @@ _ROLE[[32, 9]] = 1
 _ROLE[[*b".,;:!?", 10, 11, 12, 13]] = 2
 _BITS = 25
 _BATCH = 3 << 20
+_SLICE = 1 << 14
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -209,13 +210,17 @@ def _packed(words: list[np.ndarray], sizes: list[np.ndarray], spread: np.ndarray
         tail[often, :4] = n[often].astype("<u4").view(np.uint8).reshape(-1, 4)
         tail[often, 4] = 255
     parts = [spread.astype(np.uint8)[:, None], *words, tail]
-    size = np.stack([np.ones(len(n), np.int64), *sizes, np.where(often, 5, 1)], axis=1)
-    letters = np.zeros((len(n), len(parts), max(x.shape[1] for x in parts)), np.uint8)
-    for k, x in enumerate(parts):
-        letters[:, k, : x.shape[1]] = x
-    flat = letters[np.arange(letters.shape[2])[None, None, :] < size[:, :, None]]
-    ends = np.concatenate(([0], np.cumsum(size.sum(axis=1)))).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+    size = np.stack([np.ones(len(n), np.uint8), *(x.astype(np.uint8) for x in sizes), np.where(often, 5, 1).astype(np.uint8)], axis=1)
+    width = max(x.shape[1] for x in parts)
+    flat = []
+    # Some thousand edges at a time: their parts side by side take many times the bytes they come to.
+    for a in range(0, len(n), _SLICE):
+        letters = np.zeros((min(_SLICE, len(n) - a), len(parts), width), np.uint8)
+        for k, x in enumerate(parts):
+            letters[:, k, : x.shape[1]] = x[a : a + _SLICE]
+        flat.append(letters[np.arange(width)[None, None, :] < size[a : a + _SLICE, :, None]])
+    ends = np.concatenate(([0], np.cumsum(size.sum(axis=1, dtype=np.int64)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(flat))])
 
 
 def _edges(bits: Broadcast, ranked: Broadcast, hot: int, width: int):
@@ -247,13 +252,15 @@ def _edges(bits: Broadcast, ranked: Broadcast, hot: int, width: int):
             _, first, same, n = _counted(phrase)
             if not all((c == c[first][same]).all() for c in columns):
                 first, n = np.arange(len(at)), np.ones(len(at), np.int64)
+            # What is not needed any more goes before the edges are spelt.
+            del phrase, same, follow
             if not len(first):
                 continue
             number = np.full(len(known), -1, np.int64)
             number[known] = numbers.number(text.key[known])
             words, sizes, marks = [], [], []
-            for k, column in enumerate(columns):
-                key = column[first]
+            for k in range(width):
+                key, columns[k] = columns[k][first], None
                 mine = np.full(len(first), -1, np.int64)
                 mine[key != 0] = number[at[first][key != 0] + k]
                 spelt, size = numbers.spell(key, mine)

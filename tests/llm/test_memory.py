@@ -3,8 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pytest
 
-from tidegrid.llm import collocations, ngram_join
+from tidegrid.llm import collocations, ngram_join, token_files
 
 
 def peak(f):
@@ -38,3 +42,34 @@ def test_edges_are_spelt_a_slice_at_a_time():
     for i in [*range(20), *rng.integers(0, n, 200).tolist(), n - 1]:
         tail = bytes([times[i]]) if times[i] < 255 else int(times[i]).to_bytes(4, "little") + b"\xff"
         assert packed[i].as_py() == b"\4" + b"".join(w[i, : s[i]].tobytes() for w, s in both) + tail
+
+
+def test_files_are_spelt_out_a_stretch_at_a_time():
+    rng = np.random.default_rng(3)
+    sizes = np.full(2000, 1000)
+    ids = np.repeat(rng.integers(1, 40_000, 20_000), 100).astype("<u4")
+    file = token_files.file_of(ids, sizes, np.arange(2000), np.ones(2000, bool), 50_000, token_files.FileParams())
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([file], pa.binary())], ["before", "file"])
+
+    def read():
+        return [(b.num_rows, b.column("id")[0].as_py(), b.column("start")[0].as_py(), b.column("ids")[0].as_py()) for b in token_files._decode(iter([batch]))]
+
+    found, held = peak(read)
+    assert sum(n for n, *_ in found) == 2000 and len(found) > 4
+    assert all(raw == ids[1000 * i : 1000 * (i + 1)].tobytes() and start == 1000 * i + 5 for _, i, start, raw in found)
+    assert held < 25
+
+
+@pytest.mark.parametrize("added_tokens", [True, False])
+def test_parts_of_texts_are_encoded_like_texts(added_tokens):
+    rng = np.random.default_rng(4)
+    letters = ["a", "B", "é", "日", " ", " ", "  ", "　", " ", " ", "\t", "\n", "\x85", "\x1c", "!", "'s", "<|endoftext|>", "<|", "​", "9", "word ", "😀", "x" * 300]
+    texts = [None, "", " ", "  ", " a", "a ", *("".join(rng.choice(letters, int(rng.integers(1, 30)))) for _ in range(2000))]
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as definition:
+        words = token_files._Words(definition.read(), 256, added_tokens)
+    for a in range(0, len(texts), 300):
+        some = texts[a : a + 300]
+        ids, sizes = words.encode(pa.array(some, pa.string()))
+        want = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]

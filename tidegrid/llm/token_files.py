@@ -29,18 +29,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegrid.llm.bytestrings import utf8, word_hashes
 from tidegrid.llm.common import pieces
 
 MAGIC = b"PAIRIDS1"
-_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r" \S+")
+#: A task reads so many bytes of text at a time, and remembers no part of a text that is longer than so many.
+_BATCH = 1 << 20
+_REMEMBERED_BYTES = 256
+#: Ids that are spelt out at a time, and a document more at most.
+_STRETCH = 1 << 18
+#: Cells in which a shard's pairs are counted.
+_CELL_BITS = 20
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: White space beyond ASCII, by its bytes.
+_WIDE_SPACES = [chr(c).encode() for c in range(128, 0x3001) if chr(c).isspace()]
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[[c[0] for c in _WIDE_SPACES]] = True
+
+
+def _spaces(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are part of white space."""
+    out = _ASCII_SPACE[raw]
+    lead = np.flatnonzero(_WIDE_LEAD[raw])
+    if len(lead):
+        padded = np.concatenate((raw, np.zeros(3, np.uint8)))
+        for wide in _WIDE_SPACES:
+            here = lead[np.all([padded[lead + k] == byte for k, byte in enumerate(wide)], axis=0)]
+            for k in range(len(wide)):
+                out[here + k] = True
+    return out
 
 
 @dataclass(frozen=True)
 class FileParams:
-    #: Bytes of text in a shard and in a partition of shards.
-    shard_bytes: int = 16 << 20
-    partition_bytes: int = 64 << 20
+    #: Bytes of ids in a shard, of text in a partition of shards; a task holds a shard, and the files of a partition as they are read back.
+    shard_bytes: int = 8 << 20
+    partition_bytes: int = 32 << 20
     #: Rounds of pairing; pairs replaced in one round at most; occurrences that make a pair worth a rule.
     rounds: int = 3
     pairs: int = 1 << 13
@@ -69,11 +95,11 @@ def pair_up(symbols: np.ndarray, ends: np.ndarray, terminals: int, p: FileParams
         key |= symbols[1:]
         # Counts of hashed pairs first: only pairs in full cells can be frequent.
         cell = np.empty(len(key), np.int32)
-        full = np.zeros(1 << 22, np.int32)
+        full = np.zeros(1 << _CELL_BITS, np.int32)
         for part in _parts(len(key)):
-            cell[part] = (key[part].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+            cell[part] = (key[part].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELL_BITS)
             cell[part][ends[:-1][part]] = 0
-            full += np.bincount(cell[part], minlength=1 << 22)
+            full += np.bincount(cell[part], minlength=1 << _CELL_BITS)
         least = max(p.least, int(np.partition(full, -p.pairs)[-p.pairs]))
         some = (full >= least)[cell]
         some &= ~ends[:-1]
@@ -216,69 +242,112 @@ class _Words:
         added = self.tokenizer.get_added_tokens_decoder().values()
         # Special ones are spelt out by this switch; others never are.
         self.tokenizer.encode_special_tokens = not added_tokens
-        found = [re.escape(t.content) for t in added if added_tokens or not t.special]
-        self.added = re.compile("|".join(found)) if found else None
+        found = [re.escape(t.content.encode()) for t in added if added_tokens or not t.special]
+        self.added = re.compile(b"|".join(found)) if found else None
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.remembered = remembered
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        cut: list[list[str]] = []
-        whole = {k for k, text in enumerate(texts) if self.added and self.added.search(text)}
-        for k, text in enumerate(texts):
-            if k in whole:
-                cut.append([])
-                continue
-            head, *rest = _BOUNDARY.split(text)
-            cut.append([head, *(" " + x for x in rest)] if text else [])
-        new = {x for parts in cut for x in parts}.difference(self.known)
+    def _parts(self, raw: np.ndarray, at: np.ndarray, letters: bytes) -> np.ndarray:
+        """Where the parts of the texts begin; together they are all of ``raw``."""
+        space = raw == 32
+        near = _spaces(raw)
+        cut = np.zeros(len(raw), bool)
+        cut[1:-1] = space[1:-1] & ~near[:-2] & ~near[2:]
+        # Beside the edge of a text there is no other character.
+        edge = at[(at > 0) & (at < len(raw))]
+        cut[edge - 1] = False
+        if self.added:
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if self.added.search(letters, a, b):
+                    cut[a:b] = False
+        begin = at[:-1][np.diff(at) > 0]
+        cut[begin] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, names: list[bytes]) -> list[bytes]:
+        """The ids of each part."""
+        new = [(x, x.decode()) for x in names if x not in self.known]
         # Plain words are encoded many at a time: each begins with the only id of it that begins with a space.
-        plain = [x for x in new if _PLAIN.fullmatch(x)]
-        runs = [plain[a : a + 256] for a in range(0, len(plain), 256)]
-        for run, found in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            begin = np.flatnonzero(self.spaced[ids]).tolist()
-            raw = ids.tobytes()
-            for word, i, j in zip(run, begin, [*begin[1:], len(ids)], strict=True):
-                self.known[word] = raw[4 * i : 4 * j]
-        rest = [x for x in new if not _PLAIN.fullmatch(x)]
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        alone = {k: np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes() for k in whole}
-        return [alone[k] if k in whole else b"".join([known[x] for x in parts]) for k, parts in enumerate(cut)]
+        plain = [_PLAIN.fullmatch(text) is not None for _, text in new]
+        words = [x for x, simple in zip(new, plain, strict=True) if simple]
+        found: dict[bytes, bytes] = {}
+        for a in range(0, len(words), 4096):
+            runs = [words[k : k + 256] for k in range(a, min(a + 4096, len(words)), 256)]
+            for run, coded in zip(runs, self.tokenizer.encode_batch_fast(["".join([text for _, text in r]) for r in runs], add_special_tokens=False), strict=True):
+                ids = np.array(coded.ids, "<u4")
+                begin = np.flatnonzero(self.spaced[ids]).tolist()
+                raw = ids.tobytes()
+                for (word, _), i, j in zip(run, begin, [*begin[1:], len(ids)], strict=True):
+                    found[word] = raw[4 * i : 4 * j]
+        rest = [x for x, simple in zip(new, plain, strict=True) if not simple]
+        for a in range(0, len(rest), 4096):
+            some = rest[a : a + 4096]
+            for (word, _), coded in zip(some, self.tokenizer.encode_batch_fast([text for _, text in some], add_special_tokens=False), strict=True):
+                found[word] = np.array(coded.ids, "<u4").tobytes()
+        out = [self.known[x] if x in self.known else found[x] for x in names]
+        if len(self.known) + len(found) > self.remembered:
+            self.known = {}
+        self.known.update((x, ids) for x, ids in found.items() if len(x) <= _REMEMBERED_BYTES)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        raw, at = utf8(texts)
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        letters = raw.tobytes()
+        start = self._parts(raw, at, letters)
+        end = np.append(start[1:], len(raw))
+        _, first, same = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
+        # Hashes only bring equal parts together.
+        size = end - start
+        alike = bool((size == size[first][same]).all())
+        if not alike or not (raw == raw[np.repeat(start[first][same] - start, size) + np.arange(len(raw))]).all():
+            first = same = np.arange(len(start))
+        coded = self._learn([letters[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        length = np.array([len(c) // 4 for c in coded], np.int64)
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        del coded
+        per = length[same]
+        total = np.cumsum(per)
+        ids = flat[np.repeat((np.cumsum(length) - length)[same] - (total - per), per) + np.arange(total[-1])]
+        done = np.concatenate(([0], total))
+        return ids, np.diff(done[np.searchsorted(start, at)])
 
 
 def _write(definition, terminals: int, p: FileParams):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(definition.value, p.remembered, p.added_tokens)
         partition = TaskContext.get().partitionId()
-        end = np.array([p.end], "<u4").tobytes()
-        codes: list[bytes] = []
-        ids: list[int | None] = []
+        codes: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        ids: list[pa.Array] = []
         number, held = 0, 0
 
         def shard() -> pa.RecordBatch:
             nonlocal number, held
-            sizes = np.array([len(c) // 4 for c in codes], np.int64)
-            named = np.array([i is not None for i in ids])
-            documents = np.array([i or 0 for i in ids], np.int64)
-            every = np.frombuffer(b"".join(codes), "<u4")
+            sizes = np.concatenate(lengths)
+            document = pa.chunked_array(ids).combine_chunks()
+            named = np.asarray(document.is_valid())
+            documents = np.asarray(document.fill_null(0), np.int64)
+            every = np.concatenate(codes)
             codes.clear()
+            lengths.clear()
             ids.clear()
             file = file_of(every, sizes, documents, named, terminals, p)
             row = pa.RecordBatch.from_arrays([pa.array([(partition << 24) + number]), pa.array([int(sizes.sum())]), pa.array([file], pa.binary())], ["shard", "n_ids", "file"])
             number, held = number + 1, 0
             return row
 
-        for batch in pieces(batches, "text"):
-            codes += [c + end for c in words.encode([t or "" for t in batch.column("text").to_pylist()])]
-            ids += batch.column("id").to_pylist()
-            held += sum(map(len, codes[-batch.num_rows :]))
+        for batch in pieces(batches, "text", _BATCH):
+            found, sizes = words.encode(batch.column("text"))
+            codes.append(np.insert(found, np.cumsum(sizes), np.uint32(p.end)))
+            lengths.append(sizes + 1)
+            ids.append(batch.column("id"))
+            held += codes[-1].nbytes
             if held >= p.shard_bytes:
                 yield shard()
         if codes:
@@ -307,9 +376,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             file = TokenFile(raw.as_py())
             ends = np.cumsum(file.sizes)
             start = ends - file.sizes
-            for a in range(0, len(ends), 2048):
-                b = min(a + 2048, len(ends))
-                # A stretch of documents at a time: a whole shard spelt out takes many times its file.
+            # A stretch of documents at a time: a whole shard spelt out takes many times its file.
+            cuts = [0, *(np.flatnonzero(np.diff(start // _STRETCH)) + 1).tolist(), len(ends)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
                 every = file.ids_between(a, b).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [

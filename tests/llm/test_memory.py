@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
 
-from tidegrid.llm import collocations, ngram_join, token_files
+from tidegrid.llm import collocations, ngram_join, suffix_dedup, token_files
 
 
 def peak(f):
@@ -73,3 +73,15 @@ def test_parts_of_texts_are_encoded_like_texts(added_tokens):
         want = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
         assert sizes.tolist() == [len(x) for x in want]
         assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_sampling_works_on_short_stretches():
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 1 << 62, 1_000_000).astype(np.uint64)
+    least, held = peak(lambda: suffix_dedup._sliding_min(values, 77))
+    assert held < 12
+    assert (least == np.lib.stride_tricks.sliding_window_view(values, 77).min(1)).all()
+    raw = rng.integers(97, 100, 100_000).astype(np.uint8)
+    whole = suffix_dedup._grams(raw, 24)
+    for i in [*rng.integers(0, len(whole), 50).tolist(), len(whole) - 1]:
+        assert whole[i] == suffix_dedup._grams(raw[i : i + 24].copy(), 24)[0]

@@ -38,6 +38,8 @@ from tidegrid.llm.common import CELL_BITS, by_frequency, count_cells, frequency_
 from tidegrid.session import cut_lineage
 
 _POS_BITS = 21
+#: Positions whose hashes are made together, so that they stay near the processor.
+_STRETCH = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -56,13 +58,25 @@ def _grams(raw: np.ndarray, size: int) -> np.ndarray:
     n = len(raw) - size + 1
     if n <= 0:
         return np.zeros(0, U)
-    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
-    word = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(raw)]
-    word = np.ascontiguousarray(word).view("<u8").ravel()
-    out = np.zeros(n, U)
+    out = np.empty(n, U)
+    for a in range(0, n, _STRETCH):
+        out[a : a + _STRETCH] = _few_grams(raw[a : a + _STRETCH + size - 1], size)
+    return out
+
+
+def _few_grams(raw: np.ndarray, size: int) -> np.ndarray:
+    n = len(raw) - size + 1
+    # The word at each position, from eight readings of the bytes as words.
+    word = np.empty(len(raw) - 7, U)
+    for k in range(min(8, len(word))):
+        part = np.frombuffer(raw[k : k + (len(raw) - k) // 8 * 8].tobytes(), "<u8")
+        word[k::8] = part[: len(word[k::8])]
+    out, other = np.zeros(n, U), np.empty(n, U)
     for k in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
-        out = (out ^ word[k : k + n]) * U(0x9FB21C651E98DF25)
-        out ^= out >> U(29)
+        out ^= word[k : k + n]
+        out *= U(0x9FB21C651E98DF25)
+        np.right_shift(out, U(29), out=other)
+        out ^= other
     return mix(out)
 
 
@@ -79,14 +93,16 @@ def _valid_grams(size: int):
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` values in a row: of two runs, one from each side of a block border."""
-    n = len(values)
-    blocks = -(-n // width)
-    padded = np.full(blocks * width, np.iinfo(np.uint64).max, U)
-    padded[:n] = values
-    ahead = np.minimum.accumulate(padded.reshape(blocks, width), axis=1).ravel()
-    back = np.minimum.accumulate(padded.reshape(blocks, width)[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
+    """Minimum of each ``width`` values in a row: runs of twice the length from two runs, a stretch at a time."""
+    n = len(values) - width + 1
+    out = np.empty(max(n, 0), U)
+    for a in range(0, n, _STRETCH):
+        least, reach = values[a : a + _STRETCH + width - 1], 1
+        while 2 * reach <= width:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        out[a : a + _STRETCH] = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
+    return out
 
 
 def sampled(raw: np.ndarray, at: np.ndarray, levels: np.ndarray, p: DedupParams) -> tuple[np.ndarray, ...]:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,32 @@ def test_token_files_hold_added_tokens_like_the_library(spark, tmp_path):
     assert [r.start for r in got] == [sum(map(len, want[:k])) for k in range(len(want))]
 
 
+def test_token_files_are_read_back_without_a_shuffle_of_files(spark, tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        token_files.write_files(odd_docs(spark), str(tmp_path / "f"), f.read(), params=token_files.FileParams(shard_bytes=64, partition_bytes=256))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = token_files.read_files(spark, str(tmp_path / "f"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_words_are_encoded_once_whatever_mark_or_line_end_follows():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    words = token_files._Words(definition, 1 << 10, True)
+    seen = []
+    together = words._encoded
+    words._encoded = lambda texts: seen.extend(texts.to_pylist()) or together(texts)
+    texts = ["foo bar, bar. bar; bar\nfoo. bar!\nfoo", "x bar? bar..", "3.14 it's\n\nfoo\n bar \n", "foo bar\n", "\nfoo"]
+    ids, sizes = words.encode(pa.array(texts))
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert len(seen) == len(set(seen)) and seen.count(b" bar") == 1 and not any(x.startswith(b" bar") and x[4:5] in b",.;!?" for x in seen if len(x) > 4)
+
+
 def test_pairing_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for _ in range(100):

@@ -20,8 +20,10 @@ are in the order of their texts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +31,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.bytestrings import utf8, word_hashes
+from tidegrid.llm.bytestrings import utf8
 from tidegrid.llm.common import pieces
 
 MAGIC = b"PAIRIDS1"
-_PLAIN = re.compile(r" \S+")
 #: A task reads so many bytes of text at a time, and remembers no part of a text that is longer than so many.
-_BATCH = 1 << 20
+_BATCH = 2 << 20
 _REMEMBERED_BYTES = 256
+#: Parts that are encoded as one text, and bytes of texts that the library gets at once.
+_RUN = 256
+_AT_ONCE = 1 << 16
 #: Ids that are spelt out at a time, and a document more at most.
 _STRETCH = 1 << 18
 #: Cells in which a shard's pairs are counted.
 _CELL_BITS = 20
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Letters and digits, and marks that are neither and begin no word of letters.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
 #: White space beyond ASCII, by its bytes.
 _WIDE_SPACES = [chr(c).encode() for c in range(128, 0x3001) if chr(c).isspace()]
 _WIDE_LEAD = np.zeros(256, bool)
@@ -66,7 +75,7 @@ def _spaces(raw: np.ndarray) -> np.ndarray:
 class FileParams:
     #: Bytes of ids in a shard, of text in a partition of shards; a task holds a shard, and the files of a partition as they are read back.
     shard_bytes: int = 8 << 20
-    partition_bytes: int = 32 << 20
+    partition_bytes: int = 16 << 20
     #: Rounds of pairing; pairs replaced in one round at most; occurrences that make a pair worth a rule.
     rounds: int = 3
     pairs: int = 1 << 13
@@ -82,6 +91,18 @@ def _parts(n: int, step: int = 1 << 20) -> Iterator[slice]:
     return (slice(i, min(i + step, n)) for i in range(0, n, step))
 
 
+def _pairs(symbols: np.ndarray, part: slice) -> np.ndarray:
+    """The symbols of a part, each with its right neighbour."""
+    out = symbols[:-1][part].astype(np.int64)
+    out <<= 32
+    out |= symbols[1:][part]
+    return out
+
+
+def _cells(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELL_BITS)
+
+
 def pair_up(symbols: np.ndarray, ends: np.ndarray, terminals: int, p: FileParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols after pairing, which of them end a document, and the rules as rows (left, right)."""
     rules = np.zeros((0, 2), np.int64)
@@ -90,21 +111,26 @@ def pair_up(symbols: np.ndarray, ends: np.ndarray, terminals: int, p: FileParams
     for _ in range(p.rounds):
         if len(symbols) < 2:
             break
-        key = symbols[:-1].astype(np.int64)
-        key <<= 32
-        key |= symbols[1:]
+        n = len(symbols) - 1
         # Counts of hashed pairs first: only pairs in full cells can be frequent.
-        cell = np.empty(len(key), np.int32)
+        cell = np.empty(n, np.int32)
         full = np.zeros(1 << _CELL_BITS, np.int32)
-        for part in _parts(len(key)):
-            cell[part] = (key[part].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CELL_BITS)
+        for part in _parts(n):
+            cell[part] = _cells(_pairs(symbols, part))
             cell[part][ends[:-1][part]] = 0
             full += np.bincount(cell[part], minlength=1 << _CELL_BITS)
-        least = max(p.least, int(np.partition(full, -p.pairs)[-p.pairs]))
+        # The count that as many cells reach as pairs are replaced.
+        reached = np.cumsum(np.bincount(full)[::-1])
+        least = max(p.least, len(reached) - 1 - int(np.searchsorted(reached, p.pairs)))
         some = (full >= least)[cell]
         some &= ~ends[:-1]
-        del cell, full
-        pair = key[some]
+        del full, reached
+        pair = np.empty(int(some.sum()), np.int64)
+        done = 0
+        for part in _parts(n):
+            found = _pairs(symbols, part)[some[part]]
+            pair[done : done + len(found)] = found
+            done += len(found)
         pair.sort()
         first = np.flatnonzero(np.concatenate((np.full(min(len(pair), 1), True), pair[1:] != pair[:-1])))
         count = np.diff(first, append=len(pair))
@@ -115,14 +141,20 @@ def pair_up(symbols: np.ndarray, ends: np.ndarray, terminals: int, p: FileParams
         if not len(good):
             break
         here = np.full(len(symbols) + 1, len(good), np.int32)  # rank of the pair that starts at each place, moved by one
-        rank = np.argsort(good)
-        ordered = good[rank]
-        for part in _parts(len(key)):
-            at = np.flatnonzero(some[part])
-            found = key[part][at]
-            place = np.minimum(np.searchsorted(ordered, found), len(good) - 1)
-            here[1 + part.start + at] = np.where(ordered[place] == found, rank[place], len(good))
-        del key, some
+        home = _cells(good)
+        left = np.arange(len(good))
+        while len(left):  # one pair a cell at a time
+            slot = np.full(1 << _CELL_BITS, -1, np.int32)
+            slot[home[left]] = left
+            for part in _parts(n):
+                at = np.flatnonzero(some[part])
+                rank = slot[cell[part][at]]
+                held = rank >= 0
+                at, rank = at[held], rank[held]
+                same = good[rank] == _pairs(symbols, part)[at]
+                here[1 + part.start + at[same]] = rank[same]
+            left = left[slot[home[left]] != left]
+        del some, cell
         chosen = here[1:] <= len(good) - 1
         chosen &= (here[1:] < here[:-1]) | (here[:-1] > len(good) - 1)
         chosen[:-1] &= here[1:-1] <= here[2:]
@@ -224,75 +256,149 @@ class TokenFile:
         return self._expand(self.symbols)
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(definition: str, added_tokens: bool) -> tuple:
+    """The tokenizer, its added tokens, whether it has the library's own byte-level cutter, and how many bytes each id spells; a worker reads a definition once."""
+    import json
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(definition)
+    tokens = tokenizer.get_added_tokens_decoder().values()
+    # Special ones are spelt out by this switch; others never are.
+    tokenizer.encode_special_tokens = not added_tokens
+    found = [re.escape(t.content.encode()) for t in tokens if added_tokens or not t.special]
+    added = re.compile(b"|".join(found)) if found else None
+    described = json.loads(definition)
+    cutter = described.get("pre_tokenizer") or {}
+    fine = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True) and not described.get("normalizer")
+    vocabulary = tokenizer.get_vocab()
+    spelt = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    spelt[list(vocabulary.values())] = [len(piece) for piece in vocabulary]  # a character of a byte-level vocabulary stands for a byte
+    return tokenizer, added, fine, spelt
+
+
 class _Words:
     """Ids of texts from a tokenizer of the tokenizers library that cuts texts into words first.
 
     No word of its pattern goes over a space between two other characters, and what stands before
     and after such a space is cut alike with and without the other.  So texts are cut
-    there, and each different part is encoded once.  A text that holds an added token is encoded as it is.
+    there, and each different part is encoded once.  The pattern of the library's byte-level
+    cutter also ends a word between a letter or digit and a mark, and makes a lone line end
+    a word; with it texts are cut there too.  A text that holds an added token is encoded as it is.
     """
 
     def __init__(self, definition: str, remembered: int, added_tokens: bool) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        # Special ones are spelt out by this switch; others never are.
-        self.tokenizer.encode_special_tokens = not added_tokens
-        found = [re.escape(t.content.encode()) for t in added if added_tokens or not t.special]
-        self.added = re.compile(b"|".join(found)) if found else None
-        vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer, self.added, self.fine, self.spelt = _tokenizer(definition, added_tokens)
         self.remembered = remembered
+        self.known = self.coded = pa.array([], pa.large_binary())
+
+    def _with_added(self, letters: bytes, at: np.ndarray) -> list[int]:
+        """Which texts hold an added token."""
+        if not self.added or not self.added.search(letters):
+            return []
+        places = at.tolist()
+        return [k for k, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)) if self.added.search(letters, a, b)]
 
     def _parts(self, raw: np.ndarray, at: np.ndarray, letters: bytes) -> np.ndarray:
         """Where the parts of the texts begin; together they are all of ``raw``."""
-        space = raw == 32
         near = _spaces(raw)
-        cut = np.zeros(len(raw), bool)
-        cut[1:-1] = space[1:-1] & ~near[:-2] & ~near[2:]
+        lone = np.zeros(len(raw), bool)
+        np.logical_or(near[:-2], near[2:], out=lone[1:-1])
+        np.logical_not(lone[1:-1], out=lone[1:-1])
+        lone &= near
         # Beside the edge of a text there is no other character.
         edge = at[(at > 0) & (at < len(raw))]
-        cut[edge - 1] = False
-        if self.added:
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if self.added.search(letters, a, b):
-                    cut[a:b] = False
-        begin = at[:-1][np.diff(at) > 0]
-        cut[begin] = True
+        lone[edge - 1] = False
+        cut = lone & (raw == 32)
+        if self.fine:
+            lone &= raw == 10
+            cut |= lone
+            cut[1:] |= lone[:-1]
+            cut[1:] |= _MARK[raw[1:]] & _PLAIN[raw[:-1]]
+        for k in self._with_added(letters, at):
+            cut[at[k] : at[k + 1]] = False
+        cut[at[:-1][np.diff(at) > 0]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, names: list[bytes]) -> list[bytes]:
-        """The ids of each part."""
-        new = [(x, x.decode()) for x in names if x not in self.known]
-        # Plain words are encoded many at a time: each begins with the only id of it that begins with a space.
-        plain = [_PLAIN.fullmatch(text) is not None for _, text in new]
-        words = [x for x, simple in zip(new, plain, strict=True) if simple]
-        found: dict[bytes, bytes] = {}
-        for a in range(0, len(words), 4096):
-            runs = [words[k : k + 256] for k in range(a, min(a + 4096, len(words)), 256)]
-            for run, coded in zip(runs, self.tokenizer.encode_batch_fast(["".join([text for _, text in r]) for r in runs], add_special_tokens=False), strict=True):
-                ids = np.array(coded.ids, "<u4")
-                begin = np.flatnonzero(self.spaced[ids]).tolist()
-                raw = ids.tobytes()
-                for (word, _), i, j in zip(run, begin, [*begin[1:], len(ids)], strict=True):
-                    found[word] = raw[4 * i : 4 * j]
-        rest = [x for x, simple in zip(new, plain, strict=True) if not simple]
-        for a in range(0, len(rest), 4096):
-            some = rest[a : a + 4096]
-            for (word, _), coded in zip(some, self.tokenizer.encode_batch_fast([text for _, text in some], add_special_tokens=False), strict=True):
-                found[word] = np.array(coded.ids, "<u4").tobytes()
-        out = [self.known[x] if x in self.known else found[x] for x in names]
-        if len(self.known) + len(found) > self.remembered:
-            self.known = {}
-        self.known.update((x, ids) for x, ids in found.items() if len(x) <= _REMEMBERED_BYTES)
+    def _ids(self, letters: bytes, cuts: list[int]) -> list[np.ndarray]:
+        """The ids of the texts between cuts; the library holds many bytes an id, so it gets some of them at a time."""
+        out = []
+        a = 0
+        while a < len(cuts) - 1:
+            b = max(a + 1, bisect_right(cuts, cuts[a] + _AT_ONCE) - 1)
+            texts = [letters[i:j].decode() for i, j in zip(cuts[a:b], cuts[a + 1 : b + 1], strict=True)]
+            out += [np.array(coded.ids, "<u4") for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            a = b
         return out
 
+    def _together(self, texts: pa.Array, line_ends: bool) -> pa.Array | None:
+        """The ids of parts, encoded many at a time, each before a line end or as they are; none if a word goes over an end."""
+        raw, at = utf8(texts)
+        start, stop = at[:-1], at[1:]
+        if line_ends:
+            raw = np.insert(raw, stop, 10)
+            start, stop = start + np.arange(len(start)), stop + np.arange(len(stop))
+        letters = raw.tobytes()
+        flat = np.concatenate([np.zeros(0, "<u4"), *self._ids(letters, [*start[::_RUN].tolist(), len(letters)])])
+        done = np.concatenate(([0], np.cumsum(self.spelt[flat])))
+        first, last = np.searchsorted(done, start), np.searchsorted(done, stop)
+        if done[-1] != len(letters) or (done[first] != start).any() or (done[last] != stop).any():
+            return None
+        if line_ends:
+            mine = np.ones(len(flat), bool)
+            mine[last] = False
+            flat = flat[mine]
+            if len(flat) != (last - first).sum():
+                return None
+        offsets = 4 * np.concatenate(([0], np.cumsum(last - first)))
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+    def _encoded(self, texts: pa.Array) -> pa.Array:
+        """The ids of different parts."""
+        raw, at = utf8(texts)
+        white = np.concatenate(([0], np.cumsum(_spaces(raw))))
+        white = white[at[1:]] - white[at[:-1]]
+        lead = np.zeros(len(texts), bool)
+        lead[:] = raw[at[:-1]] == 32
+        alone = white > lead
+        if not self.fine:
+            alone |= ~lead
+        alone[self._with_added(raw.tobytes(), at)] = True
+        places, coded = [], []
+        # A part that begins with a space stands after another as it is, others after a line end.
+        for some, line_ends in ((lead & ~alone, False), (~lead & ~alone, True)):
+            place = np.flatnonzero(some)
+            found = self._together(texts.take(pa.array(place)), line_ends)
+            if found is None:
+                alone |= some
+            else:
+                places.append(place)
+                coded.append(found)
+        places.append(np.flatnonzero(alone))
+        raw, at = utf8(texts.take(pa.array(places[-1])))
+        coded.append(pa.array([ids.tobytes() for ids in self._ids(raw.tobytes(), at.tolist())], pa.large_binary()))
+        return pa.concat_arrays(coded).take(pa.array(np.argsort(np.concatenate(places))))
+
+    def _learn(self, names: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of parts, and where among them those of each of ``names`` are."""
+        place = pa.compute.index_in(names, value_set=self.known)
+        new = np.asarray(place.is_null())
+        place = np.asarray(place.fill_null(0), np.int64)
+        place[new] = len(self.known) + np.arange(int(new.sum()))
+        fresh = names.filter(pa.array(new))
+        found = self._encoded(fresh)
+        coded = pa.concat_arrays([self.coded, found])
+        short = pa.compute.less_equal(pa.compute.binary_length(fresh), _REMEMBERED_BYTES)
+        kept, ids = fresh.filter(short), found.filter(short)
+        if len(self.known) + len(kept) > self.remembered:
+            self.known, self.coded = kept, ids
+        elif len(kept):
+            self.known, self.coded = pa.concat_arrays([self.known, kept]), pa.concat_arrays([self.coded, ids])
+        return coded, place
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         raw, at = utf8(texts)
@@ -300,22 +406,17 @@ class _Words:
             return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
         letters = raw.tobytes()
         start = self._parts(raw, at, letters)
-        end = np.append(start[1:], len(raw))
-        _, first, same = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
-        # Hashes only bring equal parts together.
-        size = end - start
-        alike = bool((size == size[first][same]).all())
-        if not alike or not (raw == raw[np.repeat(start[first][same] - start, size) + np.arange(len(raw))]).all():
-            first = same = np.arange(len(start))
-        coded = self._learn([letters[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-        length = np.array([len(c) // 4 for c in coded], np.int64)
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        del coded
-        per = length[same]
-        total = np.cumsum(per)
-        ids = flat[np.repeat((np.cumsum(length) - length)[same] - (total - per), per) + np.arange(total[-1])]
-        done = np.concatenate(([0], total))
-        return ids, np.diff(done[np.searchsorted(start, at)])
+        first = np.searchsorted(start, at)
+        ends = np.append(start, len(raw))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        del start, ends
+        coded, place = self._learn(parts.dictionary)
+        taken = coded.take(pa.array(place[np.asarray(parts.indices)]))
+        del coded, parts
+        _, offsets, data = taken.buffers()
+        done = np.frombuffer(offsets, np.int64, len(taken) + 1) // 4
+        ids = np.frombuffer(data, "<u4", int(done[-1]))
+        return ids, np.diff(done[first])
 
 
 def _write(definition, terminals: int, p: FileParams):
@@ -396,6 +497,6 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``(id, start, n_tokens, ids)`` of every document; ``start``: ids of all documents before it."""
     files = spark.read.schema("shard long, n_ids long, file binary").parquet(path)
-    # One row per shard, without its file.
+    # One row per shard, without its file; it goes to the files, which are not shuffled.
     before = files.select("shard", "n_ids").withColumn("before", F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids"))
-    return files.select("shard", "file").join(before.select("shard", "before"), "shard").select("before", "file").mapInArrow(_decode, "id long, start long, n_tokens long, ids binary")
+    return files.select("shard", "file").join(F.broadcast(before.select("shard", "before")), "shard").select("before", "file").mapInArrow(_decode, "id long, start long, n_tokens long, ids binary")

@@ -1,6 +1,7 @@
 """What a task holds beside its input, and that working in small stretches changes nothing."""
 
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
 
-from tidegrid.llm import collocations, ngram_join, suffix_dedup, token_files
+from tidegrid.llm import bpe, collocations, ngram_join, suffix_dedup, token_files
 
 
 def peak(f):
@@ -75,6 +76,22 @@ def test_parts_of_texts_are_encoded_like_texts(added_tokens):
         assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_words_of_a_task_are_held_as_arrays():
+    ranks = {bytes([i]): i for i in range(256)} | {b" w": 256}
+    texts = [[f" w{i}" for i in range(100 * k, 100 * k + 100)] for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "_words"])
+    shared, vocabulary = SimpleNamespace(value=(ranks, {" w7": np.array([256, 55], "<u4").tobytes()})), SimpleNamespace(value=list(ranks))
+
+    def read():
+        return sum(b.num_rows for b in bpe._join(shared, vocabulary, 1 << 18, ("doc_id",))(iter([batch])) if b.column("decoded").to_pylist())
+
+    found, held = peak(read)
+    assert found == 3000 and held < 30
+    first = next(bpe._join(shared, vocabulary, 4, ("doc_id",))(iter([batch])))
+    assert first.column("decoded")[0].as_py() == "".join(texts[0]).encode()
+    assert np.frombuffer(first.column("ids")[0].as_py(), "<u4").tolist() == [i for w in texts[0] for i in (256, *w[2:].encode())]
+
+
 def test_sampling_works_on_short_stretches():
     rng = np.random.default_rng(5)
     values = rng.integers(0, 1 << 62, 1_000_000).astype(np.uint64)

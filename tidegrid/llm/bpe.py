@@ -17,7 +17,7 @@ Null texts are empty; they have no ids and decode to nothing.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import PIECE
-
+#: A task gives words their ids in so many bytes of text at a time, and remembers no word that is longer than so many.
+PIECE = 1 << 20
+_REMEMBERED_BYTES = 256
 #: White space of Unicode, which \s means in the patterns of tokenizers but not in Java's.
 SPACE = r"\t-\r \x85\xA0  -     　"
 
@@ -75,21 +76,27 @@ def _merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Words:
-    """Words to ids in one task: look up, merge what is new."""
+    """Words to ids in one task: look up, merge what is new.  Known words are Arrow arrays, which take far less memory than a dict."""
 
     def __init__(self, ranks: dict[bytes, int], dictionary: dict[str, bytes], remembered: int) -> None:
-        self.ranks, self.dictionary, self.remembered = ranks, dictionary, remembered
-        self.known = dict(dictionary)
-
-    def encode(self, words: Iterable[str]) -> list[bytes]:
-        if len(self.known) > self.remembered + len(self.dictionary):
-            self.known = dict(self.dictionary)
-        out = []
-        for word in words:
-            found = self.known.get(word)
-            if found is None:
-                found = self.known[word] = np.array(_merged(word.encode(), self.ranks), "<u4").tobytes()
-            out.append(found)
+        self.ranks, self.remembered = ranks, remembered
+        self.dictionary = self.known = pa.array(list(dictionary), pa.string()), pa.array(list(dictionary.values()), pa.large_binary())
+
+    def encode(self, words: pa.Array) -> pa.Array:
+        words = words.cast(pa.string())
+        names, ids = self.known
+        place = pa.compute.index_in(words, value_set=names)
+        new = np.asarray(place.is_null())
+        at = np.asarray(place.fill_null(0), np.int64)
+        at[new] = len(names) + np.arange(int(new.sum()))
+        fresh = words.filter(pa.array(new))
+        found = pa.array([np.array(_merged(word.encode(), self.ranks), "<u4").tobytes() for word in fresh.to_pylist()], pa.large_binary())
+        out = pa.concat_arrays([ids, found]).take(pa.array(at))
+        short = pa.compute.less_equal(pa.compute.binary_length(fresh), _REMEMBERED_BYTES)
+        fresh, found = fresh.filter(short), found.filter(short)
+        if len(names) + len(fresh) > self.remembered + len(self.dictionary[0]):
+            names, ids = self.dictionary
+        self.known = pa.concat_arrays([names, fresh]), pa.concat_arrays([ids, found])
         return out
 
 
@@ -135,8 +142,8 @@ def _each(shared, remembered: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(*shared.value, remembered)
         for batch in batches:
-            ids = words.encode(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
+            ids = words.encode(batch.column("word"))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), ids.cast(pa.binary())], ["word", "ids"])
 
     return of
 
@@ -162,16 +169,12 @@ def _join(shared, vocabulary, remembered: int, keep: tuple[str, ...]):
             for batch in _pieces(whole):
                 words = batch.column("_words")
                 coded = words.flatten().dictionary_encode()
-                lists = known.encode(coded.dictionary.to_pylist())
-                place = np.asarray(coded.indices, np.int64)
-                flat = np.frombuffer(b"".join(lists), "<u4")
-                size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-                taken = size[place]
-                ends = np.cumsum(taken)
-                every = flat[np.repeat((np.cumsum(size) - size)[place] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
-                stop = np.concatenate(([0], ends))[np.cumsum(np.asarray(pa.compute.list_value_length(words), np.int64))]
-                start = np.concatenate(([0], stop[:-1]))
-                out = [every[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+                _, offsets, data = known.encode(coded.dictionary).take(coded.indices).buffers()
+                ends = np.frombuffer(offsets, np.int64, len(coded) + 1) if len(coded) else np.zeros(1, np.int64)
+                raw = data.to_pybytes() if data is not None else b""
+                stop = ends[np.cumsum(np.asarray(pa.compute.list_value_length(words), np.int64))].tolist()
+                out = [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+                del coded, raw
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary()), decode(out, table)], [*keep, "ids", "decoded"])
 
     return of

@@ -65,6 +65,44 @@ def test_jaccard_join_is_brute_force(spark, sf, params):
     assert got == jaccard_groups(rows)
 
 
+def test_chance_tokens_join_no_groups(spark, monkeypatch):
+    """Texts that share a few phrases with a few others each are not compared, those that are near are."""
+    rng = np.random.default_rng(6)
+    texts = [[f"d{i}w{k}" for k in range(300)] for i in range(120)]
+    for f in range(300):
+        for i in rng.choice(120, 4, replace=False):
+            k = 10 * int(rng.integers(29))
+            texts[i][k : k + 5] = [f"f{f}x{j}" for j in range(5)]
+    texts += [[*t[:290], *(f"n{i}w{k}" for k in range(10))] for i, t in enumerate(texts[:3])]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    placed = []
+    monkeypatch.setattr(ngram_join, "_texts", lambda known, nodes, cells, *a, f=ngram_join._texts: (placed.append(cells.count()), f(known, nodes, cells, *a))[1])
+    found = similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), params=JaccardParams(pair_limit=2, block=16)).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in found} == jaccard_groups(rows)
+    assert sum(r.id != r.component_id for r in found) == 3
+    assert placed[0] < 40  # 704 when they joined groups
+
+
+def test_nodes_with_few_frequent_tokens_meet_by_size(spark):
+    """The same pairs as when all holders of a token meet, whatever the classes of size."""
+    rng = np.random.default_rng(7)
+    p = JaccardParams()
+    size = {i: int(x) for i, x in enumerate([*rng.integers(1, 40, 60), *rng.integers(80, 260, 120), *rng.integers(1000, 1300, 60)])}
+    held = {i: sorted({int(x) for x in rng.integers(0, 12, int(rng.integers(1, 12)))}) for i in size}
+    tokens = spark.createDataFrame([(t, i, size[i], 0, True) for i, ts in held.items() for t in ts], "key long, node long, n long, ord byte, often boolean")
+    frequent = ngram_join._frequent(tokens, p)
+    few = {r.node for r in frequent.collect() if r.few}
+    want = set()
+    for a in size:
+        for b in range(a + 1, len(size)):
+            s, (lo, hi) = len({*held[a]} & {*held[b]}), sorted((size[a], size[b]))
+            if s and (a in few or b in few) and 100 * lo >= 80 * hi and (s + (80 * hi + 99) // 100 - 1) * 180 >= (lo + hi) * 80:
+                want.add((a, b, size[a], size[b]))
+    got = [tuple(r) for r in ngram_join._few_pairs(frequent, p).collect()]
+    assert len(got) == len(want) > 20 and set(got) == want
+    assert 0 < len(few) < len(size)
+
+
 def test_jaccard_texts_are_not_shuffled_to_their_cells(spark):
     known = spark.createDataFrame([(i, f"t{i}") for i in (1, 2, 2, 3)], "id long, text string")
     nodes = spark.createDataFrame([(10 * i, i, 5) for i in (1, 2, 3)], "node long, id long, n long")

@@ -60,10 +60,11 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return np.zeros(0, U)
     step, back = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
     block = 1 << 20
-    powers = np.ones(block + 1, U)
-    np.multiply.accumulate(np.full(block, step), out=powers[1:])
-    undo = np.ones(block + 1, U)
-    np.multiply.accumulate(np.full(block, back), out=undo[1:])
+    most = min(block, len(raw))  # short texts need few powers
+    powers = np.ones(most + 1, U)
+    np.multiply.accumulate(np.full(most, step), out=powers[1:])
+    undo = np.ones(most + 1, U)
+    np.multiply.accumulate(np.full(most, back), out=undo[1:])
     table = mix(np.arange(1, 257, dtype=U))
     out = np.empty(len(start), U)
     first = 0

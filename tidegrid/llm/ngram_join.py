@@ -11,10 +11,12 @@ prefixes under all of them.
    Documents with equal sets are one node from then on, named by the signature.
 2. Tokens in one set only are dropped.
 3. Tokens held by few nodes give pairs.  A pair goes if the sizes are too different or if, under one
-   of the orders, it shares too few prefix tokens to be similar.  Tokens held by many nodes give no pairs.
-4. The pairs that are left, and frequent tokens, join nodes to groups; large groups fall into blocks of
-   bounded size and near sizes of sets.  A task compares the texts of a group, or of two blocks, by
-   set arithmetic on matrices.  It returns a spanning forest of the links it finds, never all of them.
+   of the orders, it shares too few prefix tokens to be similar.  Tokens held by many nodes join groups.
+   A node with few of those in its prefix, though, can share enough of them with nodes of a few sizes only.
+   It is paired with these, so what many texts hold by chance joins no groups.
+4. The pairs that are left, and frequent tokens of the other nodes, join nodes to groups; large groups fall
+   into blocks of bounded size and near sizes of sets.  A task compares the texts of a group, or of two blocks,
+   by set arithmetic on matrices.  It returns a spanning forest of the links it finds, never all of them.
 5. Links join nodes, components are found with distributed rounds.
 
 Rows without an id take no part and get nulls.  Rows that repeat an id are one node; if their texts
@@ -46,8 +48,10 @@ class JaccardParams:
     hundredths: int = 80
     #: Global token orders.
     orders: int = 2
-    #: A token held by more nodes than this is worked on in blocks instead of pairs.
+    #: A token held by more nodes than this is worked on in blocks instead of pairs,
     pair_limit: int = 48
+    #: except for nodes in whose prefix such tokens are fewer than one in so many.
+    few: int = 5
     #: Nodes in a block.
     block: int = 1024
     #: Up to so many places of texts to verify, in cells, are broadcast (about 60 MB); more are joined.
@@ -218,10 +222,40 @@ def _may_be_similar(shared: Column, na: Column, nb: Column, p: JaccardParams) ->
     return (shared + rest) * (100 + h) >= (na + nb) * h
 
 
-def _small_pairs(tokens: DataFrame, p: JaccardParams) -> DataFrame:
-    """Pairs of nodes with a rare common token under order 0 that pass the filters of all orders."""
-    mine = tokens.where("ord = 0")
-    rare, often = mine.where("not often"), mine.where("often").groupBy("node").agg(F.count("*").alias("m"))
+def _frequent(tokens: DataFrame, p: JaccardParams) -> DataFrame:
+    """``(key, node, n, m, few)``: the frequent tokens under order 0, with how many their node has, and whether these are few."""
+    often = tokens.where("ord = 0 and often").select("key", "node", "n")
+    prefix = F.col("n") - F.floor((F.col("n") * p.hundredths + 99) / 100) + 1
+    return often.join(often.groupBy("node").agg(F.count("*").alias("m")), "node").select("key", "node", "n", "m", (F.col("m") * p.few < prefix).alias("few"))
+
+
+def _few_pairs(frequent: DataFrame, p: JaccardParams) -> DataFrame:
+    """Pairs with a frequent common token of which one node, or both, has few, and that may be similar by these tokens alone.
+
+    With at most m tokens in common, the smaller set has at most the size h of the larger one
+    and (1 + h) / h for each of the m.  So nodes meet by token and class of size, not by token alone.
+    """
+    h = p.hundredths
+    step = np.log(100.0 / h) / 4
+    size = lambda n: F.floor(F.log(F.greatest(n.cast("double"), F.lit(1.0))) / step)
+    n, reach = F.col("n"), F.col("m") * ((100 + h) / h)
+    # A class more on both sides, since these are rounded numbers.
+    below = F.sequence(size(n * (h / 100)) - 1, size(F.least(n.cast("double"), n * (h / 100) + reach)) + 1)
+    above = F.sequence(size(F.greatest(n.cast("double"), (n - reach) * (100 / h))) - 1, size(n * (100 / h)) + 1)
+    x = frequent.where("few").select("key", F.explode(F.array_distinct(F.concat(below, above))).alias("class"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"))
+    y = frequent.select("key", size(n).alias("class"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), "few")
+    once = (F.col("x") < F.col("y")) | (~F.col("few") & (F.col("x") != F.col("y")))
+    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * h
+    both = x.join(y, ["key", "class"]).where(once & fits & _may_be_similar(F.least("mx", "my"), F.col("nx"), F.col("ny"), p))
+    turned = F.col("x") > F.col("y")
+    both = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *(F.when(turned, F.col(u)).otherwise(F.col(v)).alias(c) for c, u, v in (("na", "ny", "nx"), ("nb", "nx", "ny"))))
+    both = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("s"))
+    return both.where(_may_be_similar(F.col("s"), F.col("na"), F.col("nb"), p)).select("a", "b", "na", "nb")
+
+
+def _small_pairs(tokens: DataFrame, frequent: DataFrame, p: JaccardParams) -> DataFrame:
+    """Pairs of nodes that pass the filters of all orders: with a rare common token under order 0, or with few frequent ones."""
+    rare, often = tokens.where("ord = 0 and not often"), frequent.select("node", "m").distinct()
     x = rare.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
     y = rare.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.hundredths) & (F.col("a") < F.col("b"))
@@ -230,6 +264,7 @@ def _small_pairs(tokens: DataFrame, p: JaccardParams) -> DataFrame:
         pairs = pairs.join(often.select(F.col("node").alias(side), F.col("m").alias(f"m{side}")), side, "left")
     common = F.col("s") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
     pairs = pairs.where(_may_be_similar(common, F.col("na"), F.col("nb"), p)).select("a", "b", "na", "nb")
+    pairs = pairs.unionByName(_few_pairs(frequent, p)).distinct()
     for order in range(1, p.orders):
         held = tokens.where(F.col("ord") == order).groupBy("node").agg(F.collect_list("key").alias("t"))
         pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
@@ -239,14 +274,14 @@ def _small_pairs(tokens: DataFrame, p: JaccardParams) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def _cells(tokens: DataFrame, pairs: DataFrame, nodes: DataFrame, p: JaccardParams) -> DataFrame:
+def _cells(frequent: DataFrame, pairs: DataFrame, nodes: DataFrame, p: JaccardParams) -> DataFrame:
     """``(node, grp, lo, hi, side)``: the pairs of blocks that a node with candidates goes to.
 
-    Candidate pairs and common frequent tokens make groups.  A small group is one block.  The nodes of a
+    Candidate pairs and common frequent tokens of nodes with many make groups.  A small group is one block.  The nodes of a
     larger one fall into bands of sizes, so that similar ones are in one band or in neighbouring
     ones, and a band with many nodes into blocks.
     """
-    often = tokens.where("ord = 0 and often")
+    often = frequent.where("not few")
     star = often.join(often.groupBy("key").agg(F.min("node").alias("hub")), "key").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     member = cut_lineage(components(pairs.unionByName(star), "a", "b").select(F.col("id").alias("node"), F.col("component").alias("grp")))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.hundredths)))
@@ -289,7 +324,8 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     sets = documents.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("two").alias("two"), F.max("two").alias("other"))
     nodes = cut_lineage(sets.select("node", "n", F.when(F.col("two") == F.col("other"), F.col("id")).otherwise(F.raise_error(F.lit("two sets have one signature"))).alias("id")))
 
-    cells = cut_lineage(_cells(tokens, cut_lineage(_small_pairs(tokens, p)), nodes, p))
+    frequent = cut_lineage(_frequent(tokens, p))
+    cells = cut_lineage(_cells(frequent, cut_lineage(_small_pairs(tokens, frequent, p)), nodes, p))
     links = _texts(known, nodes, cells, twice.ids > 0, p).groupBy("grp", "lo", "hi").applyInArrow(_blocks(p), "a long, b long")
     for side in ("a", "b"):
         links = links.join(nodes.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)
